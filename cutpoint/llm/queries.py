@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, licenses, minhash, mixing, secrets, substrings, toxicity
+from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, secrets, substrings, toxicity
 from .runtime import crc_fold
 
 
@@ -81,6 +81,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -93,6 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_mixing, op2_minhash, op3_langid, op4_embeddings, op5_licenses,
-            op6_secrets, op7_decontam, op8_substrings, op10_toxicity,
+            op6_secrets, op7_decontam, op8_substrings, op9_lines, op10_toxicity,
         )
     }

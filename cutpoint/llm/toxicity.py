@@ -13,25 +13,32 @@ from pyspark.sql import functions as F
 from .ngrams import buckets, text_chunks
 from .runtime import crc_fold, session
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 BITS = 17
-DIM = 8
+DIM = 4
 #: The averaged vector is scaled by this, so that a few telling words in a hundred count.
-SCALE = 50.0
+SCALE = 15.0
+#: Subwords weigh their inverse document frequency to this power in the average.
+RARITY = 1.5
+#: A subword of fewer sample texts teaches nothing general.
+LEAST_TEXTS = 8
 
 
 @dataclass
 class Model:
-    """Subword embeddings, class weights and biases, with the shift to the classes' shares."""
+    """Subword embeddings and their weights in the average, class weights and biases, with
+    the shift from the sample's class shares to those of all labelled rows."""
 
     vectors: np.ndarray
+    rarity: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     shift: float
 
     def table(self) -> np.ndarray:
         """What one subword adds to the difference of the two logits, before averaging."""
-        return (self.vectors @ (self.weights[:, 1] - self.weights[:, 0]) * SCALE).astype(np.float32)
+        toward = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
+        return (toward * self.rarity * SCALE).astype(np.float32)
 
     def intercept(self) -> float:
         return float(self.bias[1] - self.bias[0] + self.shift)
@@ -51,50 +58,48 @@ def sparse_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, seed: int) -> tuple:
-    """Adam on the cross-entropy of all sample rows at once; vectors and weights together."""
+    """Gradient descent with momentum on the cross-entropy of all sample rows at once.
+
+    Vectors and class weights are learned together. They start small and steps are scaled
+    to the largest gradient: telling subwords grow first and few others ever do.
+    """
     rng = np.random.default_rng(seed)
     size = np.array([len(b) for b, _ in rows])
     bucket, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
     doc = np.repeat(np.arange(len(rows)), size)
-    used, inner = np.unique(bucket, return_inverse=True)
-    often = np.bincount(inner) >= 3  # a subword of one or two texts teaches nothing general
-    keep = often[inner]
+    texts = np.bincount(bucket, minlength=1 << BITS)
+    least = min(LEAST_TEXTS, max(2, int((y == 1).sum()) // 4))
+    rarity = np.log(np.maximum(1, len(rows) / np.maximum(texts, 1))).astype(np.float32) ** RARITY
+    keep = texts[bucket] >= least
     used, inner = np.unique(bucket[keep], return_inverse=True)
-    doc, share = doc[keep], share[keep]
+    doc, share = doc[keep], share[keep] * rarity[bucket[keep]]
     by = np.argsort(inner, kind="stable")
     by_start = np.searchsorted(inner[by], np.arange(len(used)))
     doc_by, share_by = doc[by], share[by]
     row_start = np.searchsorted(doc, np.arange(len(rows)))
-    has = np.append(np.diff(row_start), len(doc) - row_start[-1]) > 0
+    has = np.diff(np.append(row_start, len(doc))) > 0
     v = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (v, w, b)]
+    m_v, m_w, m_b = np.zeros_like(v), np.zeros_like(w), np.zeros_like(b)
     onehot = np.eye(2, dtype=np.float32)[y]
-    for t in range(1, epochs + 1):
+    for _ in range(epochs if len(used) else 0):
         mean = np.zeros((len(rows), DIM), np.float32)
-        if len(doc):
-            for k in range(DIM):
-                sums = np.add.reduceat(v[inner, k] * share, row_start[has])
-                mean[has, k] = sums
-        mean *= SCALE
+        for k in range(DIM):
+            mean[has, k] = np.add.reduceat(v[inner, k] * share, row_start[has]) * SCALE
         z = mean @ w + b
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        g = (p - onehot) / len(rows)
+        p = np.exp(z - z.max(1, keepdims=True))
+        g = (p / p.sum(1, keepdims=True) - onehot) / len(rows)
         g_mean = g @ w.T * SCALE
-        g_v = np.empty_like(v)
-        for k in range(DIM):
-            g_v[:, k] = np.add.reduceat(g_mean[doc_by, k] * share_by, by_start) if len(doc) else 0
-        grads = (g_v, mean.T @ g + 1e-4 * w, g.sum(0))
-        for param, grad, (m1, m2), rate in zip((v, w, b), grads, state, (0.03, 0.03, 0.03), strict=True):
-            m1 += 0.1 * (grad - m1)
-            m2 += 0.01 * (grad * grad - m2)
-            param -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        g_v = np.stack([np.add.reduceat(g_mean[doc_by, k] * share_by, by_start) for k in range(DIM)], 1)
+        m_v, m_w, m_b = 0.9 * m_v + g_v, 0.9 * m_w + mean.T @ g, 0.9 * m_b + g.sum(0)
+        most = np.abs(m_v).max() + 1e-12
+        v -= 0.05 * m_v / most
+        w -= 0.01 * m_w / (np.abs(m_w).max() + 1e-12) * min(1.0, 50 * most)
+        b -= 0.05 * m_b
     full = np.zeros((1 << BITS, DIM), np.float32)
     full[used] = v
-    return full, w, b
+    return full, rarity, w, b
 
 
 def train(
@@ -102,7 +107,7 @@ def train(
     labels: DataFrame,
     label_col: str = "toxic",
     per_class: int = 1200,
-    epochs: int = 60,
+    epochs: int = 80,
     seed: int = 11,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -141,9 +146,9 @@ def train(
     if len(set(y.tolist())) < 2:
         return None
     rows = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
-    v, w, b = fit(rows, y, epochs, seed)
+    v, rarity, w, b = fit(rows, y, epochs, seed)
     shift = np.log(count[1] / count[0]) - np.log((y == 1).sum() / (y == 0).sum())
-    return Model(v, w, b, float(shift))
+    return Model(v, rarity, w, b, float(shift))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

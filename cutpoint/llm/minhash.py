@@ -275,7 +275,8 @@ def near_duplicates(
     blocks = F.ceil(F.greatest(F.col("n") / SET_ELEMENTS, F.col("members") / SET_BLOCK)).cast("int")
     counted = materialise(counted.select("cluster", blocks.alias("blocks")), "clusters")
     placed = materialise(clusters.join(counted, "cluster").select("node", "cluster", "blocks"), "placed")
-    near = texts.join(placed, texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
+    # neither side is bounded, so this is one shuffle of the texts at any size
+    near = texts.hint("merge").join(placed, texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
     full = materialise(_with_elements(near, shingle).where(F.length("elements") > 0), "elements")
 
     def block(salt: int) -> F.Column:

@@ -11,10 +11,10 @@ from .components import components
 from .runtime import materialise
 
 #: Characters of a shingle; minima of a band and bands. Two lines of similarity 0.8 share
-#: no band once in 5000, of 0.85 once in 80000.
-SHINGLE, ROWS, BANDS = 9, 3, 12
-#: Minima agree, for a similarity of 0.8, on fewer than this share of places once in 2000.
-LOOSE = 0.55
+#: no band once in 200, of 0.85 once in 2000, of 0.9 once in 30000.
+SHINGLE, ROWS, BANDS = 9, 3, 8
+#: Minima that agree at least: fewer do, for a similarity of 0.8, once in 3000.
+LOOSE = 13
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,27 +45,26 @@ def _hashed(h: F.Column, j: int) -> F.Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: node, k1, k2, copies, first (doc, pos), n (shingles),
+    """One row per distinct line: node, k1, k2, doc (the least with it), n (shingles),
     bands and sig (a byte of each minimum).
 
-    The shuffle that brings equal lines together also serves the minima, which are taken
-    by one hash aggregate over the shingles, without another exchange.
+    Minima are taken by one hash aggregate over all shingles, keyed by the line's hashes:
+    equal lines merge before the shuffle, which moves minima and no text.
     """
-    one = lines.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line")
+    one = lines.select("k1", "k2", "doc", F.encode("line", "UTF-32").alias("code"), _count(F.col("line")).alias("n"))
+    # two shingles a row: half as many look-ups in the aggregate
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(2))).alias("at")
+    each = one.select("k1", "k2", "doc", "n", "code", at)
+    next_at = F.least(F.col("at") + 1, F.col("n") - 1)
+    each = each.select(
+        "k1", "k2", "doc", "n", _shingle(F.col("code"), F.col("at")).alias("h"), _shingle(F.col("code"), next_at).alias("i")
     )
-    one = one.select(
-        "k1", "k2", "copies", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"),
-        F.encode("line", "UTF-32").alias("code"), _count(F.col("line")).alias("n"),
-    )
-    keys = ["k1", "k2", "copies", "doc", "pos", "n"]
-    each = one.select(*keys, "code", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    each = each.select(*keys, _shingle(F.col("code"), F.col("at")).alias("h"))
-    minima = [F.min(_hashed(F.col("h"), j)).alias(f"m{j}") for j in range(ROWS * BANDS)]
-    made = each.groupBy(*keys).agg(*minima)
+    both = [F.least(_hashed(F.col("h"), j), _hashed(F.col("i"), j)) for j in range(ROWS * BANDS)]
+    minima = [F.min(b).alias(f"m{j}") for j, b in enumerate(both)]
+    made = each.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), *minima)
     bands = [F.xxhash64(F.lit(b), *[f"m{ROWS * b + r}" for r in range(ROWS)]) for b in range(BANDS)]
     small = [F.col(f"m{j}").bitwiseAND(F.lit(127)).cast("tinyint") for j in range(ROWS * BANDS)]
-    made = made.select(*keys, F.array(*bands).alias("bands"), F.array(*small).alias("sig"))
+    made = made.select("k1", "k2", "doc", "n", F.array(*bands).alias("bands"), F.array(*small).alias("sig"))
     return made.withColumn("node", F.monotonically_increasing_id())
 
 
@@ -73,12 +72,16 @@ def _all(terms: list[F.Column]) -> F.Column:
     return reduce(lambda a, b: a & b, terms)
 
 
+def _agree(a: str, b: str) -> F.Column:
+    """How many minima two lines have in common."""
+    x, y = F.col(f"{a}.sig"), F.col(f"{b}.sig")
+    return reduce(lambda s, t: s + t, [(x[j] == y[j]).cast("int") for j in range(ROWS * BANDS)])
+
+
 def _may_match(a: str, b: str) -> F.Column:
     """What two lines of similarity 0.8 or more fulfil: like sizes, and agreeing minima."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    agree = reduce(lambda s, t: s + t, [(x("sig")[j] == y("sig")[j]).cast("int") for j in range(ROWS * BANDS)])
-    sizes = F.least(x("n"), y("n")) * 5 >= F.greatest(x("n"), y("n")) * 3  # n counts repeats, too
-    return sizes & (agree >= int(LOOSE * ROWS * BANDS))
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")  # n counts repeated shingles, too
+    return (F.least(x, y) * 5 >= F.greatest(x, y) * 3) & (_agree(a, b) >= LOOSE)
 
 
 def _first_shared(a: str, b: str) -> F.Column:
@@ -87,10 +90,11 @@ def _first_shared(a: str, b: str) -> F.Column:
     return _all([(F.col(f"{a}.band") <= i) | (x[i] != y[i]) for i in range(BANDS - 1)])
 
 
-def _shingles(line: F.Column) -> F.Column:
-    """Distinct shingle hashes of a line."""
-    code = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _count(line) - 1), lambda i: _shingle(code, i)))
+def _shingles(code: F.Column) -> F.Column:
+    """Distinct shingle hashes of a line in UTF-32. ``code`` has to be a stored column: an
+    expression would be evaluated anew for every shingle."""
+    n = F.greatest((F.length(code) / 4).cast("int") - (SHINGLE - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _shingle(code, i)))
 
 
 def _similar(a: F.Column, b: F.Column) -> F.Column:
@@ -99,43 +103,44 @@ def _similar(a: F.Column, b: F.Column) -> F.Column:
     return common * 10 >= (F.size(a) + F.size(b) - common) * 8
 
 
-def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of ``nodes(node, k1, k2, doc, pos)``."""
+def _codes(lines: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """(node, code): the lines of ``nodes(node, k1, k2, doc)`` in UTF-32, as a table."""
     a, b = lines.alias("a"), nodes.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k1", "k2", "doc", "pos")]
-    return a.join(b, _all(same)).select("b.node", "a.line").dropDuplicates(["node"])
+    met = a.join(b, _all([F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k1", "k2", "doc")]))
+    met = met.select("b.node", F.encode("a.line", "UTF-32").alias("code"), F.col("a.pos"))
+    return materialise(met.groupBy("node").agg(F.min_by("code", "pos").alias("code")), name)
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Which line stands for each duplicate line: (k1, k2, doc, pos), by hashes of lines.
+    """Components of distinct lines: (k1, k2, part), by hashes of lines, of those linked.
 
-    ``doc`` and ``pos`` name the first line (least id, then least number) of the line's
-    component. Only lines with a copy or a near copy are listed.
-
-    Distinct lines meet in buckets of equal bands. Each is first compared with the least
-    node of its buckets; what is linked then is one component. In buckets that still mix
+    Distinct lines meet in buckets of equal bands. Each is first compared with the most
+    alike of its buckets' heads; what is linked then is one component. In buckets that still mix
     components, all lines of different components are compared, each pair in the first
     band that it shares, and the join itself evaluates the exact similarity: only links
     come out of it. So no bucket is expanded to its pairs, and none is cut short.
     """
     lines = _lines(docs, id_col, text_col)
     signed = materialise(signatures(lines), "lines")
-    place = ["node", "k1", "k2", "doc", "pos"]
+    names = signed.select("node", "k1", "k2", "doc")
 
     flat = signed.select("node", F.posexplode("bands").alias("band", "key"))
     met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("head")).where("members > 1")
     members = materialise(flat.join(materialise(met.select("key", "head"), "buckets"), "key"), "members")
     pairs = members.where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-
-    info = signed.select(*place, "n", "sig")
+    info = signed.select("node", "n", "sig")
     a, b = info.alias("a"), info.alias("b")
     likely = pairs.join(a, F.col("u") == F.col("a.node")).join(b, (F.col("v") == F.col("b.node")) & _may_match("a", "b"))
-    likely = materialise(likely.select("u", "v"), "pairs")
+    # of several heads, the most alike
+    likely = likely.groupBy("u").agg(F.max(F.struct(_agree("a", "b").alias("agree"), "v"))["v"].alias("v"))
+    likely = materialise(likely, "pairs")
     ends = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = materialise(_texts(lines, signed.select(*place).join(ends, "node")), "texts")
-    left = likely.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a")), "u")
-    both = left.join(texts.select(F.col("node").alias("v"), F.col("line").alias("b")), "v")
-    links = materialise(both.where(_similar(_shingles(F.col("a")), _shingles(F.col("b")))).select("u", "v"), "verified")
+    codes = _codes(lines, names.join(ends, "node"), "codes")
+    both = likely.join(codes.select(F.col("node").alias("u"), F.col("code").alias("a")), "u")
+    both = both.join(codes.select(F.col("node").alias("v"), F.col("code").alias("b")), "v")
+    both = both.select("u", "v", _shingles(F.col("a")).alias("a"), _shingles(F.col("b")).alias("b"))
+    tested = materialise(both.select("u", "v", _similar(F.col("a"), F.col("b")).alias("linked")), "tested")
+    links = tested.where("linked").select("u", "v")
     found = components(links)
 
     part = members.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -147,9 +152,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met_again = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _may_match("a", "b")
     open_rows = materialise(a.join(b, met_again, "left_semi"), "open")
     if not open_rows.isEmpty():
-        nodes = open_rows.select("node").distinct()
-        texts = _texts(lines, signed.select(*place).join(nodes, "node"))
-        sets = materialise(texts.select("node", _shingles(F.col("line")).alias("set")), "sets")
+        codes = _codes(lines, names.join(open_rows.select("node").distinct(), "node"), "open-codes")
+        sets = materialise(codes.select("node", _shingles(F.col("code")).alias("set")), "sets")
         wide = open_rows.join(sets, "node")
         a, b = wide.alias("a"), wide.alias("b")
         match = (
@@ -158,28 +162,31 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         more = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         found = components(links.unionByName(more))
-
-    named = signed.select(*place, "copies").join(found, "node", "left")
-    grouped = named.where("component is not null")
-    firsts = materialise(grouped.groupBy("component").agg(F.min(F.struct("doc", "pos")).alias("first")), "firsts")
-    grouped = grouped.select("k1", "k2", "component").join(firsts, "component")
-    alone = named.where("component is null and copies > 1").select("k1", "k2", "doc", "pos")
-    return materialise(
-        alone.unionByName(grouped.select("k1", "k2", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"))), "groups"
-    )
+    return materialise(names.select("node", "k1", "k2").join(found, "node", "left").select(
+        "k1", "k2", F.col("component").alias("part")
+    ).where("part is not null"), "groups")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, gone): by document, the hashes ``xxhash64(number, line)`` of lines to remove,
-    with their numbers (from 0) in ``numbers``."""
-    groups = line_groups(docs, id_col, text_col).alias("g")
-    lines = _lines(docs, id_col, text_col).select("doc", "pos", "k1", "k2").alias("l")
-    same = (F.col("l.k1") == F.col("g.k1")) & (F.col("l.k2") == F.col("g.k2"))
-    later = ~((F.col("l.doc") == F.col("g.doc")) & (F.col("l.pos") == F.col("g.pos")))
-    gone = lines.join(groups, same).where(later).select("l.doc", "l.pos", "l.k1")
+    """(doc, numbers, gone): by document, the numbers (from 0) of the lines to remove, and
+    the hashes ``xxhash64(number, k1)`` that name them."""
+    groups = line_groups(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col).select("doc", "pos", "k1", "k2")
+    # lines of one component, or else of one text, stand for each other
+    part = F.when(F.col("part").isNull(), F.struct("k1", "k2")).otherwise(F.struct(F.col("part").alias("k1"), F.lit(None).cast("long").alias("k2")))
+    named = lines.join(groups, ["k1", "k2"], "left")
+    named = materialise(named.select("doc", "pos", F.col("k1").alias("h"), part.alias("part")).select("doc", "pos", "h", "part.*"), "named")
+    first = named.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first.select("k1", "k2", "first"), "first-docs")
+    same = named.k1.eqNullSafe(first.k1) & named.k2.eqNullSafe(first.k2)
+    met = materialise(named.join(first, same).select("doc", "pos", "h", named.k1, named.k2, "first"), "repeated")
+    keep = met.where("doc = first").groupBy("doc", "k1", "k2").agg(F.min("pos").alias("keep"))
+    keep = materialise(keep, "kept")
+    here = (met.doc == keep.doc) & met.k1.eqNullSafe(keep.k1) & met.k2.eqNullSafe(keep.k2)
+    gone = met.join(keep, here, "left").where("keep is null or pos != keep").select(met.doc, "pos", "h")
     return materialise(
         gone.groupBy("doc").agg(
-            F.array_sort(F.collect_set("pos")).alias("numbers"), F.collect_set(F.xxhash64("pos", "k1")).alias("gone")
+            F.array_sort(F.collect_set("pos")).alias("numbers"), F.collect_set(F.xxhash64("pos", "h")).alias("gone")
         ),
         "gone",
     )

@@ -17,6 +17,8 @@ SIZES = (2, 3)
 BITS = 12
 WIDTH = 1 << BITS
 UNKNOWN = "und"
+#: Languages up to which their counts are broadcast.
+FEW_LANGUAGES = 10_000
 
 
 @dataclass
@@ -104,6 +106,8 @@ def train(
     langs = by_lang.count()
     share = F.lit(max(1, sample_rows // langs)) / F.col("count")
     at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # one row per language; with so many that this is no small table, the planner decides
+    by_lang = F.broadcast(by_lang) if langs <= FEW_LANGUAGES else by_lang
     sample = rows.join(by_lang, "lang").where(at < share).select("id", "lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,19 +65,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, s
     """
     rng = np.random.default_rng(seed)
     size = np.array([len(b) for b, _ in rows])
-    bucket, share = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    doc = np.repeat(np.arange(len(rows)), size)
+    bucket = np.concatenate([b for b, _ in rows])
+    share = np.concatenate([s for _, s in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     texts = np.bincount(bucket, minlength=1 << BITS)
     least = min(LEAST_TEXTS, max(2, int((y == 1).sum()) // 4))
     rarity = np.log(np.maximum(1, len(rows) / np.maximum(texts, 1))).astype(np.float32) ** RARITY
-    keep = texts[bucket] >= least
-    used, inner = np.unique(bucket[keep], return_inverse=True)
-    doc, share = doc[keep], share[keep] * rarity[bucket[keep]]
-    by = np.argsort(inner, kind="stable")
+    used = np.flatnonzero(texts >= least)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    inner = place[bucket]
+    keep = inner >= 0
+    inner, doc, share = inner[keep], doc[keep], share[keep] * rarity[bucket[keep]]
+    del bucket, keep, place
+    by = np.argsort(inner, kind="stable").astype(np.int32)
     by_start = np.searchsorted(inner[by], np.arange(len(used)))
     doc_by, share_by = doc[by], share[by]
     row_start = np.searchsorted(doc, np.arange(len(rows)))
     has = np.diff(np.append(row_start, len(doc))) > 0
+    del by
     v = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
@@ -106,7 +112,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    per_class: int = 1200,
+    per_class: int = 1000,
     epochs: int = 80,
     seed: int = 11,
     id_col: str = "doc_id",
@@ -146,6 +152,7 @@ def train(
     if len(set(y.tolist())) < 2:
         return None
     rows = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
+    del got
     v, rarity, w, b = fit(rows, y, epochs, seed)
     shift = np.log(count[1] / count[0]) - np.log((y == 1).sum() / (y == 0).sum())
     return Model(v, rarity, w, b, float(shift))

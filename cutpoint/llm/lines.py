@@ -97,10 +97,10 @@ def _shingles(code: F.Column) -> F.Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _shingle(code, i)))
 
 
-def _similar(a: F.Column, b: F.Column) -> F.Column:
-    """Exact Jaccard similarity of two sets of at least 0.8."""
-    common = F.size(F.array_intersect(a, b))
-    return common * 10 >= (F.size(a) + F.size(b) - common) * 8
+def _similar(a: F.Column, b: F.Column, percent: int = 80) -> F.Column:
+    """Jaccard similarity of two sets of at least so much."""
+    common = F.size(F.array_intersect(a, b)).cast("long")
+    return common * 100 >= (F.size(a) + F.size(b) - common) * percent
 
 
 def _codes(lines: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
@@ -111,14 +111,25 @@ def _codes(lines: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return materialise(met.groupBy("node").agg(F.min_by("code", "pos").alias("code")), name)
 
 
+def _verified(lines: DataFrame, names: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose whole shingle sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    codes = _codes(lines, names.join(ends, "node"), f"{name}-codes")
+    both = pairs.join(codes.select(F.col("node").alias("u"), F.col("code").alias("a")), "u")
+    both = both.join(codes.select(F.col("node").alias("v"), F.col("code").alias("b")), "v")
+    both = both.select("u", "v", _shingles(F.col("a")).alias("a"), _shingles(F.col("b")).alias("b"))
+    tested = materialise(both.select("u", "v", _similar(F.col("a"), F.col("b")).alias("linked")), name)
+    return tested.where("linked").select("u", "v")
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of distinct lines: (k1, k2, part), by hashes of lines, of those linked.
 
     Distinct lines meet in buckets of equal bands. Each is first compared with the most
     alike of its buckets' heads; what is linked then is one component. In buckets that still mix
     components, all lines of different components are compared, each pair in the first
-    band that it shares, and the join itself evaluates the exact similarity: only links
-    come out of it. So no bucket is expanded to its pairs, and none is cut short.
+    band that it shares, and the join itself evaluates the similarity of their sets: hardly
+    more than links comes out of it. So no bucket is expanded to its pairs, nor cut short.
     """
     lines = _lines(docs, id_col, text_col)
     signed = materialise(signatures(lines), "lines")
@@ -134,13 +145,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # of several heads, the most alike
     likely = likely.groupBy("u").agg(F.max(F.struct(_agree("a", "b").alias("agree"), "v"))["v"].alias("v"))
     likely = materialise(likely, "pairs")
-    ends = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    codes = _codes(lines, names.join(ends, "node"), "codes")
-    both = likely.join(codes.select(F.col("node").alias("u"), F.col("code").alias("a")), "u")
-    both = both.join(codes.select(F.col("node").alias("v"), F.col("code").alias("b")), "v")
-    both = both.select("u", "v", _shingles(F.col("a")).alias("a"), _shingles(F.col("b")).alias("b"))
-    tested = materialise(both.select("u", "v", _similar(F.col("a"), F.col("b")).alias("linked")), "tested")
-    links = tested.where("linked").select("u", "v")
+    links = _verified(lines, names, likely, "tested")
     found = components(links)
 
     part = members.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -149,18 +154,19 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mixed = part.join(materialise(mixed.select("key"), "mixed"), "key")
     mixed = materialise(mixed.join(signed.select("node", "n", "bands", "sig"), "node"), "strays")
     a, b = mixed.alias("a"), mixed.alias("b")
-    met_again = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _may_match("a", "b")
+    met_again = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _first_shared("a", "b")
+    met_again = met_again & _may_match("a", "b")
     open_rows = materialise(a.join(b, met_again, "left_semi"), "open")
     if not open_rows.isEmpty():
         codes = _codes(lines, names.join(open_rows.select("node").distinct(), "node"), "open-codes")
-        sets = materialise(codes.select("node", _shingles(F.col("code")).alias("set")), "sets")
+        # half as wide for this join; what comes close is verified on the whole hashes
+        narrow = F.transform(_shingles(F.col("code")), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        sets = materialise(codes.select("node", narrow.alias("set")), "sets")
         wide = open_rows.join(sets, "node")
         a, b = wide.alias("a"), wide.alias("b")
-        match = (
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & _first_shared("a", "b")
-            & _may_match("a", "b") & _similar(F.col("a.set"), F.col("b.set"))
-        )
-        more = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        match = met_again & (F.col("a.part") < F.col("b.part")) & _similar(F.col("a.set"), F.col("b.set"), 79)
+        close = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        more = _verified(lines, names, materialise(close, "close"), "tested-again")
         found = components(links.unionByName(more))
     return materialise(names.select("node", "k1", "k2").join(found, "node", "left").select(
         "k1", "k2", F.col("component").alias("part")

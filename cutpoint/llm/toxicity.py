@@ -20,6 +20,8 @@ DIM = 4
 SCALE = 15.0
 #: Subwords weigh their inverse document frequency to this power in the average.
 RARITY = 1.5
+#: Subwords without a say that every text has besides its own: a few words prove little.
+NEUTRAL = 100
 #: A subword of fewer sample texts teaches nothing general.
 LEAST_TEXTS = 8
 
@@ -53,7 +55,7 @@ def sparse_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         cut = np.searchsorted(key >> BITS, np.arange(j - i + 1))
         for k in range(j - i):
             s = slice(cut[k], cut[k + 1])
-            share = count[s] / max(1, count[s].sum())
+            share = count[s] / (count[s].sum() + NEUTRAL)
             yield (key[s] & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)
 
 
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     sums = np.append(0.0, np.cumsum(table[bucket], dtype=np.float64))
                     total += sums[cut[1:]] - sums[cut[:-1]]
                     n += np.diff(cut)
-                out.append(total / np.maximum(n, 1) + intercept)
+                out.append(total / (n + NEUTRAL) + intercept)
             z = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"]

@@ -1,20 +1,31 @@
-"""Line dedup: fuzzy lines by MinHash over character shingles, with DataFrame functions only."""
+"""Line dedup: fuzzy lines by MinHash over character shingles.
+
+Lines are split, named, counted and removed by DataFrame functions. Signatures and exact
+similarities are numpy over Arrow batches; the README has the figures of the native form.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialise
+from .minhash import bucket_links, place, resolve, universal
+from .runtime import materialise, session
+from .words import _VALUES, CHUNK_BYTES, U, buffers, mix, powers
 
 #: Characters of a shingle; minima of a band and bands. Two lines of similarity 0.8 share
-#: no band once in 200, of 0.85 once in 2000, of 0.9 once in 30000.
-SHINGLE, ROWS, BANDS = 9, 3, 8
-#: Minima that agree at least: fewer do, for a similarity of 0.8, once in 3000.
-LOOSE = 13
+#: no band once in 5000, of 0.85 once in 80000.
+SHINGLE, ROWS, BANDS = 9, 3, 12
+#: Minima of a signature (the first are those of the bands), and the share that agrees at
+#: least: fewer do, for a similarity of 0.8, once in 3000.
+MINIMA, LOOSE = 48, 0.6
+#: Members of a bucket that are compared at once.
+BUCKET_BLOCK = 1024
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,151 +37,110 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
-def _shingle(code: F.Column, at: F.Column) -> F.Column:
-    """Hash of the shingle that starts at character ``at`` of a line in UTF-32."""
-    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * SHINGLE)))
-
-
-def _count(line: F.Column) -> F.Column:
-    """Number of shingles of a line; a shorter line is one shingle."""
-    return F.greatest(F.char_length(line) - (SHINGLE - 1), F.lit(1))
-
-
-def _hashed(h: F.Column, j: int) -> F.Column:
-    """The j-th of the hash functions: a rotation and a flip of a hash's bits, a bijection."""
-    turn = 8 * (j % 8)
-    flip = (0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)
-    turned = h if not turn else F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn))
-    return turned.bitwiseXOR(F.lit(flip - (1 << 64) if flip >= 1 << 63 else flip))
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: node, k1, k2, doc (the least with it), n (shingles),
-    bands and sig (a byte of each minimum).
-
-    Minima are taken by one hash aggregate over all shingles, keyed by the line's hashes:
-    equal lines merge before the shuffle, which moves minima and no text.
-    """
-    one = lines.select("k1", "k2", "doc", F.encode("line", "UTF-32").alias("code"), _count(F.col("line")).alias("n"))
-    # two shingles a row: half as many look-ups in the aggregate
-    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(2))).alias("at")
-    each = one.select("k1", "k2", "doc", "n", "code", at)
-    next_at = F.least(F.col("at") + 1, F.col("n") - 1)
-    each = each.select(
-        "k1", "k2", "doc", "n", _shingle(F.col("code"), F.col("at")).alias("h"), _shingle(F.col("code"), next_at).alias("i")
-    )
-    both = [F.least(_hashed(F.col("h"), j), _hashed(F.col("i"), j)) for j in range(ROWS * BANDS)]
-    minima = [F.min(b).alias(f"m{j}") for j, b in enumerate(both)]
-    made = each.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), *minima)
-    bands = [F.xxhash64(F.lit(b), *[f"m{ROWS * b + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    small = [F.col(f"m{j}").bitwiseAND(F.lit(127)).cast("tinyint") for j in range(ROWS * BANDS)]
-    made = made.select("k1", "k2", "doc", "n", F.array(*bands).alias("bands"), F.array(*small).alias("sig"))
-    return made.withColumn("node", F.monotonically_increasing_id())
-
-
-def _all(terms: list[F.Column]) -> F.Column:
-    return reduce(lambda a, b: a & b, terms)
-
-
-def _agree(a: str, b: str) -> F.Column:
-    """How many minima two lines have in common."""
-    x, y = F.col(f"{a}.sig"), F.col(f"{b}.sig")
-    return reduce(lambda s, t: s + t, [(x[j] == y[j]).cast("int") for j in range(ROWS * BANDS)])
-
-
-def _may_match(a: str, b: str) -> F.Column:
-    """What two lines of similarity 0.8 or more fulfil: like sizes, and agreeing minima."""
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")  # n counts repeated shingles, too
-    return (F.least(x, y) * 5 >= F.greatest(x, y) * 3) & (_agree(a, b) >= LOOSE)
-
-
-def _first_shared(a: str, b: str) -> F.Column:
-    """Whether the bucket's band is the first that both lines share."""
-    x, y = F.col(f"{a}.bands"), F.col(f"{b}.bands")
-    return _all([(F.col(f"{a}.band") <= i) | (x[i] != y[i]) for i in range(BANDS - 1)])
-
-
-def _shingles(code: F.Column) -> F.Column:
-    """Distinct shingle hashes of a line in UTF-32. ``code`` has to be a stored column: an
-    expression would be evaluated anew for every shingle."""
-    n = F.greatest((F.length(code) / 4).cast("int") - (SHINGLE - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _shingle(code, i)))
-
-
-def _similar(a: F.Column, b: F.Column, percent: int = 80) -> F.Column:
-    """Jaccard similarity of two sets of at least so much."""
-    common = F.size(F.array_intersect(a, b)).cast("long")
-    return common * 100 >= (F.size(a) + F.size(b) - common) * percent
-
-
-def _codes(lines: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """(node, code): the lines of ``nodes(node, k1, k2, doc)`` in UTF-32, as a table."""
-    a, b = lines.alias("a"), nodes.alias("b")
-    met = a.join(b, _all([F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k1", "k2", "doc")]))
-    met = met.select("b.node", F.encode("a.line", "UTF-32").alias("code"), F.col("a.pos"))
-    return materialise(met.groupBy("node").agg(F.min_by("code", "pos").alias("code")), name)
-
-
-def _verified(lines: DataFrame, names: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose whole shingle sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    codes = _codes(lines, names.join(ends, "node"), f"{name}-codes")
-    both = pairs.join(codes.select(F.col("node").alias("u"), F.col("code").alias("a")), "u")
-    both = both.join(codes.select(F.col("node").alias("v"), F.col("code").alias("b")), "v")
-    both = both.select("u", "v", _shingles(F.col("a")).alias("a"), _shingles(F.col("b")).alias("b"))
-    tested = materialise(both.select("u", "v", _similar(F.col("a"), F.col("b")).alias("linked")), name)
-    return tested.where("linked").select("u", "v")
-
-
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of distinct lines: (k1, k2, part), by hashes of lines, of those linked.
-
-    Distinct lines meet in buckets of equal bands. Each is first compared with the most
-    alike of its buckets' heads; what is linked then is one component. In buckets that still mix
-    components, all lines of different components are compared, each pair in the first
-    band that it shares, and the join itself evaluates the similarity of their sets: hardly
-    more than links comes out of it. So no bucket is expanded to its pairs, nor cut short.
+def shingle_hashes(lines: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, stop, hashes, offsets)`` of runs of lines: the hashes of each line's
+    shingles in order, repeats included; a shorter line is one shingle, an empty one none."""
+    data, at = buffers(lines)
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+        part, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
+        chars = np.flatnonzero((part & 0xC0) != 0x80)
+        cut = np.searchsorted(chars, ends)
+        size = np.diff(cut)
+        last = np.repeat(cut[1:], size)
+        where = np.arange(len(chars))
+        short = np.repeat(size < SHINGLE, size)
+        head = short & (where == np.repeat(cut[:-1], size))
+        keep = np.flatnonzero((where + SHINGLE <= last) | head)
+        stop = np.append(chars, len(part))[np.where(short[keep], last[keep], keep + SHINGLE)]
+        begin = chars[keep]
+        h = (sums[stop] - sums[begin]) * down[begin]
+        yield i, j, mix(h + short[keep].astype(U)), np.searchsorted(keep, cut)
+        i = j
+
+
+def signatures(lines: DataFrame, seed: int = 2) -> DataFrame:
+    """``(node, doc, n, bands, sig)`` of lines: node is the line's hash k1. A line of
+    several batches has several equal rows."""
+    mult, add = universal(MINIMA, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band_no = mix(np.arange(1, BANDS + 1, dtype=U))
+        for batch in batches:
+            first = np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1])
+            batch = batch.take(pa.array(first))
+            size, keys, small = [], [], []
+            for i, j, flat, at in shingle_hashes(batch.column(2)):
+                size.append(np.diff(at))
+                minima = np.empty((j - i, MINIMA), U)
+                buffer = np.empty_like(flat)
+                for h in range(MINIMA):
+                    np.multiply(flat, mult[h], out=buffer)
+                    buffer += add[h]
+                    minima[:, h] = np.minimum.reduceat(buffer, at[:-1])
+                band = np.broadcast_to(band_no, (j - i, BANDS)).copy()
+                for r in range(ROWS):
+                    band = mix(band ^ minima[:, r : ROWS * BANDS : ROWS]) * U(0x9E3779B97F4A7C15)
+                keys.append(band.view(np.int64))
+                small.append((mix(minima) & U(0xFF)).astype(np.uint8))
+            if not size:
+                continue
+            band = np.concatenate(keys)
+            offsets = pa.array(np.arange(len(band) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2],
+                    pa.array(np.concatenate(size), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(band.ravel())),
+                    pa.array([r.tobytes() for r in np.concatenate(small)], pa.binary()),
+                ],
+                ["node", "doc", "n", "bands", "sig"],
+            )
+
+    rows = lines.select(F.col("k1").alias("node"), "doc", "line")
+    return rows.mapInArrow(run, "node long, doc long, n long, bands array<long>, sig binary")
+
+
+def read_lines(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
+    """Shingle sets of rows that carry their line."""
+    lines = cols["payload"].combine_chunks()
+    return [
+        np.unique(flat[a:b]).view(np.int64)
+        for _, _, flat, at in shingle_hashes(lines)
+        for a, b in zip(at[:-1], at[1:], strict=True)
+    ]
+
+
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Components of distinct lines: (k1, part) of those linked, by a line's hash.
+
+    Lines that share a band and whose signatures agree loosely are joined into clusters;
+    inside these, whole shingle sets are compared in blocks, as for documents.
     """
+    session(docs)
     lines = _lines(docs, id_col, text_col)
     signed = materialise(signatures(lines), "lines")
-    names = signed.select("node", "k1", "k2", "doc")
-
-    flat = signed.select("node", F.posexplode("bands").alias("band", "key"))
-    met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("head")).where("members > 1")
-    members = materialise(flat.join(materialise(met.select("key", "head"), "buckets"), "key"), "members")
-    pairs = members.where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    info = signed.select("node", "n", "sig")
-    a, b = info.alias("a"), info.alias("b")
-    likely = pairs.join(a, F.col("u") == F.col("a.node")).join(b, (F.col("v") == F.col("b.node")) & _may_match("a", "b"))
-    # of several heads, the most alike
-    likely = likely.groupBy("u").agg(F.max(F.struct(_agree("a", "b").alias("agree"), "v"))["v"].alias("v"))
-    likely = materialise(likely, "pairs")
-    links = _verified(lines, names, likely, "tested")
-    found = components(links)
-
-    part = members.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    part = materialise(part.select("node", "band", "key", "part"), "parts")
-    mixed = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    mixed = part.join(materialise(mixed.select("key"), "mixed"), "key")
-    mixed = materialise(mixed.join(signed.select("node", "n", "bands", "sig"), "node"), "strays")
-    a, b = mixed.alias("a"), mixed.alias("b")
-    met_again = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _first_shared("a", "b")
-    met_again = met_again & _may_match("a", "b")
-    open_rows = materialise(a.join(b, met_again, "left_semi"), "open")
-    if not open_rows.isEmpty():
-        codes = _codes(lines, names.join(open_rows.select("node").distinct(), "node"), "open-codes")
-        # half as wide for this join; what comes close is verified on the whole hashes
-        narrow = F.transform(_shingles(F.col("code")), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-        sets = materialise(codes.select("node", narrow.alias("set")), "sets")
-        wide = open_rows.join(sets, "node")
-        a, b = wide.alias("a"), wide.alias("b")
-        match = met_again & (F.col("a.part") < F.col("b.part")) & _similar(F.col("a.set"), F.col("b.set"), 79)
-        close = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        more = _verified(lines, names, materialise(close, "close"), "tested-again")
-        found = components(links.unionByName(more))
-    return materialise(names.select("node", "k1", "k2").join(found, "node", "left").select(
-        "k1", "k2", F.col("component").alias("part")
-    ).where("part is not null"), "groups")
+    flat = signed.select("node", F.explode("bands").alias("key"))
+    met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
+    met = met.where("low < high").select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    members = materialise(flat.join(materialise(met, "buckets"), "key").distinct(), "members")
+    info = signed.join(members.select("node").distinct(), "node").groupBy("node").agg(
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
+    info = materialise(info, "signatures")
+    loose = bucket_links(members, info.select("node", "sig"), LOOSE)
+    placed = place(components(loose).withColumnRenamed("component", "cluster"), info.select("node", "n"))
+    placed = placed.join(info.select("node", "doc"), "node")
+    # neither side is bounded, so this is one shuffle of the lines at any size
+    a, b = lines.hint("merge").alias("a"), placed.alias("b")
+    near = a.join(b, (F.col("a.k1") == F.col("b.node")) & (F.col("a.doc") == F.col("b.doc")))
+    near = near.select("b.node", "b.cluster", "b.blocks", F.col("a.line").alias("payload")).dropDuplicates(["node"])
+    found = resolve(materialise(near, "near-lines"), read_lines, percent)
+    return materialise(found.select(F.col("node").alias("k1"), F.col("component").alias("part")), "groups")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +150,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = _lines(docs, id_col, text_col).select("doc", "pos", "k1", "k2")
     # lines of one component, or else of one text, stand for each other
     part = F.when(F.col("part").isNull(), F.struct("k1", "k2")).otherwise(F.struct(F.col("part").alias("k1"), F.lit(None).cast("long").alias("k2")))
-    named = lines.join(groups, ["k1", "k2"], "left")
+    named = lines.join(groups, ["k1"], "left")
     named = materialise(named.select("doc", "pos", F.col("k1").alias("h"), part.alias("part")).select("doc", "pos", "h", "part.*"), "named")
     first = named.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialise(first.select("k1", "k2", "first"), "first-docs")

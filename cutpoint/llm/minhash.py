@@ -99,7 +99,7 @@ def _links(u: list[int], v: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _loose(least: float):
+def loose_links(least: float):
     """Links that join, in a bucket, all signatures that agree on ``least`` of their places.
 
     Each member not yet joined is compared with one joined member after another, so a
@@ -128,9 +128,14 @@ def _loose(least: float):
     return fn
 
 
-def _sets(cols: dict[str, pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stored_sets(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
+    """The sets of rows that carry their elements."""
+    return [np.frombuffer(s, np.int64) for s in cols["payload"].to_pylist()]
+
+
+def _sets(cols: dict[str, pa.ChunkedArray], read) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Node, set sizes, set starts and elements (flat) of the rows."""
-    sets = [np.frombuffer(s, np.int64) for s in cols["elements"].to_pylist()]
+    sets = read(cols)
     n = np.array([len(s) for s in sets], np.int64)
     return cols["node"].to_numpy(), n, np.cumsum(n) - n, np.concatenate(sets)
 
@@ -148,11 +153,11 @@ def _similar(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndar
     return 100 * common >= percent * (a + b - common)
 
 
-def _within(percent: int):
+def _within(percent: int, read):
     """Links that join all members of a block whose full sets are similar enough."""
 
     def fn(cols: dict[str, pa.ChunkedArray], starts: np.ndarray) -> pa.RecordBatch:
-        node, n, at, flat = _sets(cols)
+        node, n, at, flat = _sets(cols, read)
         u, v = [], []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b - a < 2:
@@ -176,12 +181,12 @@ def _within(percent: int):
     return fn
 
 
-def _across(percent: int):
+def _across(percent: int, read):
     """Links between asking members and members of other components, one for each pair
     of an asking member and a component."""
 
     def fn(cols: dict[str, pa.ChunkedArray], starts: np.ndarray) -> pa.RecordBatch:
-        node, n, at, flat = _sets(cols)
+        node, n, at, flat = _sets(cols, read)
         asks = cols["asks"].to_numpy() != 0
         part = cols["part"].to_numpy()
         u, v = [], []
@@ -213,10 +218,78 @@ def _with_elements(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             made = [s.tobytes() for sets in shingle_sets(batch.column(3), k) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(made, pa.binary())], ["node", "cluster", "blocks", "elements"]
+                [*batch.columns[:3], pa.array(made, pa.binary())], ["node", "cluster", "blocks", "payload"]
             )
 
-    return texts.mapInArrow(run, "node long, cluster long, blocks int, elements binary")
+    return texts.mapInArrow(run, "node long, cluster long, blocks int, payload binary")
+
+
+def bucket_links(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Loose links ``(u, v)`` of ``members(node, key, blocks)`` that share a bucket.
+
+    A bucket of several blocks is compared in all pairs of its blocks.
+    """
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
+    )
+    dealt = members.join(signatures, "node").withColumn("own", own).select("key", "node", "sig", F.inline(pairs))
+    return by_group(dealt, ["key", "i", "j"], loose_links(least), "u long, v long").distinct()
+
+
+def place(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(node, cluster, blocks)``: how many blocks each cluster is dealt to."""
+    counted = clusters.join(sizes, "node").groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
+    blocks = F.ceil(F.greatest(F.col("n") / SET_ELEMENTS, F.col("members") / SET_BLOCK)).cast("int")
+    counted = materialise(counted.select("cluster", blocks.alias("blocks")), "clusters")
+    return materialise(clusters.join(counted, "cluster").select("node", "cluster", "blocks"), "placed")
+
+
+def resolve(full: DataFrame, read, percent: int) -> DataFrame:
+    """Exact components ``(node, component)`` inside the clusters of
+    ``full(node, cluster, blocks, payload)``; ``read`` makes sets of payloads.
+
+    Members of a block are compared with each other. A cluster of several blocks is dealt
+    twice, by two hashes; then members outside its largest component are asked, in
+    blocks, against all members of other components.
+    """
+
+    def block(salt: int) -> F.Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int")
+
+    within, schema = _within(percent, read), "u long, v long"
+    one = by_group(full.withColumn("block", block(1)), ["cluster", "block"], within, schema)
+    large = full.where("blocks > 1")
+    split = not large.isEmpty()
+    if split:
+        one = one.unionByName(by_group(large.withColumn("block", block(2)), ["cluster", "block"], within, schema))
+    links = materialise(one.distinct(), "links")
+    found = components(links)
+    if not split:
+        return found
+    parts = large.select("node", "cluster", "blocks").distinct().join(found, "node", "left")
+    parts = materialise(parts.select("node", "cluster", "blocks", F.coalesce("component", "node").alias("part")), "parts")
+    heads = parts.groupBy("cluster", "part").count().groupBy("cluster")
+    heads = materialise(heads.agg(F.max(F.struct("count", "part"))["part"].alias("head")), "heads")
+    asking = materialise(parts.join(heads, "cluster").where("part != head").select("node", "cluster"), "asking")
+    groups = asking.groupBy("cluster").agg(F.count("*").alias("asking"))
+    groups = groups.select("cluster", F.ceil(F.col("asking") / SET_BLOCK).cast("int").alias("ask_blocks"))
+    groups = materialise(groups, "ask-blocks")
+    if groups.isEmpty():
+        return found
+    wide = large.join(parts.select("node", "part"), "node").join(groups, "cluster")
+    ask_block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("ask_blocks")).cast("int")
+    members = wide.select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), block(1).alias("j"),
+        "node", "part", F.lit(0).alias("asks"), "payload",
+    )
+    askers = wide.join(asking.select("node"), "node", "left_semi").select(
+        "cluster", ask_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
+        "node", "part", F.lit(1).alias("asks"), "payload",
+    )
+    more = by_group(members.unionByName(askers), ["cluster", "i", "j"], _across(percent, read), schema)
+    return components(links.unionByName(more))
 
 
 def near_duplicates(
@@ -259,60 +332,16 @@ def near_duplicates(
     flat = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     met = flat.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = materialise(met.select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks")), "buckets")
-    rows_met = materialise(flat.join(met, "key"), "members")
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
-    )
-    dealt = rows_met.join(usable.select(F.col("doc_id").alias("node"), "sig"), "node")
-    dealt = dealt.withColumn("own", own).select("key", "node", "sig", F.inline(pairs))
-    loose = by_group(dealt, ["key", "i", "j"], _loose(percent / 100 - LOOSE), "u long, v long").distinct()
+    members = materialise(flat.join(met, "key"), "members")
+    loose = bucket_links(members, usable.select(F.col("doc_id").alias("node"), "sig"), percent / 100 - LOOSE)
     clusters = components(loose).withColumnRenamed("component", "cluster")
 
     size = usable.select(F.col("doc_id").alias("node"), "n")
-    counted = clusters.join(size, "node").groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
-    blocks = F.ceil(F.greatest(F.col("n") / SET_ELEMENTS, F.col("members") / SET_BLOCK)).cast("int")
-    counted = materialise(counted.select("cluster", blocks.alias("blocks")), "clusters")
-    placed = materialise(clusters.join(counted, "cluster").select("node", "cluster", "blocks"), "placed")
+    placed = place(clusters, size)
     # neither side is bounded, so this is one shuffle of the texts at any size
     near = texts.hint("merge").join(placed, texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
-    full = materialise(_with_elements(near, shingle).where(F.length("elements") > 0), "elements")
-
-    def block(salt: int) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int")
-
-    within, schema = _within(percent), "u long, v long"
-    one = by_group(full.withColumn("block", block(1)), ["cluster", "block"], within, schema)
-    large = full.where("blocks > 1")
-    split = not counted.where("blocks > 1").isEmpty()
-    if split:
-        one = one.unionByName(by_group(large.withColumn("block", block(2)), ["cluster", "block"], within, schema))
-    links = materialise(one.distinct(), "links")
-    found = components(links)
-    if split:
-        parts = large.select("node", "cluster", "blocks").distinct().join(found, "node", "left")
-        parts = materialise(
-            parts.select("node", "cluster", "blocks", F.coalesce("component", "node").alias("part")), "parts"
-        )
-        heads = parts.groupBy("cluster", "part").count().groupBy("cluster")
-        heads = materialise(heads.agg(F.max(F.struct("count", "part"))["part"].alias("head")), "heads")
-        asking = parts.join(heads, "cluster").where("part != head").select("node", "cluster", "part")
-        groups = asking.groupBy("cluster").agg(F.count("*").alias("asking"))
-        groups = materialise(groups.select("cluster", F.ceil(F.col("asking") / SET_BLOCK).cast("int").alias("ask_blocks")), "asking")
-        if not groups.isEmpty():
-            wide = large.join(parts.select("node", "part"), "node").join(groups, "cluster")
-            ask_block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("ask_blocks")).cast("int")
-            members = wide.select(
-                "cluster", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), block(1).alias("j"),
-                "node", "part", F.lit(0).alias("asks"), "elements",
-            )
-            askers = wide.join(asking.select("node"), "node", "left_semi").select(
-                "cluster", ask_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-                "node", "part", F.lit(1).alias("asks"), "elements",
-            )
-            more = by_group(members.unionByName(askers), ["cluster", "i", "j"], _across(percent), schema)
-            found = components(links.unionByName(more))
+    full = materialise(_with_elements(near, shingle).where(F.length("payload") > 0), "elements")
+    found = resolve(full, stored_sets, percent)
 
     label = sets.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("set_component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(materialise(label, "labels"), ["h1", "h2"], "left")

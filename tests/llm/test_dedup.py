@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +66,10 @@ def test_lines_messy(messy, empty):
     assert lines.dedupe_lines(empty).count() == lines.line_report(empty).count() == 0
 
 
-def test_lines_run_no_python(docs):
-    plan = lines.signatures(lines._lines(docs, "doc_id", "text"))._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+def test_shingles_are_of_characters():
+    rows = ["", "a", "é你" * 3, "é你" * 5 + "x", "\U0001f600" * 12, "plain ascii line"]
+    got = [len(set(flat[a:b].tolist())) for _, _, flat, at in lines.shingle_hashes(pa.array(rows)) for a, b in zip(at[:-1], at[1:])]
+    assert got == [len({x[i : i + 9] for i in range(max(1, len(x) - 8))}) if x else 0 for x in rows]
 
 
 def test_substrings_equal_brute_force(docs, texts):

@@ -6,9 +6,12 @@ Lineage is cut with Parquet tables in the shared folder that the cluster names i
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,29 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Contexts whose workers have been sent the package.
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where they would not find it by themselves."""
+    top = Path(__file__).resolve().parents[2]
+    found = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    app = spark.sparkContext.applicationId
+    if top in found or app in _sent:
+        return
+    _sent.add(app)
+    archive = Path(tempfile.mkdtemp()) / "cutpoint.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (top / "cutpoint").rglob("*.py"):
+            z.write(f, f.relative_to(top))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for long texts."""
     spark = df.sparkSession
+    send_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark

@@ -127,7 +127,9 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = signed.select("node", F.explode("bands").alias("key"))
     met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     met = met.where("low < high").select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    members = materialise(flat.join(materialise(met, "buckets"), "key").distinct(), "members")
+    # the buckets that several lines share are few: hashing them spares sorting every key
+    met = materialise(met, "buckets").hint("shuffle_hash")
+    members = materialise(flat.join(met, "key").distinct(), "members")
     info = signed.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
@@ -136,7 +138,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = place(components(loose).withColumnRenamed("component", "cluster"), info.select("node", "n"))
     placed = placed.join(info.select("node", "doc"), "node")
     # neither side is bounded, so this is one shuffle of the lines at any size
-    a, b = lines.hint("merge").alias("a"), placed.alias("b")
+    a, b = lines.alias("a"), placed.hint("shuffle_hash").alias("b")
     near = a.join(b, (F.col("a.k1") == F.col("b.node")) & (F.col("a.doc") == F.col("b.doc")))
     near = near.select("b.node", "b.cluster", "b.blocks", F.col("a.line").alias("payload")).dropDuplicates(["node"])
     found = resolve(materialise(near, "near-lines"), read_lines, percent)

@@ -332,14 +332,15 @@ def near_duplicates(
     flat = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     met = flat.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     met = materialise(met.select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks")), "buckets")
-    members = materialise(flat.join(met, "key"), "members")
+    # the buckets that several nodes share are few: hashing them spares sorting every key
+    members = materialise(flat.join(met.hint("shuffle_hash"), "key"), "members")
     loose = bucket_links(members, usable.select(F.col("doc_id").alias("node"), "sig"), percent / 100 - LOOSE)
     clusters = components(loose).withColumnRenamed("component", "cluster")
 
     size = usable.select(F.col("doc_id").alias("node"), "n")
     placed = place(clusters, size)
     # neither side is bounded, so this is one shuffle of the texts at any size
-    near = texts.hint("merge").join(placed, texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
+    near = texts.join(placed.hint("shuffle_hash"), texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
     full = materialise(_with_elements(near, shingle).where(F.length("payload") > 0), "elements")
     found = resolve(full, stored_sets, percent)
 

@@ -148,16 +148,28 @@ def train(
                 ["id", "y", "buckets", "shares"],
             )
 
-    got = picked.mapInArrow(features, "id long, y int, buckets binary, shares binary").collect()
-    got.sort(key=lambda r: (r.id, r.buckets))
-    y = np.array([r.y for r in got], np.int64)
-    if len(set(y.tolist())) < 2:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        got.sort(key=lambda r: (r[0], r[2]))
+        y = np.array([r[1] for r in got], np.int64)
+        if len(set(y.tolist())) < 2:
+            return
+        rows = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got]
+        del got
+        odds = float(np.log((y == 1).sum() / (y == 0).sum()))
+        made = [a.astype(np.float32).tobytes() for a in fit(rows, y, epochs, seed)]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([m], pa.binary()) for m in made), pa.array([odds])], ["vectors", "rarity", "weights", "bias", "odds"]
+        )
+
+    # the sample is bounded, so one task can learn from it; the driver gets the model alone
+    sample = picked.mapInArrow(features, "id long, y int, buckets binary, shares binary").repartition(1)
+    made = sample.mapInArrow(learn, "vectors binary, rarity binary, weights binary, bias binary, odds double").first()
+    if made is None:
         return None
-    rows = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.shares, np.float32)) for r in got]
-    del got
-    v, rarity, w, b = fit(rows, y, epochs, seed)
-    shift = np.log(count[1] / count[0]) - np.log((y == 1).sum() / (y == 0).sum())
-    return Model(v, rarity, w, b, float(shift))
+    v, rarity, w, b = (np.frombuffer(m, np.float32) for m in made[:4])
+    shift = np.log(count[1] / count[0]) - made.odds
+    return Model(v.reshape(-1, DIM), rarity, w.reshape(DIM, 2), b, float(shift))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

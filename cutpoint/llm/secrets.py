@@ -5,12 +5,13 @@ from __future__ import annotations
 import base64
 import binascii
 import gzip
+import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ TOKEN = re.compile(r"\S+")
 MOST_UNPACKED = 64 << 20
 
 Span = tuple[str, int, int]
-Mapping = Callable[[int, int], tuple[int, int]]
+#: Start and end, in the text outside, of each character of a layer.
+Places = tuple[np.ndarray, np.ndarray]
 
 
 def scan(text: str) -> list[Span]:
@@ -76,7 +78,30 @@ def _unpacked(data: bytes) -> bytes | None:
     return None
 
 
-def _pieces(text: str, escape: re.Pattern, decode: Callable[[str], str | None]) -> Iterator[tuple[int, int, str, Mapping]]:
+def _one(start: int, end: int, n: int) -> Places:
+    """``n`` characters that all stand for one span; no memory for each."""
+    return np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(end), n)
+
+
+def _through(step: Places, outer: Places | None) -> Places:
+    """Places of a layer in the whole text, by those of the layer that it stands in."""
+    if outer is None:
+        return step
+    (a, b), (lo, hi) = step, outer
+    if not a.strides[0] or not lo.strides[0]:  # one span
+        return _one(lo[a[0]], hi[b[-1] - 1], len(a))
+    return lo[a], hi[b - 1]
+
+
+def _key(made: str, places: Places) -> bytes:
+    """Names a layer by its text and places."""
+    out = hashlib.blake2b(made.encode("utf-8", "surrogatepass"), digest_size=32)
+    for x in places:
+        out.update(b"|" + (x if x.strides[0] else x[:1]).tobytes())
+    return out.digest()
+
+
+def _pieces(text: str, escape: re.Pattern, decode: Callable[[str], str | None]) -> Iterator[tuple[str, Places]]:
     """Tokens with escapes, decoded piece by piece so that every character maps back."""
     for token in TOKEN.finditer(text):
         if not escape.search(token[0]):
@@ -103,8 +128,8 @@ def _pieces(text: str, escape: re.Pattern, decode: Callable[[str], str | None])
         plain = token[0][at:]
         out.append(plain)
         ends += [(at + i, at + i + 1) for i in range(len(plain))]
-        base = token.start()
-        yield (*token.span(), "".join(out), lambda a, b, e=ends, s=base: (s + e[a][0], s + e[b - 1][1]))
+        places = np.array(ends, np.int64) + token.start()
+        yield "".join(out), (places[:, 0], places[:, 1])
 
 
 def _from_url(run: str) -> str | None:
@@ -122,58 +147,60 @@ def _from_unicode(run: str) -> str | None:
         return None
 
 
-def layers(text: str) -> Iterator[tuple[str | None, Mapping]]:
+def layers(text: str) -> Iterator[tuple[str | None, Places | None]]:
     """What is encoded in ``text`` one layer down, with the way back to its characters.
 
     None stands for a layer too large to unpack.
     """
     if "%" in text and ESCAPED.search(text):
-        for _, _, made, back in _pieces(text, ESCAPED, _from_url):
-            yield made, back
+        yield from _pieces(text, ESCAPED, _from_url)
     if "\\u" in text and UNICODE.search(text):
-        for _, _, made, back in _pieces(text, UNICODE, _from_unicode):
-            yield made, back
+        yield from _pieces(text, UNICODE, _from_unicode)
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         try:
             data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        whole = m.span()
         if (made := _readable(data)) is not None:
             if made.isascii():
-                yield made, lambda a, b, s=whole[0]: (s + a * 4 // 3, s + -(-b * 4 // 3))
+                at = np.arange(len(made) + 1)
+                yield made, (m.start() + at[:-1] * 4 // 3, m.start() - (-at[1:] * 4 // 3))
             else:
-                yield made, lambda a, b, w=whole: w
+                yield made, _one(*m.span(), len(made))
             continue
         try:
             plain = _unpacked(data)
         except TooLarge:
-            yield None, lambda a, b, w=whole: w
+            yield None, None
             continue
         if plain is not None and (made := _readable(plain)) is not None:
-            yield made, lambda a, b, w=whole: w
+            yield made, _one(*m.span(), len(made))
 
 
 def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:
-    """Secrets of the text, those of its decoded layers (spans in the text), layers left."""
+    """Secrets of the text, those of its decoded layers (spans in the text), layers left.
+
+    A layer is left out if one of the same text at the same places was met, which loses no
+    place and ends every cycle.
+    """
     base = scan(text)
     deep: set[Span] = set()
-    seen = {text}
+    seen: set[bytes] = set()
     skipped = 0
-    work: deque[tuple[str, Mapping]] = deque([(text, lambda a, b: (a, b))])
+    work: list[tuple[Iterator[tuple[str | None, Places | None]], Places | None]] = [(layers(text), None)]
     while work:
-        layer, back = work.popleft()
-        for made, step in layers(layer):
-            if made is None:
-                skipped += 1
-                continue
-            if made in seen:  # a layer met before adds nothing; this ends every cycle
-                continue
-            seen.add(made)
-            chain: Mapping = lambda a, b, f=step, g=back: g(*f(a, b))
-            deep |= {(f"decoded-{kind}", *chain(a, b)) for kind, a, b in scan(made)}
-            work.append((made, chain))
+        inside, outer = work[-1]
+        made, step = next(inside, ("", None))
+        if made is None:
+            skipped += 1
+        elif step is None:
+            work.pop()
+        elif (key := _key(made, places := _through(step, outer))) not in seen:
+            seen.add(key)
+            lo, hi = places
+            deep |= {(f"decoded-{kind}", int(lo[a]), int(hi[b - 1])) for kind, a, b in scan(made)}
+            work.append((layers(made), places))
     return base, sorted(deep, key=lambda s: (s[1], s[0], s[2])), skipped
 
 

@@ -123,6 +123,20 @@ def test_cycles_end_and_large_layers_are_counted(monkeypatch):
     assert secrets.scan_deep(f"{bomb} {wrap('base64', SECRET)}")[1]
 
 
+@pytest.mark.parametrize("chains", [(["base64"], ["base64"]), (["url"], ["url"]), (["unicode"], ["url"]), (["gzip"], ["base64"]), (["base64", "base64"], ["base64"])])
+def test_every_place_of_a_repeated_secret_is_found(chains):
+    blobs = []
+    for chain in chains:
+        inner = "password=AbCdEfGhIjKlMnOpQr"
+        for kind in chain:
+            inner = wrap(kind, inner)
+        blobs.append(inner)
+    text = f"first {blobs[0]} then {blobs[1]} end"
+    places = {(text.index(blobs[0]), len(blobs[0])), (text.rindex(blobs[1]), len(blobs[1]))}
+    deep = secrets.scan_deep(text)[1]
+    assert all(any(at <= a < b <= at + n for _, a, b in deep) for at, n in places)
+
+
 def test_secret_rows(spark, messy, empty):
     df = spark.createDataFrame([(1, f"\U0001f600 {SECRET}"), (2, None)], "doc_id int, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(df).collect()}

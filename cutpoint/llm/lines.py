@@ -6,7 +6,7 @@ similarities are numpy over Arrow batches; the README has the figures of the nat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from .minhash import bucket_links, place, resolve, universal
 from .runtime import materialise, session
 from .words import _VALUES, CHUNK_BYTES, U, buffers, mix, powers
 
-#: Characters of a shingle; minima of a band and bands. Two lines of similarity 0.8 share
+#: Characters of a shingle, unless a caller names fewer; minima of a band and bands. Two lines of similarity 0.8 share
 #: no band once in 5000, of 0.85 once in 80000.
 SHINGLE, ROWS, BANDS = 9, 3, 12
 #: Minima of a signature (the first are those of the bands), and the share that agrees at
@@ -37,7 +37,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
-def shingle_hashes(lines: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_hashes(lines: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, stop, hashes, offsets)`` of runs of lines: the hashes of each line's
     shingles in order, repeats included; a shorter line is one shingle, an empty one none."""
     data, at = buffers(lines)
@@ -53,17 +53,17 @@ def shingle_hashes(lines: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
         size = np.diff(cut)
         last = np.repeat(cut[1:], size)
         where = np.arange(len(chars))
-        short = np.repeat(size < SHINGLE, size)
+        short = np.repeat(size < shingle, size)
         head = short & (where == np.repeat(cut[:-1], size))
-        keep = np.flatnonzero((where + SHINGLE <= last) | head)
-        stop = np.append(chars, len(part))[np.where(short[keep], last[keep], keep + SHINGLE)]
+        keep = np.flatnonzero((where + shingle <= last) | head)
+        stop = np.append(chars, len(part))[np.where(short[keep], last[keep], keep + shingle)]
         begin = chars[keep]
         h = (sums[stop] - sums[begin]) * down[begin]
         yield i, j, mix(h + short[keep].astype(U)), np.searchsorted(keep, cut)
         i = j
 
 
-def signatures(lines: DataFrame, seed: int = 2) -> DataFrame:
+def signatures(lines: DataFrame, seed: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """``(node, doc, n, bands, sig)`` of lines: node is the line's hash k1. A line of
     several batches has several equal rows."""
     mult, add = universal(MINIMA, seed)
@@ -74,7 +74,7 @@ def signatures(lines: DataFrame, seed: int = 2) -> DataFrame:
             first = np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1])
             batch = batch.take(pa.array(first))
             size, keys, small = [], [], []
-            for i, j, flat, at in shingle_hashes(batch.column(2)):
+            for i, j, flat, at in shingle_hashes(batch.column(2), shingle):
                 size.append(np.diff(at))
                 minima = np.empty((j - i, MINIMA), U)
                 buffer = np.empty_like(flat)
@@ -105,17 +105,23 @@ def signatures(lines: DataFrame, seed: int = 2) -> DataFrame:
     return rows.mapInArrow(run, "node long, doc long, n long, bands array<long>, sig binary")
 
 
-def read_lines(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
-    """Shingle sets of rows that carry their line."""
-    lines = cols["payload"].combine_chunks()
-    return [
-        np.unique(flat[a:b]).view(np.int64)
-        for _, _, flat, at in shingle_hashes(lines)
-        for a, b in zip(at[:-1], at[1:], strict=True)
-    ]
+def read_lines(shingle: int = SHINGLE) -> Callable[[dict[str, pa.ChunkedArray]], list[np.ndarray]]:
+    """A function that makes shingle sets of rows that carry their line."""
 
+    def read(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
+        lines = cols["payload"].combine_chunks()
+        return [
+            np.unique(flat[a:b]).view(np.int64)
+            for _, _, flat, at in shingle_hashes(lines, shingle)
+            for a, b in zip(at[:-1], at[1:], strict=True)
+        ]
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    return read
+
+
+def line_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
+) -> DataFrame:
     """Components of distinct lines: (k1, part) of those linked, by a line's hash.
 
     Lines that share a band and whose signatures agree loosely are joined into clusters;
@@ -123,7 +129,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     session(docs)
     lines = _lines(docs, id_col, text_col)
-    signed = materialise(signatures(lines), "lines")
+    signed = materialise(signatures(lines, shingle=shingle), "lines")
     flat = signed.select("node", F.explode("bands").alias("key"))
     met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     met = met.where("low < high").select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
@@ -141,14 +147,16 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b = lines.alias("a"), placed.hint("shuffle_hash").alias("b")
     near = a.join(b, (F.col("a.k1") == F.col("b.node")) & (F.col("a.doc") == F.col("b.doc")))
     near = near.select("b.node", "b.cluster", "b.blocks", F.col("a.line").alias("payload")).dropDuplicates(["node"])
-    found = resolve(materialise(near, "near-lines"), read_lines, percent)
+    found = resolve(materialise(near, "near-lines"), read_lines(shingle), percent)
     return materialise(found.select(F.col("node").alias("k1"), F.col("component").alias("part")), "groups")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """(doc, numbers, gone): by document, the numbers (from 0) of the lines to remove, and
     the hashes ``xxhash64(number, k1)`` that name them."""
-    groups = line_groups(docs, id_col, text_col)
+    groups = line_groups(docs, id_col, text_col, shingle=shingle)
     lines = _lines(docs, id_col, text_col).select("doc", "pos", "k1", "k2")
     # lines of one component, or else of one text, stand for each other
     part = F.when(F.col("part").isNull(), F.struct("k1", "k2")).otherwise(F.struct(F.col("part").alias("k1"), F.lit(None).cast("long").alias("k2")))
@@ -170,18 +178,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedupe_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """``docs`` with one line kept of each group of near-equal lines; all columns stay.
 
     Lines are parts between line feeds, compared without outer blanks; two are linked if
-    the sets of their 9-character shingles have a similarity of 0.8 or more, and of each
+    the sets of their ``shingle``-character shingles have a similarity of 0.8 or more, and of each
     connected component the first line (least id, then number) stays. Blank lines stay.
     A document may lose all its lines: its text is then empty. Rows with a null text or a
     null id stay as they are and take no part. Rows with an equal id count as one
     document: a line is removed from each where it is not the first. An empty table stays
     empty; a text without line feeds is one line, however long.
     """
-    gone = duplicate_lines(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
+    gone = duplicate_lines(docs, id_col, text_col, shingle).select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
     met = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
     kept = F.filter(
         F.split(F.col(text_col), "\n"),
@@ -191,9 +201,11 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return met.withColumn(text_col, text).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """Per input row: doc_id, n_lines, n_removed and removed (line numbers, comma-joined)."""
-    gone = duplicate_lines(docs, id_col, text_col).select("doc", "numbers")
+    gone = duplicate_lines(docs, id_col, text_col, shingle).select("doc", "numbers")
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_lines.alias("n_lines"))
     met = rows.join(gone, rows.doc_id == gone.doc, "left")

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cutpoint.llm import embeddings, lines, minhash, substrings
+from cutpoint.llm import embeddings, lines, minhash, queries, substrings
 
 from . import plain
 
@@ -57,6 +57,21 @@ def test_lines_equal_brute_force(docs, texts):
         assert kept[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in expected.get(i, []))
 
 
+def test_query_forgives_lines_of_fifty_characters_one_edit(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):
+        own = rng.choice(list("abcdefghij klmnop"), 50)
+        copy = own.copy()
+        copy[25] = "#"
+        texts.append(f"x{''.join(own)}x\nx{''.join(copy)}x")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = plain.lines_removed(list(enumerate(texts)), 5)
+    got = {r.doc_id: r.removed for r in queries.op9_lines(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, expected.get(i, []))) for i in range(len(texts))}
+    assert len(expected) > 30 and not plain.lines_removed(list(enumerate(texts)))
+
+
 def test_lines_messy(messy, empty):
     out = lines.dedupe_lines(messy)
     assert out.columns == messy.columns and out.count() == messy.count()

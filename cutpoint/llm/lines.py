@@ -22,8 +22,8 @@ from .words import _VALUES, CHUNK_BYTES, U, buffers, mix, powers
 #: no band once in 5000, of 0.85 once in 80000.
 SHINGLE, ROWS, BANDS = 9, 3, 12
 #: Minima of a signature (the first are those of the bands), and the share that agrees at
-#: least: fewer do, for a similarity of 0.8, once in 3000.
-MINIMA, LOOSE = 48, 0.6
+#: least: fewer do, for a similarity of 0.8, once in 30 million.
+MINIMA, LOOSE = 48, 0.45
 #: Members of a bucket that are compared at once.
 BUCKET_BLOCK = 1024
 

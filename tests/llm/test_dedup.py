@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -57,6 +59,13 @@ def test_lines_equal_brute_force(docs, texts):
         assert kept[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in expected.get(i, []))
 
 
+def test_the_loose_comparison_loses_no_more_than_the_bands():
+    need = int(np.ceil(lines.LOOSE * lines.MINIMA))
+    loose = sum(comb(lines.MINIMA, i) * 0.8**i * 0.2 ** (lines.MINIMA - i) for i in range(need))
+    bands = (1 - 0.8**lines.ROWS) ** lines.BANDS
+    assert loose < bands / 100 and loose + bands < 1 / 5000
+
+
 def test_query_forgives_lines_of_fifty_characters_one_edit(spark, tmp_path):
     rng = np.random.default_rng(11)
     texts = []

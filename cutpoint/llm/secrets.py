@@ -30,7 +30,6 @@ LEAST = {"assign": 12, "access": 18}
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-TOKEN = re.compile(r"\S+")
 #: Bytes that one compressed layer may unpack to; a larger one is counted, not unpacked.
 MOST_UNPACKED = 64 << 20
 
@@ -101,61 +100,53 @@ def _key(made: str, places: Places) -> bytes:
     return out.digest()
 
 
-def _pieces(text: str, escape: re.Pattern, decode: Callable[[str], str | None]) -> Iterator[tuple[str, Places]]:
-    """Tokens with escapes, decoded piece by piece so that every character maps back."""
-    for token in TOKEN.finditer(text):
-        if not escape.search(token[0]):
+def _unescaped(text: str, escape: re.Pattern, decode: Callable[[str], tuple[str, list[int]] | None]) -> Iterator[tuple[str, Places]]:
+    """The whole text with its escapes decoded, if any can be; other characters stay."""
+    out: list[str] = []
+    widths: list[np.ndarray] = []
+    at = 0
+    for run in re.finditer(f"(?:{escape.pattern})+", text):
+        if (got := decode(run[0])) is None:
             continue
-        out: list[str] = []
-        ends: list[tuple[int, int]] = []
-        at = 0
-        runs = re.finditer(f"(?:{escape.pattern})+", token[0])
-        for run in runs:
-            plain = token[0][at : run.start()]
-            out.append(plain)
-            ends += [(at + i, at + i + 1) for i in range(len(plain))]
-            made = decode(run[0])
-            if made is None:
-                made = run[0]
-                ends += [(run.start() + i, run.start() + i + 1) for i in range(len(made))]
-            elif len(run[0]) % max(1, len(made)) == 0:
-                size = len(run[0]) // max(1, len(made))
-                ends += [(run.start() + i * size, run.start() + (i + 1) * size) for i in range(len(made))]
-            else:
-                ends += [run.span()] * len(made)
-            out.append(made)
-            at = run.end()
-        plain = token[0][at:]
-        out.append(plain)
-        ends += [(at + i, at + i + 1) for i in range(len(plain))]
-        places = np.array(ends, np.int64) + token.start()
-        yield "".join(out), (places[:, 0], places[:, 1])
-
-
-def _from_url(run: str) -> str | None:
+        out += [text[at : run.start()], got[0]]
+        widths += [np.ones(run.start() - at, np.int64), np.array(got[1], np.int64)]
+        at = run.end()
+    if at:
+        out.append(text[at:])
+        width = np.concatenate([*widths, np.ones(len(text) - at, np.int64)])
+        ends = np.cumsum(width)
+        yield "".join(out), (ends - width, ends)
+
+
+def _from_url(run: str) -> tuple[str, list[int]] | None:
+    """What a run of URL escapes stands for, and how many characters each one takes."""
     try:
-        return unquote_to_bytes(run).decode("utf-8")
+        made = unquote_to_bytes(run).decode("utf-8")
     except UnicodeDecodeError:
         return None
+    return made, [3 * len(c.encode()) for c in made]
 
 
-def _from_unicode(run: str) -> str | None:
+def _from_unicode(run: str) -> tuple[str, list[int]] | None:
+    """What a run of Unicode escapes stands for, and how many characters each one takes."""
     units = b"".join(int(run[i + 2 : i + 6], 16).to_bytes(2, "big") for i in range(0, len(run), 6))
     try:
-        return units.decode("utf-16-be")
+        made = units.decode("utf-16-be")
     except UnicodeDecodeError:
         return None
+    return made, [12 if ord(c) > 0xFFFF else 6 for c in made]
 
 
 def layers(text: str) -> Iterator[tuple[str | None, Places | None]]:
     """What is encoded in ``text`` one layer down, with the way back to its characters.
+    Escapes are decoded in the whole text, so what stands before and after them stays.
 
     None stands for a layer too large to unpack.
     """
     if "%" in text and ESCAPED.search(text):
-        yield from _pieces(text, ESCAPED, _from_url)
+        yield from _unescaped(text, ESCAPED, _from_url)
     if "\\u" in text and UNICODE.search(text):
-        yield from _pieces(text, UNICODE, _from_unicode)
+        yield from _unescaped(text, UNICODE, _from_unicode)
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         try:
@@ -199,7 +190,9 @@ def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:
         elif (key := _key(made, places := _through(step, outer))) not in seen:
             seen.add(key)
             lo, hi = places
-            deep |= {(f"decoded-{kind}", int(lo[a]), int(hi[b - 1])) for kind, a, b in scan(made)}
+            # what stands in the layer outside as it is was found there
+            found = [m for m in scan(made) if (step[1][m[1] : m[2]] - step[0][m[1] : m[2]] > 1).any()]
+            deep |= {(f"decoded-{kind}", int(lo[a]), int(hi[b - 1])) for kind, a, b in found}
             work.append((layers(made), places))
     return base, sorted(deep, key=lambda s: (s[1], s[0], s[2])), skipped
 

@@ -137,6 +137,19 @@ def test_every_place_of_a_repeated_secret_is_found(chains):
     assert all(any(at <= a < b <= at + n for _, a, b in deep) for at, n in places)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["secret = " + "".join(f"\\u{ord(c):04x}" for c in "ABCDEFGHIJKLMNOP"), "token: abc%2Bdefghijklmnop", 'api_key" : %22ab\\u0063defghijklmnop'],
+)
+def test_escapes_are_read_with_the_text_around_them(text):
+    lead = "é\n\U0001f600 50%25 %F0%9F%98%80 \\ud83d\\ude00 "
+    own = (len(lead), len(lead) + len(text))
+    got = secrets.scan_deep(f"{lead}{text} end")
+    assert ("decoded-assign", *own) in got[1]
+    plain_one = "password=abcdefghijklmnop 50%20off \\u0041"
+    assert secrets.scan_deep(plain_one)[:2] == ([("assign", 0, 25)], [])
+
+
 def test_secret_rows(spark, messy, empty):
     df = spark.createDataFrame([(1, f"\U0001f600 {SECRET}"), (2, None)], "doc_id int, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(df).collect()}

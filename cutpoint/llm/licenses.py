@@ -48,6 +48,15 @@ class Notice:
     edits: int
     pattern: regex.Pattern
 
+    def matches(self, text: str, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
+        """``(start, end, edits)``: the best match, then those of the parts before and after it."""
+        parts = [(start, stop)]
+        while parts:
+            a, b = parts.pop()
+            if b - a >= len(self.text) - self.edits and (m := self.pattern.search(text, a, b)):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                parts += [(a, m.start()), (m.end(), b)]
+
 
 class Scanner:
     """Finds notices: a text within k edits of a notice keeps one of its k + 1 pieces exact."""
@@ -84,8 +93,7 @@ class Scanner:
         out = []
         for n, spans in near.items():
             for start, stop in spans:
-                for m in self.notices[n].pattern.finditer(text, max(0, start), min(len(text), stop)):
-                    out.append((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                out += [(n, *m) for m in self.notices[n].matches(text, max(0, start), min(len(text), stop))]
         return sorted(out, key=lambda m: m[1:3])
 
 

@@ -66,6 +66,32 @@ def test_licenses_equal_brute_force(spark, docs, messy, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def least_edits(notice, text):
+    """Edits between the notice and the part of the text that is nearest to it."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        last, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_no_notice_is_left_beside_a_better_one():
+    name = "released under the mit license"
+    scanner = licenses.Scanner({name: "mit"}, chars_per_edit=15)
+    texts = [
+        f"released under the mlt license {name} and released undr the mit license",
+        f"relesed undr the mit license released under the mlt license {name} {name} released under the mit licence",
+        "x released under mit license y", f"{name} " * 5,
+    ]
+    for text, n in zip(texts, (3, 5, 0, 5)):
+        found = scanner.scan(text)
+        assert len(found) == n and all(b <= c for (_, _, b, _), (_, c, _, _) in zip(found, found[1:]))
+        assert all(least_edits(name, text[a:b]) == e <= 2 for _, a, b, e in found)
+        ends = [0, *(x for _, a, b, _ in found for x in (a, b)), len(text)]
+        assert all(least_edits(name, text[a:b]) > 2 for a, b in zip(ends[::2], ends[1::2]))
+
+
 def base_spans(t):
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
     assign = re.compile(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
+import codecs
 import hashlib
 import re
 import zlib
@@ -30,8 +30,11 @@ LEAST = {"assign": 12, "access": 18}
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Bytes that one compressed layer may unpack to; a larger one is counted, not unpacked.
-MOST_UNPACKED = 64 << 20
+BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Bytes that a compressed layer may unpack to at once; a larger one is counted, and
+#: scanned in blocks. Bytes unpacked in a step; characters that blocks share at most
+#: where there is no better place to cut.
+MOST_UNPACKED, PIECE, OVERLAP = 64 << 20, 1 << 20, 4096
 
 Span = tuple[str, int, int]
 #: Start and end, in the text outside, of each character of a layer.
@@ -50,31 +53,67 @@ def scan(text: str) -> list[Span]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and not odd else None
-
-
-class TooLarge(ValueError):
-    """A compressed layer is larger than MOST_UNPACKED."""
-
-
-def _unpacked(data: bytes) -> bytes | None:
-    for head, wbits in ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15)):
-        if data.startswith(head):
-            engine = zlib.decompressobj(wbits)
+def _byte_widths(made: str) -> np.ndarray:
+    """Bytes that each character was decoded from."""
+    c = np.frombuffer(made.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000).astype(np.int64)
+    return np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, width)
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """What the gzip or zlib streams at the start of ``data`` hold, up to the first fault."""
+    while data:
+        if data.startswith(b"\x1f\x8b"):
+            wbits = 31
+        elif data[0] & 15 == 8 and data[0] >> 4 <= 7 and int.from_bytes(data[:2], "big") % 31 == 0 and not data[1] & 32:
+            wbits = 15
+        else:
+            return
+        engine = zlib.decompressobj(wbits)
+        while not engine.eof:
             try:
-                out = engine.decompress(data, MOST_UNPACKED)
-            except (zlib.error, gzip.BadGzipFile):
-                return None
-            if engine.unconsumed_tail:
-                raise TooLarge
-            return out if engine.eof else None
-    return None
+                out = engine.decompress(data, min(PIECE, MOST_UNPACKED))
+            except zlib.error:
+                return
+            data = engine.unconsumed_tail
+            if not (out or data or engine.eof):
+                return
+            yield out
+        data = engine.unused_data.lstrip(b"\0")
+
+
+def _carried(block: str) -> int:
+    """From where on a block is read again with what follows, so that nothing is cut: from
+    its last line, or from before the last blank and a keyword. Half a block without
+    either is cut between groups of base64."""
+    half = len(block) // 2
+    if (at := block.rfind("\n") + 1) > half:
+        return at
+    if (at := len(block[: max(0, block.rfind(" "))].rstrip(" \"':=")) - 16) > half:
+        return at
+    at = len(block) - min(OVERLAP, half)
+    return at - max(0, at - len(block.rstrip(BASE64_CHARS))) % 4
+
+
+def _unpacked(data: bytes) -> Iterator[str | None]:
+    """Text of a compressed layer; beyond MOST_UNPACKED bytes, None and overlapping blocks."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    parts: list[str] = []
+    total = held = fresh = 0
+    for out in _inflated(data):
+        if total <= MOST_UNPACKED < total + len(out):
+            yield None
+        total += len(out)
+        parts.append(decoder.decode(out))
+        held += len(parts[-1])
+        fresh += len(out)
+        if held > MOST_UNPACKED:
+            block = "".join(parts)
+            yield block
+            parts = [block[_carried(block) :]]
+            held, fresh = len(parts[0]), 0
+    if fresh:
+        yield "".join([*parts, decoder.decode(b"", True)])
 
 
 def _one(start: int, end: int, n: int) -> Places:
@@ -100,77 +139,70 @@ def _key(made: str, places: Places) -> bytes:
     return out.digest()
 
 
-def _unescaped(text: str, escape: re.Pattern, decode: Callable[[str], tuple[str, list[int]] | None]) -> Iterator[tuple[str, Places]]:
-    """The whole text with its escapes decoded, if any can be; other characters stay."""
+def _unescaped(text: str, escape: re.Pattern, decode: Callable[[str], tuple[str, np.ndarray]], flat: bool) -> Iterator[tuple[str, Places]]:
+    """The whole text with its escapes decoded; other characters stay."""
     out: list[str] = []
     widths: list[np.ndarray] = []
     at = 0
     for run in re.finditer(f"(?:{escape.pattern})+", text):
-        if (got := decode(run[0])) is None:
-            continue
-        out += [text[at : run.start()], got[0]]
-        widths += [np.ones(run.start() - at, np.int64), np.array(got[1], np.int64)]
+        made, width = decode(run[0])
+        out += [text[at : run.start()], made]
+        widths += [np.ones(run.start() - at, np.int64), width]
         at = run.end()
-    if at:
-        out.append(text[at:])
-        width = np.concatenate([*widths, np.ones(len(text) - at, np.int64)])
-        ends = np.cumsum(width)
-        yield "".join(out), (ends - width, ends)
+    out.append(text[at:])
+    if flat:
+        made = "".join(out)
+        yield made, _one(0, len(text), len(made))
+        return
+    width = np.concatenate([*widths, np.ones(len(text) - at, np.int64)])
+    ends = np.cumsum(width)
+    yield "".join(out), (ends - width, ends)
 
 
-def _from_url(run: str) -> tuple[str, list[int]] | None:
+def _from_url(run: str) -> tuple[str, np.ndarray]:
     """What a run of URL escapes stands for, and how many characters each one takes."""
-    try:
-        made = unquote_to_bytes(run).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return made, [3 * len(c.encode()) for c in made]
+    made = unquote_to_bytes(run).decode("utf-8", "surrogateescape")
+    return made, 3 * _byte_widths(made)
 
 
-def _from_unicode(run: str) -> tuple[str, list[int]] | None:
+def _from_unicode(run: str) -> tuple[str, np.ndarray]:
     """What a run of Unicode escapes stands for, and how many characters each one takes."""
     units = b"".join(int(run[i + 2 : i + 6], 16).to_bytes(2, "big") for i in range(0, len(run), 6))
-    try:
-        made = units.decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
-    return made, [12 if ord(c) > 0xFFFF else 6 for c in made]
+    made = units.decode("utf-16-be", "surrogatepass")
+    return made, np.array([12 if ord(c) > 0xFFFF else 6 for c in made], np.int64)
 
 
-def layers(text: str) -> Iterator[tuple[str | None, Places | None]]:
+def layers(text: str, flat: bool = False) -> Iterator[tuple[str | None, Places | None]]:
     """What is encoded in ``text`` one layer down, with the way back to its characters.
     Escapes are decoded in the whole text, so what stands before and after them stays.
 
-    None stands for a layer too large to unpack.
+    Bytes that are no UTF-8 stay as lone surrogates. None stands before the blocks of a
+    layer too large to unpack at once. If ``flat``, all of ``text`` stands for one span, and
+    no character needs its own.
     """
     if "%" in text and ESCAPED.search(text):
-        yield from _unescaped(text, ESCAPED, _from_url)
+        yield from _unescaped(text, ESCAPED, _from_url, flat)
     if "\\u" in text and UNICODE.search(text):
-        yield from _unescaped(text, UNICODE, _from_unicode)
+        yield from _unescaped(text, UNICODE, _from_unicode, flat)
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         try:
             data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (made := _readable(data)) is not None:
-            if made.isascii():
-                at = np.arange(len(made) + 1)
-                yield made, (m.start() + at[:-1] * 4 // 3, m.start() - (-at[1:] * 4 // 3))
-            else:
-                yield made, _one(*m.span(), len(made))
-            continue
-        try:
-            plain = _unpacked(data)
-        except TooLarge:
-            yield None, None
-            continue
-        if plain is not None and (made := _readable(plain)) is not None:
+        made = data.decode("utf-8", "surrogateescape")
+        if flat:
             yield made, _one(*m.span(), len(made))
+        else:
+            width = _byte_widths(made)
+            at = np.cumsum(width)
+            yield made, (m.start() + (at - width) * 4 // 3, m.start() - (-at * 4 // 3))
+        for block in _unpacked(data):
+            yield block, None if block is None else _one(*m.span(), len(block))
 
 
 def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:
-    """Secrets of the text, those of its decoded layers (spans in the text), layers left.
+    """Secrets of the text, those of its decoded layers (spans in the text), oversize layers.
 
     A layer is left out if one of the same text at the same places was met, which loses no
     place and ends every cycle.
@@ -178,13 +210,13 @@ def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:
     base = scan(text)
     deep: set[Span] = set()
     seen: set[bytes] = set()
-    skipped = 0
+    oversize = 0
     work: list[tuple[Iterator[tuple[str | None, Places | None]], Places | None]] = [(layers(text), None)]
     while work:
         inside, outer = work[-1]
         made, step = next(inside, ("", None))
         if made is None:
-            skipped += 1
+            oversize += 1
         elif step is None:
             work.pop()
         elif (key := _key(made, places := _through(step, outer))) not in seen:
@@ -193,8 +225,8 @@ def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:
             # what stands in the layer outside as it is was found there
             found = [m for m in scan(made) if (step[1][m[1] : m[2]] - step[0][m[1] : m[2]] > 1).any()]
             deep |= {(f"decoded-{kind}", int(lo[a]), int(hi[b - 1])) for kind, a, b in found}
-            work.append((layers(made), places))
-    return base, sorted(deep, key=lambda s: (s[1], s[0], s[2])), skipped
+            work.append((layers(made, not places[0].strides[0]), places))
+    return base, sorted(deep, key=lambda s: (s[1], s[0], s[2])), oversize
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +236,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns per input row: doc_id, spans and decoded (arrays of kind, start, end in
     characters of the text, end exclusive; decoded ones name what their layer held and
     span what encodes it) and n_oversize, compressed layers beyond ``MOST_UNPACKED``
-    bytes, which are not unpacked. Null texts are empty; other columns are not read;
+    bytes, which are scanned in overlapping blocks; there, what is encoded in a run of over
+    half a block without blanks and line feeds is read in parts. Null texts are empty; other columns are not read;
     repeated rows are scanned each.
     """
     session(docs)

@@ -176,6 +176,32 @@ def test_escapes_are_read_with_the_text_around_them(text):
     assert secrets.scan_deep(plain_one)[:2] == ([("assign", 0, 25)], [])
 
 
+@pytest.mark.parametrize("odd", [b"", b"\xef\xbb\xbf", "\u00a0".encode(), "\u200b".encode(), b"\0", b"\xff"])
+def test_no_layer_is_dropped_for_its_form(odd):
+    b64 = lambda b: base64.b64encode(b).decode()
+    body = odd + " password=AbCdEfGhIjKlMnOpQr é".encode()
+    forms = [b64(body), "%20" + "".join(f"%{b:02X}" for b in body), b64(gzip.compress(body))]
+    forms += [b64(zlib.compress(body, level, bits)) for level in range(1, 10) for bits in (9, 15)]
+    forms += [b64(gzip.compress(b"first ") + gzip.compress(body)), b64(gzip.compress(b"") + bytes(3) + gzip.compress(body))]
+    for form in forms:
+        (found,) = secrets.scan_deep(f"é {form} é")[1]
+        assert found[0] == "decoded-assign" and 2 <= found[1] < found[2] <= 2 + len(form)
+    url = "".join(f"%{b:02X}" for b in body)
+    assert secrets.scan_deep(url)[1] == [("decoded-assign", 3 * len(odd) + 3, 3 * len(odd) + 84)]
+
+
+@pytest.mark.parametrize("fill", [b"\n", b" ", b"=", b"word ", b"a line\n"])
+def test_oversize_layers_are_scanned_in_blocks(monkeypatch, fill):
+    monkeypatch.setattr(secrets, "MOST_UNPACKED", 400)
+    coded = base64.b64encode(b"password=AbCdEfGhIjKlMnOpQr").decode()
+    for secret, kinds in ((b" token   =   'abcdefghijkl' ", {"decoded-assign"}), (b" 0123456789abcdef ", {"decoded-hex"}), (f" {coded} ".encode(), {"decoded-assign"})):
+        for lead in range(300, 500, 3):
+            body = (fill * 500)[:lead] + secret + (fill * 900)[:900]
+            text = base64.b64encode(gzip.compress(body)).decode()
+            _, deep, oversize = secrets.scan_deep(text)
+            assert {k for k, _, _ in deep} == kinds and oversize == 1, (lead, secret)
+
+
 def test_secret_rows(spark, messy, empty):
     df = spark.createDataFrame([(1, f"\U0001f600 {SECRET}"), (2, None)], "doc_id int, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(df).collect()}

@@ -5,52 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import materialise, release
 
 
-def _with_least(directed: DataFrame, name: str) -> DataFrame:
-    """``directed(u, v)`` with ``m``, the least of u and all v of that u.
+def _least(directed: DataFrame, name: str) -> DataFrame:
+    """``(u, m)``: the least of each u and all its v.
 
-    The least values are a table of their own, so that both sides of the join are plain
-    exchanges and a node with very many links is split by adaptive execution.
+    It is a table of its own, so that both sides of the join with it are plain exchanges
+    and a node with very many links is split by adaptive execution.
     """
     least = directed.groupBy("u").agg(F.min("v").alias("m"))
-    least = materialise(least.select("u", F.least("u", "m").alias("m")), name)
-    return directed.join(least, "u")
+    return materialise(least.select("u", F.least("u", "m").alias("m")), name)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = _with_least(both, "large").where("v > u")
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both, "large")
+    met = both.join(least, "u").where("v > u")
+    out = materialise(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+    release(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # here every edge runs from the larger node u to the smaller v
-    met = _with_least(edges, "small")
+    least = _least(edges, "small")
+    met = edges.join(least, "u")
     out = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = out.unionByName(met.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = materialise(out.where("u != v").distinct(), "edges")
+    release(least, edges)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(u, v)``; component is its least node.
 
     Self-links name a node without linking it; rows with a null are ignored. An empty
-    table gives an empty result. The loop ends when a round leaves the edges unchanged.
+    table gives an empty result. The loop ends when a round leaves the edges unchanged;
+    each round's tables are deleted once the next ones are written.
     """
     links = links.select("u", "v").where("u is not null and v is not null")
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "links")
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = edges.where("u != v")
+    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = materialise(links, "links")
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = links.where("u != v")
     seen = None
     while True:
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, _small_star(_large_star(edges))
+        if seen is not None:
+            release(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == seen or not state[0]:
             break
         seen = state
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = F.coalesce("component", "node").alias("component")
-    return nodes.join(found, "node", "left").select("node", roots)
+    out = materialise(nodes.join(found, "node", "left").select("node", roots), "components")
+    release(links, edges)
+    return out

@@ -1,217 +1,276 @@
-"""Line dedup: fuzzy lines by MinHash over character shingles.
+"""Line dedup: fuzzy lines by MinHash over character shingles, by DataFrame functions alone.
 
-Lines are split, named, counted and removed by DataFrame functions. Signatures and exact
-similarities are numpy over Arrow batches; the README has the figures of the native form.
+Shingles become rows of a whole-stage-codegen aggregate (one hash each, nine minima), not
+elements of arrays under lambdas, which take ten times as long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import bucket_links, place, resolve, universal
-from .runtime import materialise, session
-from .words import _VALUES, CHUNK_BYTES, U, buffers, mix, powers
+from .runtime import materialise, materialise_buckets, release
 
-#: Characters of a shingle, unless a caller names fewer; minima of a band and bands. Two lines of similarity 0.8 share
-#: no band once in 5000, of 0.85 once in 80000.
-SHINGLE, ROWS, BANDS = 9, 3, 12
-#: Minima of a signature (the first are those of the bands), and the share that agrees at
-#: least: fewer do, for a similarity of 0.8, once in 30 million.
-MINIMA, LOOSE = 48, 0.45
-#: Members of a bucket that are compared at once.
-BUCKET_BLOCK = 1024
+#: Characters of a shingle, unless a caller names another number.
+SHINGLE = 5
+#: Shingles are dealt to PARTS by their hash; each part has MINIMA minima, which make bands
+#: of ROWS: 12 bands in all. Two lines of similarity 0.8 share no band once in 5500.
+PARTS, MINIMA, ROWS = 4, 9, 3
+#: Lanes of a line's sketch: two bits of each of 8 minima of each part.
+LANES = 32
+#: A pair is not compared if its sketches agree on fewer lanes than two lines at the
+#: threshold do but with this probability.
+LOSS = 2e-5
+
+
+def least_agreement(percent: int) -> int:
+    """Lanes on which sketches agree at least, except with probability LOSS."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    total, t = 0.0, 0
+    while (total := total + comb(LANES, t) * p**t * (1 - p) ** (LANES - t)) <= LOSS:
+        t += 1
+    return t
+
+
+def agreement(a: str, b: str) -> Column:
+    """Lanes on which two sketches agree."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return F.lit(LANES) - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines that are not blank: (doc, pos, line, k1, k2), the line without outer blanks."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    """Lines that are not blank, without outer blanks: (doc, pos, line, node); node is the
+    line's 64-bit hash, by which lines are known."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc is not null and text is not null")
     each = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
-    return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
-
-
-def shingle_hashes(lines: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first, stop, hashes, offsets)`` of runs of lines: the hashes of each line's
-    shingles in order, repeats included; a shorter line is one shingle, an empty one none."""
-    data, at = buffers(lines)
-    i, n = 0, len(at) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
-        part, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        up, down = powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, U)
-        np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
-        chars = np.flatnonzero((part & 0xC0) != 0x80)
-        cut = np.searchsorted(chars, ends)
-        size = np.diff(cut)
-        last = np.repeat(cut[1:], size)
-        where = np.arange(len(chars))
-        short = np.repeat(size < shingle, size)
-        head = short & (where == np.repeat(cut[:-1], size))
-        keep = np.flatnonzero((where + shingle <= last) | head)
-        stop = np.append(chars, len(part))[np.where(short[keep], last[keep], keep + shingle)]
-        begin = chars[keep]
-        h = (sums[stop] - sums[begin]) * down[begin]
-        yield i, j, mix(h + short[keep].astype(U)), np.searchsorted(keep, cut)
-        i = j
-
-
-def signatures(lines: DataFrame, seed: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """``(node, doc, n, bands, sig)`` of lines: node is the line's hash k1. A line of
-    several batches has several equal rows."""
-    mult, add = universal(MINIMA, seed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band_no = mix(np.arange(1, BANDS + 1, dtype=U))
-        for batch in batches:
-            first = np.sort(np.unique(batch.column(0).to_numpy(), return_index=True)[1])
-            batch = batch.take(pa.array(first))
-            size, keys, small = [], [], []
-            for i, j, flat, at in shingle_hashes(batch.column(2), shingle):
-                size.append(np.diff(at))
-                minima = np.empty((j - i, MINIMA), U)
-                buffer = np.empty_like(flat)
-                for h in range(MINIMA):
-                    np.multiply(flat, mult[h], out=buffer)
-                    buffer += add[h]
-                    minima[:, h] = np.minimum.reduceat(buffer, at[:-1])
-                band = np.broadcast_to(band_no, (j - i, BANDS)).copy()
-                for r in range(ROWS):
-                    band = mix(band ^ minima[:, r : ROWS * BANDS : ROWS]) * U(0x9E3779B97F4A7C15)
-                keys.append(band.view(np.int64))
-                small.append((mix(minima) & U(0xFF)).astype(np.uint8))
-            if not size:
-                continue
-            band = np.concatenate(keys)
-            offsets = pa.array(np.arange(len(band) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:2],
-                    pa.array(np.concatenate(size), pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(band.ravel())),
-                    pa.array([r.tobytes() for r in np.concatenate(small)], pa.binary()),
-                ],
-                ["node", "doc", "n", "bands", "sig"],
-            )
-
-    rows = lines.select(F.col("k1").alias("node"), "doc", "line")
-    return rows.mapInArrow(run, "node long, doc long, n long, bands array<long>, sig binary")
-
-
-def read_lines(shingle: int = SHINGLE) -> Callable[[dict[str, pa.ChunkedArray]], list[np.ndarray]]:
-    """A function that makes shingle sets of rows that carry their line."""
-
-    def read(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
-        lines = cols["payload"].combine_chunks()
-        return [
-            np.unique(flat[a:b]).view(np.int64)
-            for _, _, flat, at in shingle_hashes(lines, shingle)
-            for a, b in zip(at[:-1], at[1:], strict=True)
-        ]
-
-    return read
-
-
-def line_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
-) -> DataFrame:
-    """Components of distinct lines: (k1, part) of those linked, by a line's hash.
+    each = each.withColumn("line", _trimmed(F.col("line"))).where("line != ''")
+    return each.withColumn("node", F.xxhash64("line"))
+
+
+def _starts(chars: Column, shingle: int) -> Column:
+    """Places (from 1) of the shingles in UTF-32 bytes; a shorter line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chars) - F.lit(4 * shingle - 1)), F.lit(4))
+
+
+def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
+    """``(key, node, sketch)``, a row for each band of each of ``lines(node, line)``.
 
-    Lines that share a band and whose signatures agree loosely are joined into clusters;
-    inside these, whole shingle sets are compared in blocks, as for documents.
+    The functions are rotations of one 64-bit hash xor a random mask: an order by a number's
+    first bits, and each rotation brings other bits to the front. A part without shingles
+    gives no band. If ``lines`` is dealt by node, nothing here is shuffled.
     """
-    session(docs)
-    lines = _lines(docs, id_col, text_col)
-    signed = materialise(signatures(lines, shingle=shingle), "lines")
-    flat = signed.select("node", F.explode("bands").alias("key"))
-    met = flat.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
-    met = met.where("low < high").select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    # the buckets that several lines share are few: hashing them spares sorting every key
-    met = materialise(met, "buckets").hint("shuffle_hash")
-    members = materialise(flat.join(met, "key").distinct(), "members")
-    info = signed.join(members.select("node").distinct(), "node").groupBy("node").agg(
-        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    masks = np.random.default_rng(seed).integers(0, 1 << 62, MINIMA).tolist()
+    chars = lines.select("node", F.encode("line", "UTF-32").alias("chars"))
+    each = chars.select("node", "chars", F.explode(_starts(F.col("chars"), shingle)).alias("at"))
+    h = F.col("h")
+    each = each.select("node", F.xxhash64(F.substring("chars", F.col("at"), F.lit(4 * shingle))).alias("h"))
+
+    def order(i: int) -> Column:
+        turned = h if not i else F.shiftleft(h, 7 * i).bitwiseOR(F.shiftrightunsigned(h, 64 - 7 * i))
+        return turned.bitwiseXOR(F.lit(masks[i]))
+
+    part = h.bitwiseAND(F.lit(PARTS - 1)).alias("part")
+    least = each.groupBy("node", part).agg(*[F.min(order(i)).alias(f"m{i}") for i in range(MINIMA)])
+    bands = MINIMA // ROWS
+    lanes = F.lit(0).cast("long")
+    for i in range(LANES // PARTS):
+        lane = F.shiftrightunsigned(f"m{i}", 31).bitwiseAND(F.lit(3))
+        lanes = lanes.bitwiseOR(F.shiftleft(lane, 2 * i))
+    keys = [F.xxhash64("part", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(bands)]
+    least = least.select("node", "part", lanes.alias("lanes"), *keys)
+    width = 2 * LANES // PARTS
+    shifted = F.lit(0).cast("long")
+    for p in range(PARTS):
+        shifted = F.when(F.col("part") == p, F.shiftleft("lanes", width * p)).otherwise(shifted)
+    named = [F.max(F.when(F.col("part") == p, F.col(f"k{b}"))).alias(f"k{p}_{b}") for p in range(PARTS) for b in range(bands)]
+    whole = least.groupBy("node").agg(F.bit_or(shifted).alias("sketch"), *named)
+    every = F.array(*[f"k{p}_{b}" for p in range(PARTS) for b in range(bands)])
+    return whole.select(F.explode(every).alias("key"), "node", "sketch").where("key is not null")
+
+
+def _members(lines: DataFrame, shingle: int, least: int) -> DataFrame:
+    """Lines of the buckets that several lines share: (key, node, sketch, pivot, size, near).
+
+    pivot is the bucket's least node; near tells whether the sketches of both agree.
+    """
+    keys = band_keys(lines, shingle)
+    # the sum and the join read one shuffle, of 36 bytes a band
+    dealt = keys.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    shared = dealt.groupBy("key").agg(
+        F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("sketch", "node").alias("pivot_sketch"), F.count("*").alias("size")
     )
-    info = materialise(info, "signatures")
-    loose = bucket_links(members, info.select("node", "sig"), LOOSE)
-    placed = place(components(loose).withColumnRenamed("component", "cluster"), info.select("node", "n"))
-    placed = placed.join(info.select("node", "doc"), "node")
-    # neither side is bounded, so this is one shuffle of the lines at any size
-    a, b = lines.alias("a"), placed.hint("shuffle_hash").alias("b")
-    near = a.join(b, (F.col("a.k1") == F.col("b.node")) & (F.col("a.doc") == F.col("b.doc")))
-    near = near.select("b.node", "b.cluster", "b.blocks", F.col("a.line").alias("payload")).dropDuplicates(["node"])
-    found = resolve(materialise(near, "near-lines"), read_lines(shingle), percent)
-    return materialise(found.select(F.col("node").alias("k1"), F.col("component").alias("part")), "groups")
-
-
-def duplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    shared = shared.where("pivot < last").drop("last")
+    met = dealt.join(shared.hint("shuffle_hash"), "key")
+    return met.select("key", "node", "sketch", "pivot", "size", (agreement("sketch", "pivot_sketch") >= least).alias("near"))
+
+
+def _shingles(line: str, shingle: int) -> Column:
+    """Hashes of the line's distinct shingles."""
+    one = lambda chars: F.transform(
+        _starts(chars, shingle), lambda at: F.xxhash64(F.substring(chars, at, F.lit(4 * shingle)))
+    )
+    # the outer lambda holds the encoded line, which is else encoded for every shingle
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), one)))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Exact overlaps of ``pairs(u, v, star)``: sizes of both sets, the shingles that only u
+    has (more) and that only v has (less), and whether both are linked."""
+    right = materialise(lines.join(pairs.select(F.col("v").alias("node")).distinct(), "node").select("node", "line"), "pivot-lines")
+    # both sides are shuffled, so that a pivot of very many pairs is split
+    met = pairs.join(right.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
+    met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
+    met = met.select("u", "v", "star", _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
+    met = met.select(
+        "u", "v", "star", F.size("a").alias("nu"), F.size("b").alias("nv"), F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less")
+    )
+    common = F.col("nu") - F.size("more")
+    out = materialise(met.withColumn("linked", 100 * common >= percent * (F.col("nv") + F.size("more"))), "verified")
+    release(right)
+    return out
+
+
+def _missed(verified: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links ``(u, v)`` between lines compared with one pivot, at least one of them not in
+    the pivot's component.
+
+    Both sets are known by how they differ from the pivot's, so the overlap is exact:
+    the pivot's shingles without those that either lacks, and what both have besides.
+    Only links come out of the join, and sizes alone refuse most pairs.
+    """
+    part = found.select("node", "component")
+    of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+    star = verified.where("star").select("u", "v", "nu", "nv", "more", "less").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
+    star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
+    some = star.where("out").select("v").distinct()
+    a, b = star.where("out").alias("a"), star.join(some, "v", "left_semi").alias("b")
+    size = lambda c: F.size(F.col(c))
+    base = F.col("a.nv") - size("a.less") - size("b.less")
+
+    def enough(shared: Column) -> Column:
+        common = base + shared
+        return 100 * common >= percent * (F.col("a.nu") + F.col("b.nu") - common)
+
+    most = F.least(size("a.more"), size("b.more")) + F.least(size("a.less"), size("b.less"))
+    shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
+    on = (F.col("a.v") == F.col("b.v")) & (F.col("a.u_part") != F.col("b.u_part"))
+    on = on & (~F.col("b.out") | (F.col("a.u") < F.col("b.u"))) & enough(most) & enough(shared)
+    links = materialise(a.join(b, on).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct(), "missed")
+    release(star)
+    return links
+
+
+def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """Components ``(node, component)`` of linked ``lines(node, line)``, one row a line,
+    dealt by node.
+
+    1. Lines that share a band are a bucket; its least node is its pivot. Lines whose
+       sketch agrees with the pivot's are compared with it: no more pairs than members.
+    2. A line that does not agree with the pivot is compared with the members whose sketch
+       agrees with its own. The sketches are compared inside the join.
+    3. Whole sets are compared. Two lines that were compared with one pivot and are not in
+       one component are then compared by how they differ from the pivot.
+
+    So each pair that shares a band and agrees by its sketch is compared, or was joined before.
+    """
+    least = least_agreement(percent)
+    members = materialise(_members(lines, shingle, least), "members")
+    star = members.where("near and node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"), F.lit(True).alias("star"))
+    a, b = members.where("not near and size > 2").alias("a"), members.where("size > 2 and node != pivot").alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.near") | (F.col("a.node") < F.col("b.node")))
+    rest = a.join(b, on & (F.col("a.node") != F.col("b.node")) & (agreement("a.sketch", "b.sketch") >= least))
+    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.lit(False).alias("star"))
+    pairs = star.unionByName(rest).groupBy("u", "v").agg(F.max("star").alias("star"))
+    pairs = materialise(pairs, "pairs")
+    release(members)
+    verified = _verified(pairs, lines, percent, shingle)
+    links = verified.where("linked").select("u", "v")
+    found = components(links)
+    missed = _missed(verified, found, percent)
+    if not missed.isEmpty():
+        found = components(links.unionByName(missed))
+    release(pairs)
+    return found
+
+
+def kept_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
 ) -> DataFrame:
-    """(doc, numbers, gone): by document, the numbers (from 0) of the lines to remove, and
-    the hashes ``xxhash64(number, k1)`` that name them."""
-    groups = line_groups(docs, id_col, text_col, shingle=shingle)
-    lines = _lines(docs, id_col, text_col).select("doc", "pos", "k1", "k2")
-    # lines of one component, or else of one text, stand for each other
-    part = F.when(F.col("part").isNull(), F.struct("k1", "k2")).otherwise(F.struct(F.col("part").alias("k1"), F.lit(None).cast("long").alias("k2")))
-    named = lines.join(groups, ["k1"], "left")
-    named = materialise(named.select("doc", "pos", F.col("k1").alias("h"), part.alias("part")).select("doc", "pos", "h", "part.*"), "named")
-    first = named.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialise(first.select("k1", "k2", "first"), "first-docs")
-    same = named.k1.eqNullSafe(first.k1) & named.k2.eqNullSafe(first.k2)
-    met = materialise(named.join(first, same).select("doc", "pos", "h", named.k1, named.k2, "first"), "repeated")
-    keep = met.where("doc = first").groupBy("doc", "k1", "k2").agg(F.min("pos").alias("keep"))
-    keep = materialise(keep, "kept")
-    here = (met.doc == keep.doc) & met.k1.eqNullSafe(keep.k1) & met.k2.eqNullSafe(keep.k2)
-    gone = met.join(keep, here, "left").where("keep is null or pos != keep").select(met.doc, "pos", "h")
-    return materialise(
-        gone.groupBy("doc").agg(
-            F.array_sort(F.collect_set("pos")).alias("numbers"), F.collect_set(F.xxhash64("pos", "h")).alias("gone")
-        ),
-        "gone",
+    """(doc, kept): by document, the lines that stay, named ``number:hash``."""
+    lines = _lines(docs, id_col, text_col)
+    # summed in each task before the shuffle, so a very common line is moved once a task
+    lines = lines.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.min("line").alias("line"))
+    lines = materialise_buckets(lines, "lines", "node")
+    found = line_groups(lines.select("node", "line"), percent, shingle)
+    firsts = lines.select("node", "first").join(found, "node", "left")
+    place = F.struct(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "node")
+    grouped = firsts.where("component is not null").groupBy("component").agg(F.min(place).alias("place")).select("place.*")
+    alone = firsts.where("component is null").select(place.alias("place")).select("place.*")
+    names = F.collect_list(F.concat_ws(":", "pos", "node"))
+    kept = materialise(alone.unionByName(grouped).groupBy("doc").agg(names.alias("kept")), "kept")
+    release(lines)
+    return kept
+
+
+def _names(text: Column) -> Column:
+    """By line of a text, ``number:hash`` of lines that are not blank, else null."""
+    return F.transform(
+        F.split(text, "\n"), lambda x, i: F.when(_trimmed(x) != "", F.concat_ws(":", i, F.xxhash64(_trimmed(x))))
     )
 
 
 def dedupe_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
 ) -> DataFrame:
     """``docs`` with one line kept of each group of near-equal lines; all columns stay.
 
     Lines are parts between line feeds, compared without outer blanks; two are linked if
-    the sets of their ``shingle``-character shingles have a similarity of 0.8 or more, and of each
-    connected component the first line (least id, then number) stays. Blank lines stay.
-    A document may lose all its lines: its text is then empty. Rows with a null text or a
-    null id stay as they are and take no part. Rows with an equal id count as one
-    document: a line is removed from each where it is not the first. An empty table stays
-    empty; a text without line feeds is one line, however long.
+    the sets of their ``shingle``-character shingles have a similarity of ``percent`` or
+    more, and of each connected component the first line (least id, then number) stays.
+    Blank lines stay. A document may lose all its lines: its text is then empty. Rows with
+    a null text or a null id stay as they are and take no part. Rows with an equal id
+    count as one document: a line is removed from each where it is not the first. Ids may
+    be of any type that can be ordered. An empty table stays empty; a text without line
+    feeds is one line, however long. Lines are known by 64-bit hashes.
     """
-    gone = duplicate_lines(docs, id_col, text_col, shingle).select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
-    met = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    kept = F.filter(
-        F.split(F.col(text_col), "\n"),
-        lambda x, i: ~F.array_contains(F.col("__gone"), F.xxhash64(i, F.xxhash64(F.btrim(x, F.lit(" \t\r"))))),
+    kept = kept_lines(docs, id_col, text_col, percent, shingle)
+    kept = kept.select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
+    met = docs.join(kept, F.col(id_col) == F.col("__doc"), "left")
+    text = F.col(text_col).cast("string")
+    stays = F.coalesce("__kept", F.array().cast("array<string>"))
+    rest = F.filter(
+        F.arrays_zip(F.split(text, "\n").alias("line"), _names(text).alias("name")),
+        lambda x: x["name"].isNull() | F.array_contains(stays, x["name"]),
     )
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept))
-    return met.withColumn(text_col, text).select(*docs.columns)
+    new = F.when(F.col(id_col).isNull() | text.isNull(), text).otherwise(F.concat_ws("\n", F.transform(rest, lambda x: x["line"])))
+    return met.withColumn(text_col, new).select(*docs.columns)
 
 
 def line_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
 ) -> DataFrame:
-    """Per input row: doc_id, n_lines, n_removed and removed (line numbers, comma-joined)."""
-    gone = duplicate_lines(docs, id_col, text_col, shingle).select("doc", "numbers")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_lines.alias("n_lines"))
-    met = rows.join(gone, rows.doc_id == gone.doc, "left")
-    return met.select(
-        "doc_id",
-        "n_lines",
-        F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.transform("numbers", lambda n: n.cast("string")), ","), F.lit("")).alias("removed"),
+    """Per input row: doc_id, n_lines, n_removed and removed (line numbers, comma-joined).
+
+    Groups and odd rows are as in ``dedupe_lines``; a null text has no lines, and of a row
+    with a null id none is removed."""
+    kept = kept_lines(docs, id_col, text_col, percent, shingle)
+    text = F.col(text_col).cast("string")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_lines.alias("n_lines"), F.filter(_names(text), lambda x: x.isNotNull()).alias("names"))
+    met = rows.join(kept, rows.doc_id == kept.doc, "left")
+    gone = F.array_except("names", F.coalesce("kept", F.array().cast("array<string>")))
+    gone = F.when(F.col("doc_id").isNotNull() & F.col("names").isNotNull(), gone).otherwise(F.array().cast("array<string>"))
+    numbers = F.transform("gone", lambda x: F.substring_index(x, ":", 1))
+    return met.withColumn("gone", gone).select(
+        "doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(numbers, ",").alias("removed")
     )

@@ -6,7 +6,9 @@ Lineage is cut with Parquet tables in the shared folder that the cluster names i
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,24 +53,60 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
+    """The cluster's checkpoint folder; one of our own only on a local master, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared folder, deleted at the latest when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/cutpoint/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and return that table.
 
-    The table goes when the application ends. Its rows are fixed from then on, whatever
-    executors are lost later.
+    The table goes by ``release`` or when the application ends. Its rows are fixed from
+    then on, whatever executors are lost later.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cutpoint/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cutpoint_path = path
+    return table
+
+
+def materialise_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialise``, dealt to as many buckets by ``key`` as a shuffle has partitions:
+    joins and sums by ``key`` then need no shuffle of this table."""
+    spark = df.sparkSession
+    path, table = _new_path(spark, name), f"cutpoint_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.cutpoint_path, out.cutpoint_table = path, table
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again, and let Spark delete
+    the shuffle files of plans that are gone."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        if name := getattr(t, "cutpoint_table", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        where = context._jvm.org.apache.hadoop.fs.Path(t.cutpoint_path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def crc_fold(id_col: str) -> F.Column:

@@ -75,7 +75,7 @@ def cut(texts, window):
     return [(len(w), len(g), hashlib.sha256(k.encode()).hexdigest()) for w, g, k in zip(words, gone, kept)]
 
 
-def lines_removed(docs, k=9):
+def lines_removed(docs, k=5):
     """Line numbers to remove, by doc id."""
     first, places = {}, []
     for doc, text in sorted((d, t) for d, t in docs if d is not None and t is not None):

@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash over character shingles, by DataFrame functions alone.
 
-Shingles become rows of a whole-stage-codegen aggregate (one hash each, nine minima), not
-elements of arrays under lambdas, which take ten times as long.
+Shingles become rows of a whole-stage-codegen aggregate (two hashes each, sixteen minima),
+not elements of arrays under lambdas, which take ten times as long.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from .components import components
 from .runtime import materialise, materialise_buckets, release
 
 #: Characters of a shingle, unless a caller names another number.
-SHINGLE = 5
+SHINGLE = 9
 #: Shingles are dealt to PARTS by their hash; each part has MINIMA minima, which make bands
-#: of ROWS: 12 bands in all. Two lines of similarity 0.8 share no band once in 5500.
-PARTS, MINIMA, ROWS = 4, 9, 3
-#: Lanes of a line's sketch: two bits of each of 8 minima of each part.
-LANES = 32
+#: of ROWS: 16 bands in all. Two lines of similarity 0.8 share no band once in 4600.
+PARTS, MINIMA, ROWS = 4, 16, 4
+#: Lanes of a line's sketch, two numbers of two bits for each of half of the minima.
+LANES = PARTS * MINIMA
 #: A pair is not compared if its sketches agree on fewer lanes than two lines at the
 #: threshold do but with this probability.
 LOSS = 2e-5
@@ -37,9 +37,12 @@ def least_agreement(percent: int) -> int:
 
 
 def agreement(a: str, b: str) -> Column:
-    """Lanes on which two sketches agree."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return F.lit(LANES) - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    """Lanes on which two sketches ``{a}1, {a}2`` and ``{b}1, {b}2`` agree."""
+    apart = F.lit(0)
+    for i in (1, 2):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return F.lit(LANES) - apart
 
 
 def _trimmed(line: Column) -> Column:
@@ -62,55 +65,63 @@ def _starts(chars: Column, shingle: int) -> Column:
 
 
 def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
-    """``(key, node, sketch)``, a row for each band of each of ``lines(node, line)``.
+    """``(key, node, sketch1, sketch2)``, a row for each band of each of ``lines(node, line)``.
 
-    The functions are rotations of one 64-bit hash xor a random mask: an order by a number's
-    first bits, and each rotation brings other bits to the front. A part without shingles
-    gives no band. If ``lines`` is dealt by node, nothing here is shuffled.
+    The functions are rotations of two 64-bit hashes xor a random mask: an order by a
+    number's first bits, and each rotation brings other bits to the front. A part without
+    shingles gives no band. If ``lines`` is dealt by node, nothing here is shuffled.
     """
     masks = np.random.default_rng(seed).integers(0, 1 << 62, MINIMA).tolist()
     chars = lines.select("node", F.encode("line", "UTF-32").alias("chars"))
     each = chars.select("node", "chars", F.explode(_starts(F.col("chars"), shingle)).alias("at"))
-    h = F.col("h")
-    each = each.select("node", F.xxhash64(F.substring("chars", F.col("at"), F.lit(4 * shingle))).alias("h"))
+    each = each.select("node", F.xxhash64(F.substring("chars", F.col("at"), F.lit(4 * shingle))).alias("h0"))
+    each = each.select("node", "h0", F.xxhash64("h0").alias("h1"))
+    half, step = MINIMA // 2, 128 // MINIMA
 
     def order(i: int) -> Column:
-        turned = h if not i else F.shiftleft(h, 7 * i).bitwiseOR(F.shiftrightunsigned(h, 64 - 7 * i))
+        h, turn = F.col(f"h{i // half}"), step * (i % half)
+        turned = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
         return turned.bitwiseXOR(F.lit(masks[i]))
 
-    part = h.bitwiseAND(F.lit(PARTS - 1)).alias("part")
+    part = F.col("h0").bitwiseAND(F.lit(PARTS - 1)).alias("part")
     least = each.groupBy("node", part).agg(*[F.min(order(i)).alias(f"m{i}") for i in range(MINIMA)])
+
+    def lanes(first: int) -> Column:
+        """Two middle bits (not those that name the part) of half of the minima, at the part's place."""
+        out = F.lit(0).cast("long")
+        for i in range(half):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"m{first + i}", 28).bitwiseAND(F.lit(3)), 2 * i))
+        place = F.lit(0).cast("long")
+        for p in range(PARTS):
+            place = F.when(F.col("part") == p, F.shiftleft(out, 2 * half * p)).otherwise(place)
+        return place
+
     bands = MINIMA // ROWS
-    lanes = F.lit(0).cast("long")
-    for i in range(LANES // PARTS):
-        lane = F.shiftrightunsigned(f"m{i}", 31).bitwiseAND(F.lit(3))
-        lanes = lanes.bitwiseOR(F.shiftleft(lane, 2 * i))
     keys = [F.xxhash64("part", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(bands)]
-    least = least.select("node", "part", lanes.alias("lanes"), *keys)
-    width = 2 * LANES // PARTS
-    shifted = F.lit(0).cast("long")
-    for p in range(PARTS):
-        shifted = F.when(F.col("part") == p, F.shiftleft("lanes", width * p)).otherwise(shifted)
+    least = least.select("node", "part", lanes(0).alias("s1"), lanes(half).alias("s2"), *keys)
     named = [F.max(F.when(F.col("part") == p, F.col(f"k{b}"))).alias(f"k{p}_{b}") for p in range(PARTS) for b in range(bands)]
-    whole = least.groupBy("node").agg(F.bit_or(shifted).alias("sketch"), *named)
+    whole = least.groupBy("node").agg(F.bit_or("s1").alias("sketch1"), F.bit_or("s2").alias("sketch2"), *named)
     every = F.array(*[f"k{p}_{b}" for p in range(PARTS) for b in range(bands)])
-    return whole.select(F.explode(every).alias("key"), "node", "sketch").where("key is not null")
+    return whole.select(F.explode(every).alias("key"), "node", "sketch1", "sketch2").where("key is not null")
 
 
 def _members(lines: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Lines of the buckets that several lines share: (key, node, sketch, pivot, size, near).
+    """Lines of the buckets that several lines share: (key, node, sketch1,
+    sketch2, pivot, size, near).
 
     pivot is the bucket's least node; near tells whether the sketches of both agree.
     """
     keys = band_keys(lines, shingle)
-    # the sum and the join read one shuffle, of 36 bytes a band
+    # the sum and the join read one shuffle
     dealt = keys.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     shared = dealt.groupBy("key").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("last"), F.min_by("sketch", "node").alias("pivot_sketch"), F.count("*").alias("size")
-    )
+        F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size"),
+        F.min_by("sketch1", "node").alias("first1"), F.min_by("sketch2", "node").alias("first2"),
+    )
     shared = shared.where("pivot < last").drop("last")
     met = dealt.join(shared.hint("shuffle_hash"), "key")
-    return met.select("key", "node", "sketch", "pivot", "size", (agreement("sketch", "pivot_sketch") >= least).alias("near"))
+    near = agreement("sketch", "first") >= least
+    return met.select("key", "node", "sketch1", "sketch2", "pivot", "size", near.alias("near"))
 
 
 def _shingles(line: str, shingle: int) -> Column:

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, session
+from .runtime import materialise, release, session
 from .words import U, Words, chunks, grams
 
+#: Windows of the passages of one automaton, about, and texts that one task streams through it.
+SHARD_WORDS, SHARD_TEXTS = 1 << 18, 20_000
+
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each window of words, the least hash among its runs of ``gram`` words.
@@ -80,12 +83,12 @@ def _digest(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Starts and hashes of the windows whose anchor recurs, for one copy of each text."""
+    """Starts, hashes and anchors of the windows whose anchor recurs, for one copy of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             recurring = batch.column(4)
-            starts, hashes = [], []
+            starts, hashes, picked = [], [], []
             for i, j, w in chunks(batch.column(3), "space", False):
                 for k in range(j - i):
                     h = w.hashes[w.offsets[k] : w.offsets[k + 1]]
@@ -96,13 +99,13 @@ def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     s = np.flatnonzero(known[at] == own)
                     starts.append(s.astype(np.int32))
                     hashes.append(grams(h, window)[s].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
-                ["k1", "k2", "copies", "text", "starts", "hashes"],
-            )
+                    picked.append(own[s].view(np.int64))
+            cols = [pa.array(starts, pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in (hashes, picked))]
+            names = ["k1", "k2", "copies", "text", "starts", "hashes", "anchors"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], names)
 
     return texts.mapInArrow(
-        run, "k1 long, k2 long, copies long, text string, starts array<int>, hashes array<long>"
+        run, "k1 long, k2 long, copies long, text string, starts array<int>, hashes array<long>, anchors array<long>"
     )
 
 
@@ -114,27 +117,114 @@ def passages(starts: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
         yield int(starts[a]), int(starts[b - 1]) + window
 
 
-def _cut(texts: DataFrame, window: int) -> DataFrame:
-    """One automaton for each shard of texts, holding every passage confirmed for any of
-    them; all texts of the shard stream through it and lose each occurrence."""
+class Passages:
+    """An Aho-Corasick automaton that locates what stands of recurring passages in a text.
+
+    A text may hold part of a passage, a window or more. Passages are therefore cut into
+    blocks of half a window: any window of a passage holds a whole block. The automaton
+    finds the blocks, and a block's place says where the rest of its passage would stand.
+    """
+
+    def __init__(self, found: list[np.ndarray], window: int) -> None:
+        self.window, self.block = window, (window + 1) // 2
+        self.words, ids = np.unique(np.concatenate([*found, np.zeros(0, U)]), return_inverse=True)
+        self.found = np.split(ids + 1, np.cumsum([len(p) for p in found])[:-1])
+        uses: dict[tuple, list[tuple[int, int]]] = {}
+        for n, p in enumerate(self.found):
+            for at in range(0, len(p) - self.block + 1, self.block):
+                uses.setdefault(tuple(p[at : at + self.block].tolist()), []).append((n, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, places in uses.items():
+            self.automaton.add_word(block, places)
+        if uses:
+            self.automaton.make_automaton()
+
+    def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the word spans that windows of the passages cover."""
+        covered = np.zeros(len(hashes) + 2, np.int32)
+        if len(hashes) >= self.window and len(self.automaton):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            text = np.where(self.words[at] == hashes, at + 1, 0)
+            reach: dict[tuple[int, int], int] = {}
+            for end, places in self.automaton.iter(tuple(text.tolist())):
+                place = end + 1 - self.block
+                for n, offset in places:
+                    base = place - offset
+                    if reach.get((n, base), -1) > place:
+                        continue
+                    p = self.found[n]
+                    low, high = max(0, base), min(len(text), base + len(p))
+                    differ = np.flatnonzero(text[low:high] != p[low - base : high - base]) + low
+                    k = int(np.searchsorted(differ, place))
+                    a = int(differ[k - 1]) + 1 if k else low
+                    b = int(differ[k]) if k < len(differ) else high
+                    reach[n, base] = b
+                    if b - a >= self.window:
+                        covered[a + 1] += 1
+                        covered[b + 1] -= 1
+        edge = np.diff((np.cumsum(covered) > 0).view(np.int8))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _patterns(texts: DataFrame, window: int) -> DataFrame:
+    """Word hashes of the passages of ``(shard, text, starts)``: one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, words = [], []
+            for i, j, w in chunks(batch.column(1), "space", False):
+                for k in range(j - i):
+                    h = w.hashes[w.offsets[k] : w.offsets[k + 1]]
+                    for a, b in passages(batch.column(2)[i + k].values.to_numpy(), window):
+                        shard.append(batch.column(0)[i + k].as_py())
+                        words.append(h[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(words, pa.binary())], ["shard", "words"])
+
+    return texts.mapInArrow(run, "shard long, words binary")
+
+
+def _located(dealt: DataFrame, window: int) -> DataFrame:
+    """Covered spans of the texts of ``(shard, salt, k1, k2, words, text)``, by shard and salt
+    sorted so that its passages (words) come before its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, waiting, automaton = None, [], None
+        for batch in batches:
+            k1, k2, starts, ends = [], [], [], []
+            key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            is_text = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                if key[i] != own:
+                    own, waiting, automaton = key[i], [], None
+                if not is_text[i]:
+                    waiting.append(np.frombuffer(batch.column(4)[i].as_py(), U))
+                    continue
+                if automaton is None:
+                    automaton, waiting = Passages(waiting, window), []
+                for _, _, w in chunks(batch.column(5).slice(i, 1), "space", False):
+                    a, b = automaton.spans(w.hashes)
+                    k1.append(batch.column(2)[i].as_py())
+                    k2.append(batch.column(3)[i].as_py())
+                    starts.append(a.astype(np.int32))
+                    ends.append(b.astype(np.int32))
+            cols = [*(pa.array(c, pa.int64()) for c in (k1, k2)), *(pa.array(c, pa.list_(pa.int32())) for c in (starts, ends))]
+            yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "starts", "ends"])
+
+    return dealt.mapInArrow(run, "k1 long, k2 long, starts array<int>, ends array<int>")
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """What is left of the texts of ``(k1, k2, text, starts, ends)`` without the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, sha, kept_text = [], [], []
             for i, j, w in chunks(batch.column(2), "space", False):
-                ids = np.unique(w.hashes, return_inverse=True)[1].astype(np.int64) + 1
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                for k in range(j - i):
-                    base = w.offsets[k]
-                    for a, b in passages(batch.column(3)[i + k].values.to_numpy(), window):
-                        automaton.add_word(tuple(ids[base + a : base + b].tolist()), b - a)
-                automaton.make_automaton()
                 for k in range(j - i):
                     a, b = w.offsets[k], w.offsets[k + 1]
                     step = np.zeros(b - a + 1, np.int32)
-                    for end, length in automaton.iter(tuple(ids[a:b].tolist())):
-                        step[end + 1 - length] += 1
-                        step[end + 1] -= 1
+                    np.add.at(step, batch.column(3)[i + k].values.to_numpy(), 1)
+                    np.add.at(step, batch.column(4)[i + k].values.to_numpy(), -1)
                     keep = np.cumsum(step[:-1]) == 0
                     rest = joined(w, a, b, keep)
                     removed.append(int((~keep).sum()))
@@ -156,10 +246,13 @@ def cut_passages(
     1. Every window's anchor is the least hash of its ``gram``-word runs; anchors that
        occur once in the corpus rule their windows out (about one anchor in 14 words).
     2. The other windows are confirmed by counting their hashes over all texts; copies of
-       a whole text count with their number but are worked on once.
-    3. Runs of confirmed windows are passages. Texts that have any are dealt to shards; a
-       shard's Aho-Corasick automaton (over word numbers) holds its texts' passages, and
-       its texts stream through to have every occurrence located and cut.
+       a whole text count with their number but are worked on once. Of each confirmed window
+       one place is kept; runs of such places are the passages, each confirmed window in one.
+    3. Passages are dealt to shards of about SHARD_WORDS words and compiled to an
+       Aho-Corasick automaton a shard. Each text with a recurring anchor streams through the
+       shards that hold a window with that anchor, whatever text its passage came from, and
+       its words to remove come from the matches alone. A shard that very many texts visit
+       is copied to several tasks.
 
     Returns per input row doc_id, n_words, n_removed, kept_sha256 (of the words kept,
     joined by one space) and kept_text (null where nothing was removed). Null texts have
@@ -181,7 +274,8 @@ def cut_passages(
     each = each.select("k1", "k2", "copies", "rep", F.col("z.anchors").alias("anchor"), F.col("z.times").alias("times"))
     again = each.groupBy("anchor").agg(F.sum(F.col("times") * F.col("copies")).alias("n"))
     again = materialise(again.where("n >= 2").select("anchor"), "anchors")
-    wanted = each.join(again, "anchor").groupBy("k1", "k2").agg(
+    seen = each.join(again, "anchor")
+    wanted = seen.groupBy("k1", "k2").agg(
         F.first("copies").alias("copies"), F.first("rep").alias("rep"), F.collect_list("anchor").alias("anchors")
     )
     wanted = materialise(wanted, "wanted")
@@ -191,14 +285,36 @@ def cut_passages(
     found = _windows(texts, window, gram).where(F.size("starts") > 0)
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "windows")
 
-    flat = found.select("row", "copies", F.explode(F.arrays_zip("starts", "hashes")).alias("z"))
-    flat = flat.select("row", "copies", F.col("z.starts").alias("start"), F.col("z.hashes").alias("hash"))
-    sure = flat.groupBy("hash").agg(F.sum("copies").alias("n")).where("n >= 2").select("hash")
-    sure = materialise(sure, "confirmed")
-    spots = flat.select("row", "start", "hash").join(sure, "hash").groupBy("row").agg(F.collect_list("start").alias("starts"))
-    spots = materialise(spots, "spots")
-    cut = found.select("row", "k1", "k2", "text").join(spots, "row").select("k1", "k2", "text", "starts")
-    cut = materialise(_cut(cut, window).dropDuplicates(["k1", "k2"]), "cut")
+    flat = found.select("row", "copies", F.explode(F.arrays_zip("starts", "hashes", "anchors")).alias("z"))
+    flat = flat.select("row", "copies", F.col("z.starts").alias("start"), F.col("z.hashes").alias("hash"), F.col("z.anchors").alias("anchor"))
+    sure = flat.groupBy("hash").agg(
+        F.sum("copies").alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("anchor").alias("anchor")
+    )
+    sure = materialise(sure.where("n >= 2").select("row", "start", "anchor"), "confirmed")
+    shards = max(1, -(-sure.count() // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
+    spots = sure.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    patterns = _patterns(found.join(spots, "row").select(shard, "text", spots["starts"]), window)
+
+    routes = sure.select("anchor", shard).distinct()
+    visits = wanted.select("k1", "k2", F.explode("anchors").alias("anchor")).join(routes, "anchor")
+    visits = materialise(visits.select("k1", "k2", "shard").distinct(), "visits")
+    salts = visits.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_TEXTS).cast("int").alias("salts"))
+    salts = materialise(salts, "salts")
+    salt = F.pmod(F.xxhash64("k1", "k2"), "salts").cast("int").alias("salt")
+    salted = visits.join(salts, "shard").select("k1", "k2", "shard", salt)
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    patterns = patterns.join(salts, "shard").select("shard", every, "words")
+    streams = found.select("k1", "k2", "text").join(salted, ["k1", "k2"])
+    dealt = patterns.unionByName(streams, allowMissingColumns=True).select("shard", "salt", "k1", "k2", "words", "text")
+    dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("words").isNull())
+    spans = _located(dealt, window).where(F.size("starts") > 0).groupBy("k1", "k2").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
+    )
+    spans = materialise(spans, "spans")
+    left = found.select("k1", "k2", "text").join(spans, ["k1", "k2"])
+    cut = materialise(_cut(left.select("k1", "k2", "text", "starts", "ends")).dropDuplicates(["k1", "k2"]), "cut")
+    release(one, again, wanted, found, sure, visits, salts, spans)
     return digests.select("doc_id", "k1", "k2", "n_words", "sha").join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         "n_words",

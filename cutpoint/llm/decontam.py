@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import session
+from .runtime import materialise, session
 from .words import U, chunks
 
 #: Words of a shard, about; one longer document is a shard of its own.
@@ -90,33 +91,86 @@ def bound(
 
 @dataclass
 class Tests:
-    """All test words, with the suffixes to search: place, words compared, item, words left."""
+    """All test words, each item's followed by a zero, with what is searched for.
+
+    Distinct windows: a place and a width, and the items that hold each (``items`` between
+    ``item_cut``). Suffixes: ``order`` sorts the places of all words, ``left`` counts the
+    words from a place to its item's end, ``item`` names the item of a place.
+    """
 
     words: np.ndarray
     at: np.ndarray
     width: np.ndarray
-    item: np.ndarray
+    items: np.ndarray
+    item_cut: np.ndarray
+    order: np.ndarray
     left: np.ndarray
+    item: np.ndarray
     ids: list[str | None]
 
     @classmethod
     def of(cls, ids: list[str | None], texts: list[str | None], window: int) -> Tests:
-        words, at, width, item, left = [np.zeros(0, U)], [], [], [], []
+        words, at, width, item, left, place_item = [], [], [], [], [], []
         total = 0
         for i, j, w in chunks(pa.array(texts, pa.large_string()), "alnum", True):
             for k in range(i, j):
                 h = w.hashes[w.offsets[k - i] : w.offsets[k - i + 1]]
                 if not len(h):
                     continue
-                places = np.arange(max(1, len(h) - window + 1))
+                n = min(window, len(h))
+                places = np.arange(len(h) - n + 1)
                 at.append(total + places)
-                width.append(np.full(len(places), min(window, len(h))))
+                width.append(np.full(len(places), n))
                 item.append(np.full(len(places), k))
-                left.append(len(h) - places)
-                words.append(h)
-                total += len(h)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return cls(np.concatenate(words), cat(at), cat(width), cat(item), cat(left), ids)
+                words += [h, np.zeros(1, U)]
+                left.append(np.arange(len(h), -1, -1))
+                place_item.append(np.full(len(h) + 1, k))
+                total += len(h) + 1
+        cat = lambda x, kind=np.int64: np.concatenate([np.zeros(0, kind), *x])
+        words, at, width, item, left = cat(words, U), cat(at), cat(width), cat(item), cat(left)
+        order = suffix_array(words, int(left.max(initial=0))) if len(words) else np.zeros(0, np.int64)
+        order = order[left[order] > 0]
+        longest = int(left.max(initial=0))
+        padded = np.append(words, np.zeros(longest + 1, U))
+        # equal windows stand together in the order: the first of each stands for all
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.lexsort((rank[at], width)) if len(at) else at
+        at, width, item = at[by], width[by], item[by]
+        new = np.ones(len(at), bool)
+        if len(at):
+            same = width[1:] == width[:-1]
+            for d in range(window):
+                same &= (d >= width[1:]) | (padded[at[1:] + d] == padded[at[:-1] + d])
+            new[1:] = ~same
+        which = np.cumsum(new) - 1
+        held = np.unique(np.stack([which, item], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        cut = np.searchsorted(held[:, 0], np.arange(int(new.sum()) + 1))
+        return cls(padded, at[new], width[new], held[:, 1], cut, order, left, cat(place_item), ids)
+
+
+def _gather(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``count`` of them."""
+    return np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def longest_matches(x: np.ndarray, place: np.ndarray, room: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """By place in ``x``: the most words (``room`` at most) that follow in any item too, and
+    one test place where they stand. It is next to where the suffix would be inserted."""
+    at = bound(tests.words, tests.order, x, place, room, False)
+    best, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    for step in (0, -1):
+        near = tests.order[np.clip(at + step, 0, len(tests.order) - 1)]
+        most = np.minimum(room, tests.left[near])
+        length = np.zeros(len(place), np.int64)
+        live = np.flatnonzero(most > 0)
+        while len(live):
+            live = live[x[place[live] + length[live]] == tests.words[near[live] + length[live]]]
+            length[live] += 1
+            live = live[length[live] < most[live]]
+        more = length > best
+        best, where = np.where(more, length, best), np.where(more, near, where)
+    return best, where
 
 
 def search(docs: list[np.ndarray], tests: Tests) -> list[tuple]:
@@ -128,50 +182,46 @@ def search(docs: list[np.ndarray], tests: Tests) -> list[tuple]:
     x = np.zeros(n + longest + 1, U)
     for b, d in zip(begin, docs, strict=True):
         x[b : b + len(d)] = d
-    nothing = [((), (), (), 0, None, None)] * len(docs)
+    out: list[tuple] = [((), (), (), 0, None, None)] * len(docs)
     if not len(tests.at) or not sizes.sum():
-        return nothing
-    order = suffix_array(x[:n], longest)
+        return out
+    order = suffix_array(x[:n], int(tests.width.max()))
     low = bound(x, order, tests.words, tests.at, tests.width, False)
-    high = bound(x, order, tests.words, tests.at, tests.width, True)
-    count = high - low
+    count = bound(x, order, tests.words, tests.at, tests.width, True) - low
     if not count.sum():
-        return nothing
+        return out
     which = np.repeat(np.arange(len(count)), count)
-    place = order[np.repeat(low, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
-    length = tests.width[which].copy()
-    live = np.flatnonzero(length < tests.left[which])
-    while len(live):  # on to the longest verbatim match from each place
-        same = x[place[live] + length[live]] == tests.words[tests.at[which[live]] + length[live]]
-        live = live[same]
-        length[live] += 1
-        live = live[length[live] < tests.left[which[live]]]
+    place = order[_gather(low, count)]
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, place, 1)
     np.add.at(step, place + tests.width[which], -1)
     covered = np.cumsum(step)[:n] > 0
     edge = np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc = np.searchsorted(begin, place, "right") - 1
     span_doc = np.searchsorted(begin, starts, "right") - 1
-    pairs = np.unique(np.stack([doc, tests.item[which]], 1), axis=0)
-    best = np.lexsort((place, -length, doc))
+    spots = np.unique(place)
+    doc = np.searchsorted(begin, spots, "right") - 1
+    length, where = longest_matches(x, spots, np.minimum(begin[doc] + sizes[doc] - spots, longest), tests)
+    best = np.lexsort((spots, -length, doc))
     first = best[np.append(True, doc[best][1:] != doc[best][:-1])]
-    out = list(nothing)
+    # a window that very many items share is found once, and its items are read by document
+    pairs = np.unique(np.stack([np.searchsorted(begin, place, "right") - 1, which], 1), axis=0)
     cut = np.searchsorted(span_doc, np.arange(len(docs) + 1))
-    item_cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1))
+    pair_cut = np.searchsorted(pairs[:, 0], np.arange(len(docs) + 1))
     for f in first:
         k = doc[f]
         s = slice(cut[k], cut[k + 1])
-        found = {tests.ids[i] for i in pairs[item_cut[k] : item_cut[k + 1], 1]} - {None}
+        own = pairs[pair_cut[k] : pair_cut[k + 1], 1]
+        held = np.unique(tests.items[_gather(tests.item_cut[own], tests.item_cut[own + 1] - tests.item_cut[own])])
+        found = {tests.ids[i] for i in held} - {None}
         out[k] = (
             (starts[s] - begin[k]).tolist(), (ends[s] - begin[k]).tolist(), sorted(found),
-            int(length[f]), tests.ids[tests.item[which[f]]], int(place[f] - begin[k]),
+            int(length[f]), tests.ids[tests.item[where[f]]], int(spots[f] - begin[k]),
         )
     return out
 
 
-def _pass(rows: DataFrame, tests: Tests, out: str) -> DataFrame:
+def _pass(rows: DataFrame, tests: Tests, out: str) -> tuple[DataFrame, Broadcast]:
     sent = rows.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +250,7 @@ def _pass(rows: DataFrame, tests: Tests, out: str) -> DataFrame:
         if words:
             yield flush()
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, out), sent
 
 
 TYPES = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
@@ -226,9 +276,11 @@ def contamination(
     longest match; 0 without hit), longest_item and longest_at (its item, its first word).
 
     Items are broadcast only up to ``pass_bytes`` of text; more items are searched in
-    further passes over the documents, whose spans are then united. Null texts and items
-    have no words; an item with a null id hits words but is not listed; items of an equal
-    id count once; an empty benchmark hits nothing; other columns are not read.
+    further passes over the documents, one after the other, so that driver and workers
+    hold one pass's items at a time, and the spans are then united. Equal windows of items
+    are searched once. Null texts and items have no words; an item with a null id hits
+    words but is not listed; items of an equal id count once; an empty benchmark hits
+    nothing; other columns are not read. Of several longest matches the first counts.
     """
     session(docs)
     rows = docs.select(
@@ -236,33 +288,34 @@ def contamination(
     )
     out = OUT.format(id=docs.schema[id_col].dataType.simpleString())
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = items.distinct()
+    size = items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     passes = -(-size // pass_bytes) or 1
     parts = []
     for p in range(passes):
         chunk = items if passes == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p)
         got = chunk.collect()  # about pass_bytes of text
-        parts.append(_pass(rows, Tests.of([r.id for r in got], [r.text for r in got], window), out))
+        found, sent = _pass(rows, Tests.of([r.id for r in got], [r.text for r in got], window), out)
+        if passes > 1:
+            # the first pass names all rows, the others those with a hit
+            found = materialise(found if not p else found.where(F.size("starts") > 0), "pass")
+            sent.destroy()
+        parts.append(found)
     covered = F.aggregate(
         F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda acc, s: acc + s["ends"] - s["starts"]
     )
-    if passes == 1:
-        met = parts[0].withColumn("n_hit", covered)
-    else:
-        met = _unite(parts, passes)
+    met = parts[0].withColumn("n_hit", covered) if passes == 1 else _unite(parts)
     return met.select("doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
 
 
-def _unite(parts: list[DataFrame], passes: int) -> DataFrame:
-    """One row per document row from the spans of several passes."""
-    every = parts[0]
+def _unite(parts: list[DataFrame]) -> DataFrame:
+    """One row per row of the first part, from the spans of all."""
+    every = parts[0].where(F.size("starts") > 0)
     for p in parts[1:]:
         every = every.unionByName(p)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     best = F.max_by(F.struct("longest", "longest_item", "longest_at"), F.struct("longest", -F.col("longest_at")))
-    one = every.groupBy("doc_id", "text_key").agg(
-        F.count("*").alias("rows"),
-        F.first("n_words").alias("n_words"),
+    one = every.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
         spans.alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         best.alias("best"),
@@ -276,6 +329,13 @@ def _unite(parts: list[DataFrame], passes: int) -> DataFrame:
             F.greatest(acc["to"], s["ends"]).alias("to"),
         ),
     )
-    one = one.withColumn("n_hit", union["n"]).select("*", "best.*")
-    again = F.explode(F.sequence(F.lit(1), (F.col("rows") / passes).cast("int")))
-    return one.withColumn("again", again)
+    one = one.select("id", "key", union["n"].alias("hit"), "items", "best.*")
+    rows = parts[0].select("doc_id", "text_key", "n_words")
+    met = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    return met.withColumns(
+        {
+            "n_hit": F.coalesce("hit", F.lit(0).cast("long")),
+            "items": F.coalesce("items", F.array().cast("array<string>")),
+            "longest": F.coalesce("longest", F.lit(0)),
+        }
+    )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .runtime import materialise, release
 
@@ -64,3 +65,23 @@ def components(links: DataFrame) -> DataFrame:
     out = materialise(nodes.join(found, "node", "left").select("node", roots), "components")
     release(links, edges)
     return out
+
+
+def _whole(df: DataFrame, id_col: str) -> bool:
+    return isinstance(df.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType))
+
+
+def numbered(df: DataFrame, id_col: str) -> Column:
+    """The id as a long: itself if it is a whole number, else its 64-bit hash; null for null."""
+    col = F.col(id_col)
+    return col.cast("long") if _whole(df, id_col) else F.when(col.isNotNull(), F.xxhash64(col))
+
+
+def with_least(rows: DataFrame, component: Column, id_col: str) -> DataFrame:
+    """``rows`` with ``least``, the least id of the rows of each ``component``, which is named
+    by the least of ``numbered`` ids: for whole numbers, that id itself."""
+    if _whole(rows, id_col):
+        return rows.withColumn("least", component.cast(rows.schema[id_col].dataType))
+    rows = rows.withColumn("part", component)
+    least = rows.where("part is not null").groupBy("part").agg(F.min(id_col).alias("least"))
+    return rows.join(least, "part", "left")

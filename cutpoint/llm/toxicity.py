@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .components import numbered
 from .ngrams import buckets, text_chunks
 from .runtime import crc_fold, session
 
@@ -123,22 +125,28 @@ def train(
     """Fit on at most ``per_class`` labelled documents of each class (the documented bound).
 
     Taken are those with the least hash of the id among labelled rows whose crc32(id as
-    text) mod 4 is not 2. Shares of the classes are counted over all such rows and set the
+    text) mod 4 is not 2; an id with contradictory labels teaches nothing, and of repeated
+    rows of an id the least text counts. Shares of the classes are counted over all such rows and set the
     intercept. None if the training rows lack one of the two classes.
     """
     spark = session(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where("id is not null and y in (0, 1)").where(crc_fold("id") != 2)
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("id", "y")
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if len(count) < 2:
         return None
     chosen = []
     for y in (0, 1):
-        part = known.where(F.col("y") == y).groupBy("id", "y").agg(F.lit(1).alias("one"))
+        part = known.where(F.col("y") == y)
         chosen += part.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(per_class).collect()
-    ids = spark.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")
+    kind = labels.schema[id_col].dataType
+    ids = spark.createDataFrame([(r.id, r.y) for r in chosen], StructType([StructField("id", kind), StructField("y", IntegerType())]))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    picked = picked.join(F.broadcast(ids), "id").select("id", "text", "y")  # 2 * per_class ids
+    picked = picked.join(F.broadcast(ids), "id")  # 2 * per_class ids
+    # one row an id, so that repeated rows don't swell the sample
+    picked = picked.groupBy("id", "y").agg(F.min("text").alias("text"))
+    picked = picked.select(numbered(picked, "id").alias("id"), "text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

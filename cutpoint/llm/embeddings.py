@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .runtime import by_group, materialise, session
+from .components import components, numbered, with_least
+from .runtime import by_group, materialise, release, session
 
 #: Vectors that train the cells (the documented bound), cells at most, vectors a cell.
-SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 1024, 1024
+SAMPLE, MOST_CELLS, CELL_ROWS = 40_000, 4096, 1024
 #: Vectors of a block; two blocks are compared at once.
 BLOCK = 128
 
@@ -37,6 +38,26 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.n
     return centres
 
 
+def borders(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Home cell of each unit vector, and the others within ``reach`` of whose border it is.
+
+    Distances of centroids come from their cosines, for the home cells of a few vectors at
+    a time: no array is larger than those vectors times the centroids.
+    """
+    best, visits = np.zeros(len(x), np.int32), []
+    for a in range(0, len(x), 256):
+        part = x[a : a + 256]
+        cos = part @ centres.T
+        own = cos.argmax(1)
+        rows = np.arange(len(part))
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centres[own] @ centres.T)))
+        near = cos[rows, own][:, None] - cos <= reach * apart * (1 + 1e-9) + 1e-7
+        near[rows, own] = False
+        best[a : a + 256] = own
+        visits += [np.flatnonzero(n).astype(np.int32) for n in near]
+    return best, visits
+
+
 def _cells(reps: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
     """Home cell of each vector, and the other cells that it visits.
 
@@ -49,19 +70,14 @@ def _cells(reps: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
-        apart = np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) else np.zeros((0, 0))
         for batch in batches:
             rows = [np.array(v, np.float64) for v in batch.column(3).to_pylist()]
             home, visits = np.zeros(len(rows), np.int32), [np.zeros(0, np.int32)] * len(rows)
             same = [i for i, r in enumerate(rows) if len(c) and len(r) == c.shape[1]]
             if same:
-                cos = unit(np.stack([rows[i] for i in same])) @ c.T
-                best = cos.argmax(1)
-                gap = cos[np.arange(len(same)), best][:, None] - cos
-                near = gap <= reach * apart[best] * (1 + 1e-9) + 1e-9
-                near[np.arange(len(same)), best] = False
+                best, visited = borders(unit(np.stack([rows[i] for i in same])), c, reach)
                 for k, i in enumerate(same):
-                    home[i], visits[i] = best[k], np.flatnonzero(near[k]).astype(np.int32)
+                    home[i], visits[i] = best[k], visited[k]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:3],
@@ -74,7 +90,7 @@ def _cells(reps: DataFrame, centres: np.ndarray, reach: float) -> DataFrame:
             )
 
     return reps.mapInArrow(
-        run, "node long, label int, copies long, dim int, home int, visits array<int>, v binary"
+        run, "node long, label long, copies long, dim int, home int, visits array<int>, v binary"
     )
 
 
@@ -163,20 +179,22 @@ def near_vectors(
     visits each cell whose border is so near that a partner may lie behind it: no linked
     pair is missed. A cell is compared in pairs of blocks, in double precision.
 
-    Returns per input row vec_id (long), n_links (other vectors linked directly),
+    Returns per input row vec_id, n_links (other vectors linked directly),
     component_id (least id reachable) and kept (vec_id = component_id). Vectors that are
     null, empty, zero or hold null or non-finite components, and rows with a null label or
     id, link with nothing (a null id: component_id null, kept true). Vectors of different
     lengths do not link. Rows with an equal id are counted each and are one node for
-    components. Other columns are not read.
+    components. Ids and labels may be of any type that can be ordered; labels are equal as
+    their type has it. Other columns are not read.
     """
     session(vectors)
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), v.alias("v"))
+    label = F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), numbered(vectors, id_col).alias("id"), label.alias("label"), v.alias("v"))
     rows = rows.withColumn("good", good_of(rows) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumn("k1", F.xxhash64("label", "v")).withColumn("k2", F.xxhash64(F.lit(1), "label", "v"))
     reps = rows.where("good").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("node"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")
+        F.min("id").alias("node"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")
     )
     reps = materialise(reps, "vectors")
 
@@ -185,11 +203,11 @@ def near_vectors(
     if dims:
         place = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         sample = reps.where(F.size("v") == dims["dim"]).where(place < F.lit(SAMPLE / dims["count"]))
-        sample = sample.select("node", "v").collect()  # about SAMPLE vectors
-        sample.sort(key=lambda r: r.node)
+        sample = sample.select("node", "v").toArrow()  # about SAMPLE vectors
         k = min(MOST_CELLS, -(-dims["count"] // CELL_ROWS))
-        if sample:
-            centres = spherical_kmeans(unit(np.array([r.v for r in sample])), k, seed)
+        if sample.num_rows:
+            x = pa.compute.list_flatten(sample["v"]).to_numpy().reshape(sample.num_rows, -1)
+            centres = spherical_kmeans(unit(x[np.argsort(sample["node"].to_numpy(), kind="stable")]), k, seed)
     reach = float(np.sqrt(2 - 2 * cosine) / 2)
     cells = materialise(_cells(reps.select("node", "label", "copies", "v"), centres, reach), "cells")
 
@@ -243,8 +261,10 @@ def near_vectors(
         ),
         "named",
     )
-    met = rows.select("vec_id", "good", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
+    release(reps, cells, plan, out)
+    met = rows.select("vec_id", "id", "good", "k1", "k2").join(named, ["k1", "k2"], "left")
+    met = with_least(met, F.when(F.col("good"), F.col("component_id")), "vec_id")
+    component = F.when(F.col("good"), F.col("least")).otherwise(F.col("vec_id"))
     return met.select(
         "vec_id",
         F.when(F.col("good"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),

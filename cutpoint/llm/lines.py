@@ -6,45 +6,18 @@ not elements of arrays under lambdas, which take ten times as long.
 
 from __future__ import annotations
 
-from math import comb
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .runtime import materialise, materialise_buckets, release
+from .runtime import materialise, materialise_buckets, release, tidy
+from .stars import LANES, bucket_members, candidates, exact_components, least_agreement
 
 #: Characters of a shingle, unless a caller names another number.
 SHINGLE = 9
 #: Shingles are dealt to PARTS by their hash; each part has MINIMA minima, which make bands
 #: of ROWS: 16 bands in all. Two lines of similarity 0.8 share no band once in 4600.
 PARTS, MINIMA, ROWS = 4, 16, 4
-#: Lanes of a line's sketch, two numbers of two bits for each of half of the minima.
-LANES = PARTS * MINIMA
-#: A pair is not compared if its sketches agree on fewer lanes than two lines at the
-#: threshold do but with this probability.
-LOSS = 2e-5
-
-
-def least_agreement(percent: int) -> int:
-    """Lanes on which sketches agree at least, except with probability LOSS."""
-    p = percent / 100 + (1 - percent / 100) / 4
-    total, t = 0.0, 0
-    while (total := total + comb(LANES, t) * p**t * (1 - p) ** (LANES - t)) <= LOSS:
-        t += 1
-    return t
-
-
-def agreement(a: str, b: str) -> Column:
-    """Lanes on which two sketches ``{a}1, {a}2`` and ``{b}1, {b}2`` agree."""
-    apart = F.lit(0)
-    for i in (1, 2):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return F.lit(LANES) - apart
-
-
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
@@ -105,25 +78,6 @@ def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
     return whole.select(F.explode(every).alias("key"), "node", "sketch1", "sketch2").where("key is not null")
 
 
-def _members(lines: DataFrame, shingle: int, least: int) -> DataFrame:
-    """Lines of the buckets that several lines share: (key, node, sketch1,
-    sketch2, pivot, size, near).
-
-    pivot is the bucket's least node; near tells whether the sketches of both agree.
-    """
-    keys = band_keys(lines, shingle)
-    # the sum and the join read one shuffle
-    dealt = keys.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    shared = dealt.groupBy("key").agg(
-        F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size"),
-        F.min_by("sketch1", "node").alias("first1"), F.min_by("sketch2", "node").alias("first2"),
-    )
-    shared = shared.where("pivot < last").drop("last")
-    met = dealt.join(shared.hint("shuffle_hash"), "key")
-    near = agreement("sketch", "first") >= least
-    return met.select("key", "node", "sketch1", "sketch2", "pivot", "size", near.alias("near"))
-
-
 def _shingles(line: str, shingle: int) -> Column:
     """Hashes of the line's distinct shingles."""
     one = lambda chars: F.transform(
@@ -134,83 +88,36 @@ def _shingles(line: str, shingle: int) -> Column:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Exact overlaps of ``pairs(u, v, star)``: sizes of both sets, the shingles that only u
+    """``pairs(u, v, ...)`` with exact overlaps: sizes of both sets, the shingles that only u
     has (more) and that only v has (less), and whether both are linked."""
     right = materialise(lines.join(pairs.select(F.col("v").alias("node")).distinct(), "node").select("node", "line"), "pivot-lines")
     # both sides are shuffled, so that a pivot of very many pairs is split
     met = pairs.join(right.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
     met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
-    met = met.select("u", "v", "star", _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
-    met = met.select(
-        "u", "v", "star", F.size("a").alias("nu"), F.size("b").alias("nv"), F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less")
-    )
+    met = met.select(*pairs.columns, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
+    sizes = [F.size("a").alias("nu"), F.size("b").alias("nv")]
+    met = met.select(*pairs.columns, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
     common = F.col("nu") - F.size("more")
     out = materialise(met.withColumn("linked", 100 * common >= percent * (F.col("nv") + F.size("more"))), "verified")
     release(right)
     return out
 
 
-def _missed(verified: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links ``(u, v)`` between lines compared with one pivot, at least one of them not in
-    the pivot's component.
-
-    Both sets are known by how they differ from the pivot's, so the overlap is exact:
-    the pivot's shingles without those that either lacks, and what both have besides.
-    Only links come out of the join, and sizes alone refuse most pairs.
-    """
-    part = found.select("node", "component")
-    of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
-    star = verified.where("star").select("u", "v", "nu", "nv", "more", "less").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
-    star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
-    some = star.where("out").select("v").distinct()
-    a, b = star.where("out").alias("a"), star.join(some, "v", "left_semi").alias("b")
-    size = lambda c: F.size(F.col(c))
-    base = F.col("a.nv") - size("a.less") - size("b.less")
-
-    def enough(shared: Column) -> Column:
-        common = base + shared
-        return 100 * common >= percent * (F.col("a.nu") + F.col("b.nu") - common)
-
-    most = F.least(size("a.more"), size("b.more")) + F.least(size("a.less"), size("b.less"))
-    shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
-    on = (F.col("a.v") == F.col("b.v")) & (F.col("a.u_part") != F.col("b.u_part"))
-    on = on & (~F.col("b.out") | (F.col("a.u") < F.col("b.u"))) & enough(most) & enough(shared)
-    links = materialise(a.join(b, on).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct(), "missed")
-    release(star)
-    return links
-
-
 def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """Components ``(node, component)`` of linked ``lines(node, line)``, one row a line,
     dealt by node.
 
-    1. Lines that share a band are a bucket; its least node is its pivot. Lines whose
-       sketch agrees with the pivot's are compared with it: no more pairs than members.
-    2. A line that does not agree with the pivot is compared with the members whose sketch
-       agrees with its own. The sketches are compared inside the join.
-    3. Whole sets are compared. Two lines that were compared with one pivot and are not in
-       one component are then compared by how they differ from the pivot.
-
-    So each pair that shares a band and agrees by its sketch is compared, or was joined before.
+    Lines that share a band are a bucket. Those whose sketch agrees with that of the
+    bucket's pivot, or of another member, are compared with the pivot, and with each other
+    by how they differ from it: no more pairs than members are rows.
     """
     least = least_agreement(percent)
-    members = materialise(_members(lines, shingle, least), "members")
-    star = members.where("near and node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"), F.lit(True).alias("star"))
-    a, b = members.where("not near and size > 2").alias("a"), members.where("size > 2 and node != pivot").alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.near") | (F.col("a.node") < F.col("b.node")))
-    rest = a.join(b, on & (F.col("a.node") != F.col("b.node")) & (agreement("a.sketch", "b.sketch") >= least))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.lit(False).alias("star"))
-    pairs = star.unionByName(rest).groupBy("u", "v").agg(F.max("star").alias("star"))
-    pairs = materialise(pairs, "pairs")
+    members = materialise(bucket_members(band_keys(lines, shingle), least), "members")
+    pairs = materialise(candidates(members, least), "pairs")
     release(members)
     verified = _verified(pairs, lines, percent, shingle)
-    links = verified.where("linked").select("u", "v")
-    found = components(links)
-    missed = _missed(verified, found, percent)
-    if not missed.isEmpty():
-        found = components(links.unionByName(missed))
-    release(pairs)
+    found = exact_components(verified, percent)
+    release(pairs, verified)
     return found
 
 
@@ -222,6 +129,7 @@ def kept_lines(
     # summed in each task before the shuffle, so a very common line is moved once a task
     lines = lines.groupBy("node").agg(F.min(F.struct("doc", "pos")).alias("first"), F.min("line").alias("line"))
     lines = materialise_buckets(lines, "lines", "node")
+    tidy(docs.sparkSession)  # the texts' shuffle files
     found = line_groups(lines.select("node", "line"), percent, shingle)
     firsts = lines.select("node", "first").join(found, "node", "left")
     place = F.struct(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "node")

@@ -104,9 +104,15 @@ def release(*tables: DataFrame) -> None:
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         where = context._jvm.org.apache.hadoop.fs.Path(t.cutpoint_path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone, which it else does when
+    the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_fold(id_col: str) -> F.Column:

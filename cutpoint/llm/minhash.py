@@ -9,18 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .runtime import by_group, materialise, session
+from .components import numbered, with_least
+from .runtime import materialise, release, session
+from .stars import LANES, bucket_members, candidates, exact_components, least_agreement
 from .words import U, chunks, grams, mix, sequence_hash
 
 #: Six minima a band: two sets of similarity 0.8 share none of 48 bands once in two million.
 BANDS, ROWS = 48, 6
-#: Signature bytes of two such sets agree on 0.65 or more of 288 places but once in 10**9.
-LOOSE = 0.15
-#: Members compared at once: signatures in a bucket, and full sets in a cluster.
-BUCKET_BLOCK, SET_BLOCK = 1024, 96
-#: Shingles of a block of sets, about; one larger set is a block of its own.
-SET_ELEMENTS = 400_000
 
 
 def universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +70,8 @@ def _signatures(rows: DataFrame, k: int, bands: int, per: int, seed: int) -> Dat
                 for r in range(per):
                     band = mix(band ^ sig[:, r::per][:, :bands]) * U(0x9E3779B97F4A7C15)
                 keys.append(band.view(np.int64))
-                small.append((mix(sig) & U(0xFF)).astype(np.uint8))
+                lanes = (mix(sig[:, :LANES]) & U(3)) << (U(2) * (np.arange(LANES, dtype=U) % U(32)))
+                small.append(np.bitwise_or.reduce(lanes.reshape(len(sets), 2, 32), axis=2))
             if not size:
                 continue
             band = np.concatenate(keys)
@@ -87,209 +83,54 @@ def _signatures(rows: DataFrame, k: int, bands: int, per: int, seed: int) -> Dat
                     pa.array(np.concatenate(h1).view(np.int64)),
                     pa.array(np.concatenate(h2).view(np.int64)),
                     lists,
-                    pa.array([r.tobytes() for r in np.concatenate(small)], pa.binary()),
+                    *(pa.array(np.concatenate(small)[:, i].copy().view(np.int64)) for i in (0, 1)),
                 ],
-                ["doc_id", "n", "h1", "h2", "bands", "sig"],
+                ["id", "n", "h1", "h2", "bands", "sketch1", "sketch2"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
-
-
-def _links(u: list[int], v: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def loose_links(least: float):
-    """Links that join, in a bucket, all signatures that agree on ``least`` of their places.
-
-    Each member not yet joined is compared with one joined member after another, so a
-    bucket of n gives at most n - 1 links.
-    """
-
-    def fn(cols: dict[str, pa.ChunkedArray], starts: np.ndarray) -> pa.RecordBatch:
-        node = cols["node"].to_numpy()
-        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
-        need = int(np.ceil(least * sig.shape[1]))
-        u, v = [], []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            rest = np.arange(a, b)
-            while len(rest) > 1:
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
-                    x = queue.pop()
-                    near = (sig[rest] == sig[x]).sum(1) >= need
-                    met = rest[near]
-                    u += [int(node[x])] * len(met)
-                    v += node[met].tolist()
-                    queue += met.tolist()
-                    rest = rest[~near]
-        return _links(u, v)
-
-    return fn
-
-
-def stored_sets(cols: dict[str, pa.ChunkedArray]) -> list[np.ndarray]:
-    """The sets of rows that carry their elements."""
-    return [np.frombuffer(s, np.int64) for s in cols["payload"].to_pylist()]
-
-
-def _sets(cols: dict[str, pa.ChunkedArray], read) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Node, set sizes, set starts and elements (flat) of the rows."""
-    sets = read(cols)
-    n = np.array([len(s) for s in sets], np.int64)
-    return cols["node"].to_numpy(), n, np.cumsum(n) - n, np.concatenate(sets)
-
-
-def _overlaps(x: int, rest: np.ndarray, n, at, ids, mark) -> np.ndarray:
-    """Sizes of the intersections of set ``x`` with each set of ``rest``."""
-    mark[ids[at[x] : at[x] + n[x]]] = 1
-    take = np.repeat(at[rest], n[rest]) + np.arange(n[rest].sum()) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest])
-    common = np.add.reduceat(mark[ids[take]], np.cumsum(n[rest]) - n[rest])
-    mark[ids[at[x] : at[x] + n[x]]] = 0
-    return common
-
-
-def _similar(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * common >= percent * (a + b - common)
-
-
-def _within(percent: int, read):
-    """Links that join all members of a block whose full sets are similar enough."""
-
-    def fn(cols: dict[str, pa.ChunkedArray], starts: np.ndarray) -> pa.RecordBatch:
-        node, n, at, flat = _sets(cols, read)
-        u, v = [], []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a < 2:
-                continue
-            first = at[a]
-            ids = np.unique(flat[first : at[b - 1] + n[b - 1]], return_inverse=True)[1]
-            mark = np.zeros(ids.max() + 1, np.int32)
-            rest, own_at = np.arange(a, b), at - first
-            while len(rest) > 1:
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
-                    x = queue.pop()
-                    near = _similar(_overlaps(x, rest, n, own_at, ids, mark), n[x], n[rest], percent)
-                    met = rest[near]
-                    u += [int(node[x])] * len(met)
-                    v += node[met].tolist()
-                    queue += met.tolist()
-                    rest = rest[~near]
-        return _links(u, v)
-
-    return fn
-
-
-def _across(percent: int, read):
-    """Links between asking members and members of other components, one for each pair
-    of an asking member and a component."""
-
-    def fn(cols: dict[str, pa.ChunkedArray], starts: np.ndarray) -> pa.RecordBatch:
-        node, n, at, flat = _sets(cols, read)
-        asks = cols["asks"].to_numpy() != 0
-        part = cols["part"].to_numpy()
-        u, v = [], []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            first = at[a]
-            ids = np.unique(flat[first : at[b - 1] + n[b - 1]], return_inverse=True)[1]
-            mark = np.zeros(ids.max() + 1, np.int32)
-            own_at, rows = at - first, np.arange(a, b)
-            others = rows[~asks[a:b]]
-            for x in rows[asks[a:b]]:
-                rest = others[part[others] != part[x]]
-                if not len(rest):
-                    continue
-                near = _similar(_overlaps(x, rest, n, own_at, ids, mark), n[x], n[rest], percent)
-                met = rest[near]
-                if len(met):
-                    _, one = np.unique(part[met], return_index=True)
-                    u += [int(node[x])] * len(one)
-                    v += node[met[one]].tolist()
-        return _links(u, v)
-
-    return fn
+    return rows.mapInArrow(
+        run, "id long, n long, h1 long, h2 long, bands array<long>, sketch1 long, sketch2 long"
+    )
 
 
-def _with_elements(texts: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets of the texts of ``(node, cluster, blocks, text)``."""
+def _elements(texts: DataFrame, k: int) -> DataFrame:
+    """Full shingle sets ``(node, payload)`` of ``(node, text)``, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [s.tobytes() for sets in shingle_sets(batch.column(3), k) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(made, pa.binary())], ["node", "cluster", "blocks", "payload"]
-            )
+            made = [s.tobytes() for sets in shingle_sets(batch.column(1), k) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "payload"])
 
-    return texts.mapInArrow(run, "node long, cluster long, blocks int, payload binary")
+    return texts.mapInArrow(run, "node long, payload binary")
 
 
-def bucket_links(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Loose links ``(u, v)`` of ``members(node, key, blocks)`` that share a bucket.
+def compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """``pairs(u, v, sketch1, sketch2, a, b)``, whose last two are the sets of u and v, with
+    exact overlaps instead of the sets."""
 
-    A bucket of several blocks is compared in all pairs of its blocks.
-    """
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nu, nv, more, less = [], [], [], []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                both = b[at] == a
+                only = np.ones(len(b), bool)
+                only[at[both]] = False
+                nu.append(len(a))
+                nv.append(len(b))
+                more.append(a[~both].view(np.int64))
+                less.append(b[only].view(np.int64))
+            size = np.array([len(m) for m in more], np.int64)
+            linked = 100 * (np.array(nu, np.int64) - size) >= percent * (np.array(nv, np.int64) + size)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (more, less)]
+            cols = [*batch.columns[:4], pa.array(nu, pa.int32()), pa.array(nv, pa.int32()), *lists, pa.array(linked)]
+            yield pa.RecordBatch.from_arrays(cols, ["u", "v", "sketch1", "sketch2", "nu", "nv", "more", "less", "linked"])
+
+    return pairs.select("u", "v", "sketch1", "sketch2", "a", "b").mapInArrow(
+        run,
+        "u long, v long, sketch1 long, sketch2 long, nu int, nv int, more array<long>, less array<long>, linked boolean",
     )
-    dealt = members.join(signatures, "node").withColumn("own", own).select("key", "node", "sig", F.inline(pairs))
-    return by_group(dealt, ["key", "i", "j"], loose_links(least), "u long, v long").distinct()
-
-
-def place(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``(node, cluster, blocks)``: how many blocks each cluster is dealt to."""
-    counted = clusters.join(sizes, "node").groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
-    blocks = F.ceil(F.greatest(F.col("n") / SET_ELEMENTS, F.col("members") / SET_BLOCK)).cast("int")
-    counted = materialise(counted.select("cluster", blocks.alias("blocks")), "clusters")
-    return materialise(clusters.join(counted, "cluster").select("node", "cluster", "blocks"), "placed")
-
-
-def resolve(full: DataFrame, read, percent: int) -> DataFrame:
-    """Exact components ``(node, component)`` inside the clusters of
-    ``full(node, cluster, blocks, payload)``; ``read`` makes sets of payloads.
-
-    Members of a block are compared with each other. A cluster of several blocks is dealt
-    twice, by two hashes; then members outside its largest component are asked, in
-    blocks, against all members of other components.
-    """
-
-    def block(salt: int) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("blocks")).cast("int")
-
-    within, schema = _within(percent, read), "u long, v long"
-    one = by_group(full.withColumn("block", block(1)), ["cluster", "block"], within, schema)
-    large = full.where("blocks > 1")
-    split = not large.isEmpty()
-    if split:
-        one = one.unionByName(by_group(large.withColumn("block", block(2)), ["cluster", "block"], within, schema))
-    links = materialise(one.distinct(), "links")
-    found = components(links)
-    if not split:
-        return found
-    parts = large.select("node", "cluster", "blocks").distinct().join(found, "node", "left")
-    parts = materialise(parts.select("node", "cluster", "blocks", F.coalesce("component", "node").alias("part")), "parts")
-    heads = parts.groupBy("cluster", "part").count().groupBy("cluster")
-    heads = materialise(heads.agg(F.max(F.struct("count", "part"))["part"].alias("head")), "heads")
-    asking = materialise(parts.join(heads, "cluster").where("part != head").select("node", "cluster"), "asking")
-    groups = asking.groupBy("cluster").agg(F.count("*").alias("asking"))
-    groups = groups.select("cluster", F.ceil(F.col("asking") / SET_BLOCK).cast("int").alias("ask_blocks"))
-    groups = materialise(groups, "ask-blocks")
-    if groups.isEmpty():
-        return found
-    wide = large.join(parts.select("node", "part"), "node").join(groups, "cluster")
-    ask_block = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("ask_blocks")).cast("int")
-    members = wide.select(
-        "cluster", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), block(1).alias("j"),
-        "node", "part", F.lit(0).alias("asks"), "payload",
-    )
-    askers = wide.join(asking.select("node"), "node", "left_semi").select(
-        "cluster", ask_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
-        "node", "part", F.lit(1).alias("asks"), "payload",
-    )
-    more = by_group(members.unionByName(askers), ["cluster", "i", "j"], _across(percent, read), schema)
-    return components(links.unionByName(more))
 
 
 def near_duplicates(
@@ -308,45 +149,54 @@ def near_duplicates(
     ``shingle``-word runs (of a shorter text, its whole sequence).
 
     1. Equal sets become one node (the least id), so exact copies cost one row each.
-    2. Nodes that share a band and whose signatures agree loosely are joined into
-       clusters: large buckets in pairs of blocks, no more links than members.
-    3. Full sets are compared inside clusters. A cluster beyond a block is dealt to
-       blocks twice, by two hashes, and what is joined then is one component; members
-       outside a cluster's largest component are at last asked, in blocks, against all
-       members of other components. So every pair of a cluster is either compared or
-       already joined, and no task holds more than two blocks.
-
-    Returns per input row doc_id (long), n_shingles, component_id (least id reachable)
-    and kept (doc_id = component_id). Null, empty and blank texts have an empty set and
-    link with nothing. A row with a null id links with nothing: component_id is null and
-    kept true. Rows with an equal id are one node of all their sets. Other columns are
-    not read.
+    2. Nodes that share a band are a bucket. Members that look like its pivot, or like
+       another member, by sketches of the signatures, are compared with it on full sets.
+    3. Nodes that were compared with one pivot and are not in one component are compared
+       by how they differ from it. So every pair of a bucket is compared, joined before or
+       refused by its sketches, and no bucket's pairs are rows.
+
+    Returns per input row doc_id, n_shingles, component_id (least id reachable) and kept
+    (doc_id = component_id). Null, empty and blank texts have an empty set and link with
+    nothing. A row with a null id links with nothing: component_id is null and kept true.
+    Rows with an equal id are judged each by its own text. Ids may be of any type that can
+    be ordered. Other columns are not read.
     """
     session(docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(_signatures(texts, shingle, bands, rows, seed), "signatures")
-    usable = signed.where("doc_id is not null and n > 0")
-    sets = materialise(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "sets")
-
-    chosen = usable.join(sets.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    flat = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    met = flat.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    met = materialise(met.select("key", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int").alias("blocks")), "buckets")
-    # the buckets that several nodes share are few: hashing them spares sorting every key
-    members = materialise(flat.join(met.hint("shuffle_hash"), "key"), "members")
-    loose = bucket_links(members, usable.select(F.col("doc_id").alias("node"), "sig"), percent / 100 - LOOSE)
-    clusters = components(loose).withColumnRenamed("component", "cluster")
-
-    size = usable.select(F.col("doc_id").alias("node"), "n")
-    placed = place(clusters, size)
+    texts = docs.select(F.col(id_col).alias("doc_id"), numbered(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = materialise(_signatures(texts.select("id", "text"), shingle, bands, rows, seed), "signatures")
+    usable = signed.where("id is not null and n > 0")
+    sets = materialise(usable.groupBy("h1", "h2").agg(F.min("id").alias("node")), "sets")
+
+    chosen = usable.join(sets.select("h1", "h2", F.col("node").alias("id")), ["h1", "h2", "id"], "left_semi")
+    flat = chosen.select(F.explode("bands").alias("key"), F.col("id").alias("node"), "sketch1", "sketch2")
+    least = least_agreement(percent)
+    members = materialise(bucket_members(flat, least), "members")
+    pairs = materialise(candidates(members, least), "pairs")
+    release(members)
+
+    near = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # neither side is bounded, so this is one shuffle of the texts at any size
-    near = texts.join(placed.hint("shuffle_hash"), texts.doc_id == placed.node).select("node", "cluster", "blocks", "text")
-    full = materialise(_with_elements(near, shingle).where(F.length("payload") > 0), "elements")
-    found = resolve(full, stored_sets, percent)
+    near = texts.join(near.hint("shuffle_hash"), texts.id == near.node).select("node", "text")
+    full = materialise(_elements(near, shingle).where(F.length("payload") > 0).dropDuplicates(["node", "payload"]), "elements")
+    met = pairs.join(full.select(F.col("node").alias("v"), F.col("payload").alias("b")), "v")
+    met = met.join(full.select(F.col("node").alias("u"), F.col("payload").alias("a")), "u")
+    verified = materialise(compared(met, percent), "compared")
+    release(pairs, full)
+    found = exact_components(verified, percent)
 
     label = sets.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("set_component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(materialise(label, "labels"), ["h1", "h2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_component")).otherwise(F.col("doc_id"))
+    label = materialise(label, "labels")
+    release(verified, found, sets)
+    own = signed.select("id", "n", "h1", "h2")
+    if not dict(texts.dtypes)["doc_id"] == "bigint":
+        # ids of other types come with their rows' hashed ids
+        names = texts.select("doc_id", F.col("id").alias("own")).distinct()
+        own = own.join(names, own.id.eqNullSafe(names.own)).drop("own")
+    else:
+        own = own.withColumn("doc_id", F.col("id"))
+    out = own.join(label, ["h1", "h2"], "left")
+    out = with_least(out, F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_component")), "doc_id")
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

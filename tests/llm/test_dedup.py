@@ -1,10 +1,11 @@
+import tracemalloc
 from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutpoint.llm import embeddings, lines, minhash, queries, substrings
+from cutpoint.llm import embeddings, lines, minhash, queries, stars, substrings
 
 from . import plain
 
@@ -23,8 +24,8 @@ def test_minhash_equals_brute_force(docs, texts):
     assert len(set(root.values())) < len(texts) - 10
 
 
-def test_minhash_blocks_lose_no_link(spark, monkeypatch):
-    """Copies whose similarities straddle the threshold, in many small blocks."""
+def test_minhash_loses_no_link_at_the_threshold(spark):
+    """Copies whose similarities straddle the threshold: many links miss the pivots."""
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     texts = []
@@ -33,13 +34,36 @@ def test_minhash_blocks_lose_no_link(spark, monkeypatch):
         for at in rng.choice(120, rng.integers(0, 16), replace=False):
             copy[at] = f"r{rng.integers(1 << 30)}"
         texts.append(" ".join(copy))
-    for name, value in (("SET_BLOCK", 9), ("BUCKET_BLOCK", 8)):
-        monkeypatch.setattr(minhash, name, value)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     root = check_docs(minhash.near_duplicates(docs, shingle=2), texts, 2)
     assert 1 < len(set(root.values())) < 40
 
 
+def test_ids_of_other_types(spark):
+    same = "a few words that two documents share"
+    docs = spark.createDataFrame([("b", same), ("a", same), ("c", "other words"), (None, same), ("d", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True), "d": ("d", True)}
+    rows = [("y", [1.0, 2.0], 1.2), ("x", [1.0, 2.0], 1.2), ("z", [1.0, 2.0], 1.7), ("w", [2.0, 4.1], 1.7), (None, [1.0, 2.0], 1.7)]
+    vectors = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label double")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(vectors).collect()}
+    assert got == {"x": (1, "x", True), "y": (1, "x", False), "z": (1, "w", False), "w": (1, "w", True), None: (0, None, True)}
+
+
+def test_borders_of_many_cells_take_little_memory():
+    rng = np.random.default_rng(6)
+    centres, x = (embeddings.unit(rng.normal(size=(n, 768))) for n in (1024, 600))
+    tracemalloc.start()
+    best, visits = embeddings.borders(x, centres, 0.1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    for i in range(0, 600, 50):
+        cos = centres @ x[i]
+        gap = (cos.max() - cos) / np.maximum(np.linalg.norm(centres - centres[best[i]], axis=1), 1e-300)
+        assert best[i] == cos.argmax() and set(np.flatnonzero(gap <= 0.1)) - {best[i]} <= set(visits[i])
+
+
 def test_minhash_messy(messy, empty):
     got = {r.doc_id: r for r in minhash.near_duplicates(messy, shingle=5).collect()}
     assert got[None].kept and got[None].component_id is None
@@ -60,9 +84,9 @@ def test_lines_equal_brute_force(docs, texts):
 
 def test_bands_and_sketches_lose_little():
     bands = (1 - 0.8**lines.ROWS) ** (lines.PARTS * lines.MINIMA // lines.ROWS)
-    least, p = lines.least_agreement(80), 0.85  # two bits of a lane
-    sketches = sum(comb(lines.LANES, i) * p**i * (1 - p) ** (lines.LANES - i) for i in range(least))
-    assert sketches <= lines.LOSS and bands + sketches < 1 / 4100
+    least, p = stars.least_agreement(80), 0.85  # two bits of a lane
+    sketches = sum(comb(stars.LANES, i) * p**i * (1 - p) ** (stars.LANES - i) for i in range(least))
+    assert sketches <= stars.LOSS and bands + sketches < 1 / 4100
 
 
 def removed(got):
@@ -105,12 +129,12 @@ def test_links_that_the_pivot_hides(spark):
     """Two lines too far from their pivot, but near each other, are linked by their differences."""
     pivot = set(range(200))
     sets = {1: pivot - set(range(30)) | {900 + i for i in range(20)}, 2: pivot - set(range(28)) | {900 + i for i in range(22)}, 3: pivot - set(range(100, 140)), 4: pivot - {5}}
-    rows = [(u, 0, True, len(s), 200, sorted(s - pivot), sorted(pivot - s), 10 * len(s & pivot) >= 8 * len(s | pivot)) for u, s in sets.items()]
-    schema = "u long, v long, star boolean, nu int, nv int, more array<long>, less array<long>, linked boolean"
+    rows = [(u, 0, 7, 7, len(s), 200, sorted(s - pivot), sorted(pivot - s), 10 * len(s & pivot) >= 8 * len(s | pivot)) for u, s in sets.items()]
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, more array<long>, less array<long>, linked boolean"
     verified = spark.createDataFrame(rows, schema)
     found = spark.createDataFrame([(0, 0), (4, 0), (3, 0)], "node long, component long")
     near = {(a, b) for a, b in plain.near(sets, 80) if not {a, b} <= {0, 3, 4}}
-    assert {(r.u, r.v) for r in lines._missed(verified, found, 80).collect()} == near == {(1, 2)}
+    assert {(r.u, r.v) for r in stars.missed_links(verified, found, 80).collect()} == near == {(1, 2)}
 
 
 def test_line_ids_of_other_types(spark):
@@ -144,6 +168,45 @@ def test_substrings_equal_brute_force(docs, texts):
         assert any(0 < n < all_ for all_, n, _ in expected.values())
 
 
+def test_substrings_in_many_shards(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 40)
+    monkeypatch.setattr(substrings, "SHARD_TEXTS", 3)
+    got = substrings.cut_passages(docs, 10, 4).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(plain.cut(texts, 10)))
+
+
+def test_passages_are_located_by_the_automaton_alone():
+    rng = np.random.default_rng(2)
+    found = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (35, 90, 300)]
+    found.append(np.concatenate([found[0][:20], found[1][:40]]))
+    passages = substrings.Passages(found, 35)
+    noise = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    windows = {tuple(p[i : i + 35].tolist()) for p in found for i in range(len(p) - 34)}
+    hit = 0
+    for p in found:
+        for _ in range(30):
+            a, b = sorted(rng.integers(0, len(p) + 1, 2))
+            other = found[rng.integers(len(found))]
+            text = np.concatenate([noise(rng.integers(0, 50)), p[a:b], noise(rng.integers(0, 2)), other[: rng.integers(0, len(other))], p[:b]])
+            expected = np.zeros(len(text), bool)
+            for i in range(len(text) - 34):
+                if tuple(text[i : i + 35].tolist()) in windows:
+                    expected[i : i + 35] = True
+            got = np.zeros(len(text), bool)
+            for i, j in zip(*passages.spans(text)):
+                got[i:j] = True
+            assert (got == expected).all()
+            hit += expected.sum()
+    assert hit > 1000
+
+    class Nothing:
+        iter = staticmethod(lambda text: iter(()))
+        __len__ = lambda self: 1
+
+    passages.automaton = Nothing()
+    assert not len(passages.spans(found[2])[0])
+
+
 def test_substrings_inside_one_text(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [f"a {passage} b {passage} c", "x " * 50, "x " * 34, "lone"]

@@ -1,12 +1,16 @@
 import base64
 import gzip
+import os
 import re
 import zlib
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cutpoint.llm import decontam, licenses, secrets
+from cutpoint.llm.words import chunks
 
 from . import plain
 
@@ -33,6 +37,30 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
             assert any(" ".join(w) in " ".join(plain.alnum_words(t)) for _, t in items)
 
 
+def test_longest_match_and_shared_windows():
+    """Very many items that share a window, and items that go on from it differently."""
+    rng = np.random.default_rng(8)
+    word = lambda n: rng.integers(1, 30, n)
+    shared = word(12)
+    items = [" ".join(map(str, [*word(rng.integers(0, 4)), *shared, *word(rng.integers(0, 9))])) for _ in range(300)]
+    items += [" ".join(map(str, word(n))) for n in (1, 2, 3, 15)] + [items[0], ""]
+    ids = [str(i) for i in range(len(items))]
+    tests = decontam.Tests.of(ids, items, 10)
+    assert len(tests.at) < sum(max(1, len(t.split()) - 9) for t in items if t) - 500
+    texts = [" ".join(map(str, [*word(20), *shared[: rng.integers(0, 13)], *word(20), *items[rng.integers(300)].split()])) for _ in range(20)]
+    texts += ["", items[303], items[5]]
+    words = [w.hashes[w.offsets[k] : w.offsets[k + 1]] for i, j, w in chunks(pa.array(texts), "alnum", True) for k in range(j - i)]
+    for text, (starts, ends, found, longest, item, at) in zip(texts, decontam.search(words, tests)):
+        n, hit, expected = plain.hits(text, list(zip(ids, items)))
+        assert (sum(ends) - sum(starts), set(found)) == (hit, expected)
+        w = text.split()
+        held = {tuple(q[j : j + min(10, len(q))]) for q in map(str.split, items) for j in range(max(1, len(q) - 9)) if q}
+        begun = [i for i in range(len(w)) if any(tuple(w[i : i + m]) in held for m in range(1, 11))]
+        most = [len(os.path.commonprefix([w[i:], q[j:]])) for i in begun for q in map(str.split, items) for j in range(len(q))]
+        assert longest == max(most, default=0)
+        assert not longest or " ".join(w[at : at + longest]) in items[int(item)]
+
+
 def test_decontamination_messy(spark, messy, empty):
     bench = spark.createDataFrame([(1, "same words here again and again and again"), (2, "one")], "item_id int, text string")
     none = bench.where("false")

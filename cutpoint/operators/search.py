@@ -24,8 +24,13 @@ def answer(best: DataFrame, rows: int) -> DataFrame:
 def curve(scored: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
     """``(score, neg, pos, cum_neg, cum_pos, next_score, correct)``: what a cut at each
     distinct score gets right. One task may sort few rows, unless ``one_task`` is false."""
+    return curve_of(class_counts(scored), shape, one_task)
+
+
+def curve_of(counts: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
+    """``curve`` from class counts ``(score, neg, pos)``."""
     rows = shape.rows if one_task else None
-    swept = running(class_counts(scored), ["score"], ["neg", "pos"], rows, lead="score")
+    swept = running(counts, ["score"], ["neg", "pos"], rows, lead="score")
     return swept.withColumn("correct", F.col("cum_neg") + F.lit(shape.positives) - F.col("cum_pos"))
 
 
@@ -34,8 +39,13 @@ def exact(scored: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
 
     Of equal cuts the lowest wins, and all-positive only if it is strictly better.
     """
+    return exact_of(class_counts(scored), shape, one_task)
+
+
+def exact_of(counts: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
+    """``exact`` from class counts ``(score, neg, pos)``."""
     cut = F.when(F.col("next_score").isNull(), F.col("score")).otherwise(midpoint_of(F.col("score"), F.col("next_score")))
-    each = curve(scored, shape, one_task).select("correct", (-F.col("score")).alias("back"), cut.alias("threshold"))
+    each = curve_of(counts, shape, one_task).select("correct", (-F.col("score")).alias("back"), cut.alias("threshold"))
     best = each.agg(F.max(F.struct("correct", "back", "threshold")).alias("best")).select("best.*")
     outside = F.lit(shape.positives) > F.col("correct")
     return answer(

@@ -20,7 +20,8 @@ def test_containers_agree(spark):
 
 def test_options():
     model = Cutpoint(algorithm="SWEEP")
-    assert model.get_current_algorithm()["object"].id == "exact"
+    current = model.get_current_algorithm()
+    assert (current["name"], current["object"].id) == ("exact", "exact")
     assert model.get_current_options() is model.options
     assert model.set_algorithm("grid") is model
     assert list(Cutpoint.get_supported_algorithms(as_dict=True)) == Cutpoint.get_supported_algorithms()
@@ -98,5 +99,39 @@ def test_levels(caplog):
         report.say("warning", "no")
         with report.verbosity("info"):
             report.say("info", "yes %d", 1)
-    assert [r.getMessage() for r in caplog.records] == ["yes 1"]
-    assert report.resolve(None, True) == "debug"
+            report.say("debug", "no")
+        with report.verbosity(None):
+            report.say("warning", "no")
+    report.set_verbosity("info")
+    report.say("info", "now")
+    report.set_verbosity("warning")
+    assert [r.getMessage() for r in caplog.records] == ["yes 1", "now"]
+    assert report.chosen(None, True) == "debug" and report.chosen("INFO", True) == "info"
+
+
+def test_backend_objects(spark, caplog):
+    class Counting:
+        calls = 0
+
+        def class_counts_by_score(self, scores, classes):
+            Counting.calls += 1
+            out = {}
+            for s, c in zip(scores, classes):
+                n, p = out.get(s, (0, 0))
+                out[s] = (n + (c == -1), p + (c == 1))
+            return out
+
+    labels = ("no", "yes")
+    words = ["no", "yes", "no", "yes"]
+    assert Cutpoint(backend=Counting(), labels=labels).optimize_threshold(SCORES, words) == Cutpoint(labels=labels).optimize_threshold(SCORES, words)
+    assert Counting.calls == 1
+    Cutpoint(algorithm="hist", backend=Counting()).optimize_threshold(SCORES, CLASSES)
+    assert Counting.calls == 1 and "not used" in caplog.text
+
+
+def test_progress(spark, capsys, monkeypatch):
+    monkeypatch.setattr(report, "LOOK", 0.001)
+    with report.progress(spark.sparkContext, True):
+        spark.range(200_000).repartition(40).selectExpr("sum(hash(id))").collect()
+    assert "tasks in" in capsys.readouterr().err
+    assert Cutpoint(progress_bar=True).optimize_threshold(SCORES, CLASSES) == 0.35

@@ -47,6 +47,32 @@ def test_draw_limits():
     assert sampling.sample_size(0.0001, 100) == 1
 
 
+@pytest.mark.parametrize(
+    ("good", "bad", "k"),
+    [
+        (40, 3_000_000_000, 2_700_000_000), (3_000_000_000, 40, 2_700_000_000), (2_000_000_000, 2_000_000_000, 50),
+        (2_000_000_000, 2_000_000_000, 3_999_999_950), (2_000_000_000, 1_500_000_000, 3_150_000_000),
+    ],
+)
+def test_large_draws_have_the_spread_of_a_sample(good, bad, k):
+    rng = np.random.default_rng(5)
+    seen = np.array([sampling.draw(rng, good, bad, k) for _ in range(3000)], float)
+    rows = good + bad
+    mean, spread = k * good / rows, np.sqrt(k * (good / rows) * (bad / rows) * ((rows - k) / (rows - 1)))
+    assert abs(seen.mean() - mean) < 5 * spread / np.sqrt(3000)
+    assert seen.std() == pytest.approx(spread, rel=0.07)
+    assert seen.min() >= max(0, k - bad) and seen.max() <= min(good, k)
+
+
+def test_shared_sample_has_the_spread_of_a_sample(overlapping):
+    data = scored(overlapping)
+    shape = admit(data)
+    seen = [sampling._shared_sample(data, shape, 10, 1800, np.random.default_rng(i))[5] for i in range(120)]
+    exact = sampling.counter(data, shape)([shape.lowest + 5 * (shape.highest - shape.lowest) / 10])[0]
+    share = exact / shape.rows
+    assert np.std(seen) == pytest.approx(np.sqrt(1800 * share * (1 - share) * 200 / 1999), rel=0.3)
+
+
 def test_wide_data_is_counted_by_jobs(overlapping, monkeypatch):
     data = scored(overlapping)
     shape = admit(data)

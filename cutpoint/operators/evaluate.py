@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import midpoint_of, predict
+from ..plans.running import running
 from .profile import Shape
 from .search import curve
 
@@ -64,32 +64,37 @@ def pairwise(scored: DataFrame, shape: Shape) -> DataFrame:
     return pairs.select("score", "next_score", midpoint_of(F.col("score"), F.col("next_score")).alias("middle"))
 
 
-def exact_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def exact_by(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """Extension: the exact search for each group of ``keys`` in one plan.
 
     ``df`` holds the keys with score and y. Where all-positive is strictly better, threshold
     is null and all_positive true: the cut lies below the group's lowest score.
+
+    All groups share one order, by keys and score, so a group of any size is dealt to many
+    tasks: within a group, sums over all that stands before differ by a constant from those
+    over the group, and a neighbour of other keys is none. ``rows`` bounds the distinct
+    scores of all groups, if that is known to be few.
     """
     counts = df.groupBy(*keys, "score").agg(
         F.sum((F.col("y") == -1).cast("long")).alias("neg"), F.sum((F.col("y") == 1).cast("long")).alias("pos")
     )
-    group = Window.partitionBy(*keys)
-    over = group.orderBy("score")
-    up_to = over.rowsBetween(Window.unboundedPreceding, 0)
-    each = counts.select(
-        *keys, "score", F.lead("score").over(over).alias("next_score"), F.sum("pos").over(group).alias("all_pos"),
-        (F.sum("neg").over(up_to) - F.sum("pos").over(up_to)).alias("gain"),
-    )
-    cut = F.when(F.col("next_score").isNull(), F.col("score")).otherwise(midpoint_of(F.col("score"), F.col("next_score")))
-    each = each.select(*keys, "all_pos", (F.col("gain") + F.col("all_pos")).alias("correct"), (-F.col("score")).alias("back"), cut.alias("cut"))
-    best = each.groupBy(*keys).agg(
-        F.max(F.struct("correct", "back", "cut")).alias("best"), F.max("all_pos").alias("all_pos")
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    counts = counts.withColumn("place", F.struct(group.alias("group"), "score"))
+    swept = running(counts, [*keys, "score"], ["neg", "pos"], rows, lead="place")
+    after = F.when(F.col("next_place.group").eqNullSafe(F.col("place.group")), F.col("next_place.score"))
+    swept = swept.withColumn("after", after)
+    cut = F.when(F.col("after").isNull(), F.col("score")).otherwise(midpoint_of(F.col("score"), F.col("after")))
+    found = F.struct((F.col("cum_neg") - F.col("cum_pos")).alias("gain"), (-F.col("score")).alias("back"), cut.alias("cut"))
+    best = swept.groupBy(*keys).agg(
+        F.max(found).alias("best"),
+        F.sum("pos").alias("all_pos"),
+        (F.min(F.col("cum_neg") - F.col("neg")) - F.min(F.col("cum_pos") - F.col("pos"))).alias("before"),
     )
-    all_positive = F.col("all_pos") > F.col("best.correct")
+    correct = F.col("best.gain") - F.col("before") + F.col("all_pos")
+    all_positive = F.col("all_pos") > correct
     return best.select(
         *keys,
         F.when(all_positive, F.lit(None).cast("double")).otherwise(F.col("best.cut")).alias("threshold"),
         all_positive.alias("all_positive"),
-        F.greatest("all_pos", F.col("best.correct")).alias("correct"),
+        F.greatest("all_pos", correct).alias("correct"),
     )
-

@@ -10,12 +10,20 @@ from pyspark.sql import SparkSession
 
 from . import __version__, report
 from .api import BACKENDS, Cutpoint
-from .errors import ConfigurationError, CutpointError, EmptyInputError
+from .errors import ConfigurationError, CutpointError, EmptyInputError, UnexpectedLabelsError, UnknownAlgorithmError
 from .plans.dispatch import threshold_of
 from .registry import ALGORITHMS
 from .sources.files import pick_column, read_delimited
 
 
+#: What to do about an error on the command line; the first that fits is said after it.
+ADVICE = {
+    UnknownAlgorithmError: "--list-algorithms prints them",
+    UnexpectedLabelsError: "--labels declares the two classes, for example --labels 0,1",
+    ConfigurationError: "parameters are given as -p KEY=VALUE; --help lists the options",
+}
+
+
 def coerce(raw: str) -> Any:
     """true and false, then whole numbers, then numbers, else the text."""
     if raw.lower() in ("true", "false"):
@@ -63,7 +71,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-q", "--quiet", action="store_true")
     p.add_argument("--verbosity", choices=report.LEVELS)
-    p.add_argument("--progress", action="store_true", help="Spark's progress bar on standard error")
+    p.add_argument("--progress", action="store_true", help="a progress line on standard error")
     p.add_argument("--list-algorithms", action="store_true")
     p.add_argument("--version", action="version", version=f"cutpoint {__version__}")
     return p
@@ -77,11 +85,12 @@ def level(args: argparse.Namespace) -> str:
 def run(args: argparse.Namespace) -> float:
     try:
         params, labels = parse_params(args.param), parse_labels(args.labels)
-        model = Cutpoint(algorithm=args.algorithm, algorithm_params=params, labels=labels, backend=args.backend)
+        model = Cutpoint(
+            algorithm=args.algorithm, algorithm_params=params, labels=labels, backend=args.backend, progress_bar=args.progress
+        )
     except CutpointError as e:
         raise SystemExit(_failed(e, 2)) from e
-    show = str(args.progress).lower()
-    spark = SparkSession.builder.config("spark.ui.showConsoleProgress", show).getOrCreate()
+    spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     df = read_delimited(spark, args.input_file, args.sep, args.header)
     if df.isEmpty():
         raise EmptyInputError
@@ -95,6 +104,8 @@ def run(args: argparse.Namespace) -> float:
 
 def _failed(error: Exception, code: int) -> int:
     print(f"cutpoint: {error}", file=sys.stderr)
+    if advice := next((text for kind, text in ADVICE.items() if isinstance(error, kind)), None):
+        print(f"cutpoint: {advice}", file=sys.stderr)
     return code
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import ConfigurationError
+
 #: Rows up to which one task may sort and sum them all.
 ONE_TASK_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, or one of our own where none is named."""
+    """The folder that all executors share; one of our own only on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"file://{tempfile.gettempdir()}/checkpoints"
 
 

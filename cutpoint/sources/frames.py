@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,48 +37,39 @@ def scored(df: DataFrame, score_col: str = "score", label_col: str = "label", la
     )
 
 
-def as_list(values: Any, name: str) -> list[Any]:
-    """Values by position: arrays and Series by their elements, mappings by their keys."""
-    if hasattr(values, "tolist"):
-        values = values.tolist()
-    elif hasattr(values, "to_numpy"):
-        values = values.to_numpy().tolist()
-    elif isinstance(values, Mapping):
-        values = list(values.keys())
-    if isinstance(values, list):
+def as_list(values: Any, name: str) -> Sequence[Any] | np.ndarray:
+    """Values by position: arrays and Series as the array below them, mappings by their keys."""
+    if callable(plain := getattr(values, "to_numpy", None)):
+        values = plain()
+    if isinstance(values, list | np.ndarray):
         return values
     if not isinstance(values, Iterable) and not hasattr(values, "__getitem__"):
         raise NotIterableError(name)
     return list(values)
 
 
-def _undefined(value: Any) -> bool:
-    return value is None or value != value
-
-
 def from_memory(
     spark: SparkSession, scores: Any, classes: Any, labels: Sequence[Any] | None = None
 ) -> DataFrame:
     """``scored`` rows of two parallel sequences, refused here if they cannot be used.
 
     Checked in this order: lengths, undefined scores, no rows, missing classes, classes
-    other than the pair, one class only.
+    other than the pair, one class only. Columns go to Spark as Arrow arrays.
     """
-    left, right = as_list(scores, "scores"), as_list(classes, "actual_classes")
+    left, right = pd.Series(as_list(scores, "scores")), pd.Series(as_list(classes, "actual_classes"))
     neg, pos = check_labels(labels)
     if len(left) != len(right):
         raise LengthMismatchError(len(left), len(right))
-    if bad := sum(map(_undefined, left)):
+    if bad := int(left.isna().sum()):
         raise UndefinedScoresError(bad)
-    if not left:
+    if left.empty:
         raise EmptyInputError
-    if missing := sum(map(_undefined, right)):
+    if missing := int(right.isna().sum()):
         raise MissingLabelsError(missing)
-    y = [-1 if c == neg else 1 if c == pos else 0 for c in right]
-    if 0 in y:
-        odd = dict.fromkeys(c for c, v in zip(right, y, strict=True) if not v)
-        raise UnexpectedLabelsError(list(odd)[:5])
-    if len(set(y)) == 1:
+    y = np.where(right == neg, -1, np.where(right == pos, 1, 0)).astype(np.int32)
+    if not y.all():
+        raise UnexpectedLabelsError(right[y == 0].drop_duplicates().head(5).tolist())
+    if (y == y[0]).all():
         raise SingleClassError(neg if y[0] < 0 else pos)
-    rows = [(float(s), v, v, False) for s, v in zip(left, y, strict=True)]
-    return spark.createDataFrame(rows, "score double, y int, label int, missing boolean")
+    columns = {"score": left.to_numpy(np.float64), "y": y, "label": y, "missing": np.zeros(len(y), bool)}
+    return spark.createDataFrame(pa.table(columns))

@@ -4,7 +4,7 @@ import pytest
 
 from cutpoint import cli
 
-ROWS = "score,actual\n0.1,-1\n0.3,-1\n0.4,1\n0.7,1\n"
+ROWS = "chance,outcome\n2.5,1\n-1.0,-1\n0.5,-1\n1.5,1\n0.25,-1\n"
 
 
 @pytest.fixture
@@ -21,16 +21,16 @@ def call(capsys, *args):
 
 
 def test_prints_the_bare_number(spark, path, capsys, monkeypatch):
-    assert call(capsys, path)[:2] == (0, "0.35")
-    assert call(capsys, path, "--score-column", "score", "--label-column", "1", "-q")[:2] == (0, "0.35")
+    assert call(capsys, path)[:2] == (0, "1.0")
+    assert call(capsys, path, "--score-column", "chance", "--label-column", "1", "-q")[:2] == (0, "1.0")
     monkeypatch.setattr("sys.stdin", io.StringIO(ROWS))
-    assert call(capsys, "-")[:2] == (0, "0.35")
+    assert call(capsys, "-")[:2] == (0, "1.0")
 
 
 def test_other_files(spark, tmp_path, capsys):
     f = tmp_path / "rows.tsv"
-    f.write_text("0.1\tno\n0.3\tno\n0.4\tyes\n0.7\tyes\n")
-    assert call(capsys, f, "--sep", "\t", "--no-header", "--labels", "no,yes")[:2] == (0, "0.35")
+    f.write_text("0.25\tno\n0.5\tno\n1.5\tyes\n2.0\tyes\n")
+    assert call(capsys, f, "--sep", "\t", "--no-header", "--labels", "no,yes")[:2] == (0, "1.0")
 
 
 def test_exit_codes(spark, path, tmp_path, capsys):
@@ -38,9 +38,12 @@ def test_exit_codes(spark, path, tmp_path, capsys):
     assert call(capsys, path, "-p", "oops")[0] == 2
     assert call(capsys, path, "--labels", "1")[0] == 2
     assert call(capsys, path, "--score-column", "none")[0] == 2
-    assert call(capsys, path, "--labels", "0,1")[0] == 1
+    code, _, said = call(capsys, path, "--labels", "0,1")
+    assert code == 1 and "--labels 0,1" in said
+    assert "--list-algorithms" in call(capsys, path, "-a", "nothing")[2]
+    assert "-p KEY=VALUE" in call(capsys, path, "-p", "no_of_bins=3")[2]
     empty = tmp_path / "empty.csv"
-    empty.write_text("score,actual\n")
+    empty.write_text("chance,outcome\n")
     assert call(capsys, empty)[0] == 1
     assert call(capsys, "--list-algorithms")[1].count("\n") == 6
 

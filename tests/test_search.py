@@ -73,9 +73,10 @@ def test_known_answers(spark, scores, classes, expected):
 
 
 def test_hist_known(spark):
-    scores = [0, 0, 0.25, 0.25, 0.5, 0.5, 0.75, 0.75, 1, 1]
-    classes = [-1, -1, 1, 1, -1, -1, 1, 1, 1, 1]
-    assert solve(spark, list(zip(scores, classes)), "hist", no_of_bins=4).accuracy == pytest.approx(0.8)
+    scores = [0, 0.1, 0.3, 0.35, 0.6, 0.62, 0.8, 1]
+    classes = [-1, -1, 1, -1, 1, -1, 1, 1]
+    found = solve(spark, list(zip(scores, classes)), "hist", no_of_bins=4)
+    assert (found.correct, found.threshold) == (6, pytest.approx(0.25))  # every inner edge gets six
 
 
 def test_grid_bucket_is_exact_at_edges(spark):

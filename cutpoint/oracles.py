@@ -12,6 +12,7 @@ SOURCES = {
     + _LABEL.format("(l_discount > 0.05) <> (l_partkey % 5 = 0)") + " FROM lineitem",
     "imbalanced": "SELECT value::DOUBLE AS score, " + _LABEL.format("value > 115") + " FROM events",
     "contrary": "SELECT value::DOUBLE AS score, " + _LABEL.format("value < 200") + " FROM events",
+    "whole": "SELECT l_quantity::DOUBLE AS score, " + _LABEL.format("(l_quantity > 37) <> (l_orderkey % 7 = 0)") + " FROM lineitem",
     "words": "SELECT l_extendedprice::DOUBLE AS score, " + _LABEL.format("l_linestatus = 'O'") + " FROM lineitem",
     "docs01": "SELECT n_chars::DOUBLE AS score, " + _LABEL.format("quality = 1")
     + " FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL",
@@ -74,6 +75,26 @@ def _grid(name: str) -> str:
 SELECT {_ANSWER} FROM a"""
 
 
+def _descend(name: str) -> str:
+    """The walk over whole counts: steps of a twentieth of the span at first, a hundredth less
+    each time, turned round by a loss, until three gains in a row are under 0.001."""
+    return f"""WITH RECURSIVE {_COUNTS.format(source=SOURCES[name])},
+m AS MATERIALIZED (SELECT (SELECT avg(score) FROM s) AS mean, lo, hi, n FROM p),
+w AS (
+  SELECT 0 AS i, mean AS point, 0.05::DOUBLE * (hi - lo) AS step, 0 AS idle,
+    (SELECT sum(CASE WHEN score > mean THEN pos ELSE neg END) FROM c)::BIGINT AS correct FROM m
+  UNION ALL
+  SELECT i + 1, point, CASE WHEN correct < last THEN -1 ELSE 1 END * least(abs(step) * (1 - 0.01::DOUBLE), (hi - lo) / 2),
+    CASE WHEN abs((1 - last::DOUBLE / n) - (1 - correct::DOUBLE / n)) < 0.001 THEN idle + 1 ELSE 0 END, correct
+  FROM (SELECT i, x.point, step, idle, last, lo, hi, n,
+      (SELECT sum(CASE WHEN score > x.point THEN pos ELSE neg END) FROM c)::BIGINT AS correct
+    FROM (SELECT i, least(greatest(point + step, lo), hi) AS point, step, idle, correct AS last, lo, hi, n FROM w, m
+      WHERE i < 200 AND idle < 3) x)
+),
+a AS (SELECT point AS threshold, correct, n FROM w, m ORDER BY correct DESC, i LIMIT 1)
+SELECT {_ANSWER} FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to SQL; searches that draw at random have none."""
     noisy, ties = SOURCES["noisy"], SOURCES["ties"]
@@ -121,13 +142,22 @@ count(*) FILTER (NOT {up} AND y = 1)::BIGINT AS fn FROM ({noisy})""",
 greatest(max(correct), any_value(p.pos))::DOUBLE / any_value(n) AS accuracy FROM k, p""",
         "class_means": f"""SELECT round(avg(score) FILTER (y = -1), 6) AS neg_mean, round(avg(score) FILTER (y = 1), 6) AS pos_mean,
 round(avg(score), 6) AS all_mean FROM ({noisy})""",
-        "granularity": "SELECT l_discount::DOUBLE AS granular, count(*)::BIGINT AS rows FROM lineitem GROUP BY 1",
+        "granularity": """SELECT (CASE WHEN x * 100 - floor(x * 100) = 0.5 AND floor(x * 100)::BIGINT % 2 = 0 THEN floor(x * 100)
+  ELSE floor(x * 100 + 0.5) END / 100)::DOUBLE AS granular, count(*)::BIGINT AS rows
+FROM (SELECT l_quantity::DOUBLE / 8 AS x FROM lineitem) GROUP BY 1""",
+        "label_profile_gaps": """SELECT count(*)::BIGINT AS rows, count(*) FILTER (m = 0)::BIGINT AS positives,
+count(*) FILTER (m IN (1, 2, 3))::BIGINT AS negatives, count(*) FILTER (score IS NULL OR isnan(score))::BIGINT AS bad_scores,
+count(*) FILTER (m = 4)::BIGINT AS null_labels, min(score) FILTER (NOT isnan(score)) AS lowest,
+max(score) FILTER (NOT isnan(score)) AS highest
+FROM (SELECT l_partkey % 5 AS m, CASE WHEN l_orderkey % 11 = 0 THEN 'NaN'::DOUBLE
+  WHEN l_orderkey % 13 <> 0 THEN l_extendedprice END::DOUBLE AS score FROM lineitem)""",
         "map_labels": """SELECT l_linestatus AS label, CASE l_linestatus WHEN 'F' THEN -1 WHEN 'O' THEN 1 END::INTEGER AS y,
 count(*)::BIGINT AS rows FROM lineitem GROUP BY 1, 2""",
         "predict": f"""SELECT y::INTEGER AS y, CASE WHEN {up} THEN 1 ELSE -1 END::INTEGER AS predicted, count(*)::BIGINT AS rows
 FROM ({noisy}) GROUP BY 1, 2""",
         "unexpected_labels": "SELECT DISTINCT o_orderstatus AS label FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
         "sgrid_full_sample": _grid("noisy"),
+        "sgd_full_sample": _descend("whole"),
         "exact_by_group": f"""WITH s AS (SELECT l_returnflag, l_extendedprice::DOUBLE AS score,
 {_LABEL.format("(l_extendedprice > 50000) <> (l_orderkey % 7 = 0)")} FROM lineitem),
 c AS (SELECT l_returnflag, score, count(*) FILTER (y = -1) AS neg, count(*) FILTER (y = 1) AS pos FROM s GROUP BY 1, 2),

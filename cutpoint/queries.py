@@ -30,9 +30,14 @@ SOURCES: dict[str, tuple[str, Callable[[DataFrame], DataFrame], tuple | None]] =
     "ties": ("lineitem", _labelled("l_discount", "(l_discount > 0.05) != (l_partkey % 5 = 0)"), None),
     "imbalanced": ("events", _labelled("value", "value > 115"), None),
     "contrary": ("events", _labelled("value", "value < 200"), None),
+    "whole": ("lineitem", _labelled("l_quantity", "(l_quantity > 37) != (l_orderkey % 7 = 0)"), None),
+    "gaps": ("lineitem", lambda d: d.select(
+        F.expr("CASE WHEN l_orderkey % 11 = 0 THEN double('NaN') WHEN l_orderkey % 13 <> 0 THEN l_extendedprice END").alias("score"),
+        F.expr("CASE WHEN l_partkey % 5 = 0 THEN 1 WHEN l_partkey % 5 < 4 THEN -1 END").alias("label")), None),
+    "eighths": ("lineitem", lambda d: d.select((F.col("l_quantity").cast("double") / 8).alias("score"), F.lit(1).alias("label")), None),
     "words": ("lineitem", lambda d: d.select(F.col("l_extendedprice").alias("score"), F.col("l_linestatus").alias("label")), ("F", "O")),
     "bad3": ("orders", lambda d: d.select(F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("label")), ("F", "O")),
-}
+}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, tuple | None]:
@@ -130,7 +135,8 @@ def queries() -> dict[str, Query]:
         "miss_ratio_at_threshold": _of("noisy", lambda r: evaluate.accuracy(r, CUT, miss=True)),
         "accuracy_ceiling": _over("noisy", evaluate.ceiling),
         "class_means": _of("noisy", lambda r: evaluate.class_means(r).select(*map(_six, ("neg_mean", "pos_mean", "all_mean")))),
-        "granularity": _of("ties", _granular),
+        "granularity": _of("eighths", _granular),
+        "label_profile_gaps": _of("gaps", profile),
         "map_labels": _mapped,
         "predict": _of("noisy", lambda r: evaluate.predictions(r, CUT).groupBy("y", "predicted").agg(F.count("*").alias("rows"))),
         "unexpected_labels": _of("bad3", unexpected_labels),
@@ -139,6 +145,7 @@ def queries() -> dict[str, Query]:
         "sgrid_reshuffled": _solve("sgrid", "noisy", seed=1, reshuffle=True),
         "genetic_threshold": _solve("gen", "noisy", seed=1),
         "sgd_threshold": _solve("sgd", "noisy", seed=1),
+        "sgd_full_sample": _solve("sgd", "whole", seed=1, stoch_ratio=1.0),
         "exact_by_group": _by_flag,
         "stream_hist_bins": _stream,
     }

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialise, materialise_buckets, release, tidy
-from .stars import LANES, bucket_members, candidates, exact_components, least_agreement
+from .stars import LANES, exact_components, pairs_to_compare
 
 #: Characters of a shingle, unless a caller names another number.
 SHINGLE = 9
@@ -111,10 +111,7 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     bucket's pivot, or of another member, are compared with the pivot, and with each other
     by how they differ from it: no more pairs than members are rows.
     """
-    least = least_agreement(percent)
-    members = materialise(bucket_members(band_keys(lines, shingle), least), "members")
-    pairs = materialise(candidates(members, least), "pairs")
-    release(members)
+    pairs = pairs_to_compare(band_keys(lines, shingle), percent)
     verified = _verified(pairs, lines, percent, shingle)
     found = exact_components(verified, percent)
     release(pairs, verified)

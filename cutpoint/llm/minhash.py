@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import numbered, with_least
 from .runtime import materialise, release, session
-from .stars import LANES, bucket_members, candidates, exact_components, least_agreement
+from .stars import LANES, exact_components, pairs_to_compare
 from .words import U, chunks, grams, mix, sequence_hash
 
 #: Six minima a band: two sets of similarity 0.8 share none of 48 bands once in two million.
@@ -169,10 +169,7 @@ def near_duplicates(
 
     chosen = usable.join(sets.select("h1", "h2", F.col("node").alias("id")), ["h1", "h2", "id"], "left_semi")
     flat = chosen.select(F.explode("bands").alias("key"), F.col("id").alias("node"), "sketch1", "sketch2")
-    least = least_agreement(percent)
-    members = materialise(bucket_members(flat, least), "members")
-    pairs = materialise(candidates(members, least), "pairs")
-    release(members)
+    pairs = pairs_to_compare(flat, percent)
 
     near = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # neither side is bounded, so this is one shuffle of the texts at any size

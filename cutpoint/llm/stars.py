@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialise, release
+from .runtime import materialise, release, tidy
 
 #: Lanes of a sketch: two numbers of 32 lanes of two bits, each from another hash minimum.
 LANES = 64
@@ -72,6 +72,16 @@ def candidates(members: DataFrame, least: int) -> DataFrame:
     return every.agg(F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"))
 
 
+def pairs_to_compare(keys: DataFrame, percent: int) -> DataFrame:
+    """``candidates`` of ``keys``, as a table; what led to it is deleted."""
+    least = least_agreement(percent)
+    members = materialise(bucket_members(keys, least), "members")
+    tidy(keys.sparkSession)  # the shuffle of all bands
+    pairs = materialise(candidates(members, least), "pairs")
+    release(members)
+    return pairs
+
+
 def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links ``(u, v)`` that ``verified`` hides, between nodes compared with one pivot, at
     least one of them not in the pivot's component.

@@ -33,8 +33,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With one line kept of each group of near-equal lines; n_chars is counted anew.
 
-    A document that loses all its lines stays, with an empty text."""
-    cut = lines.dedupe_lines(docs)
+    A document that loses all its words goes: each of its lines stays in another one. One
+    that had none before stays."""
+    words = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    cut = lines.dedupe_lines(docs.withColumn("__had_words", words)).where(words | ~F.col("__had_words"))
     count = F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))
     return cut.withColumn("n_chars", F.coalesce(count, F.col("n_chars"))).select(*docs.columns)
 

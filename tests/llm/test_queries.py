@@ -44,17 +44,20 @@ def test_pipeline(spark, sf_dir):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
 
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = {r.doc_id: r.text for r in docs.collect()}
+    source = rows = {r.doc_id: r.text for r in docs.collect()}
     bad = {r.doc_id for r in toxicity.score(docs, model).where("score >= 0.3").collect()}
     rows = {i: t for i, t in rows.items() if i not in bad}
     gone = plain.lines_removed(list(rows.items()))
-    rows = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, [])) for i, t in rows.items()}
+    cut = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, [])) for i, t in rows.items()}
+    rows = {i: t for i, t in cut.items() if plain.space_words(t) or not plain.space_words(rows[i])}
+    assert len(rows) < len(cut)
     sets = {i: plain.shingles(t, 5) for i, t in rows.items()}
     root = plain.least_reachable(list(sets), plain.near(sets, 80))
     rows = {i: t for i, t in rows.items() if root[i] == i}
     rows = {i: t for i, t in rows.items() if not plain.hits(t, bench)[1]}
     assert {i: r["size"] for i, r in got.items()} == {i: len(plain.space_words(t)) for i, t in rows.items()}
     assert bad and gone and len(rows) < len(sets)
+    assert not {i for i, r in got.items() if not r["size"] and plain.space_words(source[i])}
     by_source = {}
     for r in got.values():
         by_source.setdefault(r.source, []).append(r)

@@ -123,6 +123,90 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+LINES = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), o AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS pos, trim(lines[i], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)
+  WHERE trim(lines[i], ' ' || chr(9) || chr(13)) <> ''
+), d AS MATERIALIZED (
+  SELECT line, row_number() OVER (ORDER BY line) AS id,
+    list_distinct(list_transform(range(1, greatest(1, length(line) - 4) + 1), lambda i: substring(line, i, 5))) AS shingles
+  FROM (SELECT DISTINCT line FROM o)
+), s AS MATERIALIZED (
+  SELECT id, len(shingles) AS n, unnest(shingles) AS shingle FROM d
+), prefix AS MATERIALIZED (
+  -- two sets of similarity 0.8 share one of the rarest fifth of their shingles, or the next
+  SELECT id, n, shingle FROM s JOIN (SELECT shingle, count(*) AS f FROM s GROUP BY shingle) USING (shingle)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY f, shingle) <= n - (4 * n + 4) // 5 + 1
+), near AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.shingle = b.shingle AND a.id < b.id
+  WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a, b, len(x.shingles) + len(y.shingles) AS both_n, len(list_intersect(x.shingles, y.shingles)) AS common
+    FROM near JOIN d x ON a = x.id JOIN d y ON b = y.id) WHERE 100 * common >= 80 * (both_n - common)
+), both_ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a
+), c AS MATERIALIZED (
+  SELECT a AS id, least(a, min(b)) AS part FROM reach GROUP BY a
+), p AS MATERIALIZED (
+  SELECT doc_id, pos, coalesce(c.part, d.id) AS part FROM o JOIN d USING (line) LEFT JOIN c USING (id)
+), gone AS (
+  SELECT doc_id, count(*) AS n, string_agg(pos, ',' ORDER BY pos) AS removed
+  FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) AS nth FROM p) WHERE nth > 1 GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM t LEFT JOIN gone USING (doc_id)
+"""
+
+LICENSES_BASE = rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, coalesce({ALNUM_WORDS.format(LOWER.format('text'))}, []) AS words FROM documents
+), p AS (
+  SELECT doc_id, len(words) AS n,
+    list_filter(range(0, len(words)), lambda i: words[i + 1 : i + 4] = ['gnu', 'general', 'public', 'license']) AS gpl,
+    list_filter(range(0, len(words)), lambda i: words[i + 1 : i + 2] = ['apache', 'license']) AS apache,
+    list_filter(range(0, len(words)), lambda i: words[i + 1 : i + 2] = ['cc', 'by']) AS cc,
+    list_filter(range(0, len(words)), lambda i: words[i + 1 : i + 2] = ['mit', 'license']) AS mit
+  FROM w
+)
+SELECT doc_id, n::BIGINT AS n_words, (len(gpl) + len(apache) + len(cc) + len(mit))::BIGINT AS n_base,
+  list_min(gpl || apache || cc || mit)::BIGINT AS first_word, list_max(gpl || apache || cc || mit)::BIGINT AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(cc) > 0 THEN 'cc-by' END,
+    CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM p
+"""
+
+_EITHER = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_ASSIGN = (
+    "(" + "|".join(map(_EITHER, ("password", "passwd", "secret", "token"))) + f"|{_EITHER('api')}_?{_EITHER('key')})"
+    + r"""["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def _matches(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Matches, the part of each whose size counts, and what stands between them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS k, {least} AS least, regexp_extract_all(text, '{pattern}') AS found,
+  regexp_extract_all(text, '{pattern}', {group}) AS part, string_split_regex(text, '{pattern}') AS gaps FROM t"""
+
+
+SECRETS_BASE = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({_matches("assign", 0, _ASSIGN, 2, 12)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
+  UNION ALL {_matches("hex", 2, "[0-9a-f]+", 0, 16)}),
+e AS (SELECT doc_id, kind, k, length(found[i]) AS size,
+    list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda f: length(f))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m) WHERE length(part[i]) >= least),
+a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k) AS spans FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL; the other queries are tested against brute force."""
     return {
@@ -131,4 +215,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_embeddings": EMBEDDINGS,
         "op7_decontam": DECONTAM,
         "op8_substrings": SUBSTRINGS,
+        "op9_lines": LINES,
+        "licenses_base": LICENSES_BASE,
+        "secrets_base": SECRETS_BASE,
     }

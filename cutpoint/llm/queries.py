@@ -64,6 +64,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_licenses that SQL can express."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_secrets that SQL can express."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -93,11 +103,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Name to query, one for each operator."""
+    """Name to query: one for each operator, and two that compare base columns with SQL."""
     return {
         f.__name__: f
         for f in (
             op1_mixing, op2_minhash, op3_langid, op4_embeddings, op5_licenses,
-            op6_secrets, op7_decontam, op8_substrings, op9_lines, op10_toxicity,
+            op6_secrets, op7_decontam, op8_substrings, op9_lines, op10_toxicity, licenses_base, secrets_base,
         )
     }

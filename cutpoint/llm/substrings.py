@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, release, session
+from .runtime import materialise, release, session, tidy
 from .words import U, Words, chunks, grams
 
 #: Windows of the passages of one automaton, about, and texts that one task streams through it.
-SHARD_WORDS, SHARD_TEXTS = 1 << 18, 20_000
+SHARD_WORDS, SHARD_TEXTS = 1 << 20, 10_000
 
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -117,6 +117,18 @@ def passages(starts: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
         yield int(starts[a]), int(starts[b - 1]) + window
 
 
+#: Letters that stand for one word, each of an alphabet of its own: matches start at words,
+#: and no node of an automaton has more children than an alphabet has letters.
+LETTERS, ALPHABET = 4, 64
+
+
+def spelled(numbers: np.ndarray) -> str:
+    """LETTERS characters for each word number (below ALPHABET ** LETTERS)."""
+    place = np.arange(LETTERS)
+    digits = numbers[:, None] // ALPHABET**place % ALPHABET + ALPHABET * place + 1
+    return digits.astype(np.uint32).tobytes().decode("utf-32-le")
+
+
 class Passages:
     """An Aho-Corasick automaton that locates what stands of recurring passages in a text.
 
@@ -129,11 +141,13 @@ class Passages:
         self.window, self.block = window, (window + 1) // 2
         self.words, ids = np.unique(np.concatenate([*found, np.zeros(0, U)]), return_inverse=True)
         self.found = np.split(ids + 1, np.cumsum([len(p) for p in found])[:-1])
-        uses: dict[tuple, list[tuple[int, int]]] = {}
+        uses: dict[str, list[tuple[int, int]]] = {}
+        size = self.block * LETTERS
         for n, p in enumerate(self.found):
+            text = spelled(p)
             for at in range(0, len(p) - self.block + 1, self.block):
-                uses.setdefault(tuple(p[at : at + self.block].tolist()), []).append((n, at))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                uses.setdefault(text[at * LETTERS : at * LETTERS + size], []).append((n, at))
+        self.automaton = ahocorasick.Automaton()
         for block, places in uses.items():
             self.automaton.add_word(block, places)
         if uses:
@@ -146,8 +160,8 @@ class Passages:
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             text = np.where(self.words[at] == hashes, at + 1, 0)
             reach: dict[tuple[int, int], int] = {}
-            for end, places in self.automaton.iter(tuple(text.tolist())):
-                place = end + 1 - self.block
+            for end, places in self.automaton.iter(spelled(text)):
+                place = (end + 1) // LETTERS - self.block
                 for n, offset in places:
                     base = place - offset
                     if reach.get((n, base), -1) > place:
@@ -279,6 +293,7 @@ def cut_passages(
         F.first("copies").alias("copies"), F.first("rep").alias("rep"), F.collect_list("anchor").alias("anchors")
     )
     wanted = materialise(wanted, "wanted")
+    release(one, again)
 
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep"))
     texts = rows.join(wanted, ["k1", "k2"]).where(is_rep).select("k1", "k2", "copies", "text", "anchors")
@@ -291,6 +306,7 @@ def cut_passages(
         F.sum("copies").alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("anchor").alias("anchor")
     )
     sure = materialise(sure.where("n >= 2").select("row", "start", "anchor"), "confirmed")
+    tidy(docs.sparkSession)  # the shuffle of all windows
     shards = max(1, -(-sure.count() // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     spots = sure.groupBy("row").agg(F.collect_list("start").alias("starts"))
@@ -314,7 +330,7 @@ def cut_passages(
     spans = materialise(spans, "spans")
     left = found.select("k1", "k2", "text").join(spans, ["k1", "k2"])
     cut = materialise(_cut(left.select("k1", "k2", "text", "starts", "ends")).dropDuplicates(["k1", "k2"]), "cut")
-    release(one, again, wanted, found, sure, visits, salts, spans)
+    release(wanted, found, sure, visits, salts, spans)
     return digests.select("doc_id", "k1", "k2", "n_words", "sha").join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         "n_words",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import materialise
+from .runtime import materialise, release
 
 #: Words as the mix counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,7 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: in
     none gets more than ``cap`` times its own, the excess being reshared by weight among
     the others. The level of sharing rises round by round until no source is above its
     bound; each round is one aggregate of two sums, so nothing per source reaches the driver.
+    One task sorts the sources: a row each, whatever the documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*[F.lit(int(w)) for w in cycle])
@@ -81,10 +82,13 @@ def mix_sources(
         F.col(source_col).cast("string").alias("source"),
         size.cast("long").alias("size"),
     )
-    rows = rows.repartitionByRange("source", "size", "doc_id")
+    # the range partitioner reads its input twice: sizes, not texts
+    counted = materialise(rows, "counted")
+    rows = counted.repartitionByRange("source", "size", "doc_id")
     rows = rows.sortWithinPartitions("source", "size", "doc_id")
     at = F.monotonically_increasing_id()
     rows = materialise(rows.withColumn("at", at).withColumn("part", F.shiftright("at", 33)), "sizes")
+    release(counted)
 
     parts = rows.groupBy("source", "part").agg(
         F.sum("size").alias("words"), F.count("*").alias("n"), F.min("at").alias("first")

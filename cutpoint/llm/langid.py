@@ -19,15 +19,21 @@ WIDTH = 1 << BITS
 UNKNOWN = "und"
 #: Languages up to which their counts are broadcast.
 FEW_LANGUAGES = 10_000
+#: Rows that each language gives to the sample at least, if it has them (about).
+LEAST_ROWS = 20
+#: Share of a centroid's sample rows that are farther from it than its rejection bound.
+FAR_SHARE = 0.01
 
 
 @dataclass
 class Model:
-    """Inverse document frequencies, unit centroids (a row each) and the language of each."""
+    """Inverse document frequencies, unit centroids (a row each), the language of each, and
+    the least cosine to each that a text of its language is expected to have."""
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
+    least: np.ndarray
 
 
 def counts(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -75,8 +81,10 @@ def train(
     """Learn from rows with a language whose crc32(id as text) mod 4 is not 2.
 
     Document frequencies are counted over all of them. Centroids are clustered from about
-    ``sample_rows`` rows (the documented bound, shared evenly by the languages, chosen by
-    the hash of the id). None if there is no training row.
+    ``sample_rows`` rows (the documented bound, or LEAST_ROWS for each language if that is
+    more), shared evenly by the languages and chosen by the hash of the id. The cosine
+    that all but FAR_SHARE of a centroid's sample rows have to it is its rejection bound.
+    None if there is no training row.
     """
     spark = session(docs)
     rows = docs.select(
@@ -104,7 +112,7 @@ def train(
 
     by_lang = rows.groupBy("lang").count()
     langs = by_lang.count()
-    share = F.lit(max(1, sample_rows // langs)) / F.col("count")
+    share = F.lit(max(LEAST_ROWS, sample_rows // max(1, langs))) / F.col("count")
     at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # one row per language; with so many that this is no small table, the planner decides
     by_lang = F.broadcast(by_lang) if langs <= FEW_LANGUAGES else by_lang
@@ -122,7 +130,7 @@ def train(
     got = sample.mapInArrow(features, f"id {id_type}, lang string, buckets binary, counts binary").collect()
     got.sort(key=lambda r: (r.lang, str(r.id), r.buckets))
     rng = np.random.default_rng(seed)
-    centres, names = [], []
+    centres, names, least = [], [], []
     for lang in sorted({r.lang for r in got}):
         own = [r for r in got if r.lang == lang]
         table = np.zeros((len(own), WIDTH), np.float32)
@@ -134,25 +142,31 @@ def train(
             made = cluster(x, clusters, rng)
             centres.append(made)
             names += [lang] * len(made)
-    return Model(idf, np.vstack(centres).astype(np.float32), names) if centres else None
+            cos = x @ made.T
+            own = cos.argmax(1)
+            least += [np.quantile(cos[own == c, c], FAR_SHARE) if (own == c).any() else 1.0 for c in range(len(made))]
+    if not centres:
+        return None
+    return Model(idf, np.vstack(centres).astype(np.float32), names, np.array(least))
 
 
 def identify(
-    docs: DataFrame, model: Model | None, min_cosine: float = 0.05, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: Model | None, reject: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` per input row from its whole text alone.
+    """``(doc_id, lang_pred, score, far)`` per input row from its whole text alone.
 
-    The nearest centroid by cosine gives the language, the cosine the score. A text that
-    is null or has no letter is ``und`` with score 0, and so is one farther from all
-    centroids than ``min_cosine`` allows, or any text without a model. Other columns are
-    not read; repeated rows are judged each.
+    The nearest centroid by cosine gives the language, the cosine the score; far tells
+    that the cosine is below the centroid's bound, learned from the training sample. A
+    text that is null or has no letter is ``und`` with score 0, and so is a far one, unless
+    ``reject`` is false, and any text without a model. Other columns are not read;
+    repeated rows are judged each.
     """
     spark = session(docs)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", letter.alias("letter"))
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("far"))
     sent = spark.sparkContext.broadcast(model)  # WIDTH numbers a centroid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +179,17 @@ def identify(
                 best.append(cos.max(1))
             near = np.concatenate(near) if near else np.zeros(0, int)
             best = np.clip(np.concatenate(best) if best else np.zeros(0), 0, 1).astype(np.float64)
-            known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (best >= min_cosine)
+            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            far = ~letter | (best < m.least[near])
+            known = ~far if reject else letter
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([m.langs[c] if k else UNKNOWN for c, k in zip(near, known, strict=True)], pa.string()),
                     pa.array(np.where(known, best, 0.0)),
+                    pa.array(far),
                 ],
-                ["doc_id", "lang_pred", "score"],
+                ["doc_id", "lang_pred", "score", "far"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, far boolean")

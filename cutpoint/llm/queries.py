@@ -31,8 +31,8 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # every text with a letter gets a learned language here, however far it is
-    found = langid.identify(docs, langid.train(docs), min_cosine=0.0)
-    return found.select("doc_id", _held_out(), "lang_pred", "score", (F.col("score") < 0.05).alias("far"))
+    found = langid.identify(docs, langid.train(docs), reject=False)
+    return found.select("doc_id", _held_out(), "lang_pred", "score", "far")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,5 +136,5 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """A hash of one whole word sequence, apart from those of fixed-length runs."""
     up, _ = powers(len(hashes) + 1)
-    total = (hashes * up[: len(hashes)]).sum(dtype=U) + U(len(hashes)) * U(0xA0761D6478BD642F)
-    return mix(np.array([total], U))[0]
+    total = (hashes * up[: len(hashes)]).sum(dtype=U, keepdims=True) + np.array([len(hashes)], U) * U(0xA0761D6478BD642F)
+    return mix(total)[0]

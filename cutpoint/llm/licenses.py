@@ -152,9 +152,6 @@ def scan_licenses(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     span = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
-    def characters(data: np.ndarray, place: int) -> int:
-        return int(((data[:place] & 0xC0) != 0x80).sum())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices)
         for batch in batches:
@@ -167,11 +164,10 @@ def scan_licenses(
                     base = {names[x] for x in which[cut[k] : cut[k + 1]]}
                     data = w.data[w.text_starts[k] : w.text_starts[k + 1]]
                     text, back = normalised(data)
-                    hits = [
-                        (scanner.notices[n], characters(data, int(back[a])), characters(data, int(back[b - 1]) + 1), e)
-                        for n, a, b, e in scanner.scan(text)
-                        if b > a
-                    ]
+                    matches = [m for m in scanner.scan(text) if m[2] > m[1]]
+                    # characters that begin before each byte
+                    chars = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if matches else None
+                    hits = [(scanner.notices[n], int(chars[back[a]]), int(chars[back[b - 1] + 1]), e) for n, a, b, e in matches]
                     labels = base | {n.label for n, *_ in hits}
                     best = 1.0 if base else max((1 - e / len(n.text) for n, _, _, e in hits), default=0.0)
                     found = [{"label": n.label, "start": a, "end": b, "edits": e} for n, a, b, e in hits]

@@ -120,6 +120,32 @@ def test_no_notice_is_left_beside_a_better_one():
         assert all(least_edits(name, text[a:b]) > 2 for a, b in zip(ends[::2], ends[1::2]))
 
 
+def test_seeds_find_what_plain_fuzzy_search_finds():
+    """Notices with random edits, up to one more than is allowed: found if and only if near."""
+    rng = np.random.default_rng(9)
+    scanner = licenses.Scanner(licenses.NOTICES)
+    letters = list("abcdefghijklmnopqrstuvwxyz 0")
+    found = near = 0
+    for n, notice in enumerate(scanner.notices):
+        for _ in range(25):
+            text = list(notice.text)
+            for _ in range(rng.integers(0, notice.edits + 2)):
+                at, kind = rng.integers(len(text)), rng.integers(3)
+                text[at : at + (kind > 0)] = [rng.choice(letters)] if kind < 2 else []
+            text = "some words before it " + "".join(text) + " and after it"
+            is_near = least_edits(notice.text, text) <= notice.edits
+            near += is_near
+            found += (got := any(k == n for k, *_ in scanner.scan(text)))
+            assert got == is_near
+    assert near == found > 150
+
+
+def test_spans_count_characters(spark):
+    text = "é\U0001f600 " * 50 + "Released under the MIT licence. " + "你 " * 40 + "mozilla public license version 2.0"
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert [(text[n.start : n.end], n.edits) for n in row.notices] == [("Released under the MIT licence", 1), ("mozilla public license version 2.0", 0)]
+
+
 def base_spans(t):
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key"))
     assign = re.compile(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

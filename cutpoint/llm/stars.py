@@ -96,7 +96,9 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFra
     star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
     star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
     some = star.where("out").select("v").distinct()
-    a, b = star.where("out").alias("a"), star.join(some, "v", "left_semi").alias("b")
+    # a table, so that the join's sides are plain exchanges and a hot pivot is split
+    near = materialise(star.join(some, "v", "left_semi"), "near-stars")
+    a, b = near.where("out").alias("a"), near.alias("b")
     size = lambda c: F.size(F.col(c))
     base = F.col("a.nv") - size("a.less") - size("b.less")
 
@@ -110,7 +112,7 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFra
     on = on & (~F.col("b.out") | (F.col("a.u") < F.col("b.u"))) & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
     on = on & enough(most) & enough(shared)
     links = materialise(a.join(b, on).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct(), "missed")
-    release(star)
+    release(star, near)
     return links
 
 

@@ -1,4 +1,6 @@
 import random
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cutpoint.llm import runtime
 from cutpoint.llm import words as W
 from cutpoint.llm.components import components
 
@@ -54,3 +57,26 @@ def test_components(spark, shape):
     df = spark.createDataFrame([*links, (None, 3)], "u long, v long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == plain.least_reachable({n for link in links for n in link}, links)
+
+
+def session_of(master, folder=None):
+    conf = SimpleNamespace(get=lambda key, other: folder)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+
+def test_no_local_folder_on_a_cluster():
+    assert runtime.shared_dir(session_of("spark://far:7077", "hdfs://far/shared")) == "hdfs://far/shared"
+    assert runtime.shared_dir(session_of("local[4]")).startswith("file:")
+    for master in ("spark://far:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            runtime.shared_dir(session_of(master))
+
+
+def test_released_tables_are_gone(spark):
+    rows = spark.range(10)
+    plain_table, dealt = runtime.materialise(rows, "t"), runtime.materialise_buckets(rows, "t", "id")
+    assert plain_table.count() == dealt.count() == 10
+    runtime.release(plain_table, dealt)
+    for t in (plain_table, dealt):
+        assert not Path(t.cutpoint_path.removeprefix("file:")).exists()
+    assert not spark.catalog.tableExists(dealt.cutpoint_table)

@@ -1,12 +1,16 @@
 import math
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from cutpoint import FrameCutpoint
+from cutpoint.errors import ConfigurationError
 from cutpoint.functions.columns import grid_bucket, grid_values
 from cutpoint.operators import counts, evaluate, search
 from cutpoint.operators.profile import admit
+from cutpoint.plans import running
 from cutpoint.sources.frames import scored
 
 from . import brute
@@ -125,3 +129,22 @@ def test_metamorphic_scale(spark):
     a = solve(spark, rows, "exact").threshold
     b = solve(spark, [(s * 1024, y) for s, y in rows], "exact").threshold
     assert b == a * 1024 or b == math.nextafter(a * 1024, b)
+
+
+def test_no_local_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda key, other: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ConfigurationError, match="spark.checkpoint.dir"):
+        running.shared_dir(far)
+
+
+def test_groups_in_one_order_equal_groups_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(g), None if g == 2 else g, float(s), int(y)) for g in range(4) for s, y in zip(rng.integers(0, 9, 60), rng.choice([-1, 1], 60, p=[0.2, 0.8] if g == 1 else [0.5, 0.5]))]
+    df = spark.createDataFrame(rows, "a string, b int, score double, y int")
+    got = {r.a: r for r in evaluate.exact_by(df, ["a", "b"]).collect()}
+    assert got == {r.a: r for r in evaluate.exact_by(df, ["a", "b"], rows=len(rows)).collect()}
+    for g in map(str, range(4)):
+        own = scored(df.where(df.a == g), "score", "y")
+        best = search.exact(own, admit(own)).first()
+        assert got[g].correct == best.correct and (got[g].all_positive or got[g].threshold == best.threshold)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, numbered, with_least
-from .runtime import by_group, materialise, release, session
+from .runtime import by_group, materialise, release, session, tidy
 
 #: Vectors that train the cells (the documented bound), cells at most, vectors a cell.
 SAMPLE, MOST_CELLS, CELL_ROWS = 40_000, 4096, 1024
@@ -262,6 +262,7 @@ def near_vectors(
         "named",
     )
     release(reps, cells, plan, out)
+    tidy(vectors.sparkSession)
     met = rows.select("vec_id", "id", "good", "k1", "k2").join(named, ["k1", "k2"], "left")
     met = with_least(met, F.when(F.col("good"), F.col("component_id")), "vec_id")
     component = F.when(F.col("good"), F.col("least")).otherwise(F.col("vec_id"))

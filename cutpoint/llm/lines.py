@@ -100,6 +100,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int, shingle: int) ->
     common = F.col("nu") - F.size("more")
     out = materialise(met.withColumn("linked", 100 * common >= percent * (F.col("nv") + F.size("more"))), "verified")
     release(right)
+    tidy(lines.sparkSession)
     return out
 
 
@@ -135,6 +136,7 @@ def kept_lines(
     names = F.collect_list(F.concat_ws(":", "pos", "node"))
     kept = materialise(alone.unionByName(grouped).groupBy("doc").agg(names.alias("kept")), "kept")
     release(lines)
+    tidy(docs.sparkSession)
     return kept
 
 

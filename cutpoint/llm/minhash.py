@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import numbered, with_least
-from .runtime import materialise, release, session
+from .runtime import materialise, release, session, tidy
 from .stars import LANES, exact_components, pairs_to_compare
 from .words import U, chunks, grams, mix, sequence_hash
 
@@ -179,6 +179,7 @@ def near_duplicates(
     met = met.join(full.select(F.col("node").alias("u"), F.col("payload").alias("a")), "u")
     verified = materialise(compared(met, percent), "compared")
     release(pairs, full)
+    tidy(docs.sparkSession)
     found = exact_components(verified, percent)
 
     label = sets.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("set_component"))

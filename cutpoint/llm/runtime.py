@@ -96,16 +96,13 @@ def materialise_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing will read again, and let Spark delete
-    the shuffle files of plans that are gone."""
+    """Delete tables of ``materialise`` that nothing will read again."""
     for t in tables:
         context = t.sparkSession.sparkContext
         if name := getattr(t, "cutpoint_table", None):
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         where = context._jvm.org.apache.hadoop.fs.Path(t.cutpoint_path)
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
-        tidy(tables[0].sparkSession)
 
 
 def tidy(spark: SparkSession) -> None:

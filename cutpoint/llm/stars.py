@@ -79,6 +79,7 @@ def pairs_to_compare(keys: DataFrame, percent: int) -> DataFrame:
     tidy(keys.sparkSession)  # the shuffle of all bands
     pairs = materialise(candidates(members, least), "pairs")
     release(members)
+    tidy(keys.sparkSession)
     return pairs
 
 

@@ -331,6 +331,7 @@ def cut_passages(
     left = found.select("k1", "k2", "text").join(spans, ["k1", "k2"])
     cut = materialise(_cut(left.select("k1", "k2", "text", "starts", "ends")).dropDuplicates(["k1", "k2"]), "cut")
     release(wanted, found, sure, visits, salts, spans)
+    tidy(docs.sparkSession)
     return digests.select("doc_id", "k1", "k2", "n_words", "sha").join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         "n_words",

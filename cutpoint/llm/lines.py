@@ -90,7 +90,9 @@ def _shingles(line: str, shingle: int) -> Column:
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame:
     """``pairs(u, v, ...)`` with exact overlaps: sizes of both sets, the shingles that only u
     has (more) and that only v has (less), and whether both are linked."""
-    right = materialise(lines.join(pairs.select(F.col("v").alias("node")).distinct(), "node").select("node", "line"), "pivot-lines")
+    # hashing the few pivots spares sorting every line
+    pivots = pairs.select(F.col("v").alias("node")).distinct().hint("shuffle_hash")
+    right = materialise(lines.join(pivots, "node").select("node", "line"), "pivot-lines")
     # both sides are shuffled, so that a pivot of very many pairs is split
     met = pairs.join(right.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
     met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
@@ -129,7 +131,7 @@ def kept_lines(
     lines = materialise_buckets(lines, "lines", "node")
     tidy(docs.sparkSession)  # the texts' shuffle files
     found = line_groups(lines.select("node", "line"), percent, shingle)
-    firsts = lines.select("node", "first").join(found, "node", "left")
+    firsts = lines.select("node", "first").join(found.hint("shuffle_hash"), "node", "left")
     place = F.struct(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "node")
     grouped = firsts.where("component is not null").groupBy("component").agg(F.min(place).alias("place")).select("place.*")
     alone = firsts.where("component is null").select(place.alias("place")).select("place.*")

@@ -98,7 +98,8 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFra
     star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
     some = star.where("out").select("v").distinct()
     # a table, so that the join's sides are plain exchanges and a hot pivot is split
-    near = materialise(star.join(some, "v", "left_semi"), "near-stars")
+    pivots = star.groupBy("u").agg(F.collect_set("v").alias("pivots"))
+    near = materialise(star.join(some, "v", "left_semi").join(pivots, "u"), "near-stars")
     a, b = near.where("out").alias("a"), near.alias("b")
     size = lambda c: F.size(F.col(c))
     base = F.col("a.nv") - size("a.less") - size("b.less")
@@ -111,7 +112,8 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFra
     shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
     on = (F.col("a.v") == F.col("b.v")) & (F.col("a.u_part") != F.col("b.u_part"))
     on = on & (~F.col("b.out") | (F.col("a.u") < F.col("b.u"))) & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
-    on = on & enough(most) & enough(shared)
+    # of several pivots that both were compared with, one is enough
+    on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == F.col("a.v")) & enough(shared)
     links = materialise(a.join(b, on).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct(), "missed")
     release(star, near)
     return links

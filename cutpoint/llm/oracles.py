@@ -174,7 +174,8 @@ WITH w AS MATERIALIZED (
   FROM w
 )
 SELECT doc_id, n::BIGINT AS n_words, (len(gpl) + len(apache) + len(cc) + len(mit))::BIGINT AS n_base,
-  list_min(gpl || apache || cc || mit)::BIGINT AS first_word, list_max(gpl || apache || cc || mit)::BIGINT AS last_word,
+  coalesce(list_min(gpl || apache || cc || mit), -1)::BIGINT AS first_word,
+  coalesce(list_max(gpl || apache || cc || mit), -1)::BIGINT AS last_word,
   concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(cc) > 0 THEN 'cc-by' END,
     CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
 FROM p

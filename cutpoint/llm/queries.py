@@ -65,8 +65,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op5_licenses that SQL can express."""
-    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """The columns of op5_licenses that SQL can express, with -1 where no phrase stands."""
+    place = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", place("first_word"), place("last_word"), "base_labels")
 
 
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:

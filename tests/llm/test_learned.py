@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import zlib
 
@@ -180,6 +182,21 @@ def test_mixing_follows_targets(spark, messy, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_of_ties_and_repeated_rows_equals_brute_force(spark):
+    rows = [(i % 5, "w " * (i % 3), "ab"[i % 2]) for i in range(60)] + [(None, "w", "a"), (None, None, None), (3, "w w w", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.source or "", r.target, r.copies) for r in mixing.mix_sources(df).collect())
+    target = {r.source: r.target for r in mixing.mix_sources(df).collect()}
+    expected = []
+    for s in ("a", "b", None):
+        own = sorted((len((t or "").split()), i is not None, i or 0) for i, t, x in rows if x == s)
+        rate = target[s] / (sum(n for n, _, _ in own) or 1)
+        u = int(hashlib.md5(f"7:{s or chr(0)}".encode()).hexdigest()[:8], 16) / 2**32
+        for k, (n, known, i) in enumerate(own):
+            expected.append((known, i, n, s or "", target[s], math.floor((k + 1) * rate + u) - math.floor(k * rate + u)))
+    assert got == sorted(expected)
+
+
 def test_hot_source_takes_several_tasks(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "repeat('w ', cast(id % 50 as int)) as text", "'hot' as source")
     got = mixing.mix_sources(df)

@@ -1,14 +1,17 @@
 """Queries against their SQL on the smallest tables, and the pipeline against brute force."""
 
+import zlib
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from cutpoint.llm import toxicity
+from cutpoint.llm import langid, secrets, toxicity
 from cutpoint.llm.oracles import oracle_sql
 from cutpoint.llm.queries import queries
 
 from . import plain
+from .test_learned import naive_languages, naive_toxicity
 
 SQL = oracle_sql()
 
@@ -38,6 +41,45 @@ def test_query_without_sql(spark, sf_dir, tables, name):
     assert sorted(got.doc_id) == ids
 
 
+def rows_of(tables, columns="doc_id, text"):
+    return tables.execute(f"SELECT {columns} FROM documents").fetchall()
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_language_query_equals_brute_force(spark, sf_dir, tables):
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    short = {i: t or "" for i, t in rows_of(tables) if len(t or "") <= 4000}
+    expected = naive_languages(short.items(), model)
+    got = {r.doc_id: r for r in queries()["op3_langid"](spark, sf_dir).collect()}
+    for i in short:
+        lang, cosine = expected[i]
+        assert (got[i].held_out, got[i].lang_pred) == (held_out(i), lang) and got[i].score == pytest.approx(cosine, abs=1e-5)
+    truth = dict(rows_of(tables, "doc_id, lang"))
+    assert sum(got[i].lang_pred == truth[i] for i in truth if held_out(i)) >= 0.97 * sum(map(held_out, truth))
+
+
+def test_toxicity_query_equals_brute_force(spark, sf_dir, tables):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    model = toxicity.train(read("documents"), read("labels"))
+    got = {r.doc_id: r for r in queries()["op10_toxicity"](spark, sf_dir).collect()}
+    for i, t in rows_of(tables):
+        assert (got[i].held_out, got[i].predicted) == (held_out(i), int(got[i].score >= 0.3))
+        if len(t or "") <= 4000:
+            assert got[i].score == pytest.approx(naive_toxicity(t or "", model), abs=1e-4)
+
+
+def test_secret_query_gives_the_operators_spans(spark, sf_dir, tables):
+    got = {r.doc_id: r for r in queries()["op6_secrets"](spark, sf_dir).collect()}
+    order = {k: n for n, k in enumerate((*secrets.KINDS, *(f"decoded-{k}" for k in secrets.KINDS)))}
+    for i, t in rows_of(tables):
+        base, deep, _ = secrets.scan_deep(t or "")
+        listed = sorted([*base, *deep], key=lambda s: (s[1], order[s[0]], s[2]))
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in listed)
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -7,15 +7,15 @@ import pytest
 from cutpoint import Cutpoint, FrameCutpoint, errors, report
 from cutpoint.registry import ALGORITHMS, by_name
 
-SCORES, CLASSES = [0.1, 0.3, 0.4, 0.7], [-1, -1, 1, 1]
+SCORES, CLASSES = [-1.5, 0.25, 0.75, 2.0, 3.5], [-1, -1, 1, 1, 1]
 
 
 def test_containers_agree(spark):
-    series = pd.Series(SCORES, index=[7, 3, 9, 1])
+    series = pd.Series(SCORES, index=[7, 3, 9, 1, 4])
     for scores in (SCORES, tuple(SCORES), np.array(SCORES), series, (s for s in SCORES), dict.fromkeys(SCORES)):
         got = Cutpoint().optimize_threshold(scores, CLASSES)
-        assert got == 0.35 and type(got) is float
-    assert Cutpoint(labels=("no", "yes")).optimize_threshold(SCORES, ["no", "no", "yes", "yes"]) == 0.35
+        assert got == 0.5 and type(got) is float
+    assert Cutpoint(labels=("no", "yes")).optimize_threshold(SCORES, ["no", "no", "yes", "yes", "yes"]) == 0.5
 
 
 def test_options():
@@ -85,12 +85,12 @@ def test_refusals_of_frames(spark):
 def test_label_types(spark, kind):
     df = spark.createDataFrame([(s, (c + 1) // 2) for s, c in zip(SCORES, CLASSES)], "score float, label int")
     df = df.selectExpr("score", f"cast(label AS {kind}) AS label", "'x' AS note")
-    assert FrameCutpoint("exact", labels=(False, True) if kind == "boolean" else (0, 1)).optimize_threshold(df) == pytest.approx(0.35)
+    assert FrameCutpoint("exact", labels=(False, True) if kind == "boolean" else (0, 1)).optimize_threshold(df) == pytest.approx(0.5)
 
 
 def test_wide_frame_and_names(spark):
     df = spark.createDataFrame([(i, s, "x", c) for i, (s, c) in enumerate(zip(SCORES, CLASSES))], "id long, p double, y string, out int")
-    assert FrameCutpoint("ls").optimize_threshold(df, "p", "out") == 0.35
+    assert FrameCutpoint("ls").optimize_threshold(df, "p", "out") == 0.5
 
 
 def test_levels(caplog):
@@ -122,7 +122,7 @@ def test_backend_objects(spark, caplog):
             return out
 
     labels = ("no", "yes")
-    words = ["no", "yes", "no", "yes"]
+    words = ["no", "yes", "no", "yes", "yes"]
     assert Cutpoint(backend=Counting(), labels=labels).optimize_threshold(SCORES, words) == Cutpoint(labels=labels).optimize_threshold(SCORES, words)
     assert Counting.calls == 1
     Cutpoint(algorithm="hist", backend=Counting()).optimize_threshold(SCORES, CLASSES)
@@ -134,4 +134,4 @@ def test_progress(spark, capsys, monkeypatch):
     with report.progress(spark.sparkContext, True):
         spark.range(200_000).repartition(40).selectExpr("sum(hash(id))").collect()
     assert "tasks in" in capsys.readouterr().err
-    assert Cutpoint(progress_bar=True).optimize_threshold(SCORES, CLASSES) == 0.35
+    assert Cutpoint(progress_bar=True).optimize_threshold(SCORES, CLASSES) == 0.5

@@ -83,12 +83,12 @@ def _digest(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Starts, hashes and anchors of the windows whose anchor recurs, for one copy of each text."""
+    """Starts and hashes of the windows whose anchor recurs, for one copy of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             recurring = batch.column(4)
-            starts, hashes, picked = [], [], []
+            starts, hashes = [], []
             for i, j, w in chunks(batch.column(3), "space", False):
                 for k in range(j - i):
                     h = w.hashes[w.offsets[k] : w.offsets[k + 1]]
@@ -99,14 +99,10 @@ def _windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     s = np.flatnonzero(known[at] == own)
                     starts.append(s.astype(np.int32))
                     hashes.append(grams(h, window)[s].view(np.int64))
-                    picked.append(own[s].view(np.int64))
-            cols = [pa.array(starts, pa.list_(pa.int32())), *(pa.array(c, pa.list_(pa.int64())) for c in (hashes, picked))]
-            names = ["k1", "k2", "copies", "text", "starts", "hashes", "anchors"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], names)
+            cols = [pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["k1", "k2", "copies", "text", "starts", "hashes"])
 
-    return texts.mapInArrow(
-        run, "k1 long, k2 long, copies long, text string, starts array<int>, hashes array<long>, anchors array<long>"
-    )
+    return texts.mapInArrow(run, "k1 long, k2 long, copies long, text string, starts array<int>, hashes array<long>")
 
 
 def passages(starts: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
@@ -180,21 +176,24 @@ class Passages:
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _patterns(texts: DataFrame, window: int) -> DataFrame:
-    """Word hashes of the passages of ``(shard, text, starts)``: one row each."""
+def _patterns(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """Word hashes of the passages of ``(shard, text, starts)``, one row each, with the
+    anchors of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, words = [], []
+            shard, words, met = [], [], []
             for i, j, w in chunks(batch.column(1), "space", False):
                 for k in range(j - i):
                     h = w.hashes[w.offsets[k] : w.offsets[k + 1]]
                     for a, b in passages(batch.column(2)[i + k].values.to_numpy(), window):
                         shard.append(batch.column(0)[i + k].as_py())
                         words.append(h[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(words, pa.binary())], ["shard", "words"])
+                        met.append(np.unique(anchors(h[a:b], window, gram)).view(np.int64))
+            cols = [pa.array(shard, pa.int64()), pa.array(words, pa.binary()), pa.array(met, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "words", "anchors"])
 
-    return texts.mapInArrow(run, "shard long, words binary")
+    return texts.mapInArrow(run, "shard long, words binary, anchors array<long>")
 
 
 def _located(dealt: DataFrame, window: int) -> DataFrame:
@@ -299,20 +298,20 @@ def cut_passages(
     texts = rows.join(wanted, ["k1", "k2"]).where(is_rep).select("k1", "k2", "copies", "text", "anchors")
     found = _windows(texts, window, gram).where(F.size("starts") > 0)
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "windows")
+    tidy(docs.sparkSession)  # the texts' shuffle files
 
-    flat = found.select("row", "copies", F.explode(F.arrays_zip("starts", "hashes", "anchors")).alias("z"))
-    flat = flat.select("row", "copies", F.col("z.starts").alias("start"), F.col("z.hashes").alias("hash"), F.col("z.anchors").alias("anchor"))
-    sure = flat.groupBy("hash").agg(
-        F.sum("copies").alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.min("anchor").alias("anchor")
-    )
-    sure = materialise(sure.where("n >= 2").select("row", "start", "anchor"), "confirmed")
+    flat = found.select("row", "copies", F.explode(F.arrays_zip("starts", "hashes")).alias("z"))
+    flat = flat.select("row", "copies", F.col("z.starts").alias("start"), F.col("z.hashes").alias("hash"))
+    sure = flat.groupBy("hash").agg(F.sum("copies").alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"))
+    sure = materialise(sure.where("n >= 2").select("row", "start"), "confirmed")
     tidy(docs.sparkSession)  # the shuffle of all windows
     shards = max(1, -(-sure.count() // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     spots = sure.groupBy("row").agg(F.collect_list("start").alias("starts"))
-    patterns = _patterns(found.join(spots, "row").select(shard, "text", spots["starts"]), window)
+    patterns = _patterns(found.join(spots, "row").select(shard, "text", spots["starts"]), window, gram)
+    patterns = materialise(patterns, "patterns")
 
-    routes = sure.select("anchor", shard).distinct()
+    routes = patterns.select(F.explode("anchors").alias("anchor"), "shard").distinct()
     visits = wanted.select("k1", "k2", F.explode("anchors").alias("anchor")).join(routes, "anchor")
     visits = materialise(visits.select("k1", "k2", "shard").distinct(), "visits")
     salts = visits.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_TEXTS).cast("int").alias("salts"))
@@ -320,17 +319,18 @@ def cut_passages(
     salt = F.pmod(F.xxhash64("k1", "k2"), "salts").cast("int").alias("salt")
     salted = visits.join(salts, "shard").select("k1", "k2", "shard", salt)
     every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    patterns = patterns.join(salts, "shard").select("shard", every, "words")
+    dealt = patterns.join(salts, "shard").select("shard", every, "words")
     streams = found.select("k1", "k2", "text").join(salted, ["k1", "k2"])
-    dealt = patterns.unionByName(streams, allowMissingColumns=True).select("shard", "salt", "k1", "k2", "words", "text")
+    dealt = dealt.unionByName(streams, allowMissingColumns=True).select("shard", "salt", "k1", "k2", "words", "text")
     dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("words").isNull())
     spans = _located(dealt, window).where(F.size("starts") > 0).groupBy("k1", "k2").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
     )
     spans = materialise(spans, "spans")
+    tidy(docs.sparkSession)  # the texts that visited shards
     left = found.select("k1", "k2", "text").join(spans, ["k1", "k2"])
     cut = materialise(_cut(left.select("k1", "k2", "text", "starts", "ends")).dropDuplicates(["k1", "k2"]), "cut")
-    release(wanted, found, sure, visits, salts, spans)
+    release(wanted, found, sure, patterns, visits, salts, spans)
     tidy(docs.sparkSession)
     return digests.select("doc_id", "k1", "k2", "n_words", "sha").join(cut, ["k1", "k2"], "left").select(
         "doc_id",

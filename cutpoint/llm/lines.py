@@ -87,23 +87,18 @@ def _shingles(line: str, shingle: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), one)))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """``pairs(u, v, ...)`` with exact overlaps: sizes of both sets, the shingles that only u
-    has (more) and that only v has (less), and whether both are linked."""
-    # hashing the few pivots spares sorting every line
-    pivots = pairs.select(F.col("v").alias("node")).distinct().hint("shuffle_hash")
-    right = materialise(lines.join(pivots, "node").select("node", "line"), "pivot-lines")
+def _differing(pairs: DataFrame, pivots: DataFrame, lines: DataFrame, shingle: int, dealt: bool) -> DataFrame:
+    """``pairs(u, v, ...)`` with set sizes nu and nv, the shingles that only u has (more) and
+    those that only v has (less); ``dealt`` by v before, so that texts are shuffled, not sets."""
+    kept = [c for c in pairs.columns if c not in ("nu", "nv")]
     # both sides are shuffled, so that a pivot of very many pairs is split
-    met = pairs.join(right.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
+    met = pairs.select(*kept).join(pivots.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
     met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
-    met = met.select(*pairs.columns, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
+    if dealt:
+        met = met.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    met = met.select(*kept, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
     sizes = [F.size("a").alias("nu"), F.size("b").alias("nv")]
-    met = met.select(*pairs.columns, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
-    common = F.col("nu") - F.size("more")
-    out = materialise(met.withColumn("linked", 100 * common >= percent * (F.col("nv") + F.size("more"))), "verified")
-    release(right)
-    tidy(lines.sparkSession)
-    return out
+    return met.select(*kept, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
 
 
 def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -115,9 +110,15 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     by how they differ from it: no more pairs than members are rows.
     """
     pairs = pairs_to_compare(band_keys(lines, shingle), percent)
-    verified = _verified(pairs, lines, percent, shingle)
-    found = exact_components(verified, percent)
-    release(pairs, verified)
+    # hashing the few pivots spares sorting every line
+    pivots = pairs.select(F.col("v").alias("node")).distinct().hint("shuffle_hash")
+    pivots = materialise(lines.join(pivots, "node").select("node", "line"), "pivot-lines")
+    sized = _differing(pairs, pivots, lines, shingle, dealt=False).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    linked = 100 * (F.col("nu") - F.col("n_more")) >= percent * (F.col("nv") + F.col("n_more"))
+    verified = materialise(sized.withColumn("linked", linked).drop("more", "less"), "verified")
+    tidy(lines.sparkSession)
+    found = exact_components(verified, percent, lambda rows: _differing(rows, pivots, lines, shingle, dealt=True))
+    release(pairs, pivots, verified)
     return found
 
 

@@ -104,14 +104,16 @@ def _elements(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, payload binary")
 
 
-def compared(pairs: DataFrame, percent: int) -> DataFrame:
-    """``pairs(u, v, sketch1, sketch2, a, b)``, whose last two are the sets of u and v, with
-    exact overlaps instead of the sets."""
+def differing(pairs: DataFrame) -> DataFrame:
+    """``pairs(u, v, a, b, ...)``, whose a and b are the sets of u and v, with set sizes nu and
+    nv, the elements that only u has (more) and those that only v has (less) instead."""
+
+    kept = [c for c in pairs.columns if c not in ("a", "b", "nu", "nv")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nu, nv, more, less = [], [], [], []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 both = b[at] == a
@@ -121,16 +123,13 @@ def compared(pairs: DataFrame, percent: int) -> DataFrame:
                 nv.append(len(b))
                 more.append(a[~both].view(np.int64))
                 less.append(b[only].view(np.int64))
-            size = np.array([len(m) for m in more], np.int64)
-            linked = 100 * (np.array(nu, np.int64) - size) >= percent * (np.array(nv, np.int64) + size)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (more, less)]
-            cols = [*batch.columns[:4], pa.array(nu, pa.int32()), pa.array(nv, pa.int32()), *lists, pa.array(linked)]
-            yield pa.RecordBatch.from_arrays(cols, ["u", "v", "sketch1", "sketch2", "nu", "nv", "more", "less", "linked"])
+            cols = [*batch.columns[2:], pa.array(nu, pa.int32()), pa.array(nv, pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "nu", "nv", "more", "less"])
 
-    return pairs.select("u", "v", "sketch1", "sketch2", "a", "b").mapInArrow(
-        run,
-        "u long, v long, sketch1 long, sketch2 long, nu int, nv int, more array<long>, less array<long>, linked boolean",
-    )
+    rows = pairs.select("a", "b", *kept)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"{head}, nu int, nv int, more array<long>, less array<long>")
 
 
 def near_duplicates(
@@ -175,12 +174,23 @@ def near_duplicates(
     # neither side is bounded, so this is one shuffle of the texts at any size
     near = texts.join(near.hint("shuffle_hash"), texts.id == near.node).select("node", "text")
     full = materialise(_elements(near, shingle).where(F.length("payload") > 0).dropDuplicates(["node", "payload"]), "elements")
-    met = pairs.join(full.select(F.col("node").alias("v"), F.col("payload").alias("b")), "v")
-    met = met.join(full.select(F.col("node").alias("u"), F.col("payload").alias("a")), "u")
-    verified = materialise(compared(met, percent), "compared")
-    release(pairs, full)
+
+    def differ(rows: DataFrame) -> DataFrame:
+        met = rows.join(full.select(F.col("node").alias("v"), F.col("payload").alias("b")), "v")
+        return differing(met.join(full.select(F.col("node").alias("u"), F.col("payload").alias("a")), "u"))
+
+    sized = differ(pairs).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    linked = 100 * (F.col("nu") - F.col("n_more")) >= percent * (F.col("nv") + F.col("n_more"))
+    verified = materialise(sized.withColumn("linked", linked).drop("more", "less"), "compared")
     tidy(docs.sparkSession)
-    found = exact_components(verified, percent)
+    tables = [pairs, full]
+
+    def differ_once(rows: DataFrame) -> DataFrame:
+        tables.append(materialise(differ(rows), "differing"))
+        return tables[-1]
+
+    found = exact_components(verified, percent, differ_once)
+    release(*tables)
 
     label = sets.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("set_component"))
     label = materialise(label, "labels")

@@ -8,6 +8,7 @@ or refused by its sketches, and rows grow with members.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ LANES = 64
 #: threshold do but with this probability.
 LOSS = 2e-5
 
+Differ = Callable[[DataFrame], DataFrame]
+
 
 def least_agreement(percent: int) -> int:
     """Lanes on which sketches of two sets at the threshold agree at least, but for LOSS."""
@@ -83,7 +86,7 @@ def pairs_to_compare(keys: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Differ) -> DataFrame:
     """Links ``(u, v)`` that ``verified`` hides, between nodes compared with one pivot, at
     least one of them not in the pivot's component.
 
@@ -97,35 +100,36 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int) -> DataFra
     star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
     star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
     some = star.where("out").select("v").distinct()
-    # a table, so that the join's sides are plain exchanges and a hot pivot is split
     pivots = star.groupBy("u").agg(F.collect_set("v").alias("pivots"))
     near = materialise(star.join(some, "v", "left_semi").join(pivots, "u"), "near-stars")
-    a, b = near.where("out").alias("a"), near.alias("b")
-    size = lambda c: F.size(F.col(c))
-    base = F.col("a.nv") - size("a.less") - size("b.less")
+    full = differ(near)
+    a, b = full.where("out").alias("a"), full.alias("b")
+    col = F.col
+    base = col("a.nv") - col("a.n_less") - col("b.n_less")
 
     def enough(shared: Column) -> Column:
         common = base + shared
-        return 100 * common >= percent * (F.col("a.nu") + F.col("b.nu") - common)
+        return 100 * common >= percent * (col("a.nu") + col("b.nu") - common)
 
-    most = F.least(size("a.more"), size("b.more")) + F.least(size("a.less"), size("b.less"))
+    most = F.least("a.n_more", "b.n_more") + F.least("a.n_less", "b.n_less")
     shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
-    on = (F.col("a.v") == F.col("b.v")) & (F.col("a.u_part") != F.col("b.u_part"))
-    on = on & (~F.col("b.out") | (F.col("a.u") < F.col("b.u"))) & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
+    on = (col("a.v") == col("b.v")) & (col("a.u_part") != col("b.u_part"))
+    on = on & (~col("b.out") | (col("a.u") < col("b.u"))) & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
     # of several pivots that both were compared with, one is enough
-    on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == F.col("a.v")) & enough(shared)
-    links = materialise(a.join(b, on).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct(), "missed")
+    on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
+    links = materialise(a.join(b, on).select(col("a.u").alias("u"), col("b.u").alias("v")).distinct(), "missed")
     release(star, near)
     return links
 
 
-def exact_components(verified: DataFrame, percent: int) -> DataFrame:
+def exact_components(verified: DataFrame, percent: int, differ: Differ) -> DataFrame:
     """Components ``(node, component)`` from compared pairs ``(u, v, sketch1, sketch2, nu, nv,
-    more, less, linked)``: v is a pivot, the sketch is u's, nu and nv are sizes of the sets,
-    more and less the elements that only u or only v has."""
+    n_more, n_less, linked)``: v is a pivot, the sketch is u's, nu and nv are sizes of the
+    sets, n_more and n_less count the elements that only u or only v has. ``differ`` adds
+    these elements (more, less) to such rows."""
     links = verified.where("linked").select("u", "v")
     found = components(links)
-    missed = missed_links(verified, found, percent)
+    missed = missed_links(verified, found, percent, differ)
     if not missed.isEmpty():
         found = components(links.unionByName(missed))
     return found

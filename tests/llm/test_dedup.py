@@ -129,12 +129,14 @@ def test_links_that_the_pivot_hides(spark):
     """Two lines too far from their pivot, but near each other, are linked by their differences."""
     pivot = set(range(200))
     sets = {1: pivot - set(range(30)) | {900 + i for i in range(20)}, 2: pivot - set(range(28)) | {900 + i for i in range(22)}, 3: pivot - set(range(100, 140)), 4: pivot - {5}}
-    rows = [(u, 0, 7, 7, len(s), 200, sorted(s - pivot), sorted(pivot - s), 10 * len(s & pivot) >= 8 * len(s | pivot)) for u, s in sets.items()]
-    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, more array<long>, less array<long>, linked boolean"
+    rows = [(u, 0, 7, 7, len(s), 200, len(s - pivot), len(pivot - s), 10 * len(s & pivot) >= 8 * len(s | pivot)) for u, s in sets.items()]
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, n_more int, n_less int, linked boolean"
     verified = spark.createDataFrame(rows, schema)
     found = spark.createDataFrame([(0, 0), (4, 0), (3, 0)], "node long, component long")
+    parts = spark.createDataFrame([(u, sorted(s - pivot), sorted(pivot - s)) for u, s in sets.items()], "u long, more array<long>, less array<long>")
     near = {(a, b) for a, b in plain.near(sets, 80) if not {a, b} <= {0, 3, 4}}
-    assert {(r.u, r.v) for r in stars.missed_links(verified, found, 80).collect()} == near == {(1, 2)}
+    missed = stars.missed_links(verified, found, 80, lambda rows: rows.join(parts, "u"))
+    assert {(r.u, r.v) for r in missed.collect()} == near == {(1, 2)}
 
 
 def test_line_ids_of_other_types(spark):

@@ -48,7 +48,8 @@ def bucket_members(keys: DataFrame, least: int) -> DataFrame:
     """Members of the buckets that several nodes of ``keys(key, node, sketch1, sketch2)`` share:
     (key, node, sketch1, sketch2, pivot, size, near).
 
-    pivot is the bucket's least node; near tells whether the sketches of both agree.
+    pivot is the bucket's least node; near tells whether the sketches of both agree. Left out
+    are pivots, and members that look unlike the pivot and have no one else to look like.
     """
     # the sum and the join read one shuffle
     dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
@@ -59,7 +60,8 @@ def bucket_members(keys: DataFrame, least: int) -> DataFrame:
     shared = shared.where("pivot < last").drop("last")
     met = dealt.join(shared.hint("shuffle_hash"), "key")
     near = agreement("sketch", "first") >= least
-    return met.select("key", "node", "sketch1", "sketch2", "pivot", "size", near.alias("near"))
+    met = met.where("node != pivot").withColumn("near", near).where("near or size > 2")
+    return met.select("key", "node", "sketch1", "sketch2", "pivot", "size", "near")
 
 
 def candidates(members: DataFrame, least: int) -> DataFrame:
@@ -67,8 +69,8 @@ def candidates(members: DataFrame, least: int) -> DataFrame:
 
     Left out are members that look neither like the pivot nor like any other member.
     """
-    near = members.where("near and node != pivot")
-    a, b = members.where("not near and size > 2").alias("a"), members.where("size > 2 and node != pivot").alias("b")
+    near = members.where("near")
+    a, b = members.where("not near").alias("a"), members.where("size > 2").alias("b")
     alike = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node"))
     rest = a.join(b, alike & (agreement("a.sketch", "b.sketch") >= least), "left_semi")
     every = near.unionByName(rest).groupBy(F.col("node").alias("u"), F.col("pivot").alias("v"))

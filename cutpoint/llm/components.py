@@ -43,23 +43,25 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(u, v)``; component is its least node.
 
     Self-links name a node without linking it; rows with a null are ignored. An empty
-    table gives an empty result. The loop ends when a round leaves the edges unchanged;
-    each round's tables are deleted once the next ones are written.
+    table gives an empty result. The loop ends when the edges are stars: each node has one,
+    to a node that has none. Each round's tables are deleted once the next are written.
     """
     links = links.select("u", "v").where("u is not null and v is not null")
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = materialise(links, "links")
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     edges = links.where("u != v")
-    seen = None
+    first = True
     while True:
         last, edges = edges, _small_star(_large_star(edges))
-        if seen is not None:
+        if not first:
             release(last)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if state == seen or not state[0]:
+        first = False
+        up, down = F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"))
+        ends = edges.select(F.inline(F.array(up, down))).groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        # up: edges to smaller nodes; all the others come from larger ones
+        if ends.where("up > 1 or up = 1 and all > 1").isEmpty():
             break
-        seen = state
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = F.coalesce("component", "node").alias("component")
     out = materialise(nodes.join(found, "node", "left").select("node", roots), "components")

@@ -91,11 +91,11 @@ def _differing(pairs: DataFrame, pivots: DataFrame, lines: DataFrame, shingle: i
     """``pairs(u, v, ...)`` with set sizes nu and nv, the shingles that only u has (more) and
     those that only v has (less); ``dealt`` by v before, so that texts are shuffled, not sets."""
     kept = [c for c in pairs.columns if c not in ("nu", "nv")]
-    # both sides are shuffled, so that a pivot of very many pairs is split
-    met = pairs.select(*kept).join(pivots.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
-    met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
+    met = pairs.select(*kept).join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
     if dealt:
         met = met.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    # else both sides are shuffled, so that a pivot of very many pairs is split
+    met = met.join(pivots.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
     met = met.select(*kept, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
     sizes = [F.size("a").alias("nu"), F.size("b").alias("nv")]
     return met.select(*kept, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))

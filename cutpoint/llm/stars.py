@@ -133,5 +133,6 @@ def exact_components(verified: DataFrame, percent: int, differ: Differ) -> DataF
     found = components(links)
     missed = missed_links(verified, found, percent, differ)
     if not missed.isEmpty():
-        found = components(links.unionByName(missed))
+        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(known.unionByName(missed))
     return found

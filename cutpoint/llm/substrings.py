@@ -15,7 +15,7 @@ from .runtime import materialise, release, session, tidy
 from .words import U, Words, chunks, grams
 
 #: Windows of the passages of one automaton, about, and texts that one task streams through it.
-SHARD_WORDS, SHARD_TEXTS = 1 << 20, 10_000
+SHARD_WORDS, SHARD_TEXTS = 1 << 20, 4_000
 
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -130,70 +130,62 @@ class Passages:
 
     A text may hold part of a passage, a window or more. Passages are therefore cut into
     blocks of half a window: any window of a passage holds a whole block. The automaton
-    finds the blocks, and a block's place says where the rest of its passage would stand.
+    finds the blocks, and the windows around a block are held against the passages'.
     """
 
     def __init__(self, found: list[np.ndarray], window: int) -> None:
         self.window, self.block = window, (window + 1) // 2
-        self.words, ids = np.unique(np.concatenate([*found, np.zeros(0, U)]), return_inverse=True)
-        self.found = np.split(ids + 1, np.cumsum([len(p) for p in found])[:-1])
-        uses: dict[str, list[tuple[int, int]]] = {}
+        self.words = np.unique(np.concatenate([*found, np.zeros(0, U)]))
+        self.windows = np.unique(np.concatenate([*(grams(p, window) for p in found), np.zeros(0, U)]))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         size = self.block * LETTERS
-        for n, p in enumerate(self.found):
-            text = spelled(p)
+        for p in found:
+            text = spelled(np.searchsorted(self.words, p) + 1)
             for at in range(0, len(p) - self.block + 1, self.block):
-                uses.setdefault(text[at * LETTERS : at * LETTERS + size], []).append((n, at))
-        self.automaton = ahocorasick.Automaton()
-        for block, places in uses.items():
-            self.automaton.add_word(block, places)
-        if uses:
+                self.automaton.add_word(text[at * LETTERS : at * LETTERS + size])
+        if len(self.automaton):
             self.automaton.make_automaton()
 
     def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the word spans that windows of the passages cover."""
-        covered = np.zeros(len(hashes) + 2, np.int32)
-        if len(hashes) >= self.window and len(self.automaton):
+        n = len(hashes)
+        covered = np.zeros(n + 2, np.int32)
+        if n >= self.window and len(self.automaton):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            text = np.where(self.words[at] == hashes, at + 1, 0)
-            reach: dict[tuple[int, int], int] = {}
-            for end, places in self.automaton.iter(spelled(text)):
-                place = (end + 1) // LETTERS - self.block
-                for n, offset in places:
-                    base = place - offset
-                    if reach.get((n, base), -1) > place:
-                        continue
-                    p = self.found[n]
-                    low, high = max(0, base), min(len(text), base + len(p))
-                    differ = np.flatnonzero(text[low:high] != p[low - base : high - base]) + low
-                    k = int(np.searchsorted(differ, place))
-                    a = int(differ[k - 1]) + 1 if k else low
-                    b = int(differ[k]) if k < len(differ) else high
-                    reach[n, base] = b
-                    if b - a >= self.window:
-                        covered[a + 1] += 1
-                        covered[b + 1] -= 1
+            text = spelled(np.where(self.words[at] == hashes, at + 1, 0))
+            ends = np.fromiter((end for end, _ in self.automaton.iter(text)), np.int64)
+            place = (ends + 1) // LETTERS - self.block
+            near = np.zeros(n + 1, np.int32)  # windows that hold a block found
+            np.add.at(near, np.maximum(0, place + self.block - self.window), 1)
+            np.add.at(near, place + 1, -1)
+            starts = np.flatnonzero(np.cumsum(near)[: n - self.window + 1] > 0)
+            own = grams(hashes, self.window)[starts]
+            at = np.minimum(np.searchsorted(self.windows, own), len(self.windows) - 1)
+            starts = starts[self.windows[at] == own]
+            np.add.at(covered, starts + 1, 1)
+            np.add.at(covered, starts + self.window + 1, -1)
         edge = np.diff((np.cumsum(covered) > 0).view(np.int8))
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def _patterns(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Word hashes of the passages of ``(shard, text, starts)``, one row each, with the
-    anchors of their windows."""
+    """Word hashes of the passages of ``(row, text, starts)``, one row each, with the anchors
+    of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, words, met = [], [], []
+            row, words, met = [], [], []
             for i, j, w in chunks(batch.column(1), "space", False):
                 for k in range(j - i):
                     h = w.hashes[w.offsets[k] : w.offsets[k + 1]]
                     for a, b in passages(batch.column(2)[i + k].values.to_numpy(), window):
-                        shard.append(batch.column(0)[i + k].as_py())
+                        row.append(batch.column(0)[i + k].as_py())
                         words.append(h[a:b].tobytes())
                         met.append(np.unique(anchors(h[a:b], window, gram)).view(np.int64))
-            cols = [pa.array(shard, pa.int64()), pa.array(words, pa.binary()), pa.array(met, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "words", "anchors"])
+            cols = [pa.array(row, pa.int64()), pa.array(words, pa.binary()), pa.array(met, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "words", "anchors"])
 
-    return texts.mapInArrow(run, "shard long, words binary, anchors array<long>")
+    return texts.mapInArrow(run, "row long, words binary, anchors array<long>")
 
 
 def _located(dealt: DataFrame, window: int) -> DataFrame:
@@ -306,14 +298,24 @@ def cut_passages(
     sure = materialise(sure.where("n >= 2").select("row", "start"), "confirmed")
     tidy(docs.sparkSession)  # the shuffle of all windows
     shards = max(1, -(-sure.count() // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     spots = sure.groupBy("row").agg(F.collect_list("start").alias("starts"))
-    patterns = _patterns(found.join(spots, "row").select(shard, "text", spots["starts"]), window, gram)
+    patterns = _patterns(found.join(spots, "row").select("row", "text", spots["starts"]), window, gram)
     patterns = materialise(patterns, "patterns")
 
+    # passages of texts that share anchors go to one shard, so that a text visits few
+    each = wanted.select("k1", "k2", F.explode("anchors").alias("anchor"))
+    least = patterns.select("row", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("row").alias("least"))
+    family = each.join(least, "anchor").groupBy("k1", "k2").agg(F.min("least").alias("family"))
+    family = found.select("row", "k1", "k2").join(family, ["k1", "k2"]).select("row", "family")
+    shard = F.pmod(F.xxhash64(F.coalesce("family", "row")), F.lit(shards)).alias("shard")
+    dealt = materialise(patterns.join(family, "row", "left").select(shard, "words", "anchors"), "shards")
+    release(patterns)
+    patterns = dealt
+
     routes = patterns.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    visits = wanted.select("k1", "k2", F.explode("anchors").alias("anchor")).join(routes, "anchor")
+    visits = each.join(routes, "anchor")
     visits = materialise(visits.select("k1", "k2", "shard").distinct(), "visits")
+    tidy(docs.sparkSession)
     salts = visits.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_TEXTS).cast("int").alias("salts"))
     salts = materialise(salts, "salts")
     salt = F.pmod(F.xxhash64("k1", "k2"), "salts").cast("int").alias("salt")

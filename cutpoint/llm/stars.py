@@ -60,7 +60,8 @@ def bucket_members(keys: DataFrame, least: int) -> DataFrame:
     shared = shared.where("pivot < last").drop("last")
     met = dealt.join(shared.hint("shuffle_hash"), "key")
     near = agreement("sketch", "first") >= least
-    met = met.where("node != pivot").withColumn("near", near).where("near or size > 2")
+    # null-safe, or a filter for nulls goes below the join and its side is another shuffle
+    met = met.withColumn("near", near).where("not node <=> pivot and (near or size > 2)")
     return met.select("key", "node", "sketch1", "sketch2", "pivot", "size", "near")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutpoint.llm import embeddings, lines, minhash, queries, stars, substrings
+from cutpoint.llm import embeddings, lines, minhash, queries, runtime, stars, substrings
 
 from . import plain
 
@@ -107,6 +107,19 @@ def test_lines_of_fifty_characters_are_forgiven_one_edit(spark, tmp_path):
     assert len(expected) > 30
 
 
+def test_bands_are_computed_and_shuffled_once(spark):
+    """The sum of a bucket and the join with it read one shuffle; else both sign all lines."""
+    table = spark.createDataFrame([(i, f"some line number {i}") for i in range(50)], "node long, line string")
+    table = runtime.materialise_buckets(table, "x", "node")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = stars.bucket_members(lines.band_keys(table, 5), 43)
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        runtime.release(table)
+
+
 def test_lines_of_families_at_the_threshold(spark):
     """Copies whose similarities straddle the threshold: many links miss the pivots."""
     rng = np.random.default_rng(4)

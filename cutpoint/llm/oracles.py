@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import URL_RULES
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 ALNUM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -208,6 +210,82 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 """
 
 
+_NEAREST = """a{i} AS MATERIALIZED (SELECT vec_id, x, cluster, distance FROM (
+    SELECT v.row, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min(struct_pack(d := d, k := k)).k AS cluster, min(d) AS distance FROM (
+      SELECT v.row, v.vec_id, v.x, k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+      FROM v, c{i} c) v GROUP BY v.row))"""
+_MEANS = """c{j} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT k, list(floor_mean ORDER BY place) AS x FROM (
+      SELECT k, place, ((total - ((total % n) + n) % n) // n)::BIGINT AS floor_mean FROM (
+        SELECT cluster AS k, place, sum(value)::BIGINT AS total, count(*) AS n
+        FROM (SELECT cluster, unnest(x) AS value, unnest(range(1, 65)) AS place FROM a{i}) GROUP BY ALL)) GROUP BY k) m USING (k))"""
+CENTROIDS = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY name) - 1 AS k, x FROM (SELECT sha256('3:' || vec_id) AS name, x FROM v ORDER BY name LIMIT 8)
+), """
+    + ", ".join(f"{_NEAREST.format(i=i)}, {_MEANS.format(i=i, j=i + 1)}" for i in range(10))
+    + f""", {_NEAREST.format(i=10)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON cluster = k
+"""
+)
+
+URLS = rf"""
+WITH p AS (
+  SELECT page_id, coalesce({LOWER.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")}, '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), r(h, p, v) AS (VALUES {", ".join(map(str, URL_RULES))})
+SELECT page_id, host, path,
+  (SELECT arg_max(h || r.p, len(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(p.path, r.p)) AS rule,
+  coalesce((SELECT arg_max(v, len(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(p.path, r.p)), 'allow') AS verdict
+FROM p
+"""
+
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+    ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+PERIODIC = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce({SPACE_WORDS.format("text")}, []) AS words, crc32 AS h, crc32 // 10 AS g
+  FROM (SELECT doc_id, text, {_CRC32} AS crc32 FROM documents)
+), t AS MATERIALIZED (
+  SELECT row, doc_id, CASE WHEN h % 10 = 0 AND len(words) > 0
+    THEN list_transform(range(0, len(words)), lambda i: words[1 + CASE WHEN i < g % len(words) THEN i
+      ELSE g % len(words) + (i - g % len(words)) % (1 + (len(words) - g % len(words)) // (3 + g % 8)) END])
+    ELSE words END AS words FROM w
+), f AS MATERIALIZED (
+  SELECT row, len(words) AS n, i, array_to_string(words[i + 1 : i + 16], ' ') AS gram, words[i] AS before
+  FROM (SELECT row, words, unnest(range(0, len(words) - 15)) AS i FROM t WHERE len(words) >= 24)
+), s AS MATERIALIZED (
+  SELECT a.row, a.i AS start, b.i - a.i AS period FROM f a JOIN f b ON a.row = b.row AND a.gram = b.gram AND a.i < b.i
+  WHERE b.i - a.i <= a.n // 3 AND (a.i = 0 OR a.before <> b.before)
+), e AS (
+  SELECT row, start, period, period + coalesce(list_position(list_transform(range(start, len(words) - period),
+    lambda i: words[i + 1] = words[i + period + 1]), false) - 1, len(words) - period - start) AS length FROM s JOIN t USING (row)
+), r AS MATERIALIZED (
+  SELECT row, start, length, min(period) AS period FROM e GROUP BY row, start, length HAVING length >= greatest(24, 3 * min(period))
+), o AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+    list(struct_pack(a := start + period, b := start + length)) AS gone,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY length / period DESC, start, period) AS best
+  FROM r GROUP BY row
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(best.start, -1)::BIGINT AS start,
+  coalesce(best.length, -1)::BIGINT AS length, coalesce(best.period, -1)::BIGINT AS period,
+  coalesce(1000 * best.length // best.period, -1)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(range(0, len(words)),
+    lambda i: len(list_filter(gone, lambda x: i >= x.a AND i < x.b)) = 0), lambda i: words[i + 1]) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN o USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL; the other queries are tested against brute force."""
     return {
@@ -217,6 +295,9 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontam": DECONTAM,
         "op8_substrings": SUBSTRINGS,
         "op9_lines": LINES,
+        "op11_centroids": CENTROIDS,
+        "op12_urls": URLS,
         "licenses_base": LICENSES_BASE,
         "secrets_base": SECRETS_BASE,
+        "periodic_base": PERIODIC,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, secrets, substrings, toxicity
+from . import centroids, decontam, embeddings, langid, licenses, lines, minhash, mixing, periodic, secrets, substrings, toxicity, urls
 from .runtime import crc_fold
 
 
@@ -103,12 +103,69 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: Host, path and verdict of the rules that op12_urls judges by.
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = lambda r: F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), r, strict=True)])
+    rules = spark.range(1).select(F.inline(F.array(*map(rule, URL_RULES))))
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def with_tail(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the periodic tails that op13_periodic asks for: of one
+    document in ten by crc32(doc_id), the words from a place on are repeated over and over. A
+    row with a null id gets none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tailed(words: F.Column) -> F.Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (g % 8 + 3))).cast("int")
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(words, (a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    # the lambda holds the words, which are else looked for again for each place
+    made = F.transform(F.array(words), tailed)[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_tail(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = lambda c: F.col(f"strongest.{c}").alias(c)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *map(best, ("start", "length", "period")),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
+def periodic_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13_periodic with -1 where no run is, so that its columns compare with those of SQL."""
+    return op13_periodic(spark, sf_dir).na.fill(-1, ["start", "length", "period", "exponent_milli"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Name to query: one for each operator, and two that compare base columns with SQL."""
+    """Name to query: one for each operator, and three that compare base columns with SQL."""
     return {
         f.__name__: f
         for f in (
             op1_mixing, op2_minhash, op3_langid, op4_embeddings, op5_licenses,
-            op6_secrets, op7_decontam, op8_substrings, op9_lines, op10_toxicity, licenses_base, secrets_base,
+            op6_secrets, op7_decontam, op8_substrings, op9_lines, op10_toxicity,
+            op11_centroids, op12_urls, op13_periodic, licenses_base, secrets_base, periodic_base,
         )
     }

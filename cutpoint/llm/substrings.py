@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import materialise, release, session, tidy
-from .words import U, Words, chunks, grams
+from .words import U, chunks, grams, joined
 
 #: Windows of the passages of one automaton, about, and texts that one task streams through it.
 SHARD_WORDS, SHARD_TEXTS = 1 << 20, 4_000
@@ -36,21 +36,6 @@ def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def joined(w: Words, first: int, stop: int, keep: np.ndarray | None = None) -> bytes:
-    """Words ``first`` to ``stop`` (those kept) joined by one space."""
-    starts, ends = w.starts[first:stop], w.ends[first:stop]
-    if keep is not None:
-        starts, ends = starts[keep], ends[keep]
-    if not len(starts):
-        return b""
-    size = ends - starts + 1
-    total = int(size.sum())
-    place = np.arange(total) + np.repeat(starts - (np.cumsum(size) - size), size)
-    out = w.data[np.minimum(place, len(w.data) - 1)]
-    out[np.cumsum(size) - 1] = 0x20
-    return out[:-1].tobytes()
-
-
 def _digest(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

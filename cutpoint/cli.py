@@ -13,7 +13,7 @@ from .api import BACKENDS, Cutpoint
 from .errors import ConfigurationError, CutpointError, EmptyInputError, UnexpectedLabelsError, UnknownAlgorithmError
 from .plans.dispatch import threshold_of
 from .registry import ALGORITHMS
-from .sources.files import pick_column, read_delimited
+from .sources.files import delimited_pair, pick_column, read_delimited
 
 
 #: What to do about an error on the command line; the first that fits is said after it.
@@ -99,7 +99,7 @@ def run(args: argparse.Namespace) -> float:
         label = pick_column(df, args.label_column, 1, "labels")
     except ConfigurationError as e:
         raise SystemExit(_failed(e, 2)) from e
-    return threshold_of(model.solve_frame(df, score, label))
+    return threshold_of(model.solve_frame(delimited_pair(df, score, label)))
 
 
 def _failed(error: Exception, code: int) -> int:

@@ -33,19 +33,28 @@ def grid_counts(scored: DataFrame, lowest: float, highest: float, steps: int) ->
     return scored.groupBy(grid_bucket(F.col("score"), lowest, highest, steps).alias("bucket")).agg(*_neg_pos())
 
 
-def tally(scored: DataFrame, candidates: Sequence[float], rows: int | None) -> DataFrame:
-    """``(pos, threshold, correct)`` for candidates in their order.
+def tally(scored: DataFrame, candidates: Sequence[float] | DataFrame, rows: int | None) -> DataFrame:
+    """``(pos, threshold, correct)`` for candidates: numbers in their order, or a table
+    ``(pos, threshold)`` of any size, whose repeated rows are tallied each. A candidate
+    that is null or no number is left out.
 
     Candidates stand among the distinct scores, each after its equal, and running sums
-    give what is at or below each: rows are never paired with candidates.
+    give what is at or below each: rows are never paired with candidates, and where there
+    are many of either, both are merged in ranges of scores. ``rows`` bounds the rows and
+    the candidates; None is unknown.
     """
-    spark = scored.sparkSession
-    marks = spark.createDataFrame(
-        [(float(c), 1, 0, 0, i) for i, c in enumerate(candidates)], "score double, kind int, neg long, pos long, at int"
+    if not isinstance(candidates, DataFrame):
+        listed = [(i, float(c)) for i, c in enumerate(candidates)]
+        candidates = scored.sparkSession.createDataFrame(listed, "pos int, threshold double")
+    cut = F.col("threshold").cast("double")
+    zero = F.lit(0).cast("long")
+    marks = candidates.where(cut.isNotNull() & ~F.isnan(cut)).select(
+        cut.alias("score"), F.lit(1).alias("kind"), zero.alias("neg"), zero.alias("pos"), F.col("pos").alias("at")
     )
-    counts = class_counts(scored).select("score", F.lit(0).alias("kind"), "neg", "pos", F.lit(None).cast("int").alias("at"))
+    nowhere = F.lit(None).cast(dict(marks.dtypes)["at"]).alias("at")
+    counts = class_counts(scored).select("score", F.lit(0).alias("kind"), "neg", "pos", nowhere)
     every = running(counts.unionByName(marks), ["score", "kind", "at"], ["neg", "pos"], rows)
-    total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"))
+    total = scored.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)).alias("all_pos"))
     placed = every.where("kind = 1").crossJoin(F.broadcast(total))  # one row
     correct = F.col("cum_neg") + F.col("all_pos") - F.col("cum_pos")
     return placed.select(F.col("at").alias("pos"), F.col("score").alias("threshold"), correct.alias("correct"))

@@ -61,20 +61,26 @@ class Shape:
 
 
 def admit(scored: DataFrame, labels: Sequence[Any] | None = None) -> Shape:
-    """Profile the rows and refuse them, in this order: empty, undefined scores, missing
-    labels, labels of neither class, one class only."""
+    """The profile of the rows, or a refusal."""
     row = profile(scored).first()
-    if not row.rows:
+    shape = Shape(row.rows, row.positives, row.negatives, row.lowest, row.highest)
+    return refuse(scored, shape, row.bad_scores, row.null_labels, labels)
+
+
+def refuse(scored: DataFrame, shape: Shape, bad_scores: int, null_labels: int, labels: Sequence[Any] | None = None) -> Shape:
+    """``shape``, unless its rows cannot be used. Refused are, in this order: no rows,
+    undefined scores, missing labels, labels of neither class, one class only."""
+    if not shape.rows:
         raise EmptyInputError
-    if row.bad_scores:
-        raise UndefinedScoresError(row.bad_scores)
-    if row.null_labels:
-        raise MissingLabelsError(row.null_labels)
-    if row.positives + row.negatives < row.rows:
+    if bad_scores:
+        raise UndefinedScoresError(bad_scores)
+    if null_labels:
+        raise MissingLabelsError(null_labels)
+    if shape.positives + shape.negatives < shape.rows:
         raise UnexpectedLabelsError([r.label for r in unexpected_labels(scored).limit(NAMED).collect()])
-    if not row.positives or not row.negatives:
-        raise SingleClassError(check_labels(labels)[bool(row.positives)])
-    return Shape(row.rows, row.positives, row.negatives, row.lowest, row.highest)
+    if not shape.positives or not shape.negatives:
+        raise SingleClassError(check_labels(labels)[bool(shape.positives)])
+    return shape
 
 
 def need_finite(shape: Shape, what: str) -> None:

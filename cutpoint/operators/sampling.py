@@ -8,26 +8,27 @@ the results are distributed as if rows had been read, and no row is read again.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import report
-from ..functions.columns import grid_values, predict
+from ..functions.columns import grid_value
+from ..plans.running import written
+from ..plans.workers import send_package
 from .counts import class_counts, grid_counts
+from .draws import deal, draw
 from .profile import Shape, need_finite
 from .search import grid_tallies
 
-#: Distinct scores whose counts may come to the driver (24 bytes each); beyond, cut-offs
-#: are counted by jobs, a generation at a time.
+#: Distinct scores whose counts may come to the driver (24 bytes each); beyond, they are a
+#: table of running sums in which a cut-off is looked up.
 DRIVER_SCORES = 1_000_000
-#: numpy draws hypergeometric numbers below this.
-DRAW_LIMIT = 1_000_000_000
-#: Rows that are drawn one by one where numpy does not draw their number.
-ONE_BY_ONE = 1 << 20
+#: Grid places that one task may deal a sample to; more are dealt in ranges.
+ONE_TASK_PLACES = 1_000_000
 
 
 def sample_size(ratio: float, rows: int) -> int:
@@ -35,102 +36,140 @@ def sample_size(ratio: float, rows: int) -> int:
     return max(1, min(rows, int(ratio * rows)))
 
 
-def draw(rng: np.random.Generator, good: int, bad: int, k: int) -> int:
-    """How many of ``k`` rows drawn without replacement are good.
+class Lookup:
+    """What any cut-off gets right, from running sums in a table dealt by ranges of scores.
 
-    The number is hypergeometric, and the same if the good rows are drawn and those of the
-    sample counted, or if rows left over stand for rows drawn. So among numbers too large
-    for numpy the least of the four is drawn, row by row. Where all four are large, it is
-    the normal number of the same mean and variance, rounded and kept to what is possible;
-    it then differs from the exact by less than a thousandth of its spread.
+    The ranges' least scores and totals are held here, a few numbers each; a cut-off is
+    then looked up in the one range that it falls in, whatever the others hold.
     """
-    rows = good + bad
-    if k >= rows or not bad:
-        return min(k, good)
-    if not good:
-        return 0
-    if good < DRAW_LIMIT and bad < DRAW_LIMIT:
-        return int(rng.hypergeometric(good, bad, k))
-    least = min(good, bad, k, rows - k)
-    if least == bad:
-        return k - draw(rng, bad, good, k) if bad < good else _large(rng, good, bad, k)
-    if least == rows - k:
-        return good - draw(rng, good, bad, rows - k) if rows - k < k else _large(rng, good, bad, k)
-    if least > ONE_BY_ONE:
-        return _large(rng, good, bad, k)
-    among = k if least == good else good
-    drawn = np.unique(rng.integers(0, rows, least))
-    while len(drawn) < least:
-        drawn = np.unique(np.append(drawn, rng.integers(0, rows, least - len(drawn))))
-    return int((drawn < among).sum())
-
-
-def _large(rng: np.random.Generator, good: int, bad: int, k: int) -> int:
-    rows = good + bad
-    spread = math.sqrt(k * (good / rows) * (bad / rows) * ((rows - k) / (rows - 1)))
-    found = round(k * (good / rows) + spread * rng.standard_normal())
-    return min(max(found, 0, k - bad), good, k)
+
+    def __init__(self, counts: DataFrame, shape: Shape) -> None:
+        self.positives = shape.positives
+        ranged = counts.repartitionByRange("score").sortWithinPartitions("score")
+        ranged = ranged.withColumn("part", F.spark_partition_id())
+        self.table = written(ranged, "scores", "part")
+        ends = self.table.groupBy("part").agg(F.min("score").alias("low"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+        ends = sorted(ends.collect(), key=lambda r: r.low)  # a row for each task of the shuffle
+        self.parts = [r.part for r in ends]
+        self.lows = np.array([r.low for r in ends])
+        self.neg = np.append(0, np.cumsum([r.neg for r in ends]))
+        self.pos = np.append(0, np.cumsum([r.pos for r in ends]))
+
+    def inside(self, cuts: list[float]) -> DataFrame:
+        """One row: negatives and positives up to each cut in its own range, in turn."""
+        own = np.maximum(np.searchsorted(self.lows, cuts, "right") - 1, 0)
+        needed = self.table.where(F.col("part").isin(sorted({self.parts[p] for p in own})))
+        up_to = [(F.col("part") == self.parts[p]) & (F.col("score") <= F.lit(float(c))) for p, c in zip(own, cuts, strict=True)]
+        needed = needed.where(F.col("score") <= F.lit(float(max(cuts))))
+        return needed.agg(*[F.coalesce(F.sum(F.when(u, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i, u in enumerate(up_to) for c in ("neg", "pos")])
+
+    def __call__(self, cuts: list[float]) -> list[int]:
+        own = np.maximum(np.searchsorted(self.lows, cuts, "right") - 1, 0)
+        found = self.inside(cuts).first()
+        neg, pos = np.array(found[::2]) + self.neg[own], np.array(found[1::2]) + self.pos[own]
+        return (neg + self.positives - pos).tolist()
 
 
 def counter(scored: DataFrame, shape: Shape) -> Callable[[list[float]], list[int]]:
     """A function from cut-offs to the rows each gets right."""
     counts = class_counts(scored)
+    if shape.rows > DRIVER_SCORES:
+        counts = written(counts, "counts")  # else they are counted once more
     few = shape.rows <= DRIVER_SCORES or counts.select("score").limit(DRIVER_SCORES + 1).count() <= DRIVER_SCORES
-    if few:
-        got = counts.orderBy("score").toPandas()  # DRIVER_SCORES rows at most
-        at = got["score"].to_numpy(np.float64)
-        neg = np.append(0, np.cumsum(got["neg"].to_numpy(np.int64)))
-        pos = np.append(0, np.cumsum(got["pos"].to_numpy(np.int64)))
-
-        def near(cuts: list[float]) -> list[int]:
-            k = np.searchsorted(at, cuts, "right")
-            return (neg[k] + shape.positives - pos[k]).tolist()
+    if not few:
+        return Lookup(counts, shape)
+    got = counts.toPandas().sort_values("score")  # DRIVER_SCORES rows at most
+    at = got["score"].to_numpy(np.float64)
+    neg = np.append(0, np.cumsum(got["neg"].to_numpy(np.int64)))
+    pos = np.append(0, np.cumsum(got["pos"].to_numpy(np.int64)))
 
-        return near
+    def near(cuts: list[float]) -> list[int]:
+        k = np.searchsorted(at, cuts, "right")
+        return (neg[k] + shape.positives - pos[k]).tolist()
 
-    report.say("warning", "more than %d distinct scores: hist answers from a fixed number of bins", DRIVER_SCORES)
+    return near
 
-    def far(cuts: list[float]) -> list[int]:
-        # one pass without a shuffle counts all of a generation's cuts
-        right = [(predict(F.col("score"), c) == F.col("y")).cast("long") for c in cuts]
-        return list(scored.agg(*[F.sum(r).alias(f"c{i}") for i, r in enumerate(right)]).first())
 
-    return far
+def _entropy(seed: int | None) -> int:
+    """The seed, or one drawn once, so that a task that is run again draws the same."""
+    return int(np.random.SeedSequence(seed).generate_state(1)[0]) if seed is None else seed
 
 
-def sgrid(scored: DataFrame, shape: Shape, places: int, ratio: float, reshuffle: bool, seed: int | None) -> tuple[float, int]:
-    """The best grid point on one sample of rows, or on a fresh one for each point."""
+def sgrid(scored: DataFrame, shape: Shape, places: int, ratio: float, reshuffle: bool, seed: int | None) -> DataFrame:
+    """The best grid point ``(threshold, correct)`` on one sample of rows, or on a fresh one
+    for each point; the first of the best. Points stay rows, whatever their number."""
     need_finite(shape, "sgrid")
-    rng = np.random.default_rng(seed)
-    k = sample_size(ratio, shape.rows)
-    tallies = grid_tallies(scored, shape, places).orderBy("pos").collect()  # one row per grid point
-    cuts = grid_values(shape.lowest, shape.highest, 10**places)
+    send_package(scored.sparkSession)
+    k, steps = sample_size(ratio, shape.rows), 10**places if shape.highest > shape.lowest else 1
     if reshuffle:
-        seen = [draw(rng, r.correct, shape.rows - r.correct, k) for r in tallies]
-    else:
-        seen = _shared_sample(scored, shape, 10**places, k, rng)
-    best = max(range(len(cuts)), key=lambda i: seen[i])
-    return cuts[best], tallies[best].correct
-
-
-def _shared_sample(scored: DataFrame, shape: Shape, steps: int, k: int, rng: np.random.Generator) -> list[int]:
-    """Correct counts of all grid points on one sample, drawn from the grid's counts.
-
-    A sample is a draw without replacement from (bucket, class) cells: the total left is
-    drawn down cell by cell.
+        seen = resampled(grid_tallies(scored, shape, places), shape.rows, k, _entropy(seed))
+        best = seen.agg(F.max(F.struct("seen", (-F.col("pos")).alias("back"), "threshold", "correct")).alias("best"))
+        return best.select("best.threshold", "best.correct")
+    seen, positive = shared_sample(grid_counts(scored, shape.lowest, shape.highest, steps), shape, k, steps + 1, _entropy(seed))
+    # a point whose bucket is empty sees what the point before it does, which comes first
+    best = seen.agg(F.max(F.struct("seen", (-F.col("bucket")).alias("back"), "correct")).alias("best")).select("best.*")
+    at = -F.col("back")
+    cut = grid_value(at, shape.lowest, shape.highest, steps) if shape.highest > shape.lowest else F.lit(shape.lowest)
+    outside = F.lit(positive) > F.col("seen")
+    return best.select(
+        F.when(outside, F.lit(shape.below)).otherwise(cut).alias("threshold"),
+        F.when(outside, F.lit(shape.positives)).otherwise(F.col("correct")).alias("correct"),
+    )
+
+
+def resampled(tallies: DataFrame, rows: int, k: int, seed: int) -> DataFrame:
+    """``tallies(pos, threshold, correct)`` with seen: how many rows each point gets right on a
+    sample of its own. Each draw is fixed by the seed and the point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, correct = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            seen = [draw(np.random.default_rng([seed, p]), c, rows - c, k) for p, c in zip(pos, correct, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.int64())], ["pos", "threshold", "correct", "seen"])
+
+    tallies = tallies.select(F.col("pos").cast("long").alias("pos"), "threshold", F.col("correct").cast("long").alias("correct"))
+    return tallies.mapInArrow(run, "pos long, threshold double, correct long, seen long")
+
+
+def shared_sample(counts: DataFrame, shape: Shape, k: int, places: int, seed: int) -> tuple[DataFrame, int]:
+    """``(bucket, correct, seen)`` for each bucket of ``counts(bucket, neg, pos)`` that has rows:
+    what a cut at its upper edge gets right, of all rows and of one sample of ``k``; and the
+    sample's positives.
+
+    The sample is dealt down a tree of hypergeometric splits: on the driver to the two
+    classes and to ranges of buckets, then in each range to its buckets. Below a split the
+    parts are independent, so ranges are dealt by tasks of their own.
     """
-    counts = {r.bucket: (r.neg, r.pos) for r in grid_counts(scored, shape.lowest, shape.highest, steps).collect()}
-    left, want = shape.rows, k
-    got = np.zeros((2, steps + 2), np.int64)
-    for bucket in sorted(counts):
-        for side, n in enumerate(counts[bucket]):
-            taken = draw(rng, n, left - n, want) if want else 0
-            got[side, min(bucket, steps + 1)] += taken
-            left, want = left - n, want - taken
-    points = steps + 1 if shape.highest > shape.lowest else 1
-    neg, pos = np.cumsum(got, axis=1)
-    inside = [int(neg[i] + pos[-1] - pos[i]) for i in range(points)]
-    return [*inside, int(pos[-1])]
+    if places <= ONE_TASK_PLACES:
+        ranged = counts.withColumn("part", F.lit(0)).repartition(1)
+        totals = [(0, shape.negatives, shape.positives)]
+    else:
+        ranged = counts.repartitionByRange("bucket").sortWithinPartitions("bucket").withColumn("part", F.spark_partition_id())
+        ranged = written(ranged, "places", "part")
+        sums = ranged.groupBy("part").agg(F.min("bucket").alias("low"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+        totals = [(r.part, r.neg, r.pos) for r in sorted(sums.collect(), key=lambda r: r.low)]  # a row for each task
+    rng = np.random.default_rng([seed, 0])
+    positive = draw(rng, shape.positives, shape.negatives, k)
+    neg, pos = (np.array([t[i] for t in totals], np.int64) for i in (1, 2))
+    got_neg, got_pos = deal(rng, neg, k - positive), deal(rng, pos, positive)
+    up_to = lambda x: np.cumsum(x) - x
+    columns = ("part", "want_neg", "want_pos", "base_seen", "base")
+    base = up_to(neg) + shape.positives - up_to(pos)
+    base_seen = up_to(got_neg) + positive - up_to(got_pos)
+    plan = [dict(zip(columns, map(int, r), strict=True)) for r in zip([t[0] for t in totals], got_neg, got_pos, base_seen, base, strict=True)]
+    by_part = {p["part"]: p for p in plan}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        own = by_part[table.column("part")[0].as_py()]
+        rng = np.random.default_rng([seed, 1, own["part"]])
+        neg, pos = (table.column(c).to_numpy() for c in ("neg", "pos"))
+        seen_neg, seen_pos = deal(rng, neg, own["want_neg"]), deal(rng, pos, own["want_pos"])
+        correct = own["base"] + np.cumsum(neg - pos)
+        seen = own["base_seen"] + np.cumsum(seen_neg - seen_pos)
+        return pa.table({"bucket": table.column("bucket"), "correct": correct, "seen": seen})
+
+    return ranged.groupBy("part").applyInArrow(run, "bucket long, correct long, seen long"), positive
 
 
 def genetic(scored: DataFrame, shape: Shape, params: dict[str, Any], seed: int | None) -> tuple[float, int]:

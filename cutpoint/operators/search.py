@@ -12,6 +12,7 @@ from ..errors import InsufficientDataError
 from ..functions.columns import bin_of_value, grid_value, midpoint_of
 from ..plans.running import running
 from .counts import bin_counts, class_counts, first_best, grid_counts
+from .narrow import Bins, narrowed
 from .profile import Shape, need_finite
 
 
@@ -24,28 +25,41 @@ def answer(best: DataFrame, rows: int) -> DataFrame:
 def curve(scored: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
     """``(score, neg, pos, cum_neg, cum_pos, next_score, correct)``: what a cut at each
     distinct score gets right. One task may sort few rows, unless ``one_task`` is false."""
-    return curve_of(class_counts(scored), shape, one_task)
+    return curve_of(class_counts(scored), shape.positives, shape.rows if one_task else None)
 
 
-def curve_of(counts: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
-    """``curve`` from class counts ``(score, neg, pos)``."""
-    rows = shape.rows if one_task else None
-    swept = running(counts, ["score"], ["neg", "pos"], rows, lead="score")
-    return swept.withColumn("correct", F.col("cum_neg") + F.lit(shape.positives) - F.col("cum_pos"))
+def curve_of(counts: DataFrame, positives: int, rows: int | None, first: str = "score") -> DataFrame:
+    """``curve`` from class counts ``(score, neg, pos)``, of which there are ``rows`` at most.
+    A row may stand for all scores from its ``first`` on: next_score is the next row's."""
+    swept = running(counts, ["score"], ["neg", "pos"], rows, lead=first)
+    if first != "score":
+        swept = swept.withColumnRenamed(f"next_{first}", "next_score")
+    return swept.withColumn("correct", F.col("cum_neg") + F.lit(positives) - F.col("cum_pos"))
 
 
 def exact(scored: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
     """The best cut of all: between two scores, at the highest, or below the lowest.
 
-    Of equal cuts the lowest wins, and all-positive only if it is strictly better.
+    Of equal cuts the lowest wins, and all-positive only if it is strictly better. All
+    distinct scores are counted and shuffled; ``exact_narrowed`` counts few of them.
     """
-    return exact_of(class_counts(scored), shape, one_task)
+    return _best_of_all(curve(scored, shape, one_task), shape)
 
 
-def exact_of(counts: DataFrame, shape: Shape, one_task: bool = True) -> DataFrame:
+def exact_of(counts: DataFrame, shape: Shape) -> DataFrame:
     """``exact`` from class counts ``(score, neg, pos)``."""
+    return _best_of_all(curve_of(counts, shape.positives, shape.rows), shape)
+
+
+def exact_narrowed(scored: DataFrame, shape: Shape, bins: Bins) -> DataFrame:
+    """``exact`` after a survey: scores are counted where a bin may hold the best cut."""
+    counts, most = narrowed(scored, shape, bins)
+    return _best_of_all(curve_of(counts, shape.positives, most, "first"), shape)
+
+
+def _best_of_all(each: DataFrame, shape: Shape) -> DataFrame:
     cut = F.when(F.col("next_score").isNull(), F.col("score")).otherwise(midpoint_of(F.col("score"), F.col("next_score")))
-    each = curve_of(counts, shape, one_task).select("correct", (-F.col("score")).alias("back"), cut.alias("threshold"))
+    each = each.select("correct", (-F.col("score")).alias("back"), cut.alias("threshold"))
     best = each.agg(F.max(F.struct("correct", "back", "threshold")).alias("best")).select("best.*")
     outside = F.lit(shape.positives) > F.col("correct")
     return answer(
@@ -91,17 +105,23 @@ def hist(scored: DataFrame, shape: Shape, bins: int = 1024) -> DataFrame:
     return answer(scored.sparkSession.createDataFrame([found], "threshold double, correct long"), shape.rows)
 
 
-def linear(scored: DataFrame, shape: Shape) -> DataFrame:
+def linear(scored: DataFrame, shape: Shape, bins: Bins | None = None) -> DataFrame:
     """The best midpoint of neighbours in the sorted rows, duplicates included.
 
     A score that repeats is its own midpoint; from the counts that is known without
-    trying candidates one by one. The first in sorted order wins ties.
+    trying candidates one by one. The first in sorted order wins ties. After a survey,
+    scores are counted where one of its ``bins`` may hold the best midpoint.
     """
     if shape.rows < 2:
         raise InsufficientDataError("ls needs two rows at least")
+    if bins is None:
+        each = curve(scored, shape)
+    else:
+        counts, most = narrowed(scored, shape, bins, outside=False)
+        each = curve_of(counts, shape.positives, most, "first")
     several = F.col("neg") + F.col("pos") > 1
     cut = F.when(several, F.col("score")).otherwise(midpoint_of(F.col("score"), F.col("next_score")))
-    each = curve(scored, shape).where(several | F.col("next_score").isNotNull())
+    each = each.where(several | F.col("next_score").isNotNull())
     each = each.select("correct", (-F.col("score")).alias("back"), cut.alias("threshold"))
     best = each.agg(F.max(F.struct("correct", "back", "threshold")).alias("best")).select("best.threshold", "best.correct")
     return answer(best, shape.rows)

@@ -103,7 +103,15 @@ def oracle_sql() -> dict[str, str]:
     right = f"count(*) FILTER (({up}) = (y = 1))"
     bins = lambda x, lo, hi, n: f"least(floor(({x} - {lo}) / ({hi} - {lo}) * {n}), {n - 1})::BIGINT"
     sides = "count(*) FILTER (y = -1)::BIGINT AS neg, count(*) FILTER (y = 1)::BIGINT AS pos"
+    recount = f"""WITH {_COUNTS.format(source=noisy)} SELECT any_value(n)::BIGINT AS rows,
+greatest(max(correct), any_value(p.pos))::BIGINT AS ceiling, TRUE AS recounted, TRUE AS near, TRUE AS inside FROM k, p"""
     return {
+        "sgrid_recount": recount,
+        "sgrid_reshuffled_recount": recount,
+        "genetic_recount": recount,
+        "sgd_recount": recount,
+        "tally_table_candidates": f"""SELECT p_partkey AS pos, p_retailprice * 50 AS threshold,
+count(*) FILTER ((score > p_retailprice * 50) = (y = 1))::BIGINT AS correct FROM part, ({noisy}) s GROUP BY ALL""",
         "label_profile": f"""SELECT count(*)::BIGINT AS rows, count(*) FILTER (y = 1)::BIGINT AS positives,
 count(*) FILTER (y = -1)::BIGINT AS negatives, count(*) FILTER (score IS NULL OR isnan(score))::BIGINT AS bad_scores,
 0::BIGINT AS null_labels, min(score) AS lowest, max(score) AS highest FROM ({noisy})""",

@@ -25,11 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, gone when the application ends."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, gone when the application ends; with a
+    folder for each value of ``by``, if given, so that a filter on it reads no other."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cutpoint/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -107,6 +107,30 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table("cutpoint_stream_bins")
 
 
+def _table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each retail price, fifty times over, is right as a cut-off."""
+    rows, _ = _admitted(spark, sf_dir, "noisy")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    cuts = parts.select(F.col("p_partkey").alias("pos"), (F.col("p_retailprice") * 50).alias("threshold"))
+    return counts.tally(rows, cuts, None)
+
+
+def _recounted(algorithm: str, **params: object) -> Query:
+    """What a search that samples says of its cut-off, held against all rows: whether
+    ``correct`` is what a count of the rows gives, and is near the most of any cut-off."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _solve(algorithm, "noisy", seed=1, **params)(spark, sf_dir).first()
+        rows, shape = _admitted(spark, sf_dir, "noisy")
+        best = evaluate.ceiling(rows, shape).select(F.col("correct").alias("ceiling"))
+        counted = evaluate.accuracy(rows, found.threshold).crossJoin(F.broadcast(best))  # one row
+        inside = F.lit(shape.below <= found.threshold <= shape.highest)
+        near = F.col("correct").between(F.col("ceiling") * 0.9, F.col("ceiling"))
+        return counted.select("rows", "ceiling", (F.col("correct") == found.correct).alias("recounted"), near.alias("near"), inside.alias("inside"))
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     """Name to query."""
     return {
@@ -146,6 +170,11 @@ def queries() -> dict[str, Query]:
         "genetic_threshold": _solve("gen", "noisy", seed=1),
         "sgd_threshold": _solve("sgd", "noisy", seed=1),
         "sgd_full_sample": _solve("sgd", "whole", seed=1, stoch_ratio=1.0),
+        "sgrid_recount": _recounted("sgrid"),
+        "sgrid_reshuffled_recount": _recounted("sgrid", reshuffle=True),
+        "genetic_recount": _recounted("gen"),
+        "sgd_recount": _recounted("sgd"),
+        "tally_table_candidates": _table_candidates,
         "exact_by_group": _by_flag,
         "stream_hist_bins": _stream,
     }

@@ -109,24 +109,45 @@ def test_levels(caplog):
     assert report.chosen(None, True) == "debug" and report.chosen("INFO", True) == "info"
 
 
+class Counting:
+    """A backend object that counts its calls."""
+
+    def __init__(self, short=0):
+        self.calls, self.short = [], short
+
+    def class_counts_by_score(self, scores, classes):
+        self.calls.append("counts")
+        out = {}
+        for s, c in list(zip(scores, classes))[self.short :]:
+            n, p = out.get(s, (0, 0))
+            out[s] = (n + (c == -1), p + (c == 1))
+        return out
+
+    def tally_candidates(self, candidates, scores, classes):
+        self.calls.append("tally")
+        return [sum((s > t) == (c == 1) for s, c in zip(scores, classes)) for t in candidates][self.short :]
+
+
 def test_backend_objects(spark, caplog):
-    class Counting:
-        calls = 0
-
-        def class_counts_by_score(self, scores, classes):
-            Counting.calls += 1
-            out = {}
-            for s, c in zip(scores, classes):
-                n, p = out.get(s, (0, 0))
-                out[s] = (n + (c == -1), p + (c == 1))
-            return out
-
-    labels = ("no", "yes")
-    words = ["no", "yes", "no", "yes", "yes"]
-    assert Cutpoint(backend=Counting(), labels=labels).optimize_threshold(SCORES, words) == Cutpoint(labels=labels).optimize_threshold(SCORES, words)
-    assert Counting.calls == 1
-    Cutpoint(algorithm="hist", backend=Counting()).optimize_threshold(SCORES, CLASSES)
-    assert Counting.calls == 1 and "not used" in caplog.text
+    labels, words = ("no", "yes"), ["no", "yes", "no", "yes", "yes"]
+    repeated = [0.5, 0.5, 0.25, 0.5, 2.0]
+    for algorithm, call in (("exact", "counts"), ("ls", "tally"), ("grid", "tally")):
+        for scores in (SCORES, repeated):
+            own = Counting()
+            got = Cutpoint(algorithm=algorithm, backend=own, labels=labels).optimize_threshold(scores, words)
+            assert got == Cutpoint(algorithm=algorithm, labels=labels).optimize_threshold(scores, words), algorithm
+            assert own.calls == [call]
+        with pytest.raises(errors.ShardMergeError):
+            Cutpoint(algorithm=algorithm, backend=Counting(short=1)).optimize_threshold(SCORES, CLASSES)
+        with pytest.raises(errors.MissingLabelsError):
+            Cutpoint(algorithm=algorithm, backend=own, labels=labels).optimize_threshold(SCORES, [None] * 5)
+        kept = Counting()
+        Cutpoint(algorithm=algorithm, backend=kept, allow_parallel=False).optimize_threshold(SCORES, CLASSES)
+        assert not kept.calls
+    own = Counting()
+    Cutpoint(algorithm="hist", backend=own).optimize_threshold(SCORES, CLASSES)
+    Cutpoint(algorithm="ls", backend=object()).optimize_threshold(SCORES, CLASSES)
+    assert not own.calls and caplog.text.count("not used") == 2
 
 
 def test_progress(spark, capsys, monkeypatch):

@@ -17,7 +17,7 @@ def rows(table, columns):
 @pytest.fixture(scope="module")
 def tables(sf_dir):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "documents", "labels"):
+    for t in ("lineitem", "orders", "events", "documents", "labels", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 

@@ -102,6 +102,19 @@ def test_tally_keeps_order_and_repeats(spark):
         assert [(r.threshold, r.correct) for r in got] == [(c, brute.right(rows, c)) for c in cuts]
 
 
+@pytest.mark.parametrize("one_task", [True, False])
+def test_candidates_from_a_table(spark, monkeypatch, one_task):
+    """A million candidates, repeated and undefined ones among them, without a list of them."""
+    rows = awkward(4)
+    data = scored(frame(spark, rows))
+    table = spark.range(1_000_000 if not one_task else 500).selectExpr("id AS pos", "(id % 250007) / 100000.0 AS threshold")
+    odd = spark.createDataFrame([(-1, None), (-2, math.nan), (-3, math.inf)], "pos long, threshold double")
+    got = counts.tally(data, table.unionByName(odd), len(rows) + 503 if one_task else None)
+    wanted = got.where("pos < 0 or pos % 99991 = 7").collect()
+    assert {r.pos: r.correct for r in wanted} == {r.pos: brute.right(rows, r.threshold) for r in wanted}
+    assert {r.pos for r in wanted if r.pos < 0} == {-3} and got.count() == (501 if one_task else 1_000_001)
+
+
 def test_evaluation(spark):
     rows = awkward(5)
     data = scored(frame(spark, rows))

@@ -10,14 +10,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, materialise_buckets, release, tidy
+from .runtime import fresh, materialise, materialise_buckets, release, tidy
 from .stars import LANES, exact_components, pairs_to_compare
 
-#: Characters of a shingle, unless a caller names another number.
-SHINGLE = 9
+#: Characters of a shingle, unless a caller names another number. With 9, about 90 characters
+#: of a line are needed to forgive it one edit; with 5, about 50.
+SHINGLE = 5
 #: Shingles are dealt to PARTS by their hash; each part has MINIMA minima, which make bands
 #: of ROWS: 16 bands in all. Two lines of similarity 0.8 share no band once in 4600.
 PARTS, MINIMA, ROWS = 4, 16, 4
+
+
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
@@ -143,13 +146,31 @@ def kept_lines(
     return kept
 
 
-def _names(text: Column) -> Column:
-    """By line of a text, ``number:hash`` of lines that are not blank, else null."""
+def _names(lines: Column) -> Column:
+    """By line of an array, ``number:hash``, and ``number:`` for a blank one."""
     return F.transform(
-        F.split(text, "\n"), lambda x, i: F.when(_trimmed(x) != "", F.concat_ws(":", i, F.xxhash64(_trimmed(x))))
+        lines, lambda x, i: F.concat_ws(":", i, F.when(_trimmed(x) != "", F.xxhash64(_trimmed(x)).cast("string")).otherwise(F.lit("")))
     )
 
 
+def _written(names: Column) -> Column:
+    """The names of lines that are not blank."""
+    return F.filter(names, lambda x: ~x.endswith(":"))
+
+
+def _without(lines: Column, kept: Column) -> Column:
+    """A text's lines that stay, with a line feed between. Whole arrays of names are compared
+    by hashing, so the work is in proportion to the lines."""
+
+    def rest(lines: Column, names: Column) -> Column:
+        stay = F.array_except(names, F.array_except(_written(names), kept))
+        return F.array_join(F.transform(stay, lambda x: F.get(lines, F.substring_index(x, ":", 1).cast("int"))), "\n")
+
+    # lambdas hold the lines and their names, which are else made anew for every line
+    named = F.transform(F.array(F.struct(lines.alias("lines"))), lambda x: F.struct(x["lines"].alias("lines"), _names(x["lines"]).alias("names")))
+    return F.transform(named, lambda x: rest(x["lines"], x["names"]))[0]
+
+
 def dedupe_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE
 ) -> DataFrame:
@@ -165,15 +186,11 @@ def dedupe_lines(
     feeds is one line, however long. Lines are known by 64-bit hashes.
     """
     kept = kept_lines(docs, id_col, text_col, percent, shingle)
-    kept = kept.select(F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
-    met = docs.join(kept, F.col(id_col) == F.col("__doc"), "left")
+    own, stays = fresh(docs, "kept_doc"), fresh(docs, "kept_lines")
+    met = docs.join(kept.select(F.col("doc").alias(own), F.col("kept").alias(stays)), F.col(id_col) == F.col(own), "left")
     text = F.col(text_col).cast("string")
-    stays = F.coalesce("__kept", F.array().cast("array<string>"))
-    rest = F.filter(
-        F.arrays_zip(F.split(text, "\n").alias("line"), _names(text).alias("name")),
-        lambda x: x["name"].isNull() | F.array_contains(stays, x["name"]),
-    )
-    new = F.when(F.col(id_col).isNull() | text.isNull(), text).otherwise(F.concat_ws("\n", F.transform(rest, lambda x: x["line"])))
+    new = _without(F.split(text, "\n"), F.coalesce(F.col(stays), F.array().cast("array<string>")))
+    new = F.when(F.col(id_col).isNull() | text.isNull(), text).otherwise(new)
     return met.withColumn(text_col, new).select(*docs.columns)
 
 
@@ -187,7 +204,7 @@ def line_report(
     kept = kept_lines(docs, id_col, text_col, percent, shingle)
     text = F.col(text_col).cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_lines.alias("n_lines"), F.filter(_names(text), lambda x: x.isNotNull()).alias("names"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_lines.alias("n_lines"), _written(_names(F.split(text, "\n"))).alias("names"))
     met = rows.join(kept, rows.doc_id == kept.doc, "left")
     gone = F.array_except("names", F.coalesce("kept", F.array().cast("array<string>")))
     gone = F.when(F.col("doc_id").isNotNull() & F.col("names").isNotNull(), gone).otherwise(F.array().cast("array<string>"))

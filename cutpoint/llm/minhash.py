@@ -141,6 +141,7 @@ def near_duplicates(
     seed: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    unlike_texts: bool = True,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of ``percent`` or more.
 
@@ -157,13 +158,19 @@ def near_duplicates(
     Returns per input row doc_id, n_shingles, component_id (least id reachable) and kept
     (doc_id = component_id). Null, empty and blank texts have an empty set and link with
     nothing. A row with a null id links with nothing: component_id is null and kept true.
-    Rows with an equal id are judged each by its own text. Ids may be of any type that can
+    Rows with an equal id are judged each by its own text, unless ``unlike_texts`` is false:
+    then it is known that they are equal. Ids may be of any type that can
     be ordered. Other columns are not read.
     """
     session(docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), numbered(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(_signatures(texts.select("id", "text"), shingle, bands, rows, seed), "signatures")
     usable = signed.where("id is not null and n > 0")
+    if unlike_texts:
+        apart = usable.groupBy("id").agg((F.min("h1") < F.max("h1")).alias("h1"), (F.min("h2") < F.max("h2")).alias("h2"))
+        if not apart.where("h1 or h2").isEmpty():
+            release(signed)
+            return _by_text(docs, shingle, percent, bands, rows, seed, id_col, text_col)
     sets = materialise(usable.groupBy("h1", "h2").agg(F.min("id").alias("node")), "sets")
 
     chosen = usable.join(sets.select("h1", "h2", F.col("node").alias("id")), ["h1", "h2", "id"], "left_semi")
@@ -211,3 +218,18 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def _by_text(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` where one id has unlike texts: rows are named by id and text, and
+    the least id is taken at the end."""
+    text = F.col(text_col).cast("string")
+    named = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    keyed = docs.select(F.when(F.col(id_col).isNotNull(), named).alias("doc_id"), text.alias("text"))
+    found = near_duplicates(keyed, shingle, percent, bands, rows, seed, unlike_texts=False)
+    return found.select(
+        F.col("doc_id.id").alias("doc_id"),
+        "n_shingles",
+        F.col("component_id.id").alias("component_id"),
+        F.coalesce(F.col("component_id.id") == F.col("doc_id.id"), F.lit(True)).alias("kept"),
+    )

@@ -7,42 +7,22 @@ Lineage is cut with Parquet tables in the shared folder that the cluster names i
 from __future__ import annotations
 
 import gc
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.workers import send_package
+
 #: Rows in one Arrow batch that goes to Python; whole texts of a batch are in memory together.
 BATCH_ROWS = 512
 
 
-#: Contexts whose workers have been sent the package.
-_sent: set[str] = set()
-
-
-def send_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where they would not find it by themselves."""
-    top = Path(__file__).resolve().parents[2]
-    found = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
-    app = spark.sparkContext.applicationId
-    if top in found or app in _sent:
-        return
-    _sent.add(app)
-    archive = Path(tempfile.mkdtemp()) / "cutpoint.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in (top / "cutpoint").rglob("*.py"):
-            z.write(f, f.relative_to(top))
-    spark.sparkContext.addPyFile(str(archive))
-
-
 def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for long texts."""
     spark = df.sparkSession
@@ -52,6 +32,14 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only on a local master, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -1,14 +1,18 @@
 """Queries against their SQL on the smallest tables, and the pipeline against brute force."""
 
 import zlib
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cutpoint.llm import langid, secrets, toxicity
 from cutpoint.llm.oracles import oracle_sql
 from cutpoint.llm.queries import queries
+from cutpoint.llm.runtime import shared_dir
 
 from . import plain
 from .test_learned import naive_languages, naive_toxicity
@@ -113,3 +117,26 @@ def test_stages_keep_columns_and_messy_rows(spark, messy, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
         assert out.where("doc_id is null").count() == 2
+
+
+def test_stages_judge_rows_and_not_ids(spark, sf_dir):
+    """Two unlike texts of one id: what is wrong with one leaves the other alone."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first().text
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, near), (2, f"{near} x"), (2, "a text that has nothing to do with it"), (3, item), (3, "and one more of its own"), (None, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("row_key", "bad_key", "had_words")})
+    left = lambda name: sorted((r.doc_id or 0, r.text) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).collect())
+    assert left("near dedup") == sorted((i or 0, t) for i, t in rows if t != rows[1][1])
+    assert left("decontamination") == sorted((i or 0, t) for i, t in rows if i is None or t != item)
+    assert len(left("line dedup")) == 5
+
+
+def test_only_one_stage_is_kept(spark, sf_dir):
+    def tables():
+        return set(Path(urlparse(shared_dir(spark)).path, "cutpoint").glob("*"))
+
+    before = tables()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {p.name.rpartition("-")[0] for p in tables() - before} & {"toxicity", "line-dedup", "near-dedup", "decontamination"} == {"decontamination"}
+    assert out.count() > 0

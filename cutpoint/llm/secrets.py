@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import hashlib
 import re
@@ -30,6 +29,10 @@ LEAST = {"assign": 12, "access": 18}
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Base64 in lines: all but the last of 20 characters or more, perhaps indented.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+#: Shortest text that a secret, or what encodes one, can be.
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
 BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Bytes that a compressed layer may unpack to at once; a larger one is counted, and
 #: scanned in blocks. Bytes unpacked in a step; characters that blocks share at most
@@ -60,15 +63,17 @@ def _byte_widths(made: str) -> np.ndarray:
     return np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, width)
 
 
+def _is_packed(data: bytes) -> int:
+    """The window parameter of the gzip or zlib stream that ``data`` begins; 0 for other bytes."""
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    known = len(data) > 1 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and int.from_bytes(data[:2], "big") % 31 == 0
+    return 15 if known and not data[1] & 32 else 0
+
+
 def _inflated(data: bytes) -> Iterator[bytes]:
     """What the gzip or zlib streams at the start of ``data`` hold, up to the first fault."""
-    while data:
-        if data.startswith(b"\x1f\x8b"):
-            wbits = 31
-        elif data[0] & 15 == 8 and data[0] >> 4 <= 7 and int.from_bytes(data[:2], "big") % 31 == 0 and not data[1] & 32:
-            wbits = 15
-        else:
-            return
+    while wbits := _is_packed(data):
         engine = zlib.decompressobj(wbits)
         while not engine.eof:
             try:
@@ -176,7 +181,8 @@ def layers(text: str, flat: bool = False) -> Iterator[tuple[str | None, Places |
     """What is encoded in ``text`` one layer down, with the way back to its characters.
     Escapes are decoded in the whole text, so what stands before and after them stays.
 
-    Bytes that are no UTF-8 stay as lone surrogates. None stands before the blocks of a
+    Bytes that are no UTF-8 stay as lone surrogates. Base64 may be wrapped in lines and stand
+    after other characters of its alphabet. None stands before the blocks of a
     layer too large to unpack at once. If ``flat``, all of ``text`` stands for one span, and
     no character needs its own.
     """
@@ -184,21 +190,47 @@ def layers(text: str, flat: bool = False) -> Iterator[tuple[str | None, Places |
         yield from _unescaped(text, ESCAPED, _from_url, flat)
     if "\\u" in text and UNICODE.search(text):
         yield from _unescaped(text, UNICODE, _from_unicode, flat)
+    for places, body in _base64_runs(text):
+        yield from _from_base64(places, body, flat)
+
+
+def _base64_runs(text: str) -> Iterator[tuple[np.ndarray, str]]:
+    """Runs of base64 characters, and those that line feeds part joined: the place of each
+    character, and the characters in the usual alphabet."""
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        made = data.decode("utf-8", "surrogateescape")
-        if flat:
-            yield made, _one(*m.span(), len(made))
-        else:
-            width = _byte_widths(made)
-            at = np.cumsum(width)
-            yield made, (m.start() + (at - width) * 4 // 3, m.start() - (-at * 4 // 3))
-        for block in _unpacked(data):
-            yield block, None if block is None else _one(*m.span(), len(block))
+        yield np.arange(*m.span()), m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            chars = np.frombuffer(m[0].encode(), np.uint8)
+            places = np.flatnonzero((chars > 0x20) & (chars != 0x3D))
+            yield places + m.start(), "".join(m[0].split()).rstrip("=").replace("-", "+").replace("_", "/")
+
+
+def _from_base64(places: np.ndarray, body: str, flat: bool) -> Iterator[tuple[str | None, Places | None]]:
+    """What a run encodes from each of four alignments, since other characters of the alphabet
+    (a path, a name) may stand before it; and what is compressed in it from its start, from
+    after a separator, or from a gzip header on. Bytes without readable text are no layer."""
+    whole = (int(places[0]), int(places[-1]) + 1)
+    starts = [0, *(m.end() for m in re.finditer("[+/]", body))]
+    for align in range(4):
+        part = body[align:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        if READABLE.search(data):
+            made = data.decode("utf-8", "surrogateescape")
+            if flat:
+                yield made, _one(*whole, len(made))
+            else:
+                width = _byte_widths(made)
+                at = np.cumsum(width)
+                yield made, (places[align + (at - width) * 4 // 3], places[align - (-at * 4 // 3) - 1] + 1)
+        heads = {(s - align) // 4 * 3 for s in starts if s >= align and (s - align) % 4 == 0}
+        heads |= {m.start() for m in re.finditer(b"\x1f\x8b\x08", data) if m.start() % 3 == 0}
+        for head in sorted(heads):
+            if _is_packed(data[head : head + 2]):
+                first = int(places[align + head // 3 * 4])
+                for block in _unpacked(data[head:]):
+                    yield block, None if block is None else _one(first, whole[1], len(block))
 
 
 def scan_deep(text: str) -> tuple[list[Span], list[Span], int]:

@@ -1,7 +1,10 @@
 """Brute-force forms of the operators, in plain Python."""
 
+import base64
 import hashlib
 import re
+import zlib
+from urllib.parse import unquote
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -93,3 +96,32 @@ def lines_removed(docs, k=5):
         if (doc, n) != best[root[line]]:
             out.setdefault(doc, []).append(n)
     return out
+
+
+def decoded_secrets(text, depth=5):
+    """Assigned secrets in a text and in all that decodes from any of its parts, by trying:
+    every alphabet run, with and without its line breaks, from every one of its characters."""
+    found, met, work = set(), set(), [(text, depth)]
+    while work:
+        now, left = work.pop()
+        if now in met:
+            continue
+        met.add(now)
+        found |= {m[0] for m in re.finditer("(password|secret|token)=[A-Za-z0-9]{12,}", now)}
+        if not left:
+            continue
+        made = [unquote(now), re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), now)]
+        runs = re.findall(r"[A-Za-z0-9+/_-]{20,}", now) + re.findall(r"(?:[A-Za-z0-9+/_-]{20,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+", now)
+        for run in runs:
+            run = "".join(run.split()).replace("-", "+").replace("_", "/")
+            for at in range(min(len(run), 40)):
+                part = run[at:]
+                data = base64.b64decode(part[: len(part) // 4 * 4] + (part[len(part) // 4 * 4 :] + "==" if len(part) % 4 > 1 else "") [: 4 * (len(part) % 4 > 1)])
+                made.append(data.decode("utf-8", "replace"))
+                for wbits in (31, 15):
+                    try:
+                        made.append(zlib.decompressobj(wbits).decompress(data).decode("utf-8", "replace"))
+                    except zlib.error:
+                        pass
+        work += [(m, left - 1) for m in made if m != now and re.search("[ -~]{12}", m)]
+    return found

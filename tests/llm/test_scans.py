@@ -2,6 +2,7 @@ import base64
 import gzip
 import os
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -120,6 +121,43 @@ def test_no_notice_is_left_beside_a_better_one():
         assert all(least_edits(name, text[a:b]) > 2 for a, b in zip(ends[::2], ends[1::2]))
 
 
+def parted(notice, text, start, stop):
+    """The best match of a text's part, then those of the parts before and after it."""
+    if stop - start < len(notice.text) - notice.edits or not (m := notice.pattern.search(text, start, stop)):
+        return []
+    return [*parted(notice, text, start, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *parted(notice, text, m.end(), stop)]
+
+
+def test_matches_are_those_of_search_in_parts():
+    rng = np.random.default_rng(12)
+    scanner = licenses.Scanner({"released under the mit license": "mit", "creative commons attribution": "cc-by"})
+    for _ in range(60):
+        text = ""
+        for _ in range(8):
+            part = list(scanner.notices[rng.integers(2)].text)
+            for _ in range(rng.integers(0, 5)):
+                at, kind = rng.integers(len(part)), rng.integers(3)
+                part[at : at + (kind > 0)] = [rng.choice(list("abcdelmt "))] if kind < 2 else []
+            text += "".join(part) + rng.choice(["", " ", " some words in between "])
+        found = scanner.scan(text)
+        for k, notice in enumerate(scanner.notices):
+            mine, whole = [m[1:] for m in found if m[0] == k], parted(notice, text, 0, len(text))
+            assert [e for *_, e in mine] == [e for *_, e in whole]
+            assert all(abs(a - c) <= 3 and abs(b - d) <= 3 for (a, b, _), (c, d, _) in zip(mine, whole))
+
+
+def test_a_megabyte_of_near_notices_takes_seconds():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    part = "relesed under the mit license and released undr the mlt license "
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        found = scanner.scan(part * n)
+        took.append(time.perf_counter() - began)
+        assert len(found) == 2 * n
+    assert took[1] < 8 * took[0] and took[1] < 20
+
+
 def test_seeds_find_what_plain_fuzzy_search_finds():
     """Notices with random edits, up to one more than is allowed: found if and only if near."""
     rng = np.random.default_rng(9)
@@ -166,6 +204,9 @@ def test_base_secrets(text):
     assert sorted(secrets.scan(text), key=lambda s: (s[1], secrets.KINDS.index(s[0]))) == base_spans(text)
 
 
+FILL = " and so on, as in any text that is longer than a line of base64 "
+
+
 def wrap(kind, s):
     b64 = lambda b: base64.b64encode(b).decode()
     return {
@@ -175,6 +216,12 @@ def wrap(kind, s):
         "base64": lambda: b64(s.encode()),
         "gzip": lambda: b64(gzip.compress(s.encode())),
         "zlib": lambda: b64(zlib.compress(s.encode())),
+        "wrapped": lambda: base64.encodebytes((FILL + s + FILL).encode()).decode(),
+        "indented": lambda: base64.encodebytes((FILL + s).encode()).decode().replace("\n", "\r\n\t "),
+        "wrapped gzip": lambda: base64.encodebytes(gzip.compress((os.urandom(60).hex() + " " + s).encode())).decode(),
+        "path": lambda: "https://h.example/p/" + b64(s.encode()),
+        "short path": lambda: "/" + b64(s.encode()),
+        "file": lambda: "some_dir/x-" + b64(zlib.compress(s.encode())),
     }[kind]()
 
 
@@ -190,6 +237,48 @@ def test_round_trip_through_layers(chain):
         assert text.index(inner) <= a < b <= text.index(inner) + len(inner)
 
 
+LAYERS = ["url", "unicode", "base64", "gzip", "wrapped", "indented", "wrapped gzip", "path", "short path", "file"]
+
+
+@pytest.mark.parametrize("inner", LAYERS)
+@pytest.mark.parametrize("outer", [None, "url", "unicode", "base64", "wrapped", "path", "wrapped gzip"])
+def test_layers_wrapped_and_after_slashes_at_two_places(inner, outer):
+    """What an independent decoder unwraps is found, at each of its places."""
+    blobs = []
+    for name in ("first", "other"):
+        blob = wrap(inner, f"password={name}AbCdEfGhIjKlMnOpQr")
+        blobs.append(wrap(outer, blob) if outer else blob)
+    text = f"é {blobs[0]}\n; then {blobs[1]}\n; and {blobs[0]} ; end"
+    known = {s for s in plain.decoded_secrets(text) if s.startswith("password")}
+    assert {"password=firstAbCdEfGhIjKlMnOpQr", "password=otherAbCdEfGhIjKlMnOpQr"} <= known
+    deep = [s for s in secrets.scan_deep(text)[1] if s[0] == "decoded-assign"]
+    places = [text.index(blobs[0]), text.index(blobs[1]), text.rindex(blobs[0])]
+    for at, size in zip(places, (len(blobs[0]), len(blobs[1]), len(blobs[0]))):
+        assert any(at <= a < b <= at + size for _, a, b in deep)
+    assert all(any(at <= a < b <= at + size for at, size in zip(places, map(len, (blobs[0], blobs[1], blobs[0])))) for _, a, b in deep)
+
+
+def test_spans_in_wrapped_base64_are_exact():
+    body = FILL + SECRET + FILL
+    text = "x/" + base64.encodebytes(body.encode()).decode()
+    joined, places = text[2:].replace("\n", ""), [i for i, c in enumerate(text) if c != "\n"][2:]
+    at = body.index("token")
+    size = re.search(r"token = .[0-9a-f]+", body).end() - at
+    first, last = places[at * 4 // 3], places[-(-(at + size) * 4 // 3) - 1]
+    assert base64.b64decode(joined).decode() == body
+    assert ("decoded-assign", first, last + 1) in secrets.scan_deep(text)[1]
+
+
+def test_base64_scans_are_linear():
+    took = []
+    for n in (100_000, 400_000):
+        began = time.perf_counter()
+        for text in ("a/" * n, "abcdefghij" * (n // 5), ("abcdefghij" * 7 + "\n") * (n // 35), "%41/" * (n // 2)):
+            secrets.scan_deep(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_spans_of_plain_escapes_are_exact():
     text = "x %70assword%3Dabcdefghijklmnop y"
     assert secrets.scan_deep(text)[1] == [("decoded-assign", 2, len(text) - 2)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -48,14 +50,40 @@ class Notice:
     edits: int
     pattern: regex.Pattern
 
-    def matches(self, text: str, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
-        """``(start, end, edits)``: the best match, then those of the parts before and after it."""
-        parts = [(start, stop)]
-        while parts:
-            a, b = parts.pop()
+    def matches(self, text: str, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """``(start, end, edits)`` of matches that do not overlap: the best of all windows (of
+        equal ones the first), then the best beside it, and so on.
+
+        A window is searched when it is met and again, in parts, where a better match took
+        some of it, so each search is about as long as the notice, however long the text.
+        """
+        heap: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+
+        def look(a: int, b: int) -> None:
             if b - a >= len(self.text) - self.edits and (m := self.pattern.search(text, a, b)):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
-                parts += [(a, m.start()), (m.end(), b)]
+                heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for window in windows:
+            look(*window)
+        out = []
+        while heap:
+            edits, start, end, a, b = heappop(heap)
+            first = max(0, bisect_left(taken, (a, a)) - 1)
+            near = []  # what is taken of the window
+            while first < len(taken) and taken[first][0] < b:
+                if taken[first][1] > a:
+                    near.append(taken[first])
+                first += 1
+            if not any(s < end and start < e for s, e in near):
+                out.append((start, end, edits))
+                insort(taken, (start, end))
+                near = sorted([*near, (start, end)])
+            at = a
+            for s, e in [*near, (b, b)]:
+                look(at, s)
+                at = max(at, e)
+        return out
 
 
 class Scanner:
@@ -78,22 +106,22 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[int, int, int, int]]:
         """``(notice, start, end, edits)`` of the matches in a normalised text."""
-        near: dict[int, list[list[int]]] = {}
+        near: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(text):
             for n, offset in uses:
                 notice = self.notices[n]
                 start = end + 1 - size - offset - notice.edits
-                stop = start + len(notice.text) + 2 * notice.edits
-                spans = near.setdefault(n, [])
-                if spans and start <= spans[-1][1]:
-                    spans[-1][0] = min(spans[-1][0], start)
-                    spans[-1][1] = max(spans[-1][1], stop)
-                else:
-                    spans.append([start, stop])
+                near.setdefault(n, []).append((max(0, start), min(len(text), start + len(notice.text) + 2 * notice.edits)))
         out = []
-        for n, spans in near.items():
-            for start, stop in spans:
-                out += [(n, *m) for m in self.notices[n].matches(text, max(0, start), min(len(text), stop))]
+        for n, found in near.items():
+            notice, windows = self.notices[n], []
+            for start, stop in sorted(found):
+                # seeds of one place make one window
+                if windows and start - windows[-1][0] <= 2 * notice.edits:
+                    windows[-1] = (windows[-1][0], max(windows[-1][1], stop))
+                else:
+                    windows.append((start, stop))
+            out += [(n, *m) for m in notice.matches(text, windows)]
         return sorted(out, key=lambda m: m[1:3])
 
 

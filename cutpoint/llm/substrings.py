@@ -115,43 +115,78 @@ class Passages:
 
     A text may hold part of a passage, a window or more. Passages are therefore cut into
     blocks of half a window: any window of a passage holds a whole block. The automaton
-    finds the blocks, and the windows around a block are held against the passages'.
+    finds the blocks. Blocks that follow each other in a passage and in the text alike are
+    one match, which is extended word by word at both ends; matches of a window or more
+    are what the text has of the passages.
     """
 
     def __init__(self, found: list[np.ndarray], window: int) -> None:
         self.window, self.block = window, (window + 1) // 2
         self.words = np.unique(np.concatenate([*found, np.zeros(0, U)]))
-        self.windows = np.unique(np.concatenate([*(grams(p, window) for p in found), np.zeros(0, U)]))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         size = self.block * LETTERS
+        edge = np.full(self.block, -1)
+        flat, at, places = [edge], self.block, []
         for p in found:
-            text = spelled(np.searchsorted(self.words, p) + 1)
-            for at in range(0, len(p) - self.block + 1, self.block):
-                self.automaton.add_word(text[at * LETTERS : at * LETTERS + size])
+            numbers = np.searchsorted(self.words, p) + 1
+            text = spelled(numbers)
+            for start in range(0, len(p) - self.block + 1, self.block):
+                key = text[start * LETTERS : start * LETTERS + size]
+                known = self.automaton.get(key, len(places))
+                if known == len(places):
+                    self.automaton.add_word(key, known)
+                    places.append([])
+                places[known].append(at + start)
+            # nothing equals an edge, so no match goes beyond its passage
+            flat += [numbers, edge]
+            at += len(p) + self.block
+        self.flat = np.concatenate(flat)
+        self.places = np.array([x for p in places for x in p], np.int64)
+        self.first = np.append(0, np.cumsum([len(p) for p in places])).astype(np.int64)
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the word spans that windows of the passages cover."""
-        n = len(hashes)
+        n, none = len(hashes), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if n < self.window or not len(self.automaton):
+            return none
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        numbers = np.where(self.words[at] == hashes, at + 1, 0)
+        met = np.fromiter((x for found in self.automaton.iter(spelled(numbers)) for x in found), np.int64).reshape(-1, 2)
+        if not len(met):
+            return none
+        uses = self.first[met[:, 1] + 1] - self.first[met[:, 1]]
+        turn = np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
+        there = self.places[np.repeat(self.first[met[:, 1]], uses) + turn]
+        here = np.repeat((met[:, 0] + 1) // LETTERS - self.block, uses)
+        order = np.lexsort((here, here - there))
+        here, there = here[order], there[order]
+        apart = (np.diff(here) != self.block) | (np.diff(there) != self.block)
+        first, last = np.flatnonzero(np.append(True, apart)), np.flatnonzero(np.append(apart, True))
+        # a whole block more would have been found, so fewer words are left to extend by
+        text = np.concatenate([np.full(self.block, -2), numbers, np.full(self.block, -2)])
+        starts = here[first] - self._run(text, here[first] + self.block, there[first], -1)
+        ends = here[last] + self.block
+        ends = ends + self._run(text, ends + self.block - 1, there[last] + self.block - 1, 1)
+        long = ends - starts >= self.window
         covered = np.zeros(n + 2, np.int32)
-        if n >= self.window and len(self.automaton):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            text = spelled(np.where(self.words[at] == hashes, at + 1, 0))
-            ends = np.fromiter((end for end, _ in self.automaton.iter(text)), np.int64)
-            place = (ends + 1) // LETTERS - self.block
-            near = np.zeros(n + 1, np.int32)  # windows that hold a block found
-            np.add.at(near, np.maximum(0, place + self.block - self.window), 1)
-            np.add.at(near, place + 1, -1)
-            starts = np.flatnonzero(np.cumsum(near)[: n - self.window + 1] > 0)
-            own = grams(hashes, self.window)[starts]
-            at = np.minimum(np.searchsorted(self.windows, own), len(self.windows) - 1)
-            starts = starts[self.windows[at] == own]
-            np.add.at(covered, starts + 1, 1)
-            np.add.at(covered, starts + self.window + 1, -1)
+        np.add.at(covered, starts[long] + 1, 1)
+        np.add.at(covered, ends[long] + 1, -1)
         edge = np.diff((np.cumsum(covered) > 0).view(np.int8))
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
+    def _run(self, text: np.ndarray, here: np.ndarray, there: np.ndarray, step: int) -> np.ndarray:
+        """How many words, fewer than a block, are equal on from each pair of places."""
+        out = np.zeros(len(here), np.int64)
+        going = np.arange(len(here))
+        for d in range(1, self.block):
+            going = going[text[here[going] + step * d] == self.flat[there[going] + step * d]]
+            if not len(going):
+                break
+            out[going] = d
+        return out
+
 
 def _patterns(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """Word hashes of the passages of ``(row, text, starts)``, one row each, with the anchors
@@ -287,14 +322,23 @@ def cut_passages(
     patterns = _patterns(found.join(spots, "row").select("row", "text", spots["starts"]), window, gram)
     patterns = materialise(patterns, "patterns")
 
-    # passages of texts that share anchors go to one shard, so that a text visits few
+    # passages of texts that share anchors go to one shard, so that a text visits few; where
+    # very many share one, their passages are dealt to several shards of about equal size
     each = wanted.select("k1", "k2", F.explode("anchors").alias("anchor"))
     least = patterns.select("row", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("row").alias("least"))
     family = each.join(least, "anchor").groupBy("k1", "k2").agg(F.min("least").alias("family"))
     family = found.select("row", "k1", "k2").join(family, ["k1", "k2"]).select("row", "family")
-    shard = F.pmod(F.xxhash64(F.coalesce("family", "row")), F.lit(shards)).alias("shard")
-    dealt = materialise(patterns.join(family, "row", "left").select(shard, "words", "anchors"), "shards")
-    release(patterns)
+    named = patterns.join(family, "row", "left").select(F.coalesce("family", "row").alias("family"), "words", "anchors")
+    named = materialise(named, "families")
+    large = named.groupBy("family").agg(F.ceil(F.sum(F.length("words")) / (8 * SHARD_WORDS)).cast("int").alias("pieces"))
+    large = materialise(large.where("pieces > 1"), "large")
+    dealt = named.join(large, "family", "left")
+    piece = F.pmod(F.xxhash64("words"), F.coalesce("pieces", F.lit(1)))
+    # a family of several pieces fills shards of its own
+    shard = F.when(F.col("pieces") > 1, -1 - F.pmod(F.xxhash64("family", piece), F.lit(1 << 40)))
+    shard = F.coalesce(shard, F.pmod(F.xxhash64("family"), F.lit(shards))).alias("shard")
+    dealt = materialise(dealt.select(shard, "words", "anchors"), "shards")
+    release(patterns, named, large)
     patterns = dealt
 
     routes = patterns.select(F.explode("anchors").alias("anchor"), "shard").distinct()

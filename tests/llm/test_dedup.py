@@ -1,3 +1,4 @@
+import random
 import time
 import tracemalloc
 from math import comb
@@ -249,6 +250,8 @@ def test_passages_are_located_by_the_automaton_alone():
             hit += expected.sum()
     assert hit > 1000
 
+    assert not hasattr(passages, "windows")  # no table of windows decides
+
     class Nothing:
         iter = staticmethod(lambda text: iter(()))
         __len__ = lambda self: 1
@@ -257,6 +260,49 @@ def test_passages_are_located_by_the_automaton_alone():
     assert not len(passages.spans(found[2])[0])
 
 
+def test_blocks_that_many_passages_share():
+    """Passages alike but for their ends, and texts that repeat with a short period."""
+    rng = np.random.default_rng(6)
+    word = lambda n, most=1 << 62: rng.integers(1, most, n).astype(np.uint64)
+    middle = word(20)
+    found = [np.concatenate([word(12), middle, word(12)]) for _ in range(200)] + [np.tile(word(3), 13)[:37], word(60, 3)]
+    passages = substrings.Passages(found, 35)
+    windows = {tuple(p[i : i + 35].tolist()) for p in found for i in range(len(p) - 34)}
+    for text in (*found[:5], np.concatenate(found), np.tile(found[-2][:3], 40), np.concatenate([found[3][:30], found[4][10:]]), middle):
+        expected = np.zeros(len(text), bool)
+        for i in range(len(text) - 34):
+            if tuple(text[i : i + 35].tolist()) in windows:
+                expected[i : i + 35] = True
+        got = np.zeros(len(text), bool)
+        for i, j in zip(*passages.spans(text)):
+            got[i:j] = True
+        assert (got == expected).all()
+
+
+def test_one_passage_in_all_texts_leaves_shards_small(spark, monkeypatch):
+    """Pairs of texts share a passage of their own, and all texts share another."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    common, rows = words(40), []
+    for _ in range(60):
+        own = words(80)
+        rows += [" ".join([*words(5), *own, *common, *words(5)]), " ".join([*common, *words(9), *own])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 600)
+    sizes = []
+
+    def kept(df, name, write=substrings.materialise):
+        out = write(df, name)
+        if name == "shards":
+            sizes.extend(r.n // 8 for r in out.groupBy("shard").agg(F.sum(F.length("words")).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(substrings, "materialise", kept)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.cut_passages(docs).collect()}
+    assert got == dict(enumerate(plain.cut(rows, 35)))
+    assert sum(sizes) > 60 * 80 and max(sizes) < 3 * 600
+
+
 def test_substrings_inside_one_text(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [f"a {passage} b {passage} c", "x " * 50, "x " * 34, "lone"]

@@ -15,6 +15,8 @@ from .runtime import by_group, materialise, release, session, tidy
 
 #: Vectors that train the cells (the documented bound), cells at most, vectors a cell.
 SAMPLE, MOST_CELLS, CELL_ROWS = 40_000, 4096, 1024
+#: Vectors whose cosines with all centroids are in memory at once.
+SLICE = 512
 #: Vectors of a block; two blocks are compared at once.
 BLOCK = 128
 
@@ -30,7 +32,8 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.n
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
+        # few rows at a time: the cosines of all would be a large array
+        own = np.concatenate([(x[a : a + SLICE] @ centres.T).argmax(1) for a in range(0, len(x), SLICE)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)

@@ -52,6 +52,16 @@ def test_ids_of_other_types(spark):
     assert got == {"x": (1, "x", True), "y": (1, "x", False), "z": (1, "w", False), "w": (1, "w", True), None: (0, None, True)}
 
 
+def test_cells_are_trained_in_little_memory():
+    rng = np.random.default_rng(1)
+    x = embeddings.unit(rng.normal(size=(40_000, 16)))
+    tracemalloc.start()
+    centres = embeddings.spherical_kmeans(x, 4096, seed=2, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centres.shape == (4096, 16) and most < 150 << 20
+
+
 def test_borders_of_many_cells_take_little_memory():
     rng = np.random.default_rng(6)
     centres, x = (embeddings.unit(rng.normal(size=(n, 768))) for n in (1024, 600))

@@ -11,7 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, session
+from .runtime import materialise, release, session
+from .substrings import anchors
 from .words import U, chunks
 
 #: Words of a shard, about; one longer document is a shard of its own.
@@ -19,8 +20,11 @@ SHARD_WORDS = 1 << 20
 #: Bytes of benchmark text that one pass over the documents may broadcast.
 PASS_BYTES = 16 << 20
 
+#: Words of the runs whose least hash is a window's anchor, where several passes are needed.
+GRAM = 4
+
 OUT = (
-    "doc_id {id}, text_key long, n_words long, starts array<int>, ends array<int>, "
+    "doc_id {id}, text_key struct<a:long,b:long>, n_words long, starts array<int>, ends array<int>, "
     "items array<string>, longest int, longest_item string, longest_at int"
 )
 
@@ -131,7 +135,7 @@ class Tests:
         order = suffix_array(words, int(left.max(initial=0))) if len(words) else np.zeros(0, np.int64)
         order = order[left[order] > 0]
         longest = int(left.max(initial=0))
-        padded = np.append(words, np.zeros(longest + 1, U))
+        padded = np.append(words, np.zeros(max(longest, window) + 1, U))
         # equal windows stand together in the order: the first of each stands for all
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(order))
@@ -221,7 +225,9 @@ def search(docs: list[np.ndarray], tests: Tests) -> list[tuple]:
     return out
 
 
-def _pass(rows: DataFrame, tests: Tests, out: str) -> tuple[DataFrame, Broadcast]:
+def _pass(rows: DataFrame, tests: Tests, out: str, window: int = 0) -> tuple[DataFrame, Broadcast]:
+    """What ``tests`` hit in ``rows(doc_id, text_key, text)``; with a ``window``, the anchors of
+    each text's windows too."""
     sent = rows.sparkSession.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +242,9 @@ def _pass(rows: DataFrame, tests: Tests, out: str) -> tuple[DataFrame, Broadcast
             head = pa.Table.from_batches(ids).combine_chunks()
             names = ["doc_id", "text_key", "n_words", "starts", "ends", "items", "longest", "longest_item", "longest_at"]
             arrays = [*(c.combine_chunks() for c in head.columns), n_words, *cols]
+            if window:
+                names.append("anchors")
+                arrays.append(pa.array([_anchors(w, window) for w in words], pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
@@ -250,7 +259,27 @@ def _pass(rows: DataFrame, tests: Tests, out: str) -> tuple[DataFrame, Broadcast
         if words:
             yield flush()
 
-    return rows.mapInArrow(run, out), sent
+    return rows.mapInArrow(run, out + (", anchors array<long>" if window else "")), sent
+
+
+def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    return np.unique(anchors(hashes, window, min(GRAM, window))).view(np.int64)
+
+
+def _measured(items: DataFrame, window: int) -> DataFrame:
+    """``items(id, text)`` with n, their words, and the anchors of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, found = [], []
+            for i, j, w in chunks(batch.column(1), "alnum", True):
+                own = np.split(w.hashes, w.offsets[1:-1])[: j - i]
+                n += map(len, own)
+                found += [_anchors(h, window) for h in own]
+            cols = [pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["id", "text", "n", "anchors"])
+
+    return items.mapInArrow(run, "id string, text string, n long, anchors array<long>")
 
 
 TYPES = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
@@ -275,47 +304,79 @@ def contamination(
     (words inside any window's occurrence), items (ids as text), longest (words of the
     longest match; 0 without hit), longest_item and longest_at (its item, its first word).
 
-    Items are broadcast only up to ``pass_bytes`` of text; more items are searched in
-    further passes over the documents, one after the other, so that driver and workers
-    hold one pass's items at a time, and the spans are then united. Equal windows of items
-    are searched once. Null texts and items have no words; an item with a null id hits
+    Items are broadcast only up to ``pass_bytes`` of text. Of more items, those shorter than a
+    window go first (should they alone be more, the documents are read once for each such
+    part); in the same pass each text's windows get anchors, hashes that equal windows share.
+    Texts that share an anchor with a longer item, one copy of each, are then searched for
+    the parts of the items that they may hold, one part after the other, so that driver and
+    workers hold one part's items at a time; the spans are united. So documents are read
+    twice, however many the items. Equal windows of items are searched once. Null texts and items have no words; an item with a null id hits
     words but is not listed; items of an equal id count once; an empty benchmark hits
     nothing; other columns are not read. Of several longest matches the first counts.
     """
     session(docs)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")
-    )
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("text_key"), text.alias("text"))
     out = OUT.format(id=docs.schema[id_col].dataType.simpleString())
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = items.distinct()
-    size = items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    passes = -(-size // pass_bytes) or 1
-    parts = []
-    for p in range(passes):
-        chunk = items if passes == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p)
-        got = chunk.collect()  # about pass_bytes of text
-        found, sent = _pass(rows, Tests.of([r.id for r in got], [r.text for r in got], window), out)
-        if passes > 1:
-            # the first pass names all rows, the others those with a hit
-            found = materialise(found if not p else found.where(F.size("starts") > 0), "pass")
-            sent.destroy()
-        parts.append(found)
-    covered = F.aggregate(
-        F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda acc, s: acc + s["ends"] - s["starts"]
-    )
-    met = parts[0].withColumn("n_hit", covered) if passes == 1 else _unite(parts)
+    size = _bytes(items)
+    if size <= pass_bytes:
+        found, _ = _pass(rows, _tests(items, window), out)
+        covered = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda acc, s: acc + s["ends"] - s["starts"])
+        met = found.withColumn("n_hit", covered)
+    else:
+        met = _in_parts(rows, items, window, out, pass_bytes)
     return met.select("doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
 
 
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+
+
+def _tests(items: DataFrame, window: int) -> Tests:
+    got = items.select("id", "text").collect()  # about one pass's bytes of text
+    return Tests.of([r.id for r in got], [r.text for r in got], window)
+
+
+def _in_parts(rows: DataFrame, items: DataFrame, window: int, out: str, pass_bytes: int) -> DataFrame:
+    """What items of any number hit: see ``contamination``."""
+    measured = materialise(_measured(items, window).where("n > 0"), "items")
+    short, long = measured.where(F.col("n") < window), measured.where(F.col("n") >= window)
+    place = F.xxhash64("id", "text")
+    several = -(-_bytes(short) // pass_bytes) or 1
+    parts = []
+    for p in range(several):
+        found, sent = _pass(rows, _tests(short.where(F.pmod(place, F.lit(several)) == p), window), out, 0 if p else window)
+        # the first pass names all rows, the others those with a hit
+        parts.append(materialise(found if not p else found.where(F.size("starts") > 0), "pass"))
+        sent.destroy()
+    chunks_of = -(-_bytes(long) // pass_bytes) or 1
+    chunk = F.pmod(place, F.lit(chunks_of)).alias("chunk")
+    marks = long.select(F.explode("anchors").alias("anchor"), chunk).distinct()
+    seen = parts[0].select("text_key", F.explode("anchors").alias("anchor"))
+    wanted = seen.join(marks, "anchor").groupBy("text_key").agg(F.collect_set("chunk").alias("chunks"))
+    texts = rows.join(wanted, "text_key").select("doc_id", "text_key", "text", "chunks").dropDuplicates(["text_key"])
+    texts = materialise(texts, "candidates")
+    for c in range(chunks_of):
+        own = texts.where(F.array_contains("chunks", F.lit(c).cast("long"))).select("doc_id", "text_key", "text")
+        found, sent = _pass(own, _tests(long.where(F.pmod(place, F.lit(chunks_of)) == c), window), out)
+        parts.append(materialise(found.where(F.size("starts") > 0), "pass"))
+        sent.destroy()
+    release(texts, measured)
+    return _unite([p.drop("anchors") for p in parts])
+
+
 def _unite(parts: list[DataFrame]) -> DataFrame:
-    """One row per row of the first part, from the spans of all."""
+    """One row per row of the first part, from the spans of all; of a text's copies, what one
+    hits all do."""
     every = parts[0].where(F.size("starts") > 0)
     for p in parts[1:]:
         every = every.unionByName(p)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     best = F.max_by(F.struct("longest", "longest_item", "longest_at"), F.struct("longest", -F.col("longest_at")))
-    one = every.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
+    one = every.groupBy(F.col("text_key").alias("key")).agg(
         spans.alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         best.alias("best"),
@@ -329,9 +390,9 @@ def _unite(parts: list[DataFrame]) -> DataFrame:
             F.greatest(acc["to"], s["ends"]).alias("to"),
         ),
     )
-    one = one.select("id", "key", union["n"].alias("hit"), "items", "best.*")
+    one = one.select("key", union["n"].alias("hit"), "items", "best.*")
     rows = parts[0].select("doc_id", "text_key", "n_words")
-    met = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    met = rows.join(one, F.col("text_key") == F.col("key"), "left")
     return met.withColumns(
         {
             "n_hit": F.coalesce("hit", F.lit(0).cast("long")),

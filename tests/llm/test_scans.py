@@ -38,6 +38,30 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
             assert any(" ".join(w) in " ".join(plain.alnum_words(t)) for _, t in items)
 
 
+def test_documents_are_read_twice_however_many_the_items(spark, docs, texts):
+    items = [(i, " ".join(plain.alnum_words(t)[:30])) for i, t in enumerate(texts)] + [(1000 + i, f"short {i}") for i in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = docs.select("doc_id", "text").mapInArrow(counting, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontam.contamination(counted, benchmark, pass_bytes=1000).collect()}
+    expected = {i: plain.hits(t, items) for i, t in enumerate(texts)}
+    assert got == {i: (n, hit, sorted(map(str, found))) for i, (n, hit, found) in expected.items()}
+    assert len(items) * 100 > 5000 and read.value <= 2 * len(texts)
+
+
+def test_a_benchmark_of_short_items_only(spark, docs, texts):
+    items = [(1, plain.alnum_words(texts[4])[0]), (2, "no such words anywhere"), (3, " ".join(plain.alnum_words(texts[5])[:4]))]
+    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in got} == {i: plain.hits(t, items)[:2] for i, t in enumerate(texts)}
+    assert sum(r.n_hit for r in got) > 0
+
+
 def test_longest_match_and_shared_windows():
     """Very many items that share a window, and items that go on from it differently."""
     rng = np.random.default_rng(8)

@@ -27,8 +27,9 @@ from .search import grid_tallies
 #: Distinct scores whose counts may come to the driver (24 bytes each); beyond, they are a
 #: table of running sums in which a cut-off is looked up.
 DRIVER_SCORES = 1_000_000
-#: Grid places that one task may deal a sample to; more are dealt in ranges.
-ONE_TASK_PLACES = 1_000_000
+#: Grid places that the driver may deal a sample to, and that one task may; more are dealt in
+#: ranges. The driver draws what a task would.
+DRIVER_PLACES, ONE_TASK_PLACES = 10_000, 1_000_000
 
 
 def sample_size(ratio: float, rows: int) -> int:
@@ -102,7 +103,7 @@ def sgrid(scored: DataFrame, shape: Shape, places: int, ratio: float, reshuffle:
     send_package(scored.sparkSession)
     k, steps = sample_size(ratio, shape.rows), 10**places if shape.highest > shape.lowest else 1
     if reshuffle:
-        seen = resampled(grid_tallies(scored, shape, places), shape.rows, k, _entropy(seed))
+        seen = resampled(grid_tallies(scored, shape, places), shape.rows, k, steps + 2, _entropy(seed))
         best = seen.agg(F.max(F.struct("seen", (-F.col("pos")).alias("back"), "threshold", "correct")).alias("best"))
         return best.select("best.threshold", "best.correct")
     seen, positive = shared_sample(grid_counts(scored, shape.lowest, shape.highest, steps), shape, k, steps + 1, _entropy(seed))
@@ -117,7 +118,7 @@ def sgrid(scored: DataFrame, shape: Shape, places: int, ratio: float, reshuffle:
     )
 
 
-def resampled(tallies: DataFrame, rows: int, k: int, seed: int) -> DataFrame:
+def resampled(tallies: DataFrame, rows: int, k: int, points: int, seed: int) -> DataFrame:
     """``tallies(pos, threshold, correct)`` with seen: how many rows each point gets right on a
     sample of its own. Each draw is fixed by the seed and the point."""
 
@@ -128,6 +129,8 @@ def resampled(tallies: DataFrame, rows: int, k: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.int64())], ["pos", "threshold", "correct", "seen"])
 
     tallies = tallies.select(F.col("pos").cast("long").alias("pos"), "threshold", F.col("correct").cast("long").alias("correct"))
+    if points <= DRIVER_PLACES:
+        return tallies.sparkSession.createDataFrame(pa.Table.from_batches(run(iter(tallies.toArrow().to_batches()))))
     return tallies.mapInArrow(run, "pos long, threshold double, correct long, seen long")
 
 
@@ -169,6 +172,8 @@ def shared_sample(counts: DataFrame, shape: Shape, k: int, places: int, seed: in
         seen = own["base_seen"] + np.cumsum(seen_neg - seen_pos)
         return pa.table({"bucket": table.column("bucket"), "correct": correct, "seen": seen})
 
+    if places <= DRIVER_PLACES:
+        return counts.sparkSession.createDataFrame(run(ranged.toArrow())), positive
     return ranged.groupBy("part").applyInArrow(run, "bucket long, correct long, seen long"), positive
 
 

@@ -128,8 +128,17 @@ def test_shared_sample_has_the_spread_of_a_sample(overlapping):
     assert np.std(seen) == pytest.approx(np.sqrt(1800 * share * (1 - share) * 200 / 1999), rel=0.3)
 
 
+@pytest.mark.parametrize("reshuffle", [True, False])
+def test_the_driver_draws_what_a_task_would(overlapping, monkeypatch, reshuffle):
+    params = {"stoch_ratio": 0.1, "reshuffle": reshuffle}
+    here = FrameCutpoint("sgrid", params, seed=6).solve(overlapping).first()
+    monkeypatch.setattr(sampling, "DRIVER_PLACES", 0)
+    assert FrameCutpoint("sgrid", params, seed=6).solve(overlapping).first() == here
+
+
 @pytest.mark.parametrize("one_task", [True, False])
 def test_shared_sample_adds_up_in_ranges_too(overlapping, monkeypatch, one_task):
+    monkeypatch.setattr(sampling, "DRIVER_PLACES", 0)
     monkeypatch.setattr(sampling, "ONE_TASK_PLACES", 10**9 if one_task else 0)
     data = scored(overlapping)
     shape = admit(data)

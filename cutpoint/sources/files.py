@@ -31,7 +31,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool
 def delimited_pair(df: DataFrame, score: str, label: str) -> DataFrame:
     """``(score, label)``: numbers, null for text that is none; and labels, whole numbers in
     their plain form ("1" for "1.0" and "+1")."""
-    quoted = lambda name: F.col(f"`{name}`")
+    quoted = lambda name: F.col("`{}`".format(name.replace("`", "``")))
     return df.select(quoted(score).try_cast("double").alias("score"), plain_label(quoted(label)).alias("label"))
 
 

@@ -112,5 +112,5 @@ def test_scores_that_are_no_numbers(spark, tmp_path, capsys):
     f.write_text("chance,outcome\n2.5,1\nmany,-1\n,1\n")
     code, _, err = call(capsys, f)
     assert code == 1 and "2 rows have no score" in err
-    f.write_text("chance,a.b\n2.5,1.0\n0.5,-1.0\n")
+    f.write_text("chance,a.`b\n2.5,1.0\n0.5,-1.0\n")
     assert call(capsys, f)[:2] == (0, "1.5")

@@ -8,7 +8,7 @@ the results are distributed as if rows had been read, and no row is read again.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -37,6 +37,28 @@ def sample_size(ratio: float, rows: int) -> int:
     return max(1, min(rows, int(ratio * rows)))
 
 
+Means = tuple[float, float, float]
+
+
+class Held:
+    """What any cut-off gets right, from running sums in memory."""
+
+    def __init__(self, counts: DataFrame, shape: Shape) -> None:
+        got = counts.toPandas().sort_values("score")  # DRIVER_SCORES rows at most
+        self.scores, neg, pos = (got[c].to_numpy(k) for c, k in (("score", np.float64), ("neg", np.int64), ("pos", np.int64)))
+        self.positives = shape.positives
+        self.neg, self.pos = np.append(0, np.cumsum(neg)), np.append(0, np.cumsum(pos))
+
+    def means(self) -> Means:
+        """The mean score of negatives, of positives, and of all."""
+        neg, pos = np.diff(self.neg), np.diff(self.pos)
+        return tuple(float(self.scores @ n / n.sum()) for n in (neg, pos, neg + pos))
+
+    def __call__(self, cuts: list[float]) -> list[int]:
+        k = np.searchsorted(self.scores, cuts, "right")
+        return (self.neg[k] + self.positives - self.pos[k]).tolist()
+
+
 class Lookup:
     """What any cut-off gets right, from running sums in a table dealt by ranges of scores.
 
@@ -49,12 +71,19 @@ class Lookup:
         ranged = counts.repartitionByRange("score").sortWithinPartitions("score")
         ranged = ranged.withColumn("part", F.spark_partition_id())
         self.table = written(ranged, "scores", "part")
-        ends = self.table.groupBy("part").agg(F.min("score").alias("low"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+        weighed = [F.sum(F.col("score") * F.col(c)).alias(f"{c}_sum") for c in ("neg", "pos")]
+        ends = self.table.groupBy("part").agg(F.min("score").alias("low"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"), *weighed)
         ends = sorted(ends.collect(), key=lambda r: r.low)  # a row for each task of the shuffle
         self.parts = [r.part for r in ends]
         self.lows = np.array([r.low for r in ends])
         self.neg = np.append(0, np.cumsum([r.neg for r in ends]))
         self.pos = np.append(0, np.cumsum([r.pos for r in ends]))
+        self.sums = [math.fsum(r[f"{c}_sum"] for r in ends) for c in ("neg", "pos")]
+
+    def means(self) -> Means:
+        """The mean score of negatives, of positives, and of all."""
+        (neg, pos), n, p = self.sums, int(self.neg[-1]), int(self.pos[-1])
+        return neg / n, pos / p, (neg + pos) / (n + p)
 
     def inside(self, cuts: list[float]) -> DataFrame:
         """One row: negatives and positives up to each cut in its own range, in turn."""
@@ -71,24 +100,14 @@ class Lookup:
         return (neg + self.positives - pos).tolist()
 
 
-def counter(scored: DataFrame, shape: Shape) -> Callable[[list[float]], list[int]]:
-    """A function from cut-offs to the rows each gets right."""
+def counter(scored: DataFrame, shape: Shape) -> Held | Lookup:
+    """From cut-offs to the rows each gets right, after one pass over the rows."""
     counts = class_counts(scored)
     if shape.rows > DRIVER_SCORES:
         counts = written(counts, "counts")  # else they are counted once more
-    few = shape.rows <= DRIVER_SCORES or counts.select("score").limit(DRIVER_SCORES + 1).count() <= DRIVER_SCORES
-    if not few:
-        return Lookup(counts, shape)
-    got = counts.toPandas().sort_values("score")  # DRIVER_SCORES rows at most
-    at = got["score"].to_numpy(np.float64)
-    neg = np.append(0, np.cumsum(got["neg"].to_numpy(np.int64)))
-    pos = np.append(0, np.cumsum(got["pos"].to_numpy(np.int64)))
-
-    def near(cuts: list[float]) -> list[int]:
-        k = np.searchsorted(at, cuts, "right")
-        return (neg[k] + shape.positives - pos[k]).tolist()
-
-    return near
+        if not counts.select("score").limit(DRIVER_SCORES + 1).count() <= DRIVER_SCORES:
+            return Lookup(counts, shape)
+    return Held(counts, shape)
 
 
 def _entropy(seed: int | None) -> int:
@@ -185,8 +204,8 @@ def genetic(scored: DataFrame, shape: Shape, params: dict[str, Any], seed: int |
     """
     need_finite(shape, "gen")
     rng = np.random.default_rng(seed)
-    means = scored.agg(*[F.avg(F.when(F.col("y") == y, F.col("score"))).alias(n) for n, y in (("neg", -1), ("pos", 1))]).first()
     correct = counter(scored, shape)
+    means = correct.means()[:2]
     k = sample_size(params["stoch_ratio"], shape.rows)
     size, rounds = params["population_size"], params["number_of_iterations"]
     kept = size - params["sus_factor"]
@@ -212,8 +231,8 @@ def descend(scored: DataFrame, shape: Shape, params: dict[str, Any], seed: int |
     point visited wins. Steps shrink, stay in the scores' range, and end for want of gain."""
     need_finite(shape, "sgd")
     rng = np.random.default_rng(seed)
-    point = float(scored.agg(F.avg("score")).first()[0])
     correct = counter(scored, shape)
+    point = correct.means()[2]
     k = sample_size(params["stoch_ratio"], shape.rows)
 
     def wrong(at: float) -> tuple[float, int]:

@@ -15,9 +15,6 @@ from ..operators.narrow import Bins, survey
 from ..operators.profile import Shape, admit
 from ..registry import Algorithm
 
-#: Searches that read the rows more than once keep the two columns meanwhile.
-REREAD = frozenset({"gen", "sgd"})
-
 
 def solve(
     scored: DataFrame, algorithm: Algorithm, params: Mapping[str, Any], seed: int | None = None, labels: Sequence[Any] | None = None
@@ -51,16 +48,12 @@ def _search(
     if algorithm.id == "sgrid":
         found = sampling.sgrid(rows, shape, params["no_of_decimal_places"], params["stoch_ratio"], params["reshuffle"], seed)
         return search.answer(found, shape.rows)
-    if algorithm.id not in REREAD:
+    if algorithm.id == "gen":
+        found = sampling.genetic(rows, shape, dict(params), seed)
+    elif algorithm.id == "sgd":
+        found = sampling.descend(rows, shape, dict(params), seed)
+    else:
         raise AlgorithmNotWiredError(f"{algorithm.id} has no plan")
-    rows = rows.persist()
-    try:
-        if algorithm.id == "gen":
-            found = sampling.genetic(rows, shape, dict(params), seed)
-        else:
-            found = sampling.descend(rows, shape, dict(params), seed)
-    finally:
-        rows.unpersist()
     best = scored.sparkSession.createDataFrame([found], "threshold double, correct long")
     return search.answer(best, shape.rows)
 

@@ -6,7 +6,7 @@ import pytest
 
 from cutpoint import FrameCutpoint
 from cutpoint.errors import ConfigurationError
-from cutpoint.operators import counts, draws, sampling
+from cutpoint.operators import counts, draws, evaluate, sampling
 from cutpoint.operators.profile import admit
 from cutpoint.operators.search import grid_tallies
 from cutpoint.sources.frames import scored
@@ -195,9 +195,13 @@ def looked_up(overlapping, monkeypatch):
     step.collect()
     assert [scan.metrics().apply("numFiles").value() for scan in scans(step._jdf.queryExecution().executedPlan())] == [1]
     few = {"gen": {"population_size": 5, "number_of_generations": 2}, "sgd": {"num_of_iters": 4}}
-    found = {a: FrameCutpoint(a, {"stoch_ratio": 0.5, **p}, seed=3).solve(overlapping).first() for a, p in few.items()}
+    assert far.means() == pytest.approx(tuple(evaluate.class_means(data).first()))
+    solved = lambda: {a: FrameCutpoint(a, {"stoch_ratio": 0.5, **p}, seed=3).solve(overlapping).first() for a, p in few.items()}
+    found = solved()
     monkeypatch.undo()
-    assert found == {a: FrameCutpoint(a, {"stoch_ratio": 0.5, **p}, seed=3).solve(overlapping).first() for a, p in few.items()}
+    assert sampling.counter(data, shape).means() == pytest.approx(far.means())
+    for a, row in solved().items():
+        assert (row.threshold, row.correct) == (pytest.approx(found[a].threshold), found[a].correct)
 
 
 # fixed values: settings of the genetic search that cannot work

@@ -117,11 +117,14 @@ class Passages:
     blocks of half a window: any window of a passage holds a whole block. The automaton
     finds the blocks. Blocks that follow each other in a passage and in the text alike are
     one match, which is extended word by word at both ends; matches of a window or more
-    are what the text has of the passages.
+    are what the text has of the passages. What streams through the automaton is the text
+    around its runs of ``gram`` words that are anchors of the passages' windows: each
+    window of a passage holds its anchor, wherever it stands.
     """
 
-    def __init__(self, found: list[np.ndarray], window: int) -> None:
-        self.window, self.block = window, (window + 1) // 2
+    def __init__(self, found: list[np.ndarray], window: int, gram: int = 8) -> None:
+        self.window, self.block, self.gram = window, (window + 1) // 2, gram
+        self.anchors = np.unique(np.concatenate([*(anchors(p, window, gram) for p in found), np.zeros(0, U)]))
         self.words = np.unique(np.concatenate([*found, np.zeros(0, U)]))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         size = self.block * LETTERS
@@ -148,6 +151,26 @@ class Passages:
 
     def spans(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the word spans that windows of the passages cover."""
+        places = self._around_anchors(hashes)
+        # no word of the passages is zero, so nothing is found across a gap
+        starts, ends = self._matched(np.where(places < 0, U(0), hashes[places]))
+        return places[starts], places[ends - 1] + 1
+
+    def _around_anchors(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the words that windows around the passages' anchors hold, with -1 for
+        each gap."""
+        n, g = len(hashes), grams(hashes, self.gram)
+        if not len(self.anchors) or not len(g):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.anchors, g), len(self.anchors) - 1)
+        met = np.flatnonzero(self.anchors[at] == g)
+        near = np.zeros(n + 1, np.int32)
+        np.add.at(near, np.maximum(0, met - (self.window - self.gram)), 1)
+        np.add.at(near, np.minimum(n, met + self.window), -1)
+        kept = np.flatnonzero(np.cumsum(near[:n]) > 0)
+        return np.insert(kept, np.flatnonzero(np.diff(kept) > 1) + 1, -1)
+
+    def _matched(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, none = len(hashes), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         if n < self.window or not len(self.automaton):
             return none
@@ -208,7 +231,7 @@ def _patterns(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "row long, words binary, anchors array<long>")
 
 
-def _located(dealt: DataFrame, window: int) -> DataFrame:
+def _located(dealt: DataFrame, window: int, gram: int) -> DataFrame:
     """Covered spans of the texts of ``(shard, salt, k1, k2, words, text)``, by shard and salt
     sorted so that its passages (words) come before its texts."""
 
@@ -225,7 +248,7 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
                     waiting.append(np.frombuffer(batch.column(4)[i].as_py(), U))
                     continue
                 if automaton is None:
-                    automaton, waiting = Passages(waiting, window), []
+                    automaton, waiting = Passages(waiting, window, gram), []
                 for _, _, w in chunks(batch.column(5).slice(i, 1), "space", False):
                     a, b = automaton.spans(w.hashes)
                     k1.append(batch.column(2)[i].as_py())
@@ -354,7 +377,7 @@ def cut_passages(
     streams = found.select("k1", "k2", "text").join(salted, ["k1", "k2"])
     dealt = dealt.unionByName(streams, allowMissingColumns=True).select("shard", "salt", "k1", "k2", "words", "text")
     dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("words").isNull())
-    spans = _located(dealt, window).where(F.size("starts") > 0).groupBy("k1", "k2").agg(
+    spans = _located(dealt, window, gram).where(F.size("starts") > 0).groupBy("k1", "k2").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
     )
     spans = materialise(spans, "spans")

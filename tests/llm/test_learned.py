@@ -205,4 +205,4 @@ def test_hot_source_takes_several_tasks(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}

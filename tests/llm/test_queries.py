@@ -23,7 +23,7 @@ SQL = oracle_sql()
 @pytest.fixture(scope="module")
 def tables(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 

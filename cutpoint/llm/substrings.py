@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .runtime import materialise, release, session, tidy
 from .words import U, chunks, grams, joined
 
-#: Windows of the passages of one automaton, about, and texts that one task streams through it.
-SHARD_WORDS, SHARD_TEXTS = 1 << 20, 4_000
+#: Windows of the passages of one automaton, about, and texts that one task streams through it:
+#: compiling an automaton takes about as long as streaming several thousand texts.
+SHARD_WORDS, SHARD_TEXTS = 1 << 19, 16_000
 
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:

@@ -18,6 +18,9 @@ from .words import U, chunks, grams, joined
 #: compiling an automaton takes about as long as streaming several thousand texts.
 SHARD_WORDS, SHARD_TEXTS = 1 << 19, 16_000
 
+#: Places of blocks that are compared with a text at once, about.
+PLACES = 1 << 18
+
 
 def anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each window of words, the least hash among its runs of ``gram`` words.
@@ -180,6 +183,18 @@ class Passages:
         met = np.fromiter((x for found in self.automaton.iter(spelled(numbers)) for x in found), np.int64).reshape(-1, 2)
         if not len(met):
             return none
+        text = np.concatenate([np.full(self.block, -2), numbers, np.full(self.block, -2)])
+        covered = np.zeros(n + 2, np.int32)
+        # a common block has many places: so many at once that arrays stay small. A block of a
+        # chain that is cut here is extended as far as any window that holds it
+        share = np.cumsum(self.first[met[:, 1] + 1] - self.first[met[:, 1]]) // PLACES
+        for part in np.split(met, np.flatnonzero(np.diff(share)) + 1):
+            self._cover(text, part, covered)
+        edge = np.diff((np.cumsum(covered) > 0).view(np.int8))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    def _cover(self, text: np.ndarray, met: np.ndarray, covered: np.ndarray) -> None:
+        """Count in ``covered`` where the matches of some blocks begin and end."""
         uses = self.first[met[:, 1] + 1] - self.first[met[:, 1]]
         turn = np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
         there = self.places[np.repeat(self.first[met[:, 1]], uses) + turn]
@@ -189,16 +204,12 @@ class Passages:
         apart = (np.diff(here) != self.block) | (np.diff(there) != self.block)
         first, last = np.flatnonzero(np.append(True, apart)), np.flatnonzero(np.append(apart, True))
         # a whole block more would have been found, so fewer words are left to extend by
-        text = np.concatenate([np.full(self.block, -2), numbers, np.full(self.block, -2)])
         starts = here[first] - self._run(text, here[first] + self.block, there[first], -1)
         ends = here[last] + self.block
         ends = ends + self._run(text, ends + self.block - 1, there[last] + self.block - 1, 1)
         long = ends - starts >= self.window
-        covered = np.zeros(n + 2, np.int32)
         np.add.at(covered, starts[long] + 1, 1)
         np.add.at(covered, ends[long] + 1, -1)
-        edge = np.diff((np.cumsum(covered) > 0).view(np.int8))
-        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
     def _run(self, text: np.ndarray, here: np.ndarray, there: np.ndarray, step: int) -> np.ndarray:
         """How many words, fewer than a block, are equal on from each pair of places."""

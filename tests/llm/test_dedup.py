@@ -270,8 +270,10 @@ def test_passages_are_located_by_the_automaton_alone():
     assert not len(passages.spans(found[2])[0])
 
 
-def test_blocks_that_many_passages_share():
+@pytest.mark.parametrize("places", [1 << 18, 1, 7])
+def test_blocks_that_many_passages_share(monkeypatch, places):
     """Passages alike but for their ends, and texts that repeat with a short period."""
+    monkeypatch.setattr(substrings, "PLACES", places)
     rng = np.random.default_rng(6)
     word = lambda n, most=1 << 62: rng.integers(1, most, n).astype(np.uint64)
     middle = word(20)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import midpoint_of, predict
 from ..plans.running import running
+from .narrow import narrowed, survey
 from .profile import Shape
-from .search import curve
+from .search import curve, curve_of
 
 
 def predictions(scored: DataFrame, threshold: float) -> DataFrame:
@@ -43,7 +44,8 @@ def threshold_curve(scored: DataFrame, shape: Shape) -> DataFrame:
 
 def ceiling(scored: DataFrame, shape: Shape) -> DataFrame:
     """One row: the most rows any cut gets right, and their share."""
-    best = curve(scored, shape).agg(F.max("correct").alias("correct"))
+    counts, most = narrowed(scored, shape, survey(scored)[1])  # scores are counted where the best cut may be
+    best = curve_of(counts, shape.positives, most, "first").agg(F.max("correct").alias("correct"))
     best = best.select(F.greatest("correct", F.lit(shape.positives)).alias("correct"))
     return best.withColumn("accuracy", F.col("correct") / F.lit(shape.rows))
 

@@ -27,6 +27,8 @@ from .search import grid_tallies
 #: Distinct scores whose counts may come to the driver (24 bytes each); beyond, they are a
 #: table of running sums in which a cut-off is looked up.
 DRIVER_SCORES = 1_000_000
+#: Blocks that such a table is cut into, unless they would hold fewer scores than FEW.
+BLOCKS, FEW = 100_000, 1000
 #: Grid places that the driver may deal a sample to, and that one task may; more are dealt in
 #: ranges. The driver draws what a task would.
 DRIVER_PLACES, ONE_TASK_PLACES = 10_000, 1_000_000
@@ -62,42 +64,64 @@ class Held:
 class Lookup:
     """What any cut-off gets right, from running sums in a table dealt by ranges of scores.
 
-    The ranges' least scores and totals are held here, a few numbers each; a cut-off is
-    then looked up in the one range that it falls in, whatever the others hold.
+    A range is cut into blocks of neighbouring scores, BLOCKS in all or of FEW scores each.
+    The blocks' least scores and totals are held here, a few numbers each. A cut-off is looked
+    up in the one block that it falls in, which is read once and held, DRIVER_SCORES scores in all.
     """
 
-    def __init__(self, counts: DataFrame, shape: Shape) -> None:
+    def __init__(self, counts: DataFrame, shape: Shape, distinct: int) -> None:
         self.positives = shape.positives
-        ranged = counts.repartitionByRange("score").sortWithinPartitions("score")
-        ranged = ranged.withColumn("part", F.spark_partition_id())
+        ranged = counts.repartitionByRange("score").sortWithinPartitions("score").withColumn("at", F.monotonically_increasing_id())
+        place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+        size = max(FEW, -(-distinct // BLOCKS))
+        ranged = ranged.select("score", "neg", "pos", F.shiftright("at", 33).alias("part"), F.floor(place / size).alias("block"))
         self.table = written(ranged, "scores", "part")
         weighed = [F.sum(F.col("score") * F.col(c)).alias(f"{c}_sum") for c in ("neg", "pos")]
-        ends = self.table.groupBy("part").agg(F.min("score").alias("low"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"), *weighed)
-        ends = sorted(ends.collect(), key=lambda r: r.low)  # a row for each task of the shuffle
-        self.parts = [r.part for r in ends]
-        self.lows = np.array([r.low for r in ends])
-        self.neg = np.append(0, np.cumsum([r.neg for r in ends]))
-        self.pos = np.append(0, np.cumsum([r.pos for r in ends]))
-        self.sums = [math.fsum(r[f"{c}_sum"] for r in ends) for c in ("neg", "pos")]
+        ends = self.table.groupBy("part", "block").agg(
+            F.min("score").alias("low"), F.max("score").alias("high"), F.sum("neg").alias("neg"), F.sum("pos").alias("pos"), *weighed
+        )
+        ends = ends.toPandas().sort_values("low")  # a row for each block
+        self.parts, self.lows, self.highs = (ends[c].to_numpy() for c in ("part", "low", "high"))
+        self.neg, self.pos = (np.append(0, np.cumsum(ends[c].to_numpy(np.int64))) for c in ("neg", "pos"))
+        self.sums = [math.fsum(ends[f"{c}_sum"]) for c in ("neg", "pos")]
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def means(self) -> Means:
         """The mean score of negatives, of positives, and of all."""
         (neg, pos), n, p = self.sums, int(self.neg[-1]), int(self.pos[-1])
         return neg / n, pos / p, (neg + pos) / (n + p)
 
+    def own(self, cuts: list[float]) -> np.ndarray:
+        """The block that each cut falls in."""
+        return np.maximum(np.searchsorted(self.lows, cuts, "right") - 1, 0)
+
     def inside(self, cuts: list[float]) -> DataFrame:
-        """One row: negatives and positives up to each cut in its own range, in turn."""
-        own = np.maximum(np.searchsorted(self.lows, cuts, "right") - 1, 0)
-        needed = self.table.where(F.col("part").isin(sorted({self.parts[p] for p in own})))
-        up_to = [(F.col("part") == self.parts[p]) & (F.col("score") <= F.lit(float(c))) for p, c in zip(own, cuts, strict=True)]
-        needed = needed.where(F.col("score") <= F.lit(float(max(cuts))))
-        return needed.agg(*[F.coalesce(F.sum(F.when(u, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i, u in enumerate(up_to) for c in ("neg", "pos")])
+        """The rows ``(score, neg, pos)`` of the blocks that cuts fall in."""
+        blocks = sorted(set(self.own(cuts).tolist()))
+        needed = self.table.where(F.col("part").isin(sorted({int(self.parts[b]) for b in blocks})))
+        within = " or ".join(f"score between double('{float(self.lows[b])!r}') and double('{float(self.highs[b])!r}')" for b in blocks)
+        return needed.where(within).select("score", "neg", "pos")
+
+    def read(self, blocks: list[int], cuts: list[float]) -> None:
+        """Hold the blocks that cuts fall in."""
+        if sum(len(scores) for scores, _, _ in self.held.values()) > DRIVER_SCORES:
+            self.held.clear()
+        rows = sorted(self.inside(cuts).collect())
+        scores, neg, pos = (np.array([r[c] for r in rows], k) for c, k in (("score", np.float64), ("neg", np.int64), ("pos", np.int64)))
+        for b in blocks:
+            at = slice(np.searchsorted(scores, self.lows[b], "left"), np.searchsorted(scores, self.highs[b], "right"))
+            self.held[b] = (scores[at], *(np.append(0, np.cumsum(x[at])) for x in (neg, pos)))
 
     def __call__(self, cuts: list[float]) -> list[int]:
-        own = np.maximum(np.searchsorted(self.lows, cuts, "right") - 1, 0)
-        found = self.inside(cuts).first()
-        neg, pos = np.array(found[::2]) + self.neg[own], np.array(found[1::2]) + self.pos[own]
-        return (neg + self.positives - pos).tolist()
+        own = self.own(cuts).tolist()
+        if not self.held.keys() >= set(own):
+            self.read(own, cuts)
+        out = []
+        for cut, b in zip(cuts, own, strict=True):
+            scores, neg, pos = self.held[b]
+            k = np.searchsorted(scores, cut, "right")
+            out.append(int(self.neg[b] + neg[k] + self.positives - self.pos[b] - pos[k]))
+        return out
 
 
 def counter(scored: DataFrame, shape: Shape) -> Held | Lookup:
@@ -105,8 +129,8 @@ def counter(scored: DataFrame, shape: Shape) -> Held | Lookup:
     counts = class_counts(scored)
     if shape.rows > DRIVER_SCORES:
         counts = written(counts, "counts")  # else they are counted once more
-        if not counts.select("score").limit(DRIVER_SCORES + 1).count() <= DRIVER_SCORES:
-            return Lookup(counts, shape)
+        if (distinct := counts.count()) > DRIVER_SCORES:
+            return Lookup(counts, shape, distinct)
     return Held(counts, shape)
 
 

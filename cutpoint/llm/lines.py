@@ -6,6 +6,8 @@ not elements of arrays under lambdas, which take ten times as long.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def _starts(chars: Column, shingle: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chars) - F.lit(4 * shingle - 1)), F.lit(4))
 
 
-def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
-    """``(key, node, sketch1, sketch2)``, a row for each band of each of ``lines(node, line)``.
+def signatures(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
+    """``(node, sketch1, sketch2, k<part>_<band>...)``, a row for each of ``lines(node, line)``.
 
     The functions are rotations of two 64-bit hashes xor a random mask: an order by a
     number's first bits, and each rotation brings other bits to the front. A part without
@@ -76,9 +78,18 @@ def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
     keys = [F.xxhash64("part", F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"k{b}") for b in range(bands)]
     least = least.select("node", "part", lanes(0).alias("s1"), lanes(half).alias("s2"), *keys)
     named = [F.max(F.when(F.col("part") == p, F.col(f"k{b}"))).alias(f"k{p}_{b}") for p in range(PARTS) for b in range(bands)]
-    whole = least.groupBy("node").agg(F.bit_or("s1").alias("sketch1"), F.bit_or("s2").alias("sketch2"), *named)
-    every = F.array(*[f"k{p}_{b}" for p in range(PARTS) for b in range(bands)])
-    return whole.select(F.explode(every).alias("key"), "node", "sketch1", "sketch2").where("key is not null")
+    return least.groupBy("node").agg(F.bit_or("s1").alias("sketch1"), F.bit_or("s2").alias("sketch2"), *named)
+
+
+def _bands(signed: DataFrame, parts: Iterable[int]) -> DataFrame:
+    """``(key, node, sketch1, sketch2)``, a row for each band of some parts of ``signatures``."""
+    every = F.array(*[f"k{p}_{b}" for p in parts for b in range(MINIMA // ROWS)])
+    return signed.select(F.explode(every).alias("key"), "node", "sketch1", "sketch2").where("key is not null")
+
+
+def band_keys(lines: DataFrame, shingle: int, seed: int = 2) -> DataFrame:
+    """``(key, node, sketch1, sketch2)``, a row for each band of each of ``lines(node, line)``."""
+    return _bands(signatures(lines, shingle, seed), range(PARTS))
 
 
 def _shingles(line: str, shingle: int) -> Column:
@@ -112,13 +123,20 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     bucket's pivot, or of another member, are compared with the pivot, and with each other
     by how they differ from it: no more pairs than members are rows.
     """
-    pairs = pairs_to_compare(band_keys(lines, shingle), percent)
+    signed = materialise(signatures(lines, shingle), "signed")
+    pairs = pairs_to_compare([_bands(signed, [p]) for p in range(PARTS)], percent)
+    release(signed)
     # hashing the few pivots spares sorting every line
     pivots = pairs.select(F.col("v").alias("node")).distinct().hint("shuffle_hash")
     pivots = materialise(lines.join(pivots, "node").select("node", "line"), "pivot-lines")
-    sized = _differing(pairs, pivots, lines, shingle, dealt=False).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    sized = _differing(pairs.where("near"), pivots, lines, shingle, dealt=False)
+    sized = sized.withColumns({"n_more": F.size("more"), "n_less": F.size("less")}).drop("more", "less", "near")
     linked = 100 * (F.col("nu") - F.col("n_more")) >= percent * (F.col("nv") + F.col("n_more"))
-    verified = materialise(sized.withColumn("linked", linked).drop("more", "less"), "verified")
+    # sketches refuse the link to a pivot that looks unlike; its members may be linked with each other
+    sized = sized.withColumn("linked", linked).unionByName(
+        pairs.where("not near").drop("near").withColumn("linked", F.lit(False)), allowMissingColumns=True
+    )
+    verified = materialise(sized, "verified")
     tidy(lines.sparkSession)
     found = exact_components(verified, percent, lambda rows: _differing(rows, pivots, lines, shingle, dealt=True))
     release(pairs, pivots, verified)

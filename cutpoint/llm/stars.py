@@ -9,6 +9,7 @@ or refused by its sketches, and rows grow with members.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -66,7 +67,8 @@ def bucket_members(keys: DataFrame, least: int) -> DataFrame:
 
 
 def candidates(members: DataFrame, least: int) -> DataFrame:
-    """Pairs ``(u, v, sketch1, sketch2)`` to compare: a member (with its sketch) and its pivot.
+    """Pairs ``(u, v, sketch1, sketch2, near)`` to compare: a member (with its sketch) and its
+    pivot, and whether both look alike.
 
     Left out are members that look neither like the pivot nor like any other member.
     """
@@ -74,18 +76,28 @@ def candidates(members: DataFrame, least: int) -> DataFrame:
     a, b = members.where("not near").alias("a"), members.where("size > 2").alias("b")
     alike = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node"))
     rest = a.join(b, alike & (agreement("a.sketch", "b.sketch") >= least), "left_semi")
-    every = near.unionByName(rest).groupBy(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    return every.agg(F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"))
-
-
-def pairs_to_compare(keys: DataFrame, percent: int) -> DataFrame:
-    """``candidates`` of ``keys``, as a table; what led to it is deleted."""
-    least = least_agreement(percent)
-    members = materialise(bucket_members(keys, least), "members")
-    tidy(keys.sparkSession)  # the shuffle of all bands
-    pairs = materialise(candidates(members, least), "pairs")
-    release(members)
-    tidy(keys.sparkSession)
+    return _once(near.unionByName(rest).select(F.col("node").alias("u"), F.col("pivot").alias("v"), "sketch1", "sketch2", "near"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    first = [F.first(c).alias(c) for c in ("sketch1", "sketch2")]
+    return pairs.groupBy("u", "v").agg(*first, F.max("near").alias("near"))
+
+
+def pairs_to_compare(passes: DataFrame | list[DataFrame], percent: int) -> DataFrame:
+    """``candidates`` of keys, as a table; what led to it is deleted. Several ``passes`` of
+    keys are shuffled one after the other, so that the disk holds the bands of one."""
+    least, tables = least_agreement(percent), []
+    for keys in passes if isinstance(passes, list) else [passes]:
+        members = materialise(bucket_members(keys, least), "members")
+        tidy(keys.sparkSession)  # the shuffle of these bands
+        tables.append(materialise(candidates(members, least), "pairs"))
+        release(members)
+        tidy(keys.sparkSession)
+    if len(tables) == 1:
+        return tables[0]
+    pairs = materialise(_once(reduce(DataFrame.unionByName, tables)), "pairs")
+    release(*tables)
     return pairs
 
 
@@ -102,12 +114,16 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
     star = verified.join(of("u"), "u", "left").join(of("v"), "v", "left").drop("linked")
     star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
     star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
-    some = star.where("out").select("v").distinct()
     pivots = star.groupBy("u").agg(F.collect_set("v").alias("pivots"))
-    near = materialise(star.join(some, "v", "left_semi").join(pivots, "u"), "near-stars")
-    full = differ(near)
-    a, b = full.where("out").alias("a"), full.alias("b")
     col = F.col
+    a, b = star.alias("a"), star.select("u", "v", "u_part", "out", "sketch1", "sketch2").alias("b")
+    apart = (col("a.v") == col("b.v")) & (col("a.u_part") != col("b.u_part"))
+    alike = agreement("a.sketch", "b.sketch") >= least_agreement(percent)
+    # differences are made of those alone that look like another one of the same pivot
+    near = a.join(b, apart & (col("a.out") | col("b.out")) & alike, "left_semi")
+    near = materialise(near.join(pivots, "u"), "near-stars")
+    full = differ(near).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    a, b = full.where("out").alias("a"), full.alias("b")
     base = col("a.nv") - col("a.n_less") - col("b.n_less")
 
     def enough(shared: Column) -> Column:
@@ -116,8 +132,7 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
 
     most = F.least("a.n_more", "b.n_more") + F.least("a.n_less", "b.n_less")
     shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
-    on = (col("a.v") == col("b.v")) & (col("a.u_part") != col("b.u_part"))
-    on = on & (~col("b.out") | (col("a.u") < col("b.u"))) & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
+    on = apart & (~col("b.out") | (col("a.u") < col("b.u"))) & alike
     # of several pivots that both were compared with, one is enough
     on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
     links = materialise(a.join(b, on).select(col("a.u").alias("u"), col("b.u").alias("v")).distinct(), "missed")
@@ -129,7 +144,7 @@ def exact_components(verified: DataFrame, percent: int, differ: Differ) -> DataF
     """Components ``(node, component)`` from compared pairs ``(u, v, sketch1, sketch2, nu, nv,
     n_more, n_less, linked)``: v is a pivot, the sketch is u's, nu and nv are sizes of the
     sets, n_more and n_less count the elements that only u or only v has. ``differ`` adds
-    these elements (more, less) to such rows."""
+    these elements (more, less) to such rows, and sizes where they are null."""
     links = verified.where("linked").select("u", "v")
     found = components(links)
     missed = missed_links(verified, found, percent, differ)

@@ -164,6 +164,33 @@ def test_links_that_the_pivot_hides(spark):
     assert {(r.u, r.v) for r in missed.collect()} == near == {(1, 2)}
 
 
+def test_only_lines_that_look_like_another_are_read_again(spark):
+    """op9: the sets of all members of a pivot with a member outside its component were made twice."""
+    # 1 and 2 look alike; 3 and 4 look like no one
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, n_more int, n_less int, linked boolean"
+    verified = spark.createDataFrame([(u, 0, s, s, 9, 9, 2, 2, False) for u, s in [(1, 0), (2, 0), (3, -1), (4, 0x5555555555555555)]], schema)
+    found = spark.createDataFrame([], "node long, component long")
+    parts = spark.createDataFrame([(u, [8, 9], [1, 2]) for u in range(1, 5)], "u long, more array<long>, less array<long>")
+    read = []
+
+    def differ(rows):
+        read.extend(r.u for r in rows.collect())
+        return rows.join(parts, "u")
+
+    missed = stars.missed_links(verified, found, 80, differ)
+    assert {(r.u, r.v) for r in missed.collect()} == {(1, 2)} and sorted(read) == [1, 2]
+
+
+def test_bands_are_shuffled_in_passes(spark, monkeypatch):
+    """op9: the bands of all lines were on disk at once."""
+    passes, compare = [], lines.pairs_to_compare
+    monkeypatch.setattr(lines, "pairs_to_compare", lambda keys, percent: passes.append([k.collect() for k in keys]) or compare(keys, percent))
+    table = spark.createDataFrame([(i, f"some line with the number {i}") for i in range(30)], "node long, line string")
+    lines.line_groups(table)
+    assert [len(p) > 0 for p in passes[0]] == [True] * lines.PARTS
+    assert sorted(r for p in passes[0] for r in p) == sorted(lines.band_keys(table, lines.SHINGLE).collect())
+
+
 def test_line_ids_of_other_types(spark):
     docs = spark.createDataFrame([("b", "one line\nthe other"), ("a", "the other"), ("c", "the other"), (None, "the other")], "doc_id string, text string")
     got = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_report(docs).collect()}

@@ -9,62 +9,68 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from .runtime import materialise, release
 
 
-def _least(directed: DataFrame, name: str) -> DataFrame:
+def _least(directed: DataFrame) -> DataFrame:
     """``(u, m)``: the least of each u and all its v.
 
-    It is a table of its own, so that both sides of the join with it are plain exchanges
-    and a node with very many links is split by adaptive execution.
+    Summed by a struct of u: a join by u then deals these rows anew, so that both its sides
+    are plain exchanges and a node with very many links is split by adaptive execution.
     """
-    least = directed.groupBy("u").agg(F.min("v").alias("m"))
-    return materialise(least.select("u", F.least("u", "m").alias("m")), name)
+    least = directed.groupBy(F.struct("u").alias("at")).agg(F.min("v").alias("m"))
+    return least.select(F.col("at.u").alias("u"), F.least("at.u", "m").alias("m"))
+
+
+def _pair(u: str, v: str) -> Column:
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both, "large")
-    met = both.join(least, "u").where("v > u")
-    out = materialise(met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-    release(least)
-    return out
+    both = edges.select(F.inline(F.array(_pair("u", "v"), _pair("v", "u"))))
+    met = both.join(_least(both), "u").where("v > u")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # here every edge runs from the larger node u to the smaller v
-    least = _least(edges, "small")
-    met = edges.join(least, "u")
-    out = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = out.unionByName(met.select("u", F.col("m").alias("v")))
-    out = materialise(out.where("u != v").distinct(), "edges")
-    release(least, edges)
-    return out
+    met = edges.join(_least(edges), "u")
+    return met.select(F.inline(F.array(_pair("v", "m"), _pair("u", "m")))).where("u != v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``links(u, v)``; component is its least node.
+def stars(links: DataFrame, rows: int) -> DataFrame:
+    """A table of edges ``(u, v)`` from each linked node u to its component's least node v,
+    which has none. ``links(u, v)`` is a table, of ``rows`` rows at most.
 
-    Self-links name a node without linking it; rows with a null are ignored. An empty
-    table gives an empty result. The loop ends when the edges are stars: each node has one,
-    to a node that has none. Each round's tables are deleted once the next are written.
+    One round of large-star and small-star is one plan and one table, which has no more rows
+    than the links. Rounds end when the edges are stars.
     """
-    links = links.select("u", "v").where("u is not null and v is not null")
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = materialise(links, "links")
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = links.where("u != v")
-    first = True
+    edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    last = None
     while True:
-        last, edges = edges, _small_star(_large_star(edges))
-        if not first:
+        edges = materialise(_small_star(_large_star(edges)), "edges", rows)
+        if last is not None:
             release(last)
-        first = False
+        last = edges
         up, down = F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"))
         ends = edges.select(F.inline(F.array(up, down))).groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
         # up: edges to smaller nodes; all the others come from larger ones
         if ends.where("up > 1 or up = 1 and all > 1").isEmpty():
-            break
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = F.coalesce("component", "node").alias("component")
-    out = materialise(nodes.join(found, "node", "left").select("node", roots), "components")
+            return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``links(u, v)``; component is its least node.
+
+    Self-links name a node without linking it; rows with a null are ignored. An empty
+    table gives an empty result. Each round's table is deleted once the next is written.
+    """
+    links = links.select("u", "v").where("u is not null and v is not null")
+    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    links = materialise(links, "links")
+    rows = links.count()
+    edges = stars(links, rows)
+    # a node's own name is never less than that of its component
+    named = F.inline(F.array(_pair("u", "u"), _pair("v", "v")))
+    found = links.select(named).unionByName(edges).groupBy("u").agg(F.min("v").alias("component"))
+    out = materialise(found.withColumnRenamed("u", "node"), "components", 2 * rows)
     release(links, edges)
     return out
 

@@ -138,8 +138,14 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     )
     verified = materialise(sized, "verified")
     tidy(lines.sparkSession)
-    found = exact_components(verified, percent, lambda rows: _differing(rows, pivots, lines, shingle, dealt=True))
-    release(pairs, pivots, verified)
+    tables = [pairs, pivots, verified]
+
+    def differ(rows: DataFrame) -> DataFrame:
+        tables.append(materialise(rows, "near-stars"))
+        return _differing(tables[-1], pivots, lines, shingle, dealt=True)
+
+    found = exact_components(verified, percent, differ)
+    release(*tables)
     return found
 
 

@@ -171,7 +171,7 @@ def near_duplicates(
         if not apart.where("h1 or h2").isEmpty():
             release(signed)
             return _by_text(docs, shingle, percent, bands, rows, seed, id_col, text_col)
-    sets = materialise(usable.groupBy("h1", "h2").agg(F.min("id").alias("node")), "sets")
+    sets = materialise(usable.groupBy("h1", "h2").agg(F.min("id").alias("node")), "sets", signed.count())
 
     chosen = usable.join(sets.select("h1", "h2", F.col("node").alias("id")), ["h1", "h2", "id"], "left_semi")
     flat = chosen.select(F.explode("bands").alias("key"), F.col("id").alias("node"), "sketch1", "sketch2")
@@ -180,7 +180,7 @@ def near_duplicates(
     near = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # neither side is bounded, so this is one shuffle of the texts at any size
     near = texts.join(near.hint("shuffle_hash"), texts.id == near.node).select("node", "text")
-    full = materialise(_elements(near, shingle).where(F.length("payload") > 0).dropDuplicates(["node", "payload"]), "elements")
+    full = materialise(_elements(near, shingle).where(F.length("payload") > 0).dropDuplicates(["node", "payload"]), "elements", 2 * pairs.count())
 
     def differ(rows: DataFrame) -> DataFrame:
         met = rows.join(full.select(F.col("node").alias("v"), F.col("payload").alias("b")), "v")

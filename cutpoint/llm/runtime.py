@@ -21,6 +21,8 @@ from ..plans.workers import send_package
 
 #: Rows in one Arrow batch that goes to Python; whole texts of a batch are in memory together.
 BATCH_ROWS = 512
+#: Rows of one file of a table whose size is known beforehand.
+FILE_ROWS = 10_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -56,13 +58,19 @@ def _new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and return that table.
 
     The table goes by ``release`` or when the application ends. Its rows are fixed from
     then on, whatever executors are lost later.
+
+    If ``rows`` is given, ``df`` is an aggregate of no more rows: then neighbouring
+    partitions are written together, a file for each FILE_ROWS and one for each core at
+    least. A small table is else as many tiny files as a shuffle has partitions.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = _new_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import stars
 from .runtime import materialise, release, tidy
 
 #: Lanes of a sketch: two numbers of 32 lanes of two bits, each from another hash minimum.
@@ -91,19 +91,20 @@ def pairs_to_compare(passes: DataFrame | list[DataFrame], percent: int) -> DataF
     for keys in passes if isinstance(passes, list) else [passes]:
         members = materialise(bucket_members(keys, least), "members")
         tidy(keys.sparkSession)  # the shuffle of these bands
-        tables.append(materialise(candidates(members, least), "pairs"))
+        tables.append(materialise(candidates(members, least), "pairs", members.count()))
         release(members)
         tidy(keys.sparkSession)
     if len(tables) == 1:
         return tables[0]
-    pairs = materialise(_once(reduce(DataFrame.unionByName, tables)), "pairs")
+    pairs = materialise(_once(reduce(DataFrame.unionByName, tables)), "pairs", sum(t.count() for t in tables))
     release(*tables)
     return pairs
 
 
 def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Differ) -> DataFrame:
-    """Links ``(u, v)`` that ``verified`` hides, between nodes compared with one pivot, at
-    least one of them not in the pivot's component.
+    """Pairs ``(u, v)`` of components of ``found(node, component)``, between which there are
+    links that ``verified`` hides: between nodes compared with one pivot, at least one of them
+    not in the pivot's component. A node that is not in ``found`` is a component of its own.
 
     Both sets are known by how they differ from the pivot's, so the overlap is exact:
     the pivot's elements without those that either lacks, and what both have besides.
@@ -121,8 +122,7 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
     alike = agreement("a.sketch", "b.sketch") >= least_agreement(percent)
     # differences are made of those alone that look like another one of the same pivot
     near = a.join(b, apart & (col("a.out") | col("b.out")) & alike, "left_semi")
-    near = materialise(near.join(pivots, "u"), "near-stars")
-    full = differ(near).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    full = differ(near.join(pivots, "u")).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
     a, b = full.where("out").alias("a"), full.alias("b")
     base = col("a.nv") - col("a.n_less") - col("b.n_less")
 
@@ -135,8 +135,8 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
     on = apart & (~col("b.out") | (col("a.u") < col("b.u"))) & alike
     # of several pivots that both were compared with, one is enough
     on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
-    links = materialise(a.join(b, on).select(col("a.u").alias("u"), col("b.u").alias("v")).distinct(), "missed")
-    release(star, near)
+    links = materialise(a.join(b, on).select(col("a.u_part").alias("u"), col("b.u_part").alias("v")).distinct(), "missed")
+    release(star)
     return links
 
 
@@ -144,11 +144,24 @@ def exact_components(verified: DataFrame, percent: int, differ: Differ) -> DataF
     """Components ``(node, component)`` from compared pairs ``(u, v, sketch1, sketch2, nu, nv,
     n_more, n_less, linked)``: v is a pivot, the sketch is u's, nu and nv are sizes of the
     sets, n_more and n_less count the elements that only u or only v has. ``differ`` adds
-    these elements (more, less) to such rows, and sizes where they are null."""
+    these elements (more, less) to such rows, and sizes where they are null; it is called once,
+    and what it returns is read twice."""
     links = verified.where("linked").select("u", "v")
-    found = components(links)
-    missed = missed_links(verified, found, percent, differ)
-    if not missed.isEmpty():
-        known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = components(known.unionByName(missed))
-    return found
+    rows = links.count()
+    edges = stars(links, rows)
+    missed = missed_links(verified, edges.select(F.col("u").alias("node"), F.col("v").alias("component")), percent, differ)
+    own = lambda c: F.struct(F.col(c).alias("node"), F.col(c).alias("component"))
+    nodes = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), own("v"))))
+    if further := missed.count():
+        # only the components that hidden links join are linked again
+        nodes = nodes.unionByName(missed.select(F.inline(F.array(own("u"), own("v")))))
+    # a node's own name is never less than that of its component
+    found = nodes.groupBy("node").agg(F.min("component").alias("component"))
+    tables = [edges, missed]
+    if further:
+        tables.append(stars(missed, further))
+        joined = tables[-1].select(F.col("u").alias("component"), F.col("v").alias("least"))
+        found = found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    out = materialise(found, "components", 2 * (rows + further))
+    release(*tables)
+    return out

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cutpoint.llm import components as component_module
 from cutpoint.llm import runtime
 from cutpoint.llm import words as W
 from cutpoint.llm.components import components
@@ -80,3 +81,19 @@ def test_released_tables_are_gone(spark):
     for t in (plain_table, dealt):
         assert not Path(t.cutpoint_path.removeprefix("file:")).exists()
     assert not spark.catalog.tableExists(dealt.cutpoint_table)
+
+
+def test_a_round_of_components_is_one_table(spark, monkeypatch):
+    """op2, op9: a round wrote four tables, each in as many files as a shuffle has partitions."""
+    names, write = [], component_module.materialise
+    monkeypatch.setattr(component_module, "materialise", lambda df, name, *rows: names.append(name) or write(df, name, *rows))
+    links = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(9, 8), (10, 11)], "u long, v long")
+    assert {(r.node, r.component) for r in components(links).collect()} == {*((i, 0) for i in range(10)), (10, 10), (11, 10)}
+    assert names[0] == "links" and names[-1] == "components" and set(names[1:-1]) == {"edges"} and len(names) <= 4
+
+
+def test_small_tables_are_few_files(spark):
+    rows = spark.range(100).repartition(40, "id")
+    few, many = (runtime.materialise(rows, "t", n).inputFiles() for n in (100, None))
+    assert len(few) <= spark.sparkContext.defaultParallelism < len(many)
+    assert len(runtime.materialise(rows, "t", 20 * runtime.FILE_ROWS).inputFiles()) > len(few)

@@ -1,6 +1,7 @@
 import random
 import time
 import tracemalloc
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -164,6 +165,30 @@ def test_links_that_the_pivot_hides(spark):
     assert {(r.u, r.v) for r in missed.collect()} == near == {(1, 2)}
 
 
+def test_members_of_a_hot_pivot_meet_in_many_cells(spark, monkeypatch):
+    """op9: all members of one pivot met in one task."""
+    monkeypatch.setattr(stars, "SLICE", 4)
+    pivot = set(range(100))
+    # each is too far from the pivot; two in a row are near each other
+    sets = {u: pivot - set(range(26)) | {900 + i for i in range(u, u + 20)} for u in range(1, 40)}
+    rows = [(u, 0, 7, 7, len(s), 100, len(s - pivot), len(pivot - s), False) for u, s in sets.items()]
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, n_more int, n_less int, linked boolean"
+    verified, found = spark.createDataFrame(rows, schema), spark.createDataFrame([], "node long, component long")
+    parts = spark.createDataFrame([(u, sorted(s - pivot), sorted(pivot - s)) for u, s in sets.items()], "u long, more array<long>, less array<long>")
+    cells = []
+
+    def differ(rows):
+        cells.extend(stars.spread(rows).collect())
+        return rows.join(parts, "u")
+
+    missed = {(r.u, r.v) for r in stars.missed_links(verified, found, 80, differ).collect()}
+    assert missed == {tuple(sorted(x)) for x in plain.near(sets, 80)}
+    held = Counter((r.row, r.col, r["first"]) for r in cells)
+    assert max(held.values()) <= 15 and len(held) > 50
+    met = Counter((a.u, b.u) for a in cells for b in cells if a["first"] and not b["first"] and (a.row, a.col) == (b.row, b.col))
+    assert set(met.values()) == {1} and len(met) == len(sets) ** 2
+
+
 def test_only_lines_that_look_like_another_are_read_again(spark):
     """op9: the sets of all members of a pivot with a member outside its component were made twice."""
     # 1 and 2 look alike; 3 and 4 look like no one

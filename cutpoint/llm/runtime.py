@@ -64,7 +64,7 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     The table goes by ``release`` or when the application ends. Its rows are fixed from
     then on, whatever executors are lost later.
 
-    If ``rows`` is given, ``df`` is an aggregate of no more rows: then neighbouring
+    If ``rows`` is given, ``df`` is known to have no more rows: then neighbouring
     partitions are written together, a file for each FILE_ROWS and one for each core at
     least. A small table is else as many tiny files as a shuffle has partitions.
     """

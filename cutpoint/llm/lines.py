@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import fresh, materialise, materialise_buckets, release, tidy
-from .stars import LANES, exact_components, pairs_to_compare, spread
+from .stars import LANES, exact_components, pairs_to_compare
 
 #: Characters of a shingle, unless a caller names another number. With 9, about 90 characters
 #: of a line are needed to forgive it one edit; with 5, about 50.
@@ -101,18 +101,14 @@ def _shingles(line: str, shingle: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), one)))
 
 
-def _differing(pairs: DataFrame, pivots: DataFrame, lines: DataFrame, shingle: int, met_again: bool) -> DataFrame:
+def _differing(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """``pairs(u, v, ...)`` with set sizes nu and nv, the shingles that only u has (more) and
-    those that only v has (less); ``spread`` and dealt by cells before, if they are to be
-    ``met_again``, so that texts are shuffled, not sets."""
+    those that only v has (less). Rows are dealt by u when sets are made, so that the pairs of
+    a hot pivot take many tasks."""
     kept = [c for c in pairs.columns if c not in ("nu", "nv")]
     # both sides of each join are shuffled, so that a pivot of very many pairs is split
-    met = pairs.select(*kept).join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
-    met = met.join(pivots.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
-    if met_again:
-        met = spread(met)
-        kept = [c for c in met.columns if c not in ("left", "right")]
-        met = met.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v", "row", "col")
+    met = pairs.select(*kept).join(lines.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
+    met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
     met = met.select(*kept, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
     sizes = [F.size("a").alias("nu"), F.size("b").alias("nv")]
     return met.select(*kept, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
@@ -129,10 +125,10 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     signed = materialise(signatures(lines, shingle), "signed")
     pairs = pairs_to_compare([_bands(signed, [p]) for p in range(PARTS)], percent)
     release(signed)
-    # hashing the few pivots spares sorting every line
-    pivots = pairs.select(F.col("v").alias("node")).distinct().hint("shuffle_hash")
-    pivots = materialise(lines.join(pivots, "node").select("node", "line"), "pivot-lines")
-    sized = _differing(pairs.where("near"), pivots, lines, shingle, met_again=False)
+    # of all lines, those that are compared are read once, and hashing them spares sorting all
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("shuffle_hash")
+    compared = materialise(lines.join(nodes, "node").select("node", "line"), "compared-lines")
+    sized = _differing(pairs.where("near"), compared, shingle)
     sized = sized.withColumns({"n_more": F.size("more"), "n_less": F.size("less")}).drop("more", "less", "near")
     linked = 100 * (F.col("nu") - F.col("n_more")) >= percent * (F.col("nv") + F.col("n_more"))
     # sketches refuse the link to a pivot that looks unlike; its members may be linked with each other
@@ -141,11 +137,11 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     )
     verified = materialise(sized, "verified")
     tidy(lines.sparkSession)
-    tables = [pairs, pivots, verified]
+    tables = [pairs, compared, verified]
 
     def differ(rows: DataFrame) -> DataFrame:
-        tables.append(materialise(rows, "near-stars"))
-        return _differing(tables[-1], pivots, lines, shingle, met_again=True)
+        tables.append(materialise(_differing(rows, compared, shingle), "differing"))
+        return tables[-1]
 
     found = exact_components(verified, percent, differ)
     release(*tables)

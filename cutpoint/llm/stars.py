@@ -23,8 +23,9 @@ LANES = 64
 #: A pair is not compared if its sketches agree on fewer lanes than two sets at the
 #: threshold do but with this probability.
 LOSS = 2e-5
-#: Members of one pivot that meet each other in one cell of ``spread``, on either side.
-SLICE = 256
+#: Members of one pivot that meet each other in one cell, on either side, up to MOST_SLICES
+#: slices; the slices of a larger pivot grow instead of their number.
+SLICE, MOST_SLICES = 512, 8
 
 Differ = Callable[[DataFrame], DataFrame]
 
@@ -103,21 +104,26 @@ def pairs_to_compare(passes: DataFrame | list[DataFrame], percent: int) -> DataF
     return pairs
 
 
-def spread(near: DataFrame) -> DataFrame:
-    """``near(u, v, out, down, across, ...)`` once or more for each side of the comparison of
-    a pivot's members: ``first`` tells the side, and rows meet by v, ``row`` and ``col``.
+def cells(near: DataFrame, first: bool) -> DataFrame:
+    """One side of the comparison of a pivot's members: ``near(u, v, out, down, across, ...)``
+    in one or more cells. Two sides meet by v, ``row`` and ``col``.
 
-    The members of one pivot are a grid of ``down`` times ``across`` cells, so that many
+    The members of one pivot are a grid of ``down`` times ``across`` cells, so that several
     tasks share the comparisons of a hot one. The first side holds members with ``out``
-    alone, in one row of cells; the other holds all, in one column. Most pivots have one cell.
+    alone, in one row of cells; the other holds all, in one column. Most pivots have one
+    cell, and none has more than MOST_SLICES either way: rows grow with members.
     """
-    at = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
-    cell = lambda row, col, first: F.struct(row.alias("row"), col.alias("col"), F.lit(first).alias("first"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = F.transform(upto("across"), lambda j: cell(at("down"), j, True))
-    other = F.transform(upto("down"), lambda i: cell(i, at("across"), False))
-    cells = F.when(F.col("out"), F.concat(own, other)).otherwise(other)
-    return near.select("*", F.inline(cells)).drop("down", "across")
+    own, other = ("row", "col") if first else ("col", "row")
+    mine, theirs = ("down", "across") if first else ("across", "down")
+    if first:
+        near = near.where("out")
+    placed = near.withColumn(own, F.pmod(F.xxhash64("u"), F.col(mine)).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("down", "across")
+
+
+def spread(near: DataFrame) -> DataFrame:
+    """Both sides of ``cells``; ``first`` tells which."""
+    return cells(near, True).withColumn("first", F.lit(True)).unionByName(cells(near, False).withColumn("first", F.lit(False)))
 
 
 def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Differ) -> DataFrame:
@@ -144,12 +150,11 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
     # by a struct of v, so that the join with it can be split
     many = star.groupBy(F.struct("v").alias("at")).agg(F.count_if("out").alias("n_out"), F.count("*").alias("n_all"))
     many = many.where(f"n_all > {SLICE}").select(col("at.v").alias("v"), "n_out", "n_all")
-    slices = lambda n: (F.lit(1) + F.floor(F.coalesce(F.col(n), F.lit(0)) / SLICE)).cast("int")
+    slices = lambda n: F.least(F.lit(MOST_SLICES), F.lit(1) + F.floor(F.coalesce(F.col(n), F.lit(0)) / SLICE)).cast("int")
     near = near.join(pivots, "u").join(many, "v", "left")
     near = near.withColumns({"down": slices("n_out"), "across": slices("n_all")}).drop("n_out", "n_all")
-    full = differ(near)
-    full = (full if "first" in full.columns else spread(full)).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
-    a, b = full.where("first").alias("a"), full.where("not first").alias("b")
+    full = differ(near).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
+    a, b = cells(full, True).alias("a"), cells(full, False).alias("b")
     base = col("a.nv") - col("a.n_less") - col("b.n_less")
 
     def enough(shared: Column) -> Column:
@@ -157,11 +162,14 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
         return 100 * common >= percent * (col("a.nu") + col("b.nu") - common)
 
     most = F.least("a.n_more", "b.n_more") + F.least("a.n_less", "b.n_less")
-    shared = F.size(F.array_intersect("a.more", "b.more")) + F.size(F.array_intersect("a.less", "b.less"))
+    # what both lack refuses most of the rest; only then is compared what both have besides
+    lacked = F.size(F.array_intersect("a.less", "b.less"))
+    shared = lacked + F.size(F.array_intersect("a.more", "b.more"))
     on = (col("a.row") == col("b.row")) & (col("a.col") == col("b.col"))
     on = on & apart & (~col("b.out") | (col("a.u") < col("b.u"))) & alike
     # of several pivots that both were compared with, one is enough
-    on = on & enough(most) & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
+    on = on & enough(most) & enough(lacked + F.least("a.n_more", "b.n_more"))
+    on = on & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
     links = materialise(a.join(b, on).select(col("a.u_part").alias("u"), col("b.u_part").alias("v")).distinct(), "missed")
     release(star)
     return links
@@ -172,7 +180,7 @@ def exact_components(verified: DataFrame, percent: int, differ: Differ) -> DataF
     n_more, n_less, linked)``: v is a pivot, the sketch is u's, nu and nv are sizes of the
     sets, n_more and n_less count the elements that only u or only v has. ``differ`` adds
     these elements (more, less) to such rows, and sizes where they are null; it is called once,
-    and what it returns is read twice. It may ``spread`` the rows before it makes sets."""
+    and what it returns is read twice, so it should be a table."""
     links = verified.where("linked").select("u", "v")
     rows = links.count()
     edges = stars(links, rows)

@@ -189,6 +189,26 @@ def test_members_of_a_hot_pivot_meet_in_many_cells(spark, monkeypatch):
     assert set(met.values()) == {1} and len(met) == len(sets) ** 2
 
 
+def test_rows_grow_with_the_members_of_a_hot_pivot(spark, monkeypatch):
+    """op9, pipeline: a member came once for each slice of the others, so rows grew with the square."""
+    monkeypatch.setattr(stars, "SLICE", 4)
+    found = spark.createDataFrame([], "node long, component long")
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, n_more int, n_less int, linked boolean"
+    made = {}
+
+    def differ(rows):
+        met = rows.withColumns({"more": F.array().cast("array<long>"), "less": F.sequence("u", F.col("u") + 29)})
+        made[rows.count()] = stars.spread(met).count()
+        return met
+
+    for n in (100, 400):
+        verified = spark.createDataFrame([(u, 0, 7, 7, 70, 100, 0, 30, False) for u in range(1, n + 1)], schema)
+        missed = {(r.u, r.v) for r in stars.missed_links(verified, found, 80, differ).collect()}
+        # sets lack 30 of 100 each: two whose numbers are d apart are near if 70 - d is 80 % of 70 + d or more
+        assert missed == {(u, v) for u in range(1, n + 1) for v in range(u + 1, n + 1) if 100 * (70 - (v - u)) >= 80 * (70 + v - u)}
+    assert set(made) == {100, 400} and made[400] <= 4 * made[100]
+
+
 def test_only_lines_that_look_like_another_are_read_again(spark):
     """op9: the sets of all members of a pivot with a member outside its component were made twice."""
     # 1 and 2 look alike; 3 and 4 look like no one

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import fresh, materialise, materialise_buckets, release, tidy
-from .stars import LANES, exact_components, pairs_to_compare, spread
+from .stars import exact_components, pairs_to_compare
 
 #: Characters of a shingle, unless a caller names another number. With 9, about 90 characters
 #: of a line are needed to forgive it one edit; with 5, about 50.
@@ -101,20 +101,27 @@ def _shingles(line: str, shingle: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), one)))
 
 
-def _differing(pairs: DataFrame, lines: DataFrame, shingle: int, met_again: bool) -> DataFrame:
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pairs(u, v, ...)`` with the lines of u (left) and v (right)."""
+    # both sides of each join are shuffled, so that a pivot of very many pairs is split
+    met = pairs.join(lines.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
+    return met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
+
+
+def _sized(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """``pairs(u, v, ...)`` with set sizes nu and nv, and how many shingles only u has (n_more)
+    and only v (n_less); dealt by u, so that the pairs of a hot pivot take many tasks."""
+    met = _texts(pairs, lines).select(*pairs.columns, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
+    both = F.size(F.array_intersect("a", "b")).alias("n_both")
+    met = met.select(*pairs.columns, F.size("a").alias("nu"), F.size("b").alias("nv"), both)
+    return met.withColumns({"n_more": F.col("nu") - F.col("n_both"), "n_less": F.col("nv") - F.col("n_both")}).drop("n_both")
+
+
+def _differing(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     """``pairs(u, v, ...)`` with set sizes nu and nv, the shingles that only u has (more) and
-    those that only v has (less). If they are to be ``met_again``, they are ``spread`` and dealt
-    by cells before, so that texts are shuffled, not sets; else dealt by u, so that the pairs of
-    a hot pivot take many tasks."""
+    those that only v has (less); dealt as in ``_sized``."""
     kept = [c for c in pairs.columns if c not in ("nu", "nv")]
-    # both sides of each join are shuffled, so that a pivot of very many pairs is split
-    met = pairs.select(*kept).join(lines.select(F.col("node").alias("v"), F.col("line").alias("right")), "v")
-    met = met.join(lines.select(F.col("node").alias("u"), F.col("line").alias("left")), "u")
-    if met_again:
-        met = spread(met)
-        kept = [c for c in met.columns if c not in ("left", "right")]
-        met = met.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v", "row", "col")
-    met = met.select(*kept, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
+    met = _texts(pairs, lines).select(*kept, _shingles("left", shingle).alias("a"), _shingles("right", shingle).alias("b"))
     sizes = [F.size("a").alias("nu"), F.size("b").alias("nv")]
     return met.select(*kept, *sizes, F.array_except("a", "b").alias("more"), F.array_except("b", "a").alias("less"))
 
@@ -133,8 +140,7 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     # of all lines, those that are compared are read once, and hashing them spares sorting all
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().hint("shuffle_hash")
     compared = materialise(lines.join(nodes, "node").select("node", "line"), "compared-lines")
-    sized = _differing(pairs.where("near"), compared, shingle, met_again=False)
-    sized = sized.withColumns({"n_more": F.size("more"), "n_less": F.size("less")}).drop("more", "less", "near")
+    sized = _sized(pairs.where("near").drop("near"), compared, shingle)
     linked = 100 * (F.col("nu") - F.col("n_more")) >= percent * (F.col("nv") + F.col("n_more"))
     # sketches refuse the link to a pivot that looks unlike; its members may be linked with each other
     sized = sized.withColumn("linked", linked).unionByName(
@@ -145,8 +151,9 @@ def line_groups(lines: DataFrame, percent: int = 80, shingle: int = SHINGLE) ->
     tables = [pairs, compared, verified]
 
     def differ(rows: DataFrame) -> DataFrame:
-        tables.append(materialise(rows, "near-stars"))
-        return _differing(tables[-1], compared, shingle, met_again=True)
+        # both sides of the comparison read this table, so that each set is made once
+        tables.append(materialise(_differing(rows, compared, shingle), "differing"))
+        return tables[-1]
 
     found = exact_components(verified, percent, differ)
     release(*tables)

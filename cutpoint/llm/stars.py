@@ -135,40 +135,41 @@ def missed_links(verified: DataFrame, found: DataFrame, percent: int, differ: Di
     of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
     star = verified.join(of("u"), "u", "left").join(of("v"), "v", "left").drop("linked")
     star = star.withColumn("u_part", F.coalesce("u_part", "u")).withColumn("v_part", F.coalesce("v_part", "v"))
-    star = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
-    pivots = star.groupBy("u").agg(F.collect_set("v").alias("pivots"))
+    star = table = materialise(star.withColumn("out", F.col("u_part") != F.col("v_part")), "stars")
+    star = star.join(star.groupBy("u").agg(F.collect_set("v").alias("pivots")), "u")
     col = F.col
-    a, b = star.alias("a"), star.select("u", "v", "u_part", "out", "sketch1", "sketch2").alias("b")
-    apart = (col("a.v") == col("b.v")) & (col("a.u_part") != col("b.u_part"))
-    alike = agreement("a.sketch", "b.sketch") >= least_agreement(percent)
-    # differences are made of those alone that look like another one of the same pivot
-    near = a.join(b, apart & (col("a.out") | col("b.out")) & alike, "left_semi")
+    base = col("a.nv") - col("a.n_less") - col("b.n_less")
+
+    def enough(shared: Column) -> Column:
+        # named once: a condition computes a column again for each place where it stands
+        return (100 + percent) * (base + shared) >= percent * (col("a.nu") + col("b.nu"))
+
+    most = F.least("a.n_more", "b.n_more") + F.least("a.n_less", "b.n_less")
+    meet = (col("a.v") == col("b.v")) & (col("a.u_part") != col("b.u_part"))
+    meet = meet & (agreement("a.sketch", "b.sketch") >= least_agreement(percent))
+    # of several pivots that both were compared with, one is enough
+    once = F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")
+    # differences are made of those alone that look like another one of the same pivot, and
+    # whose sizes, where they are known, allow a link
+    a, b = star.alias("a"), star.alias("b")
+    near = a.join(b, meet & (col("a.out") | col("b.out")) & F.coalesce(enough(most), F.lit(True)) & once, "left_semi")
     # by a struct of v, so that the join with it can be split
     many = star.groupBy(F.struct("v").alias("at")).agg(F.count_if("out").alias("n_out"), F.count("*").alias("n_all"))
     many = many.where(f"n_all > {SLICE}").select(col("at.v").alias("v"), "n_out", "n_all")
     slices = lambda n: F.least(F.lit(MOST_SLICES), F.lit(1) + F.floor(F.coalesce(F.col(n), F.lit(0)) / SLICE)).cast("int")
-    near = near.join(pivots, "u").join(many, "v", "left")
+    near = near.join(many, "v", "left")
     near = near.withColumns({"down": slices("n_out"), "across": slices("n_all")}).drop("n_out", "n_all")
     full = differ(near)
     full = (full if "first" in full.columns else spread(full)).withColumns({"n_more": F.size("more"), "n_less": F.size("less")})
     a, b = full.where("first").alias("a"), full.where("not first").alias("b")
-    base = col("a.nv") - col("a.n_less") - col("b.n_less")
-
-    def enough(shared: Column) -> Column:
-        common = base + shared
-        return 100 * common >= percent * (col("a.nu") + col("b.nu") - common)
-
-    most = F.least("a.n_more", "b.n_more") + F.least("a.n_less", "b.n_less")
     # what both lack refuses most of the rest; only then is compared what both have besides
     lacked = F.size(F.array_intersect("a.less", "b.less"))
     shared = lacked + F.size(F.array_intersect("a.more", "b.more"))
     on = (col("a.row") == col("b.row")) & (col("a.col") == col("b.col"))
-    on = on & apart & (~col("b.out") | (col("a.u") < col("b.u"))) & alike
-    # of several pivots that both were compared with, one is enough
-    on = on & enough(most) & enough(lacked + F.least("a.n_more", "b.n_more"))
-    on = on & (F.array_min(F.array_intersect("a.pivots", "b.pivots")) == col("a.v")) & enough(shared)
+    on = on & meet & (~col("b.out") | (col("a.u") < col("b.u")))
+    on = on & enough(most) & once & enough(lacked + F.least("a.n_more", "b.n_more")) & enough(shared)
     links = materialise(a.join(b, on).select(col("a.u_part").alias("u"), col("b.u_part").alias("v")).distinct(), "missed")
-    release(star)
+    release(table)
     return links
 
 

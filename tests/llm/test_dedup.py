@@ -226,6 +226,24 @@ def test_only_lines_that_look_like_another_are_read_again(spark):
     assert {(r.u, r.v) for r in missed.collect()} == {(1, 2)} and sorted(read) == [1, 2]
 
 
+def test_members_are_read_for_one_pivot_and_only_if_their_sizes_allow_a_link(spark):
+    """op9: members of several pivots had their sets made for each, whatever their known sizes."""
+    # 1 and 2 were compared with pivots 0 and 9; 3 and 4 with 0 alone, and have too many elements of their own
+    own = {1: (9, 2, 2), 2: (9, 2, 2), 3: (20, 11, 0), 4: (99, 90, 0)}
+    rows = [(u, v, u // 3, 0, n, 9, more, less, False) for u, (n, more, less) in own.items() for v in ((0, 9) if u < 3 else (0,))]
+    schema = "u long, v long, sketch1 long, sketch2 long, nu int, nv int, n_more int, n_less int, linked boolean"
+    verified, found = spark.createDataFrame(rows, schema), spark.createDataFrame([], "node long, component long")
+    parts = spark.createDataFrame([(u, list(range(100, 100 + more)), list(range(less))) for u, (n, more, less) in own.items()], "u long, more array<long>, less array<long>")
+    read = []
+
+    def differ(rows):
+        read.extend((r.u, r.v) for r in rows.collect())
+        return rows.join(parts, "u")
+
+    missed = stars.missed_links(verified, found, 80, differ)
+    assert {(r.u, r.v) for r in missed.collect()} == {(1, 2)} and sorted(read) == [(1, 0), (2, 0)]
+
+
 def test_bands_are_shuffled_in_passes(spark, monkeypatch):
     """op9: the bands of all lines were on disk at once."""
     passes, compare = [], lines.pairs_to_compare
